@@ -83,10 +83,14 @@ def compound_score(points: Column) -> Column:
     return F.least(F.lit(100), top + quarter - F.floor(top * 0.25).cast("int"))
 
 
+def _count_of(findings: Column, severity: str) -> Column:
+    return F.size(F.filter(findings, lambda f: f["severity"] == severity))
+
+
 def score_findings(findings: Column) -> Column:
     """Assessment struct of one event's findings."""
     score = compound_score(F.transform(findings, lambda f: severity_points(f["severity"])))
-    counts = {s: F.size(F.filter(findings, lambda f, s=s: f["severity"] == s)) for s in SEVERITIES}
+    counts = {name: _count_of(findings, name) for name in SEVERITIES}
     pairs = []
     for name in SEVERITIES:
         pairs += [F.lit(name), counts[name]]
