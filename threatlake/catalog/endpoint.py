@@ -522,7 +522,7 @@ def event_fingerprint(spark, sf):
 _DAY = 86400
 _RECURSE = f""", o AS (SELECT *, epoch_us(ts) AS t, row_number() OVER (PARTITION BY host, fingerprint ORDER BY ts, seq, pos) AS rn FROM long WHERE NOT regexp_matches(event_type, '^(startup_item|scheduled_task|service)_')),
   r AS (SELECT host, fingerprint, rn, t AS last_t, true AS emitted, seq, pos FROM o WHERE rn = 1
-    UNION ALL SELECT o.host, o.fingerprint, o.rn, CASE WHEN o.t - r.last_t >= {_DAY} * 1000000 THEN o.t ELSE r.last_t END, o.t - r.last_t >= {_DAY} * 1000000, o.seq, o.pos
+    UNION ALL SELECT o.host, o.fingerprint, o.rn, CASE WHEN o.t - r.last_t >= {_DAY}000000 THEN o.t ELSE r.last_t END, o.t - r.last_t >= {_DAY}000000, o.seq, o.pos
     FROM r JOIN o ON o.host = r.host AND o.fingerprint = r.fingerprint AND o.rn = r.rn + 1)"""
 
 

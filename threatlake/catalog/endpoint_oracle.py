@@ -217,7 +217,7 @@ FINGERPRINT_EVENT = (
     "CAST(remote_port AS VARCHAR), '|', array_to_string(list_sort(ids), ',')))"
 )
 STORE = f"""printed AS (SELECT *, {FINGERPRINT_EVENT} AS fingerprint FROM scored),
-  gaps AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY host, fingerprint ORDER BY ts, seq) <= {{gap}} * 1000000 THEN 0 ELSE 1 END AS fresh FROM printed),
+  gaps AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY host, fingerprint ORDER BY ts, seq) <= {{gap}}000000 THEN 0 ELSE 1 END AS fresh FROM printed),
   sessions AS (SELECT *, sum(fresh) OVER (PARTITION BY host, fingerprint ORDER BY ts, seq) AS s FROM gaps),
   store AS (SELECT host, fingerprint, arg_min(seq, struct_pack(a := ts, b := seq)) AS id, arg_min(event_type, struct_pack(a := ts, b := seq)) AS event_type,
     CAST(max(score) AS BIGINT) AS score, arg_max(severity, struct_pack(a := score, b := -epoch_us(ts), c := -seq)) AS severity,

@@ -26,7 +26,8 @@ def dns_domain_features(df: DataFrame, domain: str = "domain") -> DataFrame:
     """Clean name, dynamic-DNS and TLD flags, label entropy, generated-name test, indicators."""
     df = df.withColumn(domain, F.coalesce(clean_domain(F.col(domain)), F.lit("")))
     name = F.col(domain)
-    label = F.regexp_extract(name, r"^([^.]*)", 1)
+    df = df.withColumn("__label", F.substring_index(name, ".", 1))
+    label = F.col("__label")
     df = df.withColumn("entropy", F.round(shannon_entropy(label), 3))
     size = F.length(label)
     vowels = F.try_divide(F.regexp_count(label, F.lit("[aeiou]")), size)
@@ -53,4 +54,4 @@ def dns_domain_features(df: DataFrame, domain: str = "domain") -> DataFrame:
                 F.when(name.contains("xn--"), F.lit("Internationalized / Punycode domain")),
             )
         ),
-    )
+    ).drop("__label")

@@ -28,28 +28,33 @@ def _within(number: Column, blocks) -> Column:
     return test
 
 
-def is_public_ip(ip: Column) -> Column:
-    """Globally routable unicast address. IPv6: global unicast outside the special-purpose blocks."""
-    ip = F.lower(F.trim(ip))
-    mapped = F.regexp_extract(ip, r"^::ffff:(\d+\.\d+\.\d+\.\d+)\z", 1)
-    v4 = ipv4_number(F.when(mapped != "", mapped).otherwise(ip))
-    public_v4 = ~_within(v4, V.IPV4_NON_GLOBAL) | _within(v4, V.IPV4_GLOBAL_EXCEPTIONS)
-    looks_v6 = ip.rlike(r"^[0-9a-f]{1,4}:[0-9a-f:.]+\z") & ~ip.rlike(r":::|::.*::")
-    first = F.conv(F.regexp_extract(ip, r"^([0-9a-f]{1,4}):", 1), 16, 10).try_cast("int")
-    second = F.coalesce(
-        F.conv(F.nullif(F.regexp_extract(ip, r"^[0-9a-f]{1,4}:([0-9a-f]{1,4}):", 1), F.lit("")), 16, 10).try_cast("int"),
-        F.lit(0),
+def with_ip_class(df: DataFrame, ip: str = "remote_ip", out: str = "is_public_ip") -> DataFrame:
+    """Flag globally routable unicast addresses.
+
+    IPv4 by number ranges; IPv6 as global unicast outside its special-purpose blocks. The parsed
+    forms are columns of their own, so that each is computed once per row.
+    """
+    text = F.lower(F.trim(F.col(ip)))
+    mapped = F.nullif(F.regexp_extract(text, r"^::ffff:(\d+\.\d+\.\d+\.\d+)\z", 1), F.lit(""))
+    hextets = r"^([0-9a-f]{1,4}):(?:([0-9a-f]{1,4}):)?[0-9a-f:.]*\z"
+    df = df.withColumns({"__ip": F.coalesce(mapped, text)})
+    df = df.withColumns(
+        {
+            "__v4": ipv4_number(F.col("__ip")),
+            "__h1": F.conv(F.nullif(F.regexp_extract("__ip", hextets, 1), F.lit("")), 16, 10).try_cast("int"),
+            "__h2": F.conv(F.nullif(F.regexp_extract("__ip", hextets, 2), F.lit("")), 16, 10).try_cast("int"),
+        }
     )
+    v4, first, second = F.col("__v4"), F.col("__h1"), F.coalesce(F.col("__h2"), F.lit(0))
+    public_v4 = ~_within(v4, V.IPV4_NON_GLOBAL) | _within(v4, V.IPV4_GLOBAL_EXCEPTIONS)
     special_2001 = (first == 0x2001) & (
         (second == 0xDB8)
-        | ((second < 0x200) & ~second.isin(0x3) & ~second.between(0x20, 0x3F) & ~ip.rlike(r"^2001:4:112:"))
+        | ((second < 0x200) & (second != 0x3) & ~second.between(0x20, 0x3F) & ~F.col("__ip").startswith("2001:4:112:"))
     )
-    public_v6 = looks_v6 & first.between(0x2000, 0x3FFF) & ~special_2001 & (first != 0x2002)
-    return F.coalesce(F.when(v4.isNotNull(), public_v4).otherwise(public_v6), F.lit(False))
-
-
-def with_ip_class(df: DataFrame, ip: str = "remote_ip", out: str = "is_public_ip") -> DataFrame:
-    return df.withColumn(out, is_public_ip(F.col(ip)))
+    well_formed = ~F.col("__ip").rlike(r":::|::.*::")
+    public_v6 = well_formed & first.between(0x2000, 0x3FFF) & ~special_2001 & (first != 0x2002)
+    public = F.when(v4.isNotNull(), public_v4).otherwise(public_v6)
+    return df.withColumn(out, F.coalesce(public, F.lit(False))).drop("__ip", "__v4", "__h1", "__h2")
 
 
 def hosting_provider(org: Column, asn: Column) -> Column:
