@@ -102,3 +102,58 @@ def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
         }
     )
     return conform_events(shaped.drop("signature_status", "signer", "src_type", "value"))
+
+
+# --- addresses and messages ---------------------------------------------------------------------------
+
+_URLS = [
+    "concat('https://secure-paypal-login-example.com/verify?id=', CAST(page_id AS STRING))",
+    "concat('http://192.168.1.', CAST(page_id % 9 AS STRING), ':8080/login')",
+    "concat('https://paypa1.com/signin?session=', CAST(page_id AS STRING), '&otp=1')",
+    "concat('https://example.com/redirect?next=https%3A%2F%2Fevil', CAST(page_id % 7 AS STRING), '.example.net%2Flogin')",
+    "concat('https://user:pw@a.b.c.d.e.example', CAST(page_id % 5 AS STRING), '.com/path/to/page.html')",
+    "concat('https://g00gle-account-verify.xyz/?a=', CAST(page_id AS STRING), '&b=2&c=3&d=4&e=5&f=6&g=7')",
+    "concat('https://login.paypal.com.tr:443/account/', CAST(page_id AS STRING))",
+    "concat('https://paypal.github.io/x', CAST(page_id AS STRING), '/%zz')",
+    "concat('http://bit.ly/', CAST(page_id AS STRING), '%0d%41%42%43%44%45')",
+    "concat('ftp://files.example.com/', CAST(page_id AS STRING))",
+    "concat('https://micros0ft-support', CAST(page_id % 30 AS STRING), '.top/billing?redirect=%2F%2Fexample.org%2Fa&user=', CAST(page_id AS STRING))",
+    "concat('https://netfilx.com/', repeat('a', CAST(page_id % 300 AS INT)), '/', CAST(page_id AS STRING))",
+    "concat('https://my-bank-of-america-secure-site-with-a-very-long-name-here', CAST(page_id % 3 AS STRING), '.net/')",
+    "concat('https://www.google.com/url?q=', CAST(page_id AS STRING))",
+    "concat('https://apple.example', CAST(page_id % 40 AS STRING), '.com//cdn.example.net/x')",
+    "'not a url'",
+]
+URLS = (
+    "SELECT page_id, CASE page_id % " + str(2 * len(_URLS)) + " "
+    + " ".join(f"WHEN {i} THEN {u}" for i, u in enumerate(_URLS))
+    + " ELSE url END AS url, page_id % 50 AS user_id, html FROM {pages}"
+)
+
+_PHRASES = [
+    "Dear customer, your SBI KYC is pending. Update immediately or your account will be blocked. Share OTP to verify: http://sbi-kyc-update.top/login",
+    "URGENT: your account will be suspended. Call 1800 123 4567 immediately!!!",
+    "Y0ur acc0unt will be bl0cked. Share y0ur 0TP n0w",
+    "Do not share your OTP with anyone. Your OTP is 482913.",
+    "You have won a lottery prize, claim your reward at www.paypa1.com/claim, now.",
+    "Your PayPal wallet is locked, sign in at https://www.paypal.com/signin.",
+    "Amazon refund pending: click http://amazon-refund.example.com/pay and pay the processing fee to receive it",
+    "Aapka khata band ho jayega. Turant OTP bhejein.",
+    "Please install AnyDesk and enter your UPI PIN to receive cashback",
+    "Your account is b l o c k e d today, act now",
+    "Guaranteed returns of 20% daily, join our Telegram group at t.me/tips",
+    "THE POWER WILL BE CUT OFF TONIGHT UNLESS YOU PAY THE ELECTRICITY BILL, DISCONNECT NOTICE",
+    "Contact customer care at +91 9876543210 about the virus security alert on your computer",
+]
+_PHRASE = "CASE doc_id % " + str(2 * len(_PHRASES)) + " " + " ".join(
+    f"WHEN {i} THEN '{p} '" for i, p in enumerate(_PHRASES)
+) + " ELSE '' END"
+MESSAGES = f"SELECT doc_id, concat({_PHRASE}, text) AS text FROM {{documents}}"
+
+
+def urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(URLS, **tables(spark, sf_dir, "pages"))
+
+
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(MESSAGES, **tables(spark, sf_dir, "documents"))

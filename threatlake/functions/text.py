@@ -18,6 +18,12 @@ def text_array(values) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once. Inside a lambda a repeated expression is evaluated
+    anew for every element, so anything costly is bound here first."""
+    return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))
+
+
 def first_truthy(*cols: Column | str) -> Column:
     """``a or b or c`` over strings: empty strings are skipped as well as nulls."""
     return F.coalesce(*[F.nullif(as_col(c), F.lit("")) for c in cols])

@@ -11,7 +11,7 @@ from threatlake.functions.patterns import from_ecmascript
 from threatlake.functions.signals import (
     no_signals, signal, signal_if, signals_of, union_signals, with_verdict,
 )
-from threatlake.functions.text import blank, clip, in_list, nfkc
+from threatlake.functions.text import blank, clip, in_list, let, nfkc
 from threatlake.operators.rulesets import DEFAULT_RULES, DetectionRules
 from threatlake.operators.urls import scan_urls, url_signals
 
@@ -30,13 +30,11 @@ def matches_of(text: Column, pattern: str) -> Column:
 
 def _rewrite(text: Column, pattern: str, change: Callable[[Column], Column]) -> Column:
     """Replace every match by ``change(match)``; null keeps the match."""
-    hits = matches_of(text, pattern)
     return F.array_join(
-        F.transform(
+        F.zip_with(
             F.split(text, pattern, -1),
-            lambda gap, i: F.concat(
-                gap, F.coalesce(change(F.get(hits, i)), F.get(hits, i), F.lit(""))
-            ),
+            matches_of(text, pattern),
+            lambda gap, hit: F.concat(gap, F.coalesce(change(hit), hit, F.lit(""))),
         ),
         "",
     )
@@ -131,12 +129,16 @@ def deobfuscate(df: DataFrame, text: str = "text", out: str = "clean_text", sign
 
 def located(text: Column, pattern: str) -> Column:
     """All matches as ``hit, at`` with the zero-based start of each."""
-    hits, gaps = matches_of(text, pattern), F.split(text, pattern, -1)
     total = lambda arr: F.aggregate(arr, F.lit(0), lambda n, s: n + F.length(s))
-    return F.transform(
-        hits,
-        lambda h, i: F.struct(
-            h.alias("hit"), (total(F.slice(gaps, 1, i + 1)) + total(F.slice(hits, 1, i))).alias("at")
+    both = F.struct(matches_of(text, pattern).alias("hits"), F.split(text, pattern, -1).alias("gaps"))
+    return let(
+        both,
+        lambda b: F.transform(
+            b["hits"],
+            lambda h, i: F.struct(
+                h.alias("hit"),
+                (total(F.slice(b["gaps"], 1, i + 1)) + total(F.slice(b["hits"], 1, i))).alias("at"),
+            ),
         ),
     )
 
