@@ -7,16 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from threatlake import fixed_values_phishing as P
-from threatlake.functions.patterns import from_ecmascript
+from threatlake.functions.patterns import from_ecmascript, required_literals
 from threatlake.functions.signals import (
     no_signals, signal, signal_if, signals_of, union_signals, with_verdict,
 )
-from threatlake.functions.text import blank, clip, in_list, let, nfkc
+from threatlake.functions.text import blank, clip, contains_any, in_list, let, nfkc
 from threatlake.operators.rulesets import DEFAULT_RULES, DetectionRules
 from threatlake.operators.urls import scan_urls, url_signals
+from threatlake.session import cut_lineage
 
 _URL_SPAN = from_ecmascript(r"https?:\/\/\S+|www\.\S+")
-_SPACED = from_ecmascript(r"\b(?:[A-Za-z][ \t.\-_*]){2,}[A-Za-z]\b", ignore_case=False)
+_SPACED = r"(?<![A-Za-z0-9_])(?:[A-Za-z][ \t.\-_*]){2,}[A-Za-z](?![A-Za-z0-9_])"
 _LEET_TOKEN = "[A-Za-z0-9@$]{3,}"
 _TOKEN = from_ecmascript(r"\s+", ignore_case=False)
 _VOCABULARY = P.SCAM_VOCABULARY + [b for b, _ in P.BRANDS]
@@ -68,10 +69,20 @@ def deobfuscate(df: DataFrame, text: str = "text", out: str = "clean_text", sign
     """
     src = F.substring(blank(text), 1, P.MESSAGE_CHARS)
     df = df.withColumn("__t0", nfkc(src))
+    wide = F.col("__t0").rlike(r"[^\x00-\x7F]")
     df = df.withColumns(
-        {"__hidden": F.regexp_count("__t0", F.lit(_ZERO)), "__t1": F.regexp_replace("__t0", _ZERO, "")}
+        {
+            "__hidden": F.when(wide, F.regexp_count("__t0", F.lit(_ZERO))).otherwise(0),
+            "__t1": F.when(wide, F.regexp_replace("__t0", _ZERO, "")).otherwise(F.col("__t0")),
+        }
+    )
+    linked = F.col("__t1").contains("://") | F.lower("__t1").contains("www.")
+    df = df.withColumns(
+        {
+            "__urls": F.when(linked, matches_of(F.col("__t1"), _URL_SPAN)).otherwise(F.array().cast(_NO_TEXT)),
+            "__s0": F.when(linked, F.split("__t1", _URL_SPAN, -1)).otherwise(F.array("__t1")),
+        }
     )
-    df = df.withColumns({"__urls": matches_of(F.col("__t1"), _URL_SPAN), "__s0": F.split("__t1", _URL_SPAN, -1)})
     foreign = F.col("__t1").rlike("[\\u0370-\\u03FF\\u0400-\\u04FF]")
     tokens = lambda s: F.split(s, _TOKEN, -1)
     fixed = F.transform(
@@ -169,12 +180,25 @@ def live_match(text: Column, pattern: str, protected: Column, hindi: bool) -> Co
     return F.when(text.rlike(pattern), F.coalesce(first["hit"], F.lit(""))).otherwise(F.lit(""))
 
 
+def _possible(pattern: str) -> Column:
+    """Plain substring test on the lower-cased text that every match of the pattern passes."""
+    test = F.lit(True)
+    for literals in required_literals(pattern):
+        test = test & contains_any(F.col("__low"), sorted(literals))
+    return test
+
+
 def scam_signals(df: DataFrame, text: str = "text", out: str = "scam", context: bool = True) -> DataFrame:
     """Add ``out`` (signals) and ``tactics`` in rule order: all rules in one pass over each text.
 
     ``context=False`` takes the first match of every rule, whatever precedes it.
     """
-    df = df.withColumn("__prot", protective_positions(F.col(text)) if context else F.array().cast("array<int>"))
+    df = df.withColumns(
+        {
+            "__prot": protective_positions(F.col(text)) if context else F.array().cast("array<int>"),
+            "__low": F.lower(text),
+        }
+    )
     body, rows = F.col(text), []
     for rid, tactic, weight, negatable, hindi, pattern in P.SCAM_RULES:
         java = from_ecmascript(pattern, ignore_case=not hindi)
@@ -184,7 +208,10 @@ def scam_signals(df: DataFrame, text: str = "text", out: str = "scam", context:
             else F.regexp_extract(body, java, 0)
         )
         rows.append(
-            F.struct(F.lit(rid).alias("id"), F.lit(tactic).alias("tactic"), F.lit(weight).alias("weight"), hit.alias("hit"))
+            F.struct(
+                F.lit(rid).alias("id"), F.lit(tactic).alias("tactic"), F.lit(weight).alias("weight"),
+                F.when(_possible(pattern), hit).otherwise(F.lit("")).alias("hit"),
+            )
         )
     df = df.withColumn("__hits", F.filter(F.array(*rows), lambda r: r["hit"] != ""))
     return df.withColumns(
@@ -195,7 +222,7 @@ def scam_signals(df: DataFrame, text: str = "text", out: str = "scam", context:
             ),
             "tactics": F.array_distinct(F.transform("__hits", lambda r: r["tactic"])),
         }
-    ).drop("__prot", "__hits")
+    ).drop("__prot", "__low", "__hits")
 
 
 def links_in(text: Column) -> Column:
@@ -215,7 +242,8 @@ def worst_links(df: DataFrame, key: str, links: str = "links", rules: DetectionR
     Links are scored once per distinct URL and joined back; the highest score wins, the earliest
     position on ties.
     """
-    flat = df.select(F.col(key), F.posexplode(links).alias("pos", "url"))
+    # The links feed three joins; without a cut the message text would be cleaned again for each.
+    flat = cut_lineage(df.select(F.col(key), F.posexplode(links).alias("pos", "url")))
     judged = with_verdict(url_signals(flat.select("url").distinct(), rules, keep=True)).select(
         "url", F.col("score").alias("link_score"), "host", "registrable", "url_valid"
     )
@@ -234,7 +262,7 @@ def brand_link_mismatch(text: Column, domains: Column, brands=P.BRANDS) -> Colum
     solid = F.regexp_replace(low, from_ecmascript(r"\s+", False), "")
     expr = F.lit(None).cast("string")
     for name, official in reversed(brands):
-        named = low.rlike(from_ecmascript(rf"\b{name}\b", False))
+        named = low.contains(name) & low.rlike(from_ecmascript(rf"\b{name}\b", False))
         if len(name) >= 7:
             named = named | solid.contains(name)
         own = F.arrays_overlap(domains, F.array(*[F.lit(d) for d in official]))
