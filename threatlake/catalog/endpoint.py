@@ -13,11 +13,12 @@ from threatlake.functions.text import base_name, blank, size_label
 from threatlake.operators import correlate, decisions, dedup, dns, evaluate, network, reputation, snapshots, store
 from threatlake.operators.rules import common
 from threatlake.schemas import DNS_TYPE, DOWNLOAD_TYPE, NETWORK_TYPE
+from threatlake.session import cut_lineage
 from threatlake.sources.feeds import load_feeds
 
 catalog = Catalog()
 query = catalog.query
-GAP = 6000
+GAP = 200_000
 
 
 def observed(spark: SparkSession, sf: str) -> DataFrame:
@@ -534,7 +535,7 @@ def dedup_cooldown(spark, sf):
         .select("*", F.posexplode("findings").alias("pos", "f"))
         .select("host", "seq", "ts", "pos", dedup.finding_fingerprint(F.col("f.rule_id")).alias("fingerprint"))
     )
-    return as_long(dedup.cooldown(long, ["host", "fingerprint"], ["seq", "pos"], _DAY).select("seq", "pos", "emitted"))
+    return as_long(dedup.cooldown(cut_lineage(long), ["host", "fingerprint"], ["seq", "pos"], _DAY).select("seq", "pos", "emitted"))
 
 
 @query("dedup_store", _STORE + f" SELECT {_STORE_COLS} FROM store")
@@ -611,7 +612,7 @@ _TRY = "SELECT CAST(event_id AS BIGINT) AS id, ts AS at, attempt_seq, CASE (even
   SELECT id, st AS sync_status, rc AS retry_count, err AS error_message FROM f WHERE n = 3""")
 def outbox_apply(spark, sf):
     tries = spark.sql(_TRY.replace("STRING", "STRING"), **tables(spark, sf, "events")).withColumn("at", F.col("at").cast("timestamp"))
-    out = store.apply_sync(stored(spark, sf), tries)
+    out = store.apply_sync(cut_lineage(stored(spark, sf)), tries)
     return as_long(out.select("id", "sync_status", "retry_count", blank("error_message").alias("error_message")))
 
 
@@ -623,4 +624,4 @@ def retention_age(spark, sf):
 @query("retention_capacity", _STORE + """, low AS (SELECT id, row_number() OVER (ORDER BY CASE WHEN severity IN ('high', 'critical') THEN 1 ELSE 0 END, id) AS rn, (SELECT count(*) FROM store) AS n FROM store)
   SELECT id FROM low WHERE rn > n - 3000 OR n <= 3000""")
 def retention_capacity(spark, sf):
-    return store.cap(store.to_store(judged(spark, sf), GAP), 3000)[0].select("id")
+    return store.cap(cut_lineage(store.to_store(judged(spark, sf), GAP).select("id", "severity")), 3000)[0].select("id")

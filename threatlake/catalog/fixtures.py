@@ -77,7 +77,11 @@ def tables(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame
 
 def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of the telemetry projection in the shared event schema."""
-    raw = spark.sql(TELEMETRY, **tables(spark, sf_dir, "events"))
+    return shape_telemetry(spark.sql(TELEMETRY, **tables(spark, sf_dir, "events")))
+
+
+def shape_telemetry(raw: DataFrame) -> DataFrame:
+    """Projected rows, batch or stream, with the nested columns of the event schema."""
     kind = F.col("event_type")
     is_auto = kind.startswith("startup_item")
     is_task = kind.startswith("scheduled_task")
@@ -157,3 +161,55 @@ def urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(MESSAGES, **tables(spark, sf_dir, "documents"))
+
+
+# --- addresses, mail and intelligence ---------------------------------------------------------------------
+
+_LOCALS = ["'jane.doe'", "'paypal.support'", "'support'", "concat('u', CAST(100000 + doc_id AS STRING))", "'chase.miller'",
+           "'a..b'", "repeat('x', 45)", "'sbi'"]
+_DOMAINS = ["gmail.com", "gmial.com", "mailinator.com", "example.com", "examplee.com", "example-secure.com", "paypa1.com",
+            "a.b.c.d.example.org", "x1234567890.net", "evil.top", "bad_domain.com", "outside.123"]
+_LOCAL = "CASE doc_id % 8 " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(_LOCALS)) + " END"
+_DOMAIN = pick(",".join(_DOMAINS), "CAST(floor(doc_id / 8) AS BIGINT)")
+ADDRESSES = f"""SELECT doc_id, CAST(floor(doc_id / 6) AS BIGINT) AS page_id, doc_id % 6 AS position, {_LOCAL} AS loc, {_DOMAIN} AS dom,
+  concat({_LOCAL}, '@', {_DOMAIN}) AS address, {pick('PayPal Support,Jane,support@paypal.com,,State Bank of India', 'doc_id')} AS display_name FROM {{documents}}"""
+EMAIL_TEXT = f"""SELECT doc_id, concat('Mail ', {_LOCAL}, '@', {_DOMAIN}, ', or JANE@example', CAST(doc_id % 9 AS STRING), '.com and jane@Example', CAST(doc_id % 9 AS STRING), '.com. ', text) AS text FROM {{documents}}"""
+
+_CRLF = "chr(13), chr(10)"
+SPF = pick("pass,fail,softfail,neutral,none", "doc_id")
+DKIM = pick("pass,fail,permerror", "CAST(floor(doc_id / 5) AS BIGINT)")
+DMARC = pick("pass,fail,temperror,none", "CAST(floor(doc_id / 3) AS BIGINT)")
+SENDER = pick("example.com,mail.example.org,shop.example.net", "doc_id")
+CLAIMED = pick("example.com,bounce.example.org,other.example", "CAST(floor(doc_id / 2) AS BIGINT)")
+REPLY = pick("help@example.com,owner@other-site.net,acme@gmail.com", "CAST(floor(doc_id / 7) AS BIGINT)")
+MAIL = f"""SELECT doc_id AS msg_id, concat('From: "News Desk" <news@', {SENDER}, '>', {_CRLF}, 'Reply-To: ', {REPLY}, {_CRLF}, 'Return-Path: <bounce@', {CLAIMED}, '>', {_CRLF},
+  'Subject: Note ', CAST(doc_id AS STRING), {_CRLF}, 'Received: from a.example ([10.1.2.3]) by b.example (8.8.8.8, 300.1.1.1)', {_CRLF}, 'Received: from [IPv6:2001:DB8::1] by c', {_CRLF},
+  'Authentication-Results: mx.test; spf=', {SPF}, ' smtp.mailfrom=', {CLAIMED}, ';', {_CRLF}, ' dkim=', {DKIM}, ' header.d=', {SENDER}, '; dmarc=', {DMARC}, ' header.from=', {SENDER}, {_CRLF},
+  CASE WHEN doc_id % 4 = 0 THEN concat('Received-SPF: softfail (mx.two: not permitted) envelope-from=x@', {CLAIMED}, chr(13), chr(10)) ELSE '' END,
+  CASE WHEN doc_id % 3 = 0 THEN concat('Content-Type: multipart/mixed; boundary="b1"', {_CRLF}, {_CRLF}, '--b1', {_CRLF}, 'Content-Type: text/plain; charset=utf-8', {_CRLF}, {_CRLF}, 'See https://www.', {SENDER}, '/a.', {_CRLF}, substring(text, 1, 300), {_CRLF},
+    '--b1', {_CRLF}, 'Content-Type: application/pdf; name="f', CAST(doc_id % 7 AS STRING), '.pdf"', {_CRLF}, 'Content-Transfer-Encoding: base64', {_CRLF}, {_CRLF}, CASE WHEN doc_id % 9 = 0 THEN 'not base64!' ELSE 'UERGREFUQQ==' END, {_CRLF}, '--b1--', {_CRLF})
+  WHEN doc_id % 3 = 1 THEN concat('Content-Type: text/html', {_CRLF}, {_CRLF}, '<p hidden>secret</p><a href="https://bit.ly/', CAST(doc_id AS STRING), '">https://example.com/pay</a><img src="https://img.example.org/x.png"><form action="https://evil.example.net/f" method="POST"></form>')
+  ELSE concat({_CRLF}, substring(text, 1, 400), ' https://www.', {SENDER}, '/b,') END) AS raw FROM {{documents}}"""
+
+DNS_ANSWERS = """SELECT concat('d', CAST(page_id AS STRING), '.example.com') AS domain, q.query, CASE WHEN page_id % 11 = 0 THEN 3 WHEN page_id % 7 = 0 AND q.query = 'TXT' THEN 2 ELSE 0 END AS status, page_id % 2 AS pos,
+  CASE WHEN page_id % 11 = 0 THEN NULL ELSE CASE q.query WHEN 'MX' THEN CASE WHEN page_id % 5 = 0 THEN NULL ELSE 15 END WHEN 'A' THEN CASE WHEN page_id % 10 = 0 THEN NULL ELSE 1 END ELSE 16 END END AS type,
+  CASE q.query WHEN 'MX' THEN CASE page_id % 4 WHEN 0 THEN '0 .' WHEN 1 THEN '10 ASPMX.l.google.com.' WHEN 2 THEN '5 x.mail.protection.outlook.com.' ELSE '10 mx.unknown.net.' END
+    WHEN 'A' THEN '93.184.216.34'
+    WHEN 'TXT' THEN CASE page_id % 4 WHEN 0 THEN concat(chr(34), 'v=spf1 +all', chr(34)) WHEN 1 THEN concat(chr(34), 'v=spf1 include:x ', chr(34), ' ', chr(34), '-all', chr(34)) WHEN 2 THEN 'v=spf1 all' ELSE 'other' END
+    ELSE CASE page_id % 3 WHEN 0 THEN 'v=DMARC1; p=Reject; pct=100' WHEN 1 THEN 'v=DMARC1; p=odd' ELSE 'nothing' END END AS data
+FROM {pages} CROSS JOIN (SELECT 'MX' AS query UNION ALL SELECT 'TXT' UNION ALL SELECT 'DMARC' UNION ALL SELECT 'A') q"""
+
+
+def view(sql: str, table: str):
+    """A reader of one projection."""
+
+    def read(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return spark.sql(sql, **tables(spark, sf_dir, table))
+
+    return read
+
+
+addresses = view(ADDRESSES, "documents")
+email_text = view(EMAIL_TEXT, "documents")
+mail = view(MAIL, "documents")
+dns_answers = view(DNS_ANSWERS, "pages")

@@ -135,7 +135,10 @@ def _jump_emitted(placed: DataFrame, sized: DataFrame, keys: list[str], width: i
 
 
 def cooldown(df: DataFrame, keys: list[str], place: list[str], seconds: int = V.COOLDOWN_SECONDS, ts: str = "ts") -> DataFrame:
-    """Mark each row ``emitted``: first row (by ``place``) of an emitted instant of its key."""
+    """Mark each row ``emitted``: first row (by ``place``) of an emitted instant of its key.
+
+    The rows are read several times: pass a table or a frame whose lineage was cut.
+    """
     instant = F.unix_micros(F.col(ts))
     emitted = cooldown_emitted(df, keys, seconds, ts)
     firsts = df.groupBy(*keys, instant.alias("_t")).agg(F.min(F.struct(*place)).alias("_p"))
@@ -157,7 +160,7 @@ def suppress(events: DataFrame, seconds: int = V.COOLDOWN_SECONDS) -> DataFrame:
         .select("*", F.posexplode("findings").alias("_pos", "_f"))
         .select("host", "seq", "ts", "_pos", finding_fingerprint(F.col("_f.rule_id")).alias("fingerprint"))
     )
-    marked = cooldown(long, ["host", "fingerprint"], ["seq", "_pos"], seconds)
+    marked = cooldown(cut_lineage(long), ["host", "fingerprint"], ["seq", "_pos"], seconds)
     kept = marked.groupBy("host", "seq").agg(
         F.collect_set(F.when(F.col("emitted"), F.col("_pos"))).alias("_kept"),
         F.count_if(~F.col("emitted")).alias("_dropped"),
