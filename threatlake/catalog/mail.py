@@ -209,7 +209,7 @@ def mail_model_text(spark, sf):
 
 _DNS = f"dns AS ({X.DNS_ANSWERS.format(pages='pages')})"
 _FACTS = f"""{_DNS}, facts AS (SELECT domain, bool_or(status = 3) FILTER (query = 'MX') AS nxdomain, bool_or(query = 'MX' AND type = 15 AND data <> '0 .') AS has_mx, bool_or(query = 'MX' AND type = 15) AND NOT bool_or(query = 'MX' AND type = 15 AND data <> '0 .') AS null_mx,
-  bool_or(query = 'A' AND type = 1) AS resolves, bool_or(query = 'TXT' AND status <> 2 AND type = 16 AND contains(data, 'v=spf1')) FILTER (query = 'TXT' AND status <> 2) AS has_spf,
+  bool_or(query = 'A' AND type = 1) AS resolves, bool_or(coalesce(type = 16, false) AND contains(data, 'v=spf1')) FILTER (query = 'TXT' AND status <> 2) AS has_spf,
   max(CASE WHEN query = 'TXT' AND status = 0 THEN CASE WHEN contains(data, '+all') THEN '+all' WHEN contains(data, '-all') THEN '-all' WHEN data = 'v=spf1 all' THEN '+all' END END) AS spf_all,
   bool_or(query = 'DMARC' AND status = 0 AND data LIKE 'v=DMARC1%') AS has_dmarc, max(CASE WHEN query = 'DMARC' AND status = 0 AND data LIKE '%p=Reject%' THEN 'reject' END) AS dmarc_policy,
   max(CASE WHEN query = 'MX' AND type = 15 THEN CASE WHEN contains(data, 'google') THEN 'Google Workspace / Gmail' WHEN contains(data, 'outlook') THEN 'Microsoft 365 / Outlook' END END) AS provider FROM dns GROUP BY domain),
@@ -280,7 +280,7 @@ def domain_enrich(spark, sf):
     return out.select("seq", F.col("name").alias("domain"), blank("mail_provider").alias("provider"), F.col("has_mx").isNotNull().alias("known"))
 
 
-@query("rdap_service", f"WITH {O.PARTS} SELECT DISTINCT host AS domain, CASE WHEN host LIKE '%.example.com' THEN 'https://special.test/' WHEN host LIKE '%.com' THEN 'https://com.test/' ELSE 'https://org.test/' END AS base FROM p3 WHERE url_valid AND (host LIKE '%.com' OR host LIKE '%.org')")
+@query("rdap_service", f"WITH {O.PARTS} SELECT DISTINCT host AS domain, CASE WHEN host = 'example.com' OR host LIKE '%.example.com' THEN 'https://special.test/' WHEN host LIKE '%.com' THEN 'https://com.test/' ELSE 'https://org.test/' END AS base FROM p3 WHERE url_valid AND (host LIKE '%.com' OR host LIKE '%.org')")
 def rdap_service(spark, sf):
     boot = spark.createDataFrame([("com", ["http://plain.test/", "https://com.test/"], 0), ("ORG", ["https://org.test/"], 1), ("example.com", ["https://special.test/"], 2), ("net", ["http://only.test/"], 3)], "ending string, urls array<string>, pos int")
     hosts = U.with_url_parts(X.urls(spark, sf)).where("url_valid").select(F.col("host").alias("domain"))

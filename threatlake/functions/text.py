@@ -24,6 +24,18 @@ def let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))
 
 
+def staged(df, columns: dict):
+    """Add columns through a one-row generator instead of a projection.
+
+    Planning cost, not run time: a projection's aliases become constraints that the optimizer
+    substitutes into each other above every join, which explodes for long expressions. A generator's
+    output carries none, and each value is computed once per row.
+    """
+    kept = [c for c in df.columns if c not in columns]
+    row = F.struct(*[expr.alias(name) for name, expr in columns.items()])
+    return df.select(*kept, F.inline(F.array(row)))
+
+
 def first_truthy(*cols: Column | str) -> Column:
     """``a or b or c`` over strings: empty strings are skipped as well as nulls."""
     return F.coalesce(*[F.nullif(as_col(c), F.lit("")) for c in cols])

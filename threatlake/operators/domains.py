@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from threatlake.functions.text import staged
 from threatlake.sources.suffixes import EXCEPTION, RULE, WILDCARD, deeper_table, max_labels, suffix_table
 
 IPV4 = r"^(\d{1,3}\.){3}\d{1,3}\z"
@@ -25,9 +26,8 @@ def with_registrable(df: DataFrame, host: str, out: str = "registrable", suffix_
     stay where they are. A host that is itself a suffix, or an address, stands for itself.
     """
     spark = df.sparkSession
-    df = df.withColumn("__h", clean_host(F.col(host)))
-    labels = F.size(F.split(F.col("__h"), r"\."))
-    df = df.withColumn("__n", labels)
+    name = clean_host(F.col(host))
+    df = staged(df, {"__h": name, "__n": F.size(F.split(name, r"\."))})
     table = F.broadcast(suffix_table(spark))
     depth = max_labels()
     for k in range(1, depth + 1):
