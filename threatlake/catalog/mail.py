@@ -464,14 +464,6 @@ def stream_findings(spark, sf):
     return as_long(_drain(out.select("seq", "event_type", rule_ids("findings").alias("rules"), "score"), spark))
 
 
-@query("stream_cooldown")
-def stream_cooldown(spark, sf):
-    from threatlake.sources.feeds import load_feeds
-    from threatlake.streaming import operators as ST
-
-    return as_long(_drain(ST.stream_cooldown(ST.stream_findings(_stream(spark, sf), load_feeds(spark)), 86400), spark).select("seq", "pos", "emitted"))
-
-
 @query("stream_conn_stats", f"WITH {E.O.TELE}, {E.O.GEN}, {E.O.STATS} SELECT seq, connection_count, unique_destinations FROM net")
 def stream_conn_stats(spark, sf):
     from threatlake.streaming import operators as ST
