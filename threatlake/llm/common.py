@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from threatlake.session import ensure_checkpoint_dir
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = (1 << 20) - 1
 U64 = np.uint64
 
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from threatlake.catalog.registry import Catalog
-from threatlake.llm import token_counts, token_files
+from threatlake.llm import check_sql, jaccard_join, subword_quality, token_counts, token_files
 from threatlake.llm.common import shared_path, table
 
 catalog = Catalog()
@@ -24,3 +24,13 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
 @query("op2_token_files")
 def op2(spark: SparkSession, sf: str) -> DataFrame:
     return token_files.encode_round_trip(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op8_subword_quality")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    return subword_quality.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query("op10_jaccard_join", check_sql.JACCARD_COMPONENTS)
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf, "documents"))
