@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from threatlake.catalog.registry import Catalog
-from threatlake.llm import check_sql, jaccard_join, subword_quality, token_counts, token_files
-from threatlake.llm.common import shared_path, table
+from threatlake.llm import (
+    check_sql, cube_mix, hilbert_shards, jaccard_join, subword_quality, token_counts, token_files,
+)
+from threatlake.llm.common import shared_path, table, text_of
 
 catalog = Catalog()
 query = catalog.query
@@ -34,3 +36,18 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
 @query("op10_jaccard_join", check_sql.JACCARD_COMPONENTS)
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf, "documents"))
+
+
+@query("op6_hilbert_shards")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    """Law: bytes. The curve runs over language, source and size."""
+    dimensions = {
+        "lang": F.col("lang").cast("string"), "source": F.col("source").cast("string"),
+        "magnitude": F.floor(8 * F.log2(F.octet_length(text_of()) + 1)).cast("int"),
+    }
+    return hilbert_shards.shard_documents(table(spark, sf, "documents"), dimensions)
+
+
+@query("op7_cube_mix")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    return cube_mix.mix(table(spark, sf, "documents")).drop("copies")

@@ -81,7 +81,8 @@ def fill_cache(docs: DataFrame, cache_path: str, tokenizer_path: str) -> None:
     version = tokenizer_digest(tokenizer_path)
     texts = docs.select(text_of().alias("text")).withColumn("digest", content_digest(F.col("text")))
     cached = read_cache(docs.sparkSession, cache_path, version)
-    misses = texts.join(cached, "digest", "left_anti").groupBy("digest").agg(F.first("text").alias("text"))
+    distinct = texts.groupBy("digest").agg(F.first("text").alias("text"))  # before the join: copies meet in their own task first
+    misses = distinct.join(cached, "digest", "left_anti")
     counted = misses.mapInArrow(partial(_count, path=tokenizer_path), "digest binary, n_tokens long")
     counted.withColumn("tokenizer", F.lit(version)).write.mode("append").partitionBy("tokenizer").parquet(cache_path)
 
