@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from threatlake.catalog.registry import Catalog
 from threatlake.llm import (
-    check_sql, cube_mix, hilbert_shards, jaccard_join, subword_quality, token_counts, token_files,
+    check_sql, cube_mix, hilbert_shards, html_density, jaccard_join, subword_quality, token_counts, token_files,
 )
 from threatlake.llm.common import shared_path, table, text_of
 
@@ -51,3 +51,8 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
 @query("op7_cube_mix")
 def op7(spark: SparkSession, sf: str) -> DataFrame:
     return cube_mix.mix(table(spark, sf, "documents")).drop("copies")
+
+
+@query("op3_html_density")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    return html_density.extract_main_text(table(spark, sf, "pages"))
