@@ -19,3 +19,24 @@ reach(a, b) AS (SELECT a, b FROM ways UNION SELECT r.a, e.b FROM reach r JOIN wa
 SELECT doc_id, len(s) AS n_shingles, least(doc_id, coalesce((SELECT min(b) FROM reach WHERE a = doc_id), doc_id)) AS component_id
 FROM sets
 """
+
+_LOWERED = r"""regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+')"""
+
+#: Similarity of every window that starts at a shared shingle, counted from the shared shingles. Items of five words or more.
+DECONTAMINATION = f"""
+WITH dw AS (SELECT doc_id, {_LOWERED} AS w FROM documents),
+iw AS (SELECT item_id, {_LOWERED} AS w FROM benchmark),
+dg AS (SELECT doc_id, len(w) AS total, unnest(range(0, len(w) - 4)) AS pos,
+    unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) AS g FROM dw),
+ig AS (SELECT item_id, n, g, count(*) AS c FROM (SELECT item_id, len(w) AS n,
+    unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) AS g FROM iw) GROUP BY ALL),
+hits AS (SELECT doc_id, item_id, n, total, least(n, total) AS m, pos, g, c FROM dg JOIN ig USING (g)),
+starts AS (SELECT DISTINCT doc_id, item_id, least(pos, total - m) AS start FROM hits),
+inside AS (SELECT doc_id, item_id, start, n, m, g, least(count(*), any_value(c)) AS common
+    FROM starts JOIN hits USING (doc_id, item_id) WHERE pos BETWEEN start AND start + m - 5 GROUP BY ALL),
+held AS (SELECT DISTINCT doc_id, item_id FROM (SELECT doc_id, item_id, start, n, m, sum(common) AS s FROM inside GROUP BY ALL)
+    WHERE 4 * s >= 3 * (m + n - 8 - s)),
+items AS (SELECT doc_id, count(*) AS n_items, min(item_id) AS first_item, string_agg(item_id, ',' ORDER BY item_id) AS item_ids FROM held GROUP BY ALL)
+SELECT doc_id, n_items IS NOT NULL AS contaminated, coalesce(n_items, 0) AS n_items, first_item, coalesce(item_ids, '') AS item_ids
+FROM documents LEFT JOIN items USING (doc_id)
+"""

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from threatlake.catalog.registry import Catalog
 from threatlake.llm import (
-    check_sql, cube_mix, hilbert_shards, html_density, jaccard_join, subword_quality, token_counts, token_files,
+    check_sql, cube_mix, decontaminate, hilbert_shards, html_density, jaccard_join, subword_quality, token_counts, token_files,
 )
 from threatlake.llm.common import shared_path, table, text_of
 
@@ -33,6 +33,11 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
     return subword_quality.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
+@query("op9_simhash_decontamination", check_sql.DECONTAMINATION)
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 @query("op10_jaccard_join", check_sql.JACCARD_COMPONENTS)
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf, "documents"))
