@@ -10,9 +10,10 @@ sum of the overlaps of their segments, each counted in its fragment alone.
    document sends a little more than that to the fragments (``LEAD`` of it); what meets no other document there is known to be its own, and a
    document with too many of its own can't be similar to anything and leaves. The chunk sends an n-gram once,
    however many of its documents hold it, so a group of copies doesn't gather in a fragment.
-3. *Candidates.* Documents that meet at an n-gram are compared with its hub, the smallest of them. Only where that
-   leaves several components at one n-gram, pairs between different components follow. No pair inside a component is
-   needed, so a group of near copies costs its size and not its square.
+3. *Candidates.* Documents that meet at an n-gram are compared with its hub, one of them; the components this gives
+   are labels. N-grams held under one label and documents whose other n-grams can't make a similar pair under another
+   label leave. After some turns with other hubs, the pairs under different labels that still meet follow. No pair
+   inside a component is needed, so a group of near copies costs its size and not its square.
 4. *Partial overlaps.* Whole sets of the candidates are cut into segments; each fragment counts the overlap of every
    pair there, and the counts are summed per pair and compared, in integers, with the bound.
 
@@ -41,6 +42,8 @@ LEAD = 0.35
 #: An n-gram held by this part of the documents of some chunk, and by at least FREQUENT_LEAST of them, is frequent.
 FREQUENT, FREQUENT_LEAST = 0.002, 8
 CHUNK_GRAMS = 2_000_000
+#: Turns of comparing with hubs; fragments of the partial overlaps; partners of a document that go to one cell.
+HUB_TURNS, FRAGMENTS, PARTNERS = 3, 8, 2000
 
 
 def gram_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarray]:
@@ -222,32 +225,86 @@ def _meet(found: pa.Table) -> pa.Table:
     return pa.table([_signed(np.concatenate([g[direct], sg[met]])), pa.array(np.concatenate([d[direct], sd[met]]))], ["gram", "doc"])
 
 
+# --- 3: candidates --------------------------------------------------------------------------------------------------
+
+
+def open_rows(met: DataFrame, num: int, den: int) -> DataFrame:
+    """Of ``met(gram, doc, size, label)`` the rows of n-grams held under several labels and of documents that may be similar to one
+    under another label: the leading n-grams that a document shares with nobody else's label are lost to such a pair.
+    Dropping documents frees n-grams, so it is done twice."""
+    size = F.col("size")
+    lead = F.least(size, F.greatest(size - F.ceil(size * num / den) + 1, F.ceil(size * LEAD)))
+    for _ in range(2):
+        several = met.groupBy("gram").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low < _high")
+        met = met.join(stored(several.select("gram"), "open"), "gram")
+        foreign = met.groupBy("doc", "size").agg(F.count("*").alias("_met"))
+        kept = foreign.where(den * (size - lead + F.col("_met")) >= num * size).select("doc", (lead - F.col("_met")).alias("_own"))
+        met = stored(met.drop("_own").join(stored(kept, "kept"), "doc"), "met")
+    return met
+
+
+def _fits(num: int, den: int):
+    """Sizes alone rule out a pair when the larger set is too large."""
+    return den * F.least("size", "_size") >= num * F.greatest("size", "_size")
+
+
+def hub_pairs(met: DataFrame, turn: int, num: int, den: int) -> DataFrame:
+    """Pairs of each document with the hub of each of its n-grams, where their labels differ. First the hub is the document
+    with the least of its own, the likely original of a group of near copies; in later turns it is drawn by hash."""
+    rank = F.struct(F.col("_own") / F.col("size"), "doc") if turn == 0 else F.struct(F.xxhash64("doc", F.lit(turn)), "doc")
+    hubs = met.groupBy("gram").agg(F.min_by(F.struct("doc", "size", "label"), rank).alias("_hub"))
+    hubs = stored(hubs.select("gram", F.col("_hub.doc").alias("b"), F.col("_hub.size").alias("_size"), F.col("_hub.label").alias("_label")), "hubs")
+    pairs = met.join(hubs, "gram").where((F.col("label") != F.col("_label")) & _fits(num, den))
+    return pairs.select(F.col("doc").alias("a"), "b").distinct()
+
+
+def rest_pairs(met: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs under different labels that meet at an n-gram."""
+    other = met.select("gram", F.col("doc").alias("b"), F.col("label").alias("_label"), F.col("size").alias("_size"))
+    pairs = met.join(other, "gram").where((F.col("label") < F.col("_label")) & _fits(num, den))
+    return pairs.select(F.col("doc").alias("a"), "b").distinct()
+
+
 # --- 4: partial overlaps --------------------------------------------------------------------------------------------
 
 
-def _segments(batches: Iterator[pa.RecordBatch], n: int, fragments: int) -> Iterator[pa.RecordBatch]:
-    """Rows (fragment, doc, others, grams): a document's segment in each fragment, with the partners it is to be compared with."""
+def _whole(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """(doc, grams): whole sets."""
     for batch in batches:
-        ids, others = batch.column("doc_id"), batch.column("others").to_pylist()
         for first, data, offsets in text_blocks(batch.column("text")):
-            cols: tuple[list, list, list, list] = ([], [], [], [])
-            for i, s in enumerate(gram_sets(data, offsets, n)):
-                cuts = np.searchsorted(_fragment_of(s, fragments), np.arange(fragments + 1))
-                partners = np.array(others[first + i], np.int64).tobytes()
-                doc = ids[first + i].as_py()
+            sets = [s.tobytes() for s in gram_sets(data, offsets, n)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(sets)), pa.array(sets, pa.binary())], ["doc", "grams"])
+
+
+def _segments(batches: Iterator[pa.RecordBatch], groups: int) -> Iterator[pa.RecordBatch]:
+    """Rows (cell, doc, others, grams): a document's segment in each fragment, for each group of pairs it takes part in,
+    with the partners it is to be compared with there."""
+    for batch in batches:
+        cols: tuple[list, list, list, list] = ([], [], [], [])
+        for row in batch.to_pylist():
+            s = np.frombuffer(row["grams"], np.uint64)
+            cuts = np.searchsorted(_fragment_of(s, FRAGMENTS), np.arange(FRAGMENTS + 1))
+            for part in row["parts"]:
+                others = np.array(part["others"], np.int64).tobytes()
                 for f in np.flatnonzero(np.diff(cuts)).tolist():
-                    cols[0].append(f)
-                    cols[1].append(doc)
-                    cols[2].append(partners)
+                    cols[0].append(f * groups + part["pairs"])
+                    cols[1].append(row["doc"])
+                    cols[2].append(others)
                     cols[3].append(s[cuts[f] : cuts[f + 1]].tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())],
-                ["fragment", "doc", "others", "grams"],
-            )
+            if len(cols[0]) > 5000:
+                yield _cells(cols)
+                cols = ([], [], [], [])
+        if cols[0]:
+            yield _cells(cols)
+
+
+def _cells(cols) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["cell", "doc", "others", "grams"])
 
 
 def _overlaps(found: pa.Table) -> pa.Table:
-    """(a, b, shared) of the pairs of a fragment."""
+    """(a, b, shared) of the pairs of a cell."""
     docs = found.column("doc").to_numpy()
     segments = [np.frombuffer(x, np.uint64) for x in found.column("grams").to_pylist()]
     others = [np.frombuffer(x, np.int64) for x in found.column("others").to_pylist()]
@@ -270,15 +327,22 @@ def _overlaps(found: pa.Table) -> pa.Table:
     return pa.table([pa.array(docs[left[some]]), pa.array(b[some]), pa.array(shared[some])], ["a", "b", "shared"])
 
 
-def linked(docs: DataFrame, pairs: DataFrame, sizes: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """The pairs ``(a, b)`` of documents whose Jaccard similarity is at least ``num / den``."""
-    fragments = part_count(docs.sparkSession)
-    wanted = pairs.select(F.col("a").alias("doc_id"), F.col("b").alias("_other")).union(
-        pairs.select("b", F.lit(None).cast("long"))
-    ).groupBy("doc_id").agg(F.collect_set("_other").alias("others"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).join(wanted, "doc_id")
-    counts = texts.mapInArrow(partial(_segments, n=n, fragments=fragments), "fragment int, doc long, others binary, grams binary")
-    counts = counts.groupBy("fragment").applyInArrow(_overlaps, "a long, b long, shared long")
+def linked(pairs: DataFrame, sets: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs ``(a, b)`` whose Jaccard similarity is at least ``num / den``.
+
+    Pairs are grouped by ``b``, a ``b`` with many partners into several groups; a cell is a group in one of the
+    fragments. Each document goes to the cells of its pairs, and the overlaps of a pair's cells are summed."""
+    groups = part_count(pairs.sparkSession)
+    load = stored(pairs.groupBy("b").agg(F.ceil(F.count("*") / PARTNERS).alias("_split")), "load")
+    pairs = pairs.join(load, "b")
+    pairs = pairs.withColumn("pairs", F.pmod(F.xxhash64("b", F.pmod(F.xxhash64("a"), "_split")), F.lit(groups)).cast("int"))
+    sides = pairs.select(F.col("a").alias("doc"), "pairs", F.col("b").alias("_other")).union(
+        pairs.select("b", "pairs", F.lit(None).cast("long"))
+    )
+    parts = sides.groupBy("doc", "pairs").agg(F.collect_set("_other").alias("others"))
+    parts = parts.groupBy("doc").agg(F.collect_list(F.struct("pairs", "others")).alias("parts"))
+    cells = sets.join(parts, "doc").mapInArrow(partial(_segments, groups=groups), "cell int, doc long, others binary, grams binary")
+    counts = cells.groupBy("cell").applyInArrow(_overlaps, "a long, b long, shared long")
     total = counts.groupBy("a", "b").agg(F.sum("shared").alias("shared"))
     total = total.join(sizes.select(F.col("doc").alias("a"), F.col("size").alias("_a")), "a")
     total = total.join(sizes.select(F.col("doc").alias("b"), F.col("size").alias("_b")), "b")
@@ -310,40 +374,36 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 3, den: int = 4)
     )
     met = sent.groupBy("fragment").applyInArrow(_meet, "gram long, doc long")
     met = met.withColumnRenamed("doc", "doc_id").join(heads, "doc_id").groupBy("gram", "doc").agg(F.max("size").alias("size"))
-    met = stored(met, "met")
-    met = alive(met, num, den)
-
-    hubs = stored(met.groupBy("gram").agg(F.min("doc").alias("hub"), F.min_by("size", "doc").alias("_size"), F.count("*").alias("_n")).where("_n > 1"), "hubs")
-    fits = den * F.least("size", "_size") >= num * F.greatest("size", "_size")
-    pairs = met.join(hubs, "gram").where((F.col("doc") != F.col("hub")) & fits)
-    pairs = stored(pairs.select(F.col("doc").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
-    links = stored(linked(docs, pairs, sizes, n, num, den), "links")
-    labels = components(links)
-
-    # pairs between different components that still meet at an n-gram
-    label = labels.select(F.col("node").alias("doc"), F.col("component").alias("_label"))
-    met = stored(met.join(label, "doc", "left").withColumn("label", F.coalesce("_label", "doc")).drop("_label"), "met")
-    open_ = met.groupBy("gram").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low < _high")
-    open_ = stored(met.join(stored(open_.select("gram"), "open"), "gram"), "open")
-    other = open_.select("gram", F.col("doc").alias("b"), F.col("label").alias("_label"), F.col("size").alias("_size"))
-    rest = open_.join(other, "gram").where((F.col("label") < F.col("_label")) & fits)
-    rest = rest.select(F.greatest("doc", "b").alias("a"), F.least("doc", "b").alias("b")).distinct()
-    rest = stored(rest.join(pairs, ["a", "b"], "left_anti"), "pairs")
-    if not rest.isEmpty():
-        links = links.union(linked(docs, rest, sizes, n, num, den))
+    met = open_rows(stored(met.withColumn("label", F.col("doc")), "met"), num, den)
+    candidates = met.select(F.col("doc").alias("doc_id")).distinct()
+    sets = stored(texts.join(stored(candidates, "candidates"), "doc_id").mapInArrow(partial(_whole, n=n), "doc long, grams binary"), "grams")
+
+    links = tested = labels = None
+    for turn in range(HUB_TURNS + 1):
+        pairs = hub_pairs(met, turn, num, den) if turn < HUB_TURNS else rest_pairs(met, num, den)
+        if tested is not None:
+            either = tested.union(tested.select("b", "a"))
+            pairs = pairs.join(either, ["a", "b"], "left_anti")
+        pairs = stored(pairs, "pairs")
+        if pairs.isEmpty():
+            continue
+        found = stored(linked(pairs, sets, sizes, num, den), "links")
+        links = found if links is None else links.union(found)
+        tested = pairs if tested is None else tested.union(pairs)
         labels = components(links)
-
-    label = labels.select(F.col("node").alias("doc"), "component")
-    named = stored(classes.join(label, "doc", "left").select("digest", F.coalesce("component", "doc").alias("_component")), "named")
-    out = rows.withColumn("_key", F.when(F.col("doc_id").isNotNull() & (F.col("size") > 0), F.col("digest")))
-    out = out.join(named, F.col("_key") == named["digest"], "left")
+        if turn < HUB_TURNS:
+            label = labels.select(F.col("node").alias("doc"), F.col("component").alias("_label"))
+            met = met.join(label, "doc", "left").withColumn("label", F.coalesce("_label", "doc")).drop("_label")
+            met = open_rows(met, num, den)
+            if met.isEmpty():
+                break
+
+    if labels is None:
+        named = classes.select("digest", F.col("doc").alias("_component"))
+    else:
+        label = labels.select(F.col("node").alias("doc"), "component")
+        named = classes.join(label, "doc", "left").select("digest", F.coalesce("component", "doc").alias("_component"))
+    named = stored(named.withColumnRenamed("digest", "_digest"), "named")
+    key = F.when(F.col("doc_id").isNotNull() & (F.col("size") > 0), F.col("digest"))
+    out = rows.join(named, key == F.col("_digest"), "left")
     return out.select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("_component", "doc_id").alias("component_id"))
-
-
-def alive(met: DataFrame, num: int, den: int) -> DataFrame:
-    """Rows of documents that may still have a partner: of its leading n-grams, those that met nobody are its own, and
-    no partner can share them."""
-    lead = F.least(F.col("size"), F.greatest(F.col("size") - F.ceil(F.col("size") * num / den) + 1, F.ceil(F.col("size") * LEAD)))
-    counts = met.groupBy("doc", "size").agg(F.count("*").alias("_met"))
-    kept = counts.where(den * (F.col("size") - (lead - F.col("_met"))) >= num * F.col("size")).select("doc")
-    return stored(met.join(kept, "doc", "left_semi"), "alive")

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from threatlake.catalog.registry import Catalog
 from threatlake.llm import (
-    check_sql, cube_mix, decontaminate, hilbert_shards, html_density, jaccard_join, subword_quality, token_counts, token_files,
+    check_sql, cube_mix, decontaminate, hilbert_shards, html_density, jaccard_join, repeats, subword_quality, token_counts, token_files,
 )
 from threatlake.llm.common import shared_path, table, text_of
 
@@ -43,6 +43,11 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf, "documents"))
 
 
+@query("op5_bwt_repeats")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf, "documents"))
+
+
 @query("op6_hilbert_shards")
 def op6(spark: SparkSession, sf: str) -> DataFrame:
     """Law: bytes. The curve runs over language, source and size."""
