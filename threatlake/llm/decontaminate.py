@@ -103,15 +103,15 @@ def shared_windows(docs: DataFrame, shingles: DataFrame, length: int, num: int,
     )
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, num: int = 3, den: int = 4) -> DataFrame:
-    """``doc_id, contaminated, n_items, first_item, item_ids`` of every row of ``docs``; ``item_ids`` lists the items
-    held, in order. ``num / den`` is the similarity."""
+def held_items(docs: DataFrame, benchmark: DataFrame, num: int = 3, den: int = 4) -> DataFrame | None:
+    """``k1, k2, _items``: the items, in order, that the documents with these keys hold; None without items.
+    ``num / den`` is the similarity."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words_of(text_of()).alias("words"))
     items = items.where("item_id IS NOT NULL AND size(words) > 0").withColumn("n", F.size("words"))
     items = stored(items.withColumn("length", F.least("n", F.lit(SHINGLE))), "items")
     lengths = sorted(r[0] for r in items.select("length").distinct().collect())  # SHINGLE values at most
     if not lengths:
-        return docs.select("doc_id", F.lit(False).alias("contaminated"), F.lit(0).cast("long").alias("n_items"), F.lit(None).cast("long").alias("first_item"), F.lit("").alias("item_ids"))
+        return None
     of_length = [
         items.where(F.col("length") == k).select("item_id", "n", "length", F.explode(shingles_of(F.col("words"), k)).alias("h"))
         for k in lengths
@@ -141,10 +141,30 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, num: int = 3, den: int =
     shared = both.groupBy(*window, "item_id").agg(F.sum(F.least("c", "_c")).alias("_shared"))
     sizes = F.col("m") + F.col("n") - 2 * F.col("length") + 2
     held = shared.where(den * F.col("_shared") >= num * (sizes - F.col("_shared"))).select(*KEY, "item_id").distinct()
-    held = stored(held.groupBy(*KEY).agg(F.sort_array(F.collect_list("item_id")).alias("_items")), "held")
-    rows = _keyed(docs).select("doc_id", *KEY).join(held, KEY, "left")
+    return stored(held.groupBy(*KEY).agg(F.sort_array(F.collect_list("item_id")).alias("_items")), "held")
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``doc_id, contaminated, n_items, first_item, item_ids`` of every row of ``docs``; ``item_ids`` lists the items
+    held, in order."""
+    held, rows = held_items(docs, benchmark), _keyed(docs).select("doc_id", *KEY)
+    if held is None:
+        rows = rows.withColumn("_items", F.lit(None).cast("array<bigint>"))
+    else:
+        rows = rows.join(held, KEY, "left")
     return rows.select(
         "doc_id", F.col("_items").isNotNull().alias("contaminated"),
         F.coalesce(F.size("_items"), F.lit(0)).cast("long").alias("n_items"), F.get("_items", F.lit(0)).alias("first_item"),
         F.coalesce(F.array_join(F.col("_items").cast("array<string>"), ","), F.lit("")).alias("item_ids"),
     )
+
+
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that hold no item, with their columns."""
+    held = held_items(docs, benchmark)
+    if held is None:
+        return docs
+    keys = held.select(F.col("k1").alias("_held1"), F.col("k2").alias("_held2"))
+    rows = docs.withColumns({"_key1": F.xxhash64("doc_id", text_of()), "_key2": F.xxhash64(F.lit(1), text_of(), "doc_id")})
+    rows = rows.join(keys, (F.col("_key1") == F.col("_held1")) & (F.col("_key2") == F.col("_held2")), "left_anti")
+    return rows.select(*docs.columns)

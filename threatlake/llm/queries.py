@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from threatlake.catalog.registry import Catalog
 from threatlake.llm import (
-    check_sql, cube_mix, decontaminate, hilbert_shards, html_density, jaccard_join, repeats, subword_quality, token_counts, token_files,
+    check_sql, cube_mix, decontaminate, hilbert_shards, html_density, jaccard_join, pivot_search, repeats, subword_quality, token_counts, token_files,
 )
 from threatlake.llm.common import shared_path, table, text_of
 
@@ -43,6 +43,11 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf, "documents"))
 
 
+@query("op4_pivot_search", check_sql.INNER_PRODUCTS)
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    return pivot_search.search(table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 @query("op5_bwt_repeats")
 def op5(spark: SparkSession, sf: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf, "documents"))
@@ -66,3 +71,10 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
 @query("op3_html_density")
 def op3(spark: SparkSession, sf: str) -> DataFrame:
     return html_density.extract_main_text(table(spark, sf, "pages"))
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf)

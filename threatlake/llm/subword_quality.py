@@ -22,7 +22,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from threatlake.llm.common import PLACE, U64, expand, mixed, prefix_hash, span_hash, text_blocks, text_of, word_spans
 
@@ -130,25 +130,30 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows:
     return descend([(np.frombuffer(r[2], np.uint16).astype(np.int64), np.frombuffer(r[3], np.float32)) for r in rows], y)
 
 
-def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], model, names: list[str]) -> Iterator[pa.RecordBatch]:
     numbers, bias = model.value
     for batch in batches:
         scores = np.zeros(batch.num_rows)
-        for first, data, offsets in text_blocks(batch.column("_text")):
+        for first, data, offsets in text_blocks(batch.column(batch.num_columns - 1)):
             feature, whose = features(data, offsets)
             n = len(offsets) - 1
             total = np.bincount(whose, numbers[feature], n) / np.bincount(whose, minlength=n)
             scores[first : first + n] = 1 / (1 + np.exp(-np.clip(total + bias, -700, 700)))
-        kept = [c for c in batch.schema.names if c != "_text"]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(scores)], [*kept, "score"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[: len(names) - 1], pa.array(scores)], names)
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float], keep: list[str]) -> DataFrame:
-    """Columns ``keep`` of ``docs`` with ``score`` (0 to 1). The model has a fixed size: BUCKETS numbers."""
+def score(docs: DataFrame, model: tuple[np.ndarray, float], keep: list[str], name: str = "score") -> DataFrame:
+    """Columns ``keep`` of ``docs`` and the score (0 to 1). The model has a fixed size: BUCKETS numbers."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*keep, text_of().alias("_text"))
-    schema = docs.select(*keep).schema.add("score", "double")
-    return rows.mapInArrow(partial(_score, model=held), schema)
+    kept = docs.select(*keep)
+    rows = kept if keep[-1:] == ["text"] else docs.select(*keep, text_of().alias("_text"))
+    return rows.mapInArrow(partial(_score, model=held, names=[*keep, name]), T.StructType([*kept.schema.fields, T.StructField(name, T.DoubleType())]))
+
+
+def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are predicted 1, with their columns."""
+    keep = [*(c for c in docs.columns if c != "text"), "text"]
+    return score(docs, train(docs, labels), keep, "_quality_score").where(F.col("_quality_score") >= THRESHOLD).select(*docs.columns)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
