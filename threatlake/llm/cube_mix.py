@@ -21,8 +21,6 @@ input are ignored; no documents give no rows.
 
 from __future__ import annotations
 
-from functools import partial
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
@@ -102,12 +100,17 @@ def land(size: np.ndarray, p: np.ndarray) -> np.ndarray:
     return p
 
 
-def _fly(rows: pd.DataFrame, seed: int, last: bool) -> pd.DataFrame:
-    rows = rows.sort_values(["size", "_order", "doc_id"], kind="stable")
-    rng = np.random.Generator(np.random.PCG64([seed, int(rows["block"].iloc[0]), len(rows), int(rows["size"].iloc[0])]))
-    size = rows["size"].to_numpy()
-    p = flight(size, rows["p"].to_numpy(), rng, LANDING if last else 2)
-    return rows.assign(p=land(size, p) if last else p)
+def _fly(seed: int, last: bool):
+    """The moves of one block; in the ``last`` round the landing too."""
+
+    def block(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["size", "_order", "doc_id"], kind="stable")
+        rng = np.random.Generator(np.random.PCG64([seed, int(rows["block"].iloc[0]), len(rows), int(rows["size"].iloc[0])]))
+        size = rows["size"].to_numpy()
+        p = flight(size, rows["p"].to_numpy(), rng, LANDING if last else 2)
+        return rows.assign(p=land(size, p) if last else p)
+
+    return block
 
 
 def mix(docs: DataFrame, seed: int = 11) -> DataFrame:
@@ -124,7 +127,7 @@ def mix(docs: DataFrame, seed: int = 11) -> DataFrame:
     while True:
         blocks = F.ceil(F.col("units") / BLOCK)
         open_ = open_.withColumn("block", F.pmod("_order", blocks))
-        flown = open_.groupBy("source", "block").applyInPandas(partial(_fly, seed=seed, last=most <= BLOCK), open_.schema)
+        flown = open_.groupBy("source", "block").applyInPandas(_fly(seed, most <= BLOCK), open_.schema)
         flown = stored(flown.drop("block"), "flown")
         decided = flown.where("p = 0 OR p = 1")
         done = decided if done is None else done.unionByName(decided)

@@ -263,10 +263,15 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _id():
+    """Ids as keys of joins: a null id is a value of its own."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id")
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``doc_id, text_hash, a, b``: spans of bytes of repeated windows, overlapping ones included."""
+    """``doc_id, text_hash, a, b``: spans of bytes of repeated windows, overlapping ones included. A null id shows as the least number."""
     spark = docs.sparkSession
-    texts = docs.select("doc_id", text_of().alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    texts = docs.select(_id(), text_of().alias("text")).withColumn("text_hash", F.xxhash64("text"))
     found = stored(texts.select(*KEY, "text").mapInArrow(partial(_segments, length=length), SEGMENTS), "segments")
     kind = F.struct("segment", "windows")
     anchors = found.groupBy("anchor").agg(F.count("*").alias("_n"), F.min(kind).alias("_low"), F.max(kind).alias("_high"))
@@ -309,9 +314,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every row of ``docs``."""
     spans = repeated_spans(docs, length).groupBy(*KEY).agg(F.collect_set(F.struct("a", "b")).alias("spans"))
-    spans = stored(spans.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "spans"), "spans")
-    rows = docs.select("doc_id", text_of().alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    rows = rows.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left")
-    return rows.select("doc_id", "text", "spans").mapInArrow(
+    spans = stored(spans, "spans")
+    rows = docs.select(F.col("doc_id").alias("_given"), _id(), text_of().alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    rows = rows.join(spans, KEY, "left").select(F.col("_given").alias("doc_id"), "text", "spans")
+    return rows.mapInArrow(
         _remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     )
