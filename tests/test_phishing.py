@@ -1,5 +1,6 @@
 """URLs, messages, addresses and headers on known examples."""
 
+import hashlib
 import re
 
 import pytest
@@ -13,7 +14,8 @@ from threatlake.operators.emails import assess_emails, extract_emails
 from threatlake.operators.headers import header_risk
 from threatlake.operators.text import scan_text
 from threatlake.operators.urls import scan_urls
-from threatlake.sources.mail import parse_mail, parse_messages
+from threatlake.operators.headers import mail_links
+from threatlake.sources.mail import parse_messages, read_mail
 
 URLS = {
     "https://www.google.com": (None, 0),
@@ -118,7 +120,73 @@ def test_headers(spark):
 @pytest.mark.parametrize("raw, error", [
     ("From: a@b.co\nContent-Type: application/octet-stream\nContent-Transfer-Encoding: base64\n\nnot base64!", "invalid base64 data"),
     ("From: a@b.co\nContent-Type: multipart/mixed\n\nx", "missing MIME boundary"),
-    ("From: a@b.co\n\n" + "x" * 1_000_000, "message too large"),
+    ("From: a@b.co\n\n" + "x" * 1_200_000, None),
 ])
-def test_broken_mail(raw, error):
-    assert parse_mail(raw)["error"] == error
+def test_broken_and_long_mail(spark, raw, error):
+    row = parse_messages(spark.createDataFrame([(1, raw)], "msg_id long, raw string")).first()
+    assert row.error == error and (error or len(row.plain_text) == 1_200_000)
+
+
+NESTED = """From: a@b.co\r
+Content-Type: multipart/mixed;\r
+ boundary="out er"\r
+\r
+preamble\r
+--out er\r
+Content-Type: multipart/alternative; boundary=inner\r
+\r
+--inner\r
+Content-Type: text/plain; charset=iso-8859-1\r
+Content-Transfer-Encoding: quoted-printable\r
+\r
+caf=E9 =3D soft=\r
+ break\r
+--inner\r
+Content-Type: text/html\r
+\r
+<p>hi</p>\r
+--inner--\r
+--out er  \r
+Content-Type: application/pdf; name="a \\"b\\".PDF"\r
+Content-Transfer-Encoding: base64\r
+\r
+YQ\r
+--out er\r
+\r
+no headers\r
+--out er--\r
+epilogue\r
+"""
+
+
+def test_nested_mail(spark):
+    row = parse_messages(spark.createDataFrame([(1, NESTED)], "msg_id long, raw string")).first()
+    assert row.error is None
+    assert row.plain_text == "café = soft break\nno headers" and row.html == "<p>hi</p>"
+    (found,) = row.attachments
+    assert (found.filename, found.extension, found.mime_type, found.size) == ('a "b".PDF', "pdf", "application/pdf", 1)
+    assert found.sha256 == hashlib.sha256(b"a").hexdigest()
+
+
+def test_mail_files(spark, tmp_path):
+    (tmp_path / "one.eml").write_bytes(NESTED.encode())
+    (row,) = parse_messages(read_mail(spark, str(tmp_path))).collect()
+    assert row.msg_id.endswith("one.eml") and row.html == "<p>hi</p>"
+
+
+def test_links_are_compared_in_normal_form(spark):
+    html = (
+        '<a href="https://example.com">https://example.com/</a><a href="HTTPS://Example.com:443/a">https://example.com/a</a>'
+        '<a href="https://example.com/a">other text</a><a href="https://evil.test/">https://example.com/</a>'
+    )
+    mail = spark.createDataFrame([(1, "From: a@b.co\nContent-Type: text/html\n\n" + html)], "msg_id long, raw string")
+    rows = [r for r in mail_links(parse_messages(mail)).collect() if r.source == "href"]
+    assert {r.url: r.mismatch for r in rows} == {"https://example.com/": False, "https://example.com/a": False, "https://evil.test/": True}
+
+
+def test_whole_messages_are_read(spark):
+    late = "x " * 15_000 + "Your account is suspended, verify now. Call 1800 123 4567 urgently!!!"
+    links = " ".join(f"https://site{i}.example.com/" for i in range(10)) + " http://paypa1.com@192.168.0.1/login"
+    df = spark.createDataFrame([(1, late), (2, links)], "id long, text string")
+    found = {r.id: r for r in scan_text(df, "id").select("id", signal_ids("signals").alias("ids"), "level").collect()}
+    assert "exclamation-spam" in found[1].ids and "risky-link" in found[2].ids

@@ -186,10 +186,10 @@ MAIL = f"""SELECT doc_id AS msg_id, concat('From: "News Desk" <news@', {SENDER},
   'Subject: Note ', CAST(doc_id AS STRING), {_CRLF}, 'Received: from a.example ([10.1.2.3]) by b.example (8.8.8.8, 300.1.1.1)', {_CRLF}, 'Received: from [IPv6:2001:DB8::1] by c', {_CRLF},
   'Authentication-Results: mx.test; spf=', {SPF}, ' smtp.mailfrom=', {CLAIMED}, ';', {_CRLF}, ' dkim=', {DKIM}, ' header.d=', {SENDER}, '; dmarc=', {DMARC}, ' header.from=', {SENDER}, {_CRLF},
   CASE WHEN doc_id % 4 = 0 THEN concat('Received-SPF: softfail (mx.two: not permitted) envelope-from=x@', {CLAIMED}, chr(13), chr(10)) ELSE '' END,
-  CASE WHEN doc_id % 3 = 0 THEN concat('Content-Type: multipart/mixed; boundary="b1"', {_CRLF}, {_CRLF}, '--b1', {_CRLF}, 'Content-Type: text/plain; charset=utf-8', {_CRLF}, {_CRLF}, 'See https://www.', {SENDER}, '/a.', {_CRLF}, substring(text, 1, 300), {_CRLF},
+  CASE WHEN doc_id % 3 = 0 THEN concat('Content-Type: multipart/mixed; boundary="b1"', {_CRLF}, {_CRLF}, '--b1', {_CRLF}, 'Content-Type: text/plain; charset=utf-8', {_CRLF}, {_CRLF}, 'See https://www.', {SENDER}, '/a.', {_CRLF}, text, {_CRLF},
     '--b1', {_CRLF}, 'Content-Type: application/pdf; name="f', CAST(doc_id % 7 AS STRING), '.pdf"', {_CRLF}, 'Content-Transfer-Encoding: base64', {_CRLF}, {_CRLF}, CASE WHEN doc_id % 9 = 0 THEN 'not base64!' ELSE 'UERGREFUQQ==' END, {_CRLF}, '--b1--', {_CRLF})
   WHEN doc_id % 3 = 1 THEN concat('Content-Type: text/html', {_CRLF}, {_CRLF}, '<p hidden>secret</p><a href="https://bit.ly/', CAST(doc_id AS STRING), '">https://example.com/pay</a><img src="https://img.example.org/x.png"><form action="https://evil.example.net/f" method="POST"></form>')
-  ELSE concat({_CRLF}, substring(text, 1, 400), ' https://www.', {SENDER}, '/b,') END) AS raw FROM {{documents}}"""
+  ELSE concat({_CRLF}, text, ' https://www.', {SENDER}, '/b,') END) AS raw FROM {{documents}}"""
 
 DNS_ANSWERS = """SELECT concat('d', CAST(page_id AS STRING), '.example.com') AS domain, q.query, CASE WHEN page_id % 11 = 0 THEN 3 WHEN page_id % 7 = 0 AND q.query = 'TXT' THEN 2 ELSE 0 END AS status, page_id % 2 AS pos,
   CASE WHEN page_id % 11 = 0 THEN NULL ELSE CASE q.query WHEN 'MX' THEN CASE WHEN page_id % 5 = 0 THEN NULL ELSE 15 END WHEN 'A' THEN CASE WHEN page_id % 10 = 0 THEN NULL ELSE 1 END ELSE 16 END END AS type,

@@ -176,17 +176,23 @@ def received_route(spark, sf):
     return as_long(H.received_hops(_mail(spark, sf)).select("msg_id", "hop", F.array_join("ips", ",").alias("ips")))
 
 
-@query("src_mail")
+_SEE = f"concat('See https://www.', {X.SENDER}, '/a.', chr(13), chr(10), text)"
+_PLAIN = f"CASE doc_id % 3 WHEN 0 THEN len({_SEE}) WHEN 1 THEN 0 ELSE len(concat(text, ' https://www.', {X.SENDER}, '/b,')) END"
+
+
+@query("src_mail", f"""SELECT doc_id AS msg_id, concat('"News Desk" <news@', {X.SENDER}, '>') AS from_header, CAST({_PLAIN} AS BIGINT) AS text_length,
+  CAST(CASE WHEN doc_id % 3 = 0 AND doc_id % 9 <> 0 THEN 1 ELSE 0 END AS BIGINT) AS attachments, CASE WHEN doc_id % 9 = 0 THEN 'invalid base64 data' ELSE '' END AS error {_DOC}""")
 def src_mail(spark, sf):
     m = S.parse_messages(X.mail(spark, sf))
     return as_long(m.select("msg_id", "from_header", F.length("plain_text").alias("text_length"), F.size("attachments").alias("attachments"), blank("error").alias("error")))
 
 
 @query("mail_links", f"""SELECT doc_id AS msg_id, concat('https://bit.ly/', CAST(doc_id AS VARCHAR)) AS url, 'href' AS source, true AS mismatch {_DOC} WHERE doc_id % 3 = 1
-  UNION ALL SELECT doc_id, 'https://img.example.org/x.png', 'image', false {_DOC} WHERE doc_id % 3 = 1 UNION ALL SELECT doc_id, 'https://evil.example.net/f', 'form', false {_DOC} WHERE doc_id % 3 = 1""")
+  UNION ALL SELECT doc_id, 'https://img.example.org/x.png', 'image', false {_DOC} WHERE doc_id % 3 = 1 UNION ALL SELECT doc_id, 'https://evil.example.net/f', 'form', false {_DOC} WHERE doc_id % 3 = 1
+  UNION ALL SELECT doc_id, concat('https://www.', {X.SENDER}, CASE doc_id % 3 WHEN 0 THEN '/a' ELSE '/b' END), 'body', false {_DOC} WHERE doc_id % 3 <> 1
+  UNION ALL SELECT doc_id, unnest([concat('https://bit.ly/', CAST(doc_id AS VARCHAR)), 'https://example.com/pay', 'https://img.example.org/x.png', 'https://evil.example.net/f']), 'body', false {_DOC} WHERE doc_id % 3 = 1""")
 def mail_links(spark, sf):
-    m = S.parse_messages(X.mail(spark, sf)).where(F.col("html") != "")
-    return H.mail_links(m).where(F.col("source") != "body").select("msg_id", "url", "source", F.coalesce("mismatch", F.lit(False)).alias("mismatch"))
+    return H.mail_links(S.parse_messages(X.mail(spark, sf))).select("msg_id", "url", "source", F.coalesce("mismatch", F.lit(False)).alias("mismatch"))
 
 
 @query("attachment_inventory", f"SELECT '1ad9615552126eb88b27e3f5c20c9932a9efafe7a58a790bf8d0d92d0fdc5661' AS sha256, count(*) AS copies, 7::BIGINT AS size, 'f0.pdf' AS filename, 'unknown' AS status {_DOC} WHERE doc_id % 3 = 0 AND doc_id % 9 <> 0")
@@ -197,7 +203,13 @@ def attachment_inventory(spark, sf):
     return as_long(inv.select("sha256", "copies", "size", "filename", F.col("hash_status").alias("status")))
 
 
-@query("mail_model_text")
+_NOTE = "'Note ', CAST(doc_id AS VARCHAR), chr(10)"
+_MODEL_TEXT = f"""CASE doc_id % 3 WHEN 0 THEN concat({_NOTE}, {_SEE}, chr(10), 'https://www.', {X.SENDER}, '/a')
+  WHEN 1 THEN concat({_NOTE}, 'secret', chr(10), 'https://bit.ly/', CAST(doc_id AS VARCHAR))
+  ELSE concat({_NOTE}, text, ' https://www.', {X.SENDER}, '/b,', chr(10), 'https://www.', {X.SENDER}, '/b') END"""
+
+
+@query("mail_model_text", f"SELECT doc_id AS msg_id, len({_MODEL_TEXT}) AS chars, sha256({_MODEL_TEXT}) AS digest {_DOC}")
 def mail_model_text(spark, sf):
     m = S.parse_messages(X.mail(spark, sf))
     links = F.array_distinct(F.concat(H.body_links(F.col("plain_text")), F.transform("anchors", lambda a: a["href"])))
@@ -287,12 +299,12 @@ def rdap_service(spark, sf):
     return I.rdap_base(hosts, boot)
 
 
-@query("normalize_emails", f"WITH {ADDR}, k AS (SELECT page_id, lower(address) AS lookup_key, min(position) AS p FROM addr WHERE {_VALID} GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY p) AS n FROM k) SELECT page_id, lookup_key FROM r WHERE n <= 5")
+@query("normalize_emails", f"WITH {ADDR}, k AS (SELECT page_id, lower(address) AS lookup_key, min(position) AS p FROM addr WHERE {_VALID} GROUP BY ALL) SELECT page_id, lookup_key FROM k")
 def normalize_emails(spark, sf):
     return I.email_lookup_keys(X.addresses(spark, sf), "page_id").select("page_id", "lookup_key")
 
 
-@query("normalize_urls", f"WITH {O.PARTS}, n AS (SELECT user_id, page_id, concat(scheme, '://', host, CASE WHEN port <> '' THEN concat(':', port) ELSE '' END, path, regexp_extract(url, '([?#].*)$', 1)) AS u FROM p3 WHERE url_valid AND NOT has_at), k AS (SELECT user_id, u, min(page_id) AS p FROM n GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY p) AS rn FROM k) SELECT user_id, u AS lookup_url FROM r WHERE rn <= 5")
+@query("normalize_urls", f"WITH {O.PARTS}, n AS (SELECT user_id, page_id, concat(scheme, '://', host, CASE WHEN port <> '' THEN concat(':', port) ELSE '' END, path, regexp_extract(url, '([?#].*)$', 1)) AS u FROM p3 WHERE url_valid AND NOT has_at), k AS (SELECT user_id, u, min(page_id) AS p FROM n GROUP BY ALL) SELECT user_id, u AS lookup_url FROM k")
 def normalize_urls(spark, sf):
     return I.url_lookup_keys(X.urls(spark, sf), "user_id", order="page_id").select("user_id", "lookup_url")
 

@@ -142,7 +142,7 @@ def src_rules(spark, sf):
 
 # --- messages --------------------------------------------------------------------------------------------
 
-_BODY = "substring(text, 1, 20000)"
+_BODY = "text"
 _PLAIN = [r for r in P.SCAM_RULES if not r[4]]
 _RULE_IDS = ", ".join(f"CASE WHEN regexp_matches({_BODY}, {q(r[5].replace(chr(92) + '/', '/'))}, 'i') THEN {q(r[0])} END" for r in _PLAIN)
 
@@ -150,13 +150,13 @@ _RULE_IDS = ", ".join(f"CASE WHEN regexp_matches({_BODY}, {q(r[5].replace(chr(92
 @query("scam_rules", f"WITH {O.MSG_VIEW} SELECT doc_id, array_to_string(list_filter([{_RULE_IDS}], {O.NOT_NULL}), ',') AS rules FROM msg")
 def scam_rules(spark, sf):
     """First matches of every rule, context aside."""
-    m = messages(spark, sf).withColumn("text", F.substring("text", 1, P.MESSAGE_CHARS))
+    m = messages(spark, sf)
     return T.scam_signals(m, "text", context=False).select("doc_id", signal_ids("scam").alias("rules"))
 
 
 @query("protective_context")
 def protective_context(spark, sf):
-    m = messages(spark, sf).withColumn("text", F.substring("text", 1, P.MESSAGE_CHARS))
+    m = messages(spark, sf)
     both = T.scam_signals(T.scam_signals(m, "text", "every", context=False).drop("tactics"), "text", "live")
     return both.select("doc_id", signal_ids("every").alias("every_match"), signal_ids("live").alias("live_match"))
 
@@ -168,13 +168,13 @@ def text_deobfuscate(spark, sf):
 
 
 _LINK = "regexp_extract_all(" + _BODY + ", '(?:https?://|www[.])[^\\s<>\"'')]+', 0, 'i')"
-_CUT = f"list_transform({_LINK}[1:10], lambda u: regexp_replace(u, '[.,;:!?]+$', ''))"
+_CUT = f"list_transform({_LINK}, lambda u: regexp_replace(u, '[.,;:!?]+$', ''))"
 _FULL = f"list_transform({_CUT}, lambda u: CASE WHEN regexp_matches(u, '^https?:', 'i') THEN u ELSE concat('http://', u) END)"
 
 
 @query("extract_links", f"WITH {O.MSG_VIEW} SELECT doc_id, array_to_string({_FULL}, ' ') AS links FROM msg WHERE len({_LINK}) > 0")
 def extract_links(spark, sf):
-    m = messages(spark, sf).withColumn("text", F.substring("text", 1, P.MESSAGE_CHARS))
+    m = messages(spark, sf)
     return T.text_links(m).where(F.size("links") > 0).select("doc_id", F.array_join("links", " ").alias("links"))
 
 
@@ -195,7 +195,7 @@ _NAMED = "CASE " + " ".join(
   b AS (SELECT *, list_transform(links, lambda u: {O.reg("lower(regexp_extract(u, '^https?://([^/?#:]*)', 1, 'i'))")}) AS regs FROM a)
   SELECT doc_id, {_NAMED} AS brand FROM b WHERE {_NAMED} IS NOT NULL""")
 def brand_link_mismatch(spark, sf):
-    m = T.text_links(messages(spark, sf).withColumn("text", F.substring("text", 1, P.MESSAGE_CHARS))).where(F.size("links") > 0)
+    m = T.text_links(messages(spark, sf)).where(F.size("links") > 0)
     w = T.worst_links(m, "doc_id").select("doc_id", "link_domains")
     j = m.join(w, "doc_id").withColumn("brand", T.brand_link_mismatch(F.col("text"), F.col("link_domains")))
     return j.where(F.col("brand").isNotNull()).select("doc_id", "brand")
@@ -206,7 +206,7 @@ _PHONE = r"(?:(?:\+?91[\s-]?)?\b[6-9]\d{9}\b|\b1800[\s-]?\d{3}[\s-]?\d{3,4}\b|\+
 
 @query("callback_number", f"WITH {O.MSG_VIEW} SELECT doc_id, regexp_extract({_BODY}, {q(P.PHONE_PATTERN)}, 0) AS phone FROM msg WHERE regexp_matches({_BODY}, {q(P.CALL_VERB + '.{0,36}?' + _PHONE)}, 'is')")
 def callback_number(spark, sf):
-    m = messages(spark, sf).withColumn("phone", T.callback_number(F.substring("text", 1, P.MESSAGE_CHARS)))
+    m = messages(spark, sf).withColumn("phone", T.callback_number(F.col("text")))
     return m.where(F.col("phone").isNotNull()).select("doc_id", "phone")
 
 
@@ -216,7 +216,7 @@ _LET, _UP = f"len(regexp_replace({_BODY}, '[^A-Za-z]', '', 'g'))", f"len(regexp_
 @query("style_cues", f"""WITH {O.MSG_VIEW} SELECT doc_id, array_to_string(list_filter([CASE WHEN {_LET} >= 30 AND {_UP}::DOUBLE / {_LET} > 0.6 THEN 'shouting' END,
   CASE WHEN len(regexp_replace({_BODY}, '[^!]', '', 'g')) >= 3 THEN 'exclamation-spam' END], {O.NOT_NULL}), ',') AS signals FROM msg""")
 def style_cues(spark, sf):
-    return messages(spark, sf).select("doc_id", signal_ids(T.style_signals(F.substring("text", 1, P.MESSAGE_CHARS))).alias("signals"))
+    return messages(spark, sf).select("doc_id", signal_ids(T.style_signals(F.col("text"))).alias("signals"))
 
 
 _TACTICS = ", ".join(f"CASE WHEN regexp_matches({_BODY}, {q(r[5].replace(chr(92) + '/', '/'))}, 'i') THEN {q(r[1])} END" for r in _PLAIN)
@@ -225,7 +225,7 @@ _STRONG = f"list_filter(list_distinct(list_filter([{_TACTICS}], {O.NOT_NULL})),
 
 @query("tactic_fusion", f"WITH {O.MSG_VIEW}, t AS (SELECT doc_id, {_STRONG} AS s FROM msg) SELECT doc_id, CAST(len(s) AS BIGINT) AS tactics, CAST(CASE WHEN len(s) >= 4 THEN 35 WHEN len(s) = 3 THEN 25 WHEN len(s) = 2 THEN 12 ELSE 0 END AS BIGINT) AS weight FROM t")
 def tactic_fusion(spark, sf):
-    m = messages(spark, sf).withColumn("text", F.substring("text", 1, P.MESSAGE_CHARS))
+    m = messages(spark, sf)
     s = T.scam_signals(m, "text", context=False)
     fused = F.get(T.fuse_tactics(F.col("tactics")), F.lit(0))["weight"]
     return as_long(s.select("doc_id", F.size(T.strong_tactics(F.col("tactics"))).alias("tactics"), F.coalesce(fused, F.lit(0)).alias("weight")))

@@ -177,8 +177,6 @@ PROTECTIVE = (
 )
 PROTECTIVE_WINDOW = 140
 HINDI_NEGATION = "(?:^|\\s)(?:न|मत)(?:\\s|$)"
-MESSAGE_CHARS = 20_000
-MESSAGE_LINKS = 10
 LINK_PATTERN = r"(?:https?:\/\/|www\.)[^\s<>\"')]+"
 PHONE_PATTERN = (
     r"(?:\+?91[\s-]?)?\b[6-9]\d{9}\b|\b1800[\s-]?\d{3}[\s-]?\d{3,4}\b|\+\d{1,3}[\s-]?\d{6,12}\b"
@@ -248,8 +246,6 @@ AUTHORITY_WORDS = [
     "customercare", "service", "alert", "alerts", "admin", "accounts", "account", "payments", "payment",
     "fraud", "recovery", "compliance", "noreply", "official",
 ]
-EMAIL_SOURCE_CHARS = 200_000
-EMAIL_CANDIDATES = 100
 EMAIL_PLAIN = r"[^\s<>()\[\]{}\"',;]+@[^\s<>()\[\]{}\"',;]+"
 EMAIL_BRACKET_WORDS = (
     r"\b([a-z0-9.!#$%&'*+/=?^_`{|}~-]+)\s*(?:\[at\]|\(at\)|\{at\})\s*"
@@ -267,12 +263,6 @@ AUTH_FAILURE_WEIGHTS = {
     "dmarc": {"fail": 30, "permerror": 15, "softfail": 10},
 }
 AUTH_RESULTS = ["pass", "fail", "softfail", "neutral", "none", "temperror", "permerror"]
-HEADER_CHARS = 50_000
-MAIL_BYTES = 1_000_000
-MAIL_PARTS = 200
-MAIL_DEPTH = 10
-MAIL_LINKS = 200
-MAIL_ATTACHMENTS = 100
 
 # --- online intelligence -------------------------------------------------------------------------------------
 # First MX host with a known provider, first provider in this order.
@@ -300,7 +290,6 @@ REPUTATION_FLAGS = [
 ]
 URL_PROVIDERS = ["googleSafeBrowsing", "virusTotal", "urlhaus", "phishTank"]
 ENRICH_FROM, ENRICH_BELOW = 15, 60
-LOOKUPS_PER_REQUEST = 5
 BLOCK_THRESHOLDS = {"high": 45, "low": 75, "medium": 60}
 HISTORY_ITEMS = 50
 EXPLAIN_FROM = 30

@@ -40,7 +40,7 @@ def _entities(text: Column) -> Column:
 
 
 def normalize_source(text: Column) -> Column:
-    whole = _entities(nfkc(F.substring(blank(text), 1, P.EMAIL_SOURCE_CHARS)))
+    whole = _entities(nfkc(blank(text)))
     return F.regexp_replace(whole, _HIDDEN, "")
 
 
@@ -52,7 +52,7 @@ def extract_emails(df: DataFrame, key: str, text: str = "text", order: str | Non
     """``key, address, obfuscated, source, occurrences, display_name``: one row per address of a page.
 
     A page may have several source rows; ``order`` is their position. All patterns run inside the row, then
-    sightings are counted per address with map-side combining. At most 100 addresses per page, first seen first.
+    sightings are counted per address with map-side combining. ``position`` numbers the addresses of a page.
     """
     base = df.select(F.col(key), (F.col(order) if order else F.lit(0)).alias("_row"), normalize_source(F.col(text)).alias("_t"))
     base = base.where(F.col("_t").rlike(r"(?i)@|mailto:|[\[({]at[\])}]|\sat\s"))
@@ -127,10 +127,8 @@ def extract_emails(df: DataFrame, key: str, text: str = "text", order: str | Non
         F.min_by("_n", F.when(F.col("_n").isNotNull(), F.col("_at"))).alias("display_name"),
     ).where(F.col("occurrences") > 0)
     rank = F.row_number().over(Window.partitionBy(key).orderBy("_first"))
-    return (
-        addresses.withColumn("position", rank)
-        .where(F.col("position") <= P.EMAIL_CANDIDATES)
-        .select(key, "position", "address", "obfuscated", "source", "occurrences", "display_name")
+    return addresses.withColumn("position", rank).select(
+        key, "position", "address", "obfuscated", "source", "occurrences", "display_name"
     )
 
 

@@ -48,16 +48,16 @@ def first_address(value: Column) -> Column:
 
 
 def with_headers(mail: DataFrame, raw: str = "raw") -> DataFrame:
-    """Add ``headers`` and the usual single headers. Oversized or header-less mail gets ``error``."""
+    """Add ``headers`` and the usual single headers. Mail without any gets ``error``."""
     df = mail.withColumn("_block", header_block(F.col(raw)))
-    df = df.withColumn("headers", F.when(F.length("_block") <= P.HEADER_CHARS, parse_headers(F.col("_block"))))
+    df = df.withColumn("headers", parse_headers(F.col("_block")))
     return df.withColumns(
         {
             "from_header": first_header(F.col("headers"), "from"),
             "reply_to": first_address(first_header(F.col("headers"), "reply-to")),
             "return_path": first_address(first_header(F.col("headers"), "return-path")),
             "subject": F.array_join(header_values(F.col("headers"), "subject"), " "),
-            "error": F.when(F.col("headers").isNull(), "headers too long").when(F.size("headers") == 0, "no headers"),
+            "error": F.when(F.size("headers") == 0, "no headers"),
         }
     ).drop("_block")
 
@@ -75,8 +75,8 @@ def auth_claims(mail: DataFrame, key: str = "msg_id") -> DataFrame:
     clause = rf"(?i)^\s*(spf|dkim|dmarc)\s*=\s*{_RESULT}\b(.*)$"
 
     def from_results(value: Column) -> Column:
-        server = F.coalesce(F.nullif(F.substring(F.trim(F.substring_index(value, ";", 1)), 1, 160), F.lit("")), F.lit("unknown"))
-        clauses = F.filter(F.slice(F.split(value, ";"), 2, 1000), lambda c: c.rlike(clause))
+        server = F.coalesce(F.nullif(F.trim(F.substring_index(value, ";", 1)), F.lit("")), F.lit("unknown"))
+        clauses = F.filter(F.slice(F.split(value, ";"), F.lit(2), F.size(F.split(value, ";"))), lambda c: c.rlike(clause))
         return F.transform(
             clauses,
             lambda c: F.struct(
@@ -95,7 +95,7 @@ def auth_claims(mail: DataFrame, key: str = "msg_id") -> DataFrame:
             F.lit("spf").alias("method"),
             F.lower(F.regexp_extract(v, spf, 1)).alias("result"),
             F.coalesce(
-                F.nullif(F.substring(F.trim(F.regexp_extract(F.regexp_extract(v, spf, 2), r"^\s*\(([^:;)]+)", 1)), 1, 160), F.lit("")),
+                F.nullif(F.trim(F.regexp_extract(F.regexp_extract(v, spf, 2), r"^\s*\(([^:;)]+)", 1)), F.lit("")),
                 F.lit("unknown"),
             ).alias("authserv_id"),
             _identity(F.regexp_extract(v, spf, 2)).alias("identity_domain"),
@@ -193,13 +193,25 @@ def body_links(text: Column) -> Column:
     return F.transform(found, lambda u: F.regexp_replace(u, r"[),.;!?]+\z", ""))
 
 
+def normal_link(u: Column) -> Column:
+    """An HTTP(S) address with lower-case scheme and host, without the scheme's own port, with a path."""
+    scheme = F.lower(F.regexp_extract(u, "(?i)^(https?):", 1))
+    authority = F.regexp_extract(u, "(?i)^https?://([^/?#]*)", 1)
+    user = F.regexp_extract(authority, "^(.*@)", 1)
+    host = F.lower(F.regexp_replace(authority, "^.*@", ""))
+    bare = F.when(scheme == "https", F.regexp_replace(host, ":(443)?$", "")).otherwise(F.regexp_replace(host, ":(80)?$", ""))
+    rest = F.regexp_extract(u, r"(?is)^https?://[^/?#]*(.*)\z", 1)
+    return F.concat(scheme, F.lit("://"), user, bare, F.when(rest.startswith("/"), rest).otherwise(F.concat(F.lit("/"), rest)))
+
+
 def mail_links(mail: DataFrame, key: str = "msg_id") -> DataFrame:
     """``key, pos, url, source, label, mismatch`` from plain text, HTML text, anchors, images and forms.
 
-    Unique by URL and source: the place of the first sighting, the content of the last; at most 200.
+    Unique by URL and source: the place of the first sighting, the content of the last. Addresses are
+    compared and returned in normal form, so a label that spells the same address otherwise is no mismatch.
     """
     entry = lambda u, s, label=None: F.struct(
-        u.alias("url"), F.lit(s).alias("source"), (label if label is not None else F.lit(None)).cast("string").alias("label")
+        normal_link(u).alias("url"), F.lit(s).alias("source"), (label if label is not None else F.lit(None)).cast("string").alias("label")
     )
     http = lambda c: c.rlike("(?i)^https?://[^/?#]")
     all_links = F.concat(
@@ -211,17 +223,17 @@ def mail_links(mail: DataFrame, key: str = "msg_id") -> DataFrame:
     )
     keyed = F.transform(all_links, lambda x: F.concat_ws("\n", x["url"], x["source"]))
     rows = mail.select(key, all_links.alias("_l"), keyed.alias("_k")).select(
-        key, F.posexplode(F.slice(F.array_distinct("_k"), 1, P.MAIL_LINKS)).alias("pos", "_id"), "_l", "_k"
+        key, F.posexplode(F.array_distinct("_k")).alias("pos", "_id"), "_l", "_k"
     )
     last = F.size("_k") - F.array_position(F.reverse("_k"), F.col("_id")).cast("int")
     rows = rows.select(key, "pos", F.get("_l", last).alias("x")).select(key, "pos", "x.*")
     said = F.trim(blank("label"))
-    return rows.withColumn("mismatch", http(said) & (said != F.col("url")))
+    return rows.withColumn("mismatch", http(said) & (normal_link(said) != F.col("url")))
 
 
 def model_text(mail: DataFrame) -> Column:
-    """Subject, text, hidden text and links as one text of at most 20,000 characters."""
+    """Subject, text, hidden text and links as one text."""
     parts = F.concat(
         F.array(blank("subject"), blank("plain_text")), F.coalesce("hidden_text", F.array()), F.coalesce("link_urls", F.array())
     )
-    return F.substring(F.array_join(F.filter(parts, lambda x: x != ""), "\n"), 1, P.MESSAGE_CHARS)
+    return F.array_join(F.filter(parts, lambda x: x != ""), "\n")

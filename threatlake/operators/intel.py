@@ -63,7 +63,7 @@ def dns_facts(answers: DataFrame) -> DataFrame:
         F.min_by(txt, F.when(spf, F.col("pos"))).alias("_spf"),
         F.min_by(txt, F.when(dmarc, F.col("pos"))).alias("_dmarc"),
     )
-    hosts = F.slice(F.array_distinct(F.transform("_hosts", lambda x: x["h"])), 1, 5)
+    hosts = F.array_distinct(F.transform("_hosts", lambda x: x["h"]))
     return agg.select(
         "domain",
         F.coalesce("_nx_mx", "_nx_a").alias("nxdomain"),
@@ -184,14 +184,13 @@ def parse_email_reputation(payloads: DataFrame) -> DataFrame:
     )
     j = payloads.select("address", F.from_json("payload", schema).alias("j"))
     d = F.col("j.details")
-    cut = lambda c: F.substring(c, 1, 40)
     labels = F.array_compact(F.array(*[F.when(d[f], F.lit(label)) for f, label in P.REPUTATION_FLAGS]))
     return j.select(
-        "address", cut(F.col("j.reputation")).alias("reputation"), F.col("j.suspicious").alias("suspicious"),
-        F.col("j.references").alias("references"), cut(d["first_seen"]).alias("first_seen"), cut(d["last_seen"]).alias("last_seen"),
+        "address", F.col("j.reputation").alias("reputation"), F.col("j.suspicious").alias("suspicious"),
+        F.col("j.references").alias("references"), d["first_seen"].alias("first_seen"), d["last_seen"].alias("last_seen"),
         F.greatest(d["data_breaches"], F.lit(0.0)).alias("data_breaches"),
         F.greatest(F.floor(d["days_since_domain_creation"]), F.lit(0)).cast("int").alias("domain_age_days"),
-        cut(d["domain_reputation"]).alias("domain_reputation"), d["domain_exists"].alias("domain_exists"), labels.alias("flags"),
+        d["domain_reputation"].alias("domain_reputation"), d["domain_exists"].alias("domain_exists"), labels.alias("flags"),
         F.lit(None).cast("string").alias("error"),
     )
 
@@ -224,31 +223,38 @@ def rep_report(df: DataFrame) -> DataFrame:
     )
 
 
-def email_lookup_keys(df: DataFrame, key: str, address: str = "address", order: str = "position", limit: int = P.LOOKUPS_PER_REQUEST) -> DataFrame:
-    """Valid addresses in lookup form, case-insensitively distinct, the first ``limit`` per page."""
+def _first_per_key(firsts: DataFrame, key: str, limit: int | None) -> DataFrame:
+    """All rows, or the first ``limit`` per key by ``_o``. Without a limit no key is gathered anywhere."""
+    if limit is None:
+        return firsts.drop("_o")
+    w = Window.partitionBy(key).orderBy("_o")
+    return firsts.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= limit).drop("_r", "_o")
+
+
+def email_lookup_keys(df: DataFrame, key: str, address: str = "address", order: str = "position", limit: int | None = None) -> DataFrame:
+    """Valid addresses in lookup form, case-insensitively distinct; with ``limit`` only the first so many per page."""
     v = validate_emails(df.withColumn("_a", F.trim(F.col(address))), "_a").where("valid")
     form = F.concat(F.col("local"), F.lit("@"), F.col("domain"))
     firsts = v.groupBy(key, F.lower(form).alias("lookup_key")).agg(F.min_by(form, F.col(order)).alias("lookup_address"), F.min(order).alias("_o"))
-    w = Window.partitionBy(key).orderBy("_o")
-    return firsts.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= limit).drop("_r", "_o")
+    return _first_per_key(firsts, key, limit)
 
 
 def normal_url(df: DataFrame, url: str = "url", out: str = "lookup_url") -> DataFrame:
-    """HTTP(S) URL without credentials and at most 2,048 characters in browser form, else null."""
+    """HTTP(S) URL without credentials in browser form, else null."""
     p = with_url_parts(df.withColumn("_u", F.trim(F.col(url))), "_u")
     port = F.when(F.col("port").isNotNull(), F.concat(F.lit(":"), F.col("port").cast("string"))).otherwise(F.lit(""))
     tail = F.regexp_extract("_u", r"(?s)([?#].*)\z", 1)
     href = F.concat(F.col("scheme"), F.lit("://"), F.col("host"), port, F.col("path"), tail)
-    ok = F.col("url_valid") & ~F.col("has_credentials") & (F.length(href) <= 2048)
+    ok = F.col("url_valid") & ~F.col("has_credentials")
     kept = [F.col(c) for c in df.columns]
     return p.select(*kept, F.when(ok, href).alias(out))
 
 
-def url_lookup_keys(df: DataFrame, key: str, url: str = "url", order: str = "pos", limit: int = P.LOOKUPS_PER_REQUEST) -> DataFrame:
+def url_lookup_keys(df: DataFrame, key: str, url: str = "url", order: str = "pos", limit: int | None = None) -> DataFrame:
+    """Distinct lookup addresses per key; with ``limit`` only the first so many."""
     n = normal_url(df, url).where(F.col("lookup_url").isNotNull())
     firsts = n.groupBy(key, "lookup_url").agg(F.min(order).alias("_o"))
-    w = Window.partitionBy(key).orderBy("_o")
-    return firsts.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= limit).drop("_r", "_o")
+    return _first_per_key(firsts, key, limit)
 
 
 def with_url_listings(scanned: DataFrame, listings: DataFrame, url: str = "url") -> DataFrame:

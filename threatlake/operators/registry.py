@@ -11,7 +11,7 @@ from threatlake.functions.signals import no_signals, with_verdict
 
 KINDS = ("url", "text", "page")
 REQUIRED = {"url": ["url"], "text": ["text"], "page": ["url", "text"]}
-MAX_SIGNALS, MAX_ID, MAX_TEXT = 500, 128, 1_000
+MAX_ID, MAX_TEXT = 128, 1_000
 
 
 def signal_guard(signals: Column) -> Column:
@@ -24,7 +24,7 @@ def signal_guard(signals: Column) -> Column:
             & (s["evidence"].isNull() | (F.length(s["evidence"]) <= MAX_TEXT))
         )
 
-    return signals.isNotNull() & (F.size(signals) <= MAX_SIGNALS) & F.forall(signals, lambda s: F.coalesce(fine(s), F.lit(False)))
+    return signals.isNotNull() & F.forall(signals, lambda s: F.coalesce(fine(s), F.lit(False)))
 
 
 def input_guard(df: DataFrame) -> tuple[DataFrame, DataFrame]:

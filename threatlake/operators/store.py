@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from threatlake import fixed_values_endpoint as V
@@ -57,7 +59,7 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
 def merge_into_store(spark: SparkSession, batch: DataFrame, path: str, gap: int = V.STORE_GAP_SECONDS) -> DataFrame:
     """Merge new store rows with the latest stored row of the same fingerprint, if near enough.
 
-    Only fingerprints present in the batch, and only partitions that the gap can reach, are read.
+    Only fingerprints present in the batch, and no date partitions after the batch, are read.
     Returns the rows that replace the touched ones.
     """
     old = read_store(spark, path)
@@ -65,6 +67,7 @@ def merge_into_store(spark: SparkSession, batch: DataFrame, path: str, gap: int
     reach = old.where(
         (F.col("last_seen") >= F.lit(lo) - F.expr(f"INTERVAL {gap} SECONDS"))
         & (F.col("first_seen") <= F.lit(hi) + F.expr(f"INTERVAL {gap} SECONDS"))
+        & (F.col("event_date") <= F.to_date(F.lit(hi) + F.expr(f"INTERVAL {gap} SECONDS")))
     ).drop("event_date")
     touched = reach.join(batch.select("host", "fingerprint").distinct(), ["host", "fingerprint"], "left_semi")
     return merge_sessions(touched.unionByName(batch), gap)
@@ -96,12 +99,23 @@ def merge_sessions(rows: DataFrame, gap: int = V.STORE_GAP_SECONDS) -> DataFrame
     )
 
 
+def _since(store: DataFrame, start: Column) -> list[Column]:
+    """Tests for rows from ``start`` on; a store from files is partitioned by date, which the second one selects."""
+    dated = [F.col("event_date") >= F.to_date(start)] if "event_date" in store.columns else []
+    return [F.col("timestamp") >= start, *dated]
+
+
+def _until(store: DataFrame, end: Column) -> list[Column]:
+    dated = [F.col("event_date") <= F.to_date(end)] if "event_date" in store.columns else []
+    return [F.col("timestamp") <= end, *dated]
+
+
 # --- history ---------------------------------------------------------------------------------------
 
 
 def recent(store: DataFrame, n: int = 20) -> DataFrame:
-    """Newest rows by id; ``n`` is clamped to 1..500."""
-    return store.orderBy(F.desc("id")).limit(max(1, min(int(n), 500)))
+    """The ``n`` newest rows by id."""
+    return store.orderBy(F.desc("id")).limit(int(n))
 
 
 def query(
@@ -109,7 +123,7 @@ def query(
     event_type: str | None = None, sync_status: str | None = None, start_time=None, end_time=None,
     limit: int = 50, offset: int = 0,
 ) -> DataFrame:
-    """Filtered history, newest first; the limit is clamped to 1..1000."""
+    """Filtered history, newest first. Times also select date partitions of a store read from files."""
     c = F.col
     tests: list[Column] = []
     if severity:
@@ -123,12 +137,12 @@ def query(
     if sync_status:
         tests.append(c("sync_status") == sync_status)
     if start_time:
-        tests.append(c("timestamp") >= F.lit(start_time).cast("timestamp"))
+        tests += _since(store, F.lit(start_time).cast("timestamp"))
     if end_time:
-        tests.append(c("timestamp") <= F.lit(end_time).cast("timestamp"))
+        tests += _until(store, F.lit(end_time).cast("timestamp"))
     for test in tests:
         store = store.where(test)
-    return store.orderBy(F.desc("id")).offset(max(0, int(offset))).limit(max(1, min(int(limit), 1000)))
+    return store.orderBy(F.desc("id")).offset(max(0, int(offset))).limit(int(limit))
 
 
 def get(store: DataFrame, event_id: int) -> DataFrame:
@@ -159,9 +173,9 @@ def event_stats(store: DataFrame) -> DataFrame:
 
 
 def pending(store: DataFrame, n: int = V.SYNC_BATCH, max_retries: int = V.SYNC_MAX_RETRIES) -> DataFrame:
-    """Oldest unsent rows that may still be tried; ``n`` is clamped to 1..500."""
+    """The ``n`` oldest unsent rows that may still be tried."""
     open_rows = store.where(F.col("sync_status").isin("pending", "failed") & (F.col("retry_count") < max_retries))
-    return open_rows.orderBy("id").limit(max(1, min(int(n), 500)))
+    return open_rows.orderBy("id").limit(int(n))
 
 
 def apply_sync(store: DataFrame, attempts: DataFrame) -> DataFrame:
@@ -171,7 +185,7 @@ def apply_sync(store: DataFrame, attempts: DataFrame) -> DataFrame:
     retries, and leaves other rows alone; later attempts count from there.
     """
     place = F.struct("at", "attempt_seq")
-    log = attempts.select("id", "at", "attempt_seq", "outcome", F.substring("error", 1, 500).alias("error"))
+    log = attempts.select("id", "at", "attempt_seq", "outcome", "error")
     # A reset acts only if the last real outcome before it is a failure, or a failure it inherits.
     resets = log.where(F.col("outcome") == "reset").select("id", place.alias("_r"))
     real = log.where(F.col("outcome") != "reset").select("id", place.alias("_p"), "outcome", "error", "at")
@@ -229,9 +243,10 @@ def _is_high() -> Column:
 
 
 def expire(store: DataFrame, as_of, days: int = V.RETENTION_DAYS, keep_high: bool = True) -> DataFrame:
-    """Rows that survive the age limit; the filter prunes date partitions."""
+    """Rows that survive the age limit. Without ``keep_high`` only the date partitions in reach are read; severe rows
+    are kept from all of them."""
     cutoff = F.lit(as_of).cast("timestamp") - F.make_dt_interval(F.lit(max(1, int(days))))
-    fresh = F.col("timestamp") >= cutoff
+    fresh = reduce(Column.__and__, _since(store, cutoff))
     return store.where(fresh | _is_high()) if keep_high else store.where(fresh)
 
 

@@ -67,8 +67,7 @@ def deobfuscate(df: DataFrame, text: str = "text", out: str = "clean_text", sign
     words, spaced-out letters, and leet spellings of scam vocabulary. URLs are never rewritten. Each
     step runs only on texts that a cheap test finds it can change.
     """
-    src = F.substring(blank(text), 1, P.MESSAGE_CHARS)
-    df = df.withColumn("__t0", nfkc(src))
+    df = df.withColumn("__t0", nfkc(blank(text)))
     wide = F.col("__t0").rlike(r"[^\x00-\x7F]")
     df = df.withColumns(
         {
@@ -226,8 +225,8 @@ def scam_signals(df: DataFrame, text: str = "text", out: str = "scam", context:
 
 
 def links_in(text: Column) -> Column:
-    """First ten links, without trailing punctuation, ``http://`` added to bare ``www.``."""
-    found = F.slice(matches_of(text, from_ecmascript(P.LINK_PATTERN)), 1, P.MESSAGE_LINKS)
+    """All links, without trailing punctuation, ``http://`` added to bare ``www.``."""
+    found = matches_of(text, from_ecmascript(P.LINK_PATTERN))
     cut = F.transform(found, lambda u: F.regexp_replace(u, r"[.,;:!?]+\z", ""))
     return F.transform(cut, lambda u: F.when(u.rlike("(?i)^https?:"), u).otherwise(F.concat(F.lit("http://"), u)))
 
@@ -307,7 +306,7 @@ def fuse_tactics(tactics: Column) -> Column:
 def text_signals(
     df: DataFrame, key: str, text: str = "text", out: str = "signals", rules: DetectionRules = DEFAULT_RULES
 ) -> DataFrame:
-    """All signals of a message (first 20,000 characters). ``key`` identifies the row."""
+    """All signals of a message, whatever its length. ``key`` identifies the row."""
     df = scam_signals(deobfuscate(df, text), "clean_text")
     df = text_links(df, "clean_text", "links")
     linked = df.where(F.size("links") > 0)
@@ -333,9 +332,8 @@ def text_signals(
         signal_if(pressure & (F.size("links") > 0), "pressure-plus-link", 20, "Pressure and a link to click"),
         signal_if(F.col("__call").isNotNull(), "pressure-plus-callback", 20, "Pressure and a number to call", F.col("__call")),
     )
-    raw = F.substring(blank(text), 1, P.MESSAGE_CHARS)
     df = df.withColumn(
-        out, union_signals(F.col("obfuscation"), F.col("scam"), tail, style_signals(raw), fuse_tactics(F.col("tactics")))
+        out, union_signals(F.col("obfuscation"), F.col("scam"), tail, style_signals(blank(text)), fuse_tactics(F.col("tactics")))
     )
     return df.drop("obfuscation", "scam", "worst", "first_link", "link_domains", "__brand", "__call")
 

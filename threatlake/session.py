@@ -27,12 +27,15 @@ def build_session(app: str = "threatlake", master: str | None = None, **conf: st
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a private folder only where none is named (tests)."""
+    """The cluster's ``spark.checkpoint.dir``. Only a local session, whose tasks share the driver's disk, may go without:
+    it gets a private folder."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
     if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = os.environ.get("THREATLAKE_CHECKPOINT_DIR")
         named = base or tempfile.mkdtemp(prefix="spark-threatlake-")
     spark.sparkContext.setCheckpointDir(named)

@@ -50,7 +50,7 @@ class _Page(HTMLParser):
         elif tag == "input" and a.get("type") == "hidden":
             name, value = a.get("name", "").strip(), a.get("value", "").strip()
             if name or value:
-                self.hidden.append(f"{name or '(unnamed)'}={value}"[:1000])
+                self.hidden.append(f"{name or '(unnamed)'}={value}")
         if tag in _VOID:
             return
         concealed = "hidden" in a or a.get("aria-hidden") == "true" or bool(_CONCEALED.search(a.get("style", "")))
@@ -72,15 +72,15 @@ class _Page(HTMLParser):
     def _finish(self, node: dict) -> None:
         text = "".join(node["text"]).strip()
         if node["href"] is not None:
-            self.anchors.append((node["href"].strip(), text[:500]))
+            self.anchors.append((node["href"].strip(), text))
         if node["hidden"] and text:
-            self.hidden.append(text[:1000])
+            self.hidden.append(text)
 
     def finish(self) -> dict:
         self.close()
         while self._open:
             self._finish(self._open.pop())
-        unique = lambda xs: list(dict.fromkeys(xs))[:100]
+        unique = lambda xs: list(dict.fromkeys(xs))
         return {
             "anchors": [{"href": h, "label": t} for h, t in self.anchors],
             "images": unique(self.images),
