@@ -8,6 +8,7 @@ from threatlake.operators.dns import dns_domain_features
 from threatlake.operators.evaluate import evaluate
 from threatlake.operators.network import with_ip_class
 from threatlake.operators.snapshots import diff_processes
+from threatlake.operators import store
 from threatlake.operators.store import apply_sync, cap, nth_smallest
 from threatlake.sources.feeds import load_feeds
 
@@ -69,3 +70,18 @@ def test_outbox_reset(spark):
     log = spark.createDataFrame([(1, 1, "failed", "x"), (1, 2, "reset", None), (1, 3, "failed", "y"), (2, 1, "synced", None), (2, 2, "reset", None)], "id long, attempt_seq int, outcome string, error string").withColumn("at", F.timestamp_seconds("attempt_seq"))
     got = {r.id: (r.sync_status, r.retry_count, r.error_message) for r in apply_sync(store, log).collect()}
     assert got == {1: ("failed", 1, "y"), 2: ("synced", 4, None)}
+
+
+def test_store_reads_only_dates_in_reach(spark, tmp_path):
+    rows = [(i, f"2024-01-{1 + i % 20:02d} 10:00:00", "low" if i % 3 else "high") for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, timestamp string, severity string").withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    df.withColumn("event_date", F.to_date("timestamp")).write.partitionBy("event_date").parquet(str(tmp_path / "s"))
+    stored = store.read_store(spark, str(tmp_path / "s"))
+    recent = store.expire(stored, "2024-01-21", days=5, keep_high=False)
+    between = store.query(stored, start_time="2024-01-03", end_time="2024-01-04 12:00:00", limit=1000)
+    for out in (recent, between):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(event_date" in plan, plan
+    assert {r.id % 20 for r in recent.collect()} == {15, 16, 17, 18, 19}
+    assert {r.id % 20 for r in between.collect()} == {2, 3}
+    assert {r.id for r in store.expire(stored, "2024-01-21", days=5).collect()} == {i for i in range(60) if i % 20 >= 15 or i % 3 == 0}

@@ -119,8 +119,8 @@ def size_label(n: Column) -> Column:
 
 def nfkc(c: Column) -> Column:
     """Compatibility composition by the ICU library that ships with Spark; ASCII text skips the call."""
-    composed = F.try_reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), c, F.lit(True))
-    return F.when(c.rlike(r"[^\x00-\x7F]"), F.coalesce(composed, c)).otherwise(c)
+    composed = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), c, F.lit(True))
+    return F.when(c.rlike(r"[^\x00-\x7F]"), composed).otherwise(c)
 
 
 def idna_ascii(host: Column) -> Column:

@@ -1,8 +1,8 @@
 """Public suffixes as a small lookup table.
 
-The list is read at run time from the HTTP client library that ships with Spark; a short built-in
-list stands in where that library is missing. Its size is that of the public list (about 10,000
-rules), so the table may always be broadcast.
+The list is read at run time from the HTTP client library that ships with Spark; without it there are no results,
+rather than different ones. Its size is that of the public list (about 10,000 rules), so the table may always be
+broadcast. It is made once per session.
 """
 
 from __future__ import annotations
@@ -14,12 +14,6 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-FALLBACK = [
-    "com", "net", "org", "info", "biz", "io", "co", "us", "in", "uk", "de", "fr", "eu", "app", "dev", "xyz", "top",
-    "co.uk", "org.uk", "gov.uk", "ac.uk", "co.in", "gov.in", "org.in", "com.tr", "com.au", "com.br", "co.jp",
-    "github.io", "gitlab.io", "netlify.app", "vercel.app", "pages.dev", "web.app", "duckdns.org", "blogspot.com",
-    "*.ck", "!www.ck", "*.kawasaki.jp", "!city.kawasaki.jp",
-]
 RULE, WILDCARD, EXCEPTION = 1, 2, 4
 
 
@@ -36,7 +30,7 @@ def suffix_rules() -> tuple[str, ...]:
             except (KeyError, OSError, zipfile.BadZipFile):
                 continue
             return tuple(t.split()[0] for t in lines if t.strip() and not t.startswith("//"))
-    return tuple(FALLBACK)
+    raise FileNotFoundError("no public suffix list: Spark's jars hold no httpclient library")
 
 
 @functools.lru_cache(maxsize=1)
@@ -71,11 +65,13 @@ def _deeper() -> list[tuple[str, list[str]]]:
     return sorted(below.items())
 
 
+@functools.lru_cache(maxsize=4)
 def suffix_table(spark: SparkSession) -> DataFrame:
     """``suffix, code``: bit 1 a rule, bit 2 parent of a wildcard rule, bit 4 an exception."""
     return spark.createDataFrame(sorted(_codes().items()), "suffix string, code int")
 
 
+@functools.lru_cache(maxsize=4)
 def deeper_table(spark: SparkSession) -> DataFrame:
     """``name, below``: suffix rules that lie under a name which looks registrable."""
     return spark.createDataFrame(_deeper(), "name string, below array<string>")
