@@ -621,6 +621,15 @@ def retention_age(spark, sf):
     return _store_row(store.expire(store.to_store(judged(spark, sf), GAP), "2024-01-31", days=10))
 
 
+@query("retain", _STORE + """, fresh AS (SELECT * FROM store WHERE first_us >= epoch_us(TIMESTAMP '2024-01-21') OR severity IN ('high', 'critical')),
+  low AS (SELECT id, row_number() OVER (ORDER BY CASE WHEN severity IN ('high', 'critical') THEN 1 ELSE 0 END, id) AS rn, (SELECT count(*) FROM fresh) AS n FROM fresh)
+  SELECT id FROM low WHERE rn > n - 2000 OR n <= 2000""")
+def retain(spark, sf):
+    """Age, then capacity, as a job on the store."""
+    rows = cut_lineage(store.to_store(judged(spark, sf), GAP).select("id", "severity", "timestamp"))
+    return store.retain(rows, "2024-01-31", days=10, max_rows=2000)[0].select("id")
+
+
 @query("retention_capacity", _STORE + """, low AS (SELECT id, row_number() OVER (ORDER BY CASE WHEN severity IN ('high', 'critical') THEN 1 ELSE 0 END, id) AS rn, (SELECT count(*) FROM store) AS n FROM store)
   SELECT id FROM low WHERE rn > n - 3000 OR n <= 3000""")
 def retention_capacity(spark, sf):
