@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import lru_cache
 
 import numpy as np
@@ -25,10 +27,30 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+_OPEN: ContextVar[list[str] | None] = ContextVar("open", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables stored inside are deleted at the end, but for the lasting ones, which a lazy result still reads."""
+    paths: list[str] = []
+    before = _OPEN.set(paths)
+    try:
+        yield
+    finally:
+        _OPEN.reset(before)
+        for path in paths:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def stored(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
     """Write a table to the shared folder and read it back: it is computed once, with a short lineage, and
-    its size is known to the planner."""
+    its size is known to the planner. ``lasting`` tables survive the ``scratch`` block they are made in."""
     path = shared_path(df.sparkSession, name)
+    paths = _OPEN.get()
+    if paths is not None and not lasting:
+        paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

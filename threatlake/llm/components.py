@@ -7,41 +7,37 @@ from pyspark.sql import DataFrame, functions as F
 from threatlake.llm.common import stored
 
 
-def _parents(edges: DataFrame) -> DataFrame:
-    """For each node its smallest neighbour, itself included, followed to the root of that forest."""
-    both = edges.select(F.col("a").alias("node"), F.col("b").alias("to")).union(
-        edges.select(F.col("b").alias("node"), F.col("a").alias("to"))
-    )
-    parents = stored(both.groupBy("node").agg(F.min("to").alias("to")).select("node", F.least("node", "to").alias("parent")), "parents")
-    while True:
-        up = parents.select(F.col("node").alias("parent"), F.col("parent").alias("_up"))
-        jumped = parents.join(up, "parent", "left").select("node", F.coalesce("_up", "parent").alias("_new"), "parent")
-        jumped = stored(jumped, "parents")
-        if jumped.where("_new <> parent").isEmpty():
-            return parents
-        parents = jumped.select("node", F.col("_new").alias("parent"))
-
-
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """``(node, component)`` of every node of ``edges(a, b)``; the component is the smallest node that can be reached.
+    ``labels`` are the components of earlier edges, which the new edges join further.
 
-    Each round links nodes to their smallest neighbour, follows those links by doubling, and replaces the edges by
-    the distinct edges between the roots; the rounds end when none are left. All state is in tables of the shared
+    Each round links every node to its smallest neighbour, follows the links once more, and replaces the edges by the
+    distinct edges between what the nodes are linked to; the rounds end when none are left. The smallest node of a
+    component is linked to itself in all rounds, so its name is the one that remains. All state is in tables of the shared
     folder, all steps are equi-joins on a unique key and pre-aggregated minima."""
-    edges = stored(edges.where("a <> b").select("a", "b").distinct(), "edges")
-    labels = None
-    while not edges.isEmpty():
-        parents = _parents(edges)
-        if labels is None:
-            labels = parents.select("node", F.col("parent").alias("component"))
-        else:
-            step = parents.select(F.col("node").alias("component"), "parent")
-            labels = labels.join(step, "component", "left").select("node", F.coalesce("parent", "component").alias("component"))
-        labels = stored(labels, "labels")
-        a = parents.select(F.col("node").alias("a"), F.col("parent").alias("_a"))
-        b = parents.select(F.col("node").alias("b"), F.col("parent").alias("_b"))
-        rest = edges.join(a, "a").join(b, "b").where("_a <> _b")
-        edges = stored(rest.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct(), "edges")
     if labels is None:
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return labels
+        nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+        labels = nodes.select("node", F.col("node").alias("component"))
+    else:
+        nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+        fresh = nodes.join(labels, "node", "left_anti").select("node", F.col("node").alias("component"))
+        labels = stored(labels.union(fresh), "labels")
+        edges = _renamed(edges, labels.select("node", F.col("component").alias("parent")))
+    edges = stored(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    while not edges.isEmpty():
+        both = edges.select(F.col("a").alias("node"), F.col("b").alias("to")).union(edges.select("b", "a"))
+        linked = both.groupBy("node").agg(F.min("to").alias("to")).select("node", F.least("node", "to").alias("parent"))
+        above = linked.select(F.col("node").alias("parent"), F.col("parent").alias("_up"))
+        parents = stored(linked.join(above, "parent").select("node", F.col("_up").alias("parent")), "parents")
+        step = parents.select(F.col("node").alias("component"), "parent")
+        labels = labels.join(step, "component", "left").select("node", F.coalesce("parent", "component").alias("component"))
+        edges = stored(_renamed(edges, parents), "edges")
+    return stored(labels, "labels")
+
+
+def _renamed(edges: DataFrame, parents: DataFrame) -> DataFrame:
+    """Distinct edges between the parents of both ends."""
+    a = parents.select(F.col("node").alias("a"), F.col("parent").alias("_a"))
+    b = parents.select(F.col("node").alias("b"), F.col("parent").alias("_b"))
+    rest = edges.join(a, "a").join(b, "b").where("_a <> _b")
+    return rest.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct()

@@ -27,7 +27,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from threatlake.llm.common import stored, text_of
+from threatlake.llm.common import scratch, stored, text_of
 
 SHINGLE = 5
 RADIUS = 23
@@ -106,6 +106,11 @@ def shared_windows(docs: DataFrame, shingles: DataFrame, length: int, num: int,
 def held_items(docs: DataFrame, benchmark: DataFrame, num: int = 3, den: int = 4) -> DataFrame | None:
     """``k1, k2, _items``: the items, in order, that the documents with these keys hold; None without items.
     ``num / den`` is the similarity."""
+    with scratch(docs.sparkSession):
+        return _held_items(docs, benchmark, num, den)
+
+
+def _held_items(docs: DataFrame, benchmark: DataFrame, num: int, den: int) -> DataFrame | None:
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words_of(text_of()).alias("words"))
     items = items.where("item_id IS NOT NULL AND size(words) > 0").withColumn("n", F.size("words"))
     items = stored(items.withColumn("length", F.least("n", F.lit(SHINGLE))), "items")
@@ -141,7 +146,7 @@ def held_items(docs: DataFrame, benchmark: DataFrame, num: int = 3, den: int = 4
     shared = both.groupBy(*window, "item_id").agg(F.sum(F.least("c", "_c")).alias("_shared"))
     sizes = F.col("m") + F.col("n") - 2 * F.col("length") + 2
     held = shared.where(den * F.col("_shared") >= num * (sizes - F.col("_shared"))).select(*KEY, "item_id").distinct()
-    return stored(held.groupBy(*KEY).agg(F.sort_array(F.collect_list("item_id")).alias("_items")), "held")
+    return stored(held.groupBy(*KEY).agg(F.sort_array(F.collect_list("item_id")).alias("_items")), "held", lasting=True)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

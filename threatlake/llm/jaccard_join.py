@@ -30,10 +30,10 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from threatlake.llm.common import (
-    LOWER, PLACE, U64, expand, mixed, part_count, prefix_hash, span_hash, stored, text_blocks, text_of, word_spans,
+    LOWER, PLACE, U64, expand, mixed, part_count, prefix_hash, scratch, span_hash, stored, text_blocks, text_of, word_spans,
 )
 from threatlake.llm.components import components
 
@@ -43,7 +43,7 @@ LEAD = 0.35
 FREQUENT, FREQUENT_LEAST = 0.002, 8
 CHUNK_GRAMS = 2_000_000
 #: Turns of comparing with hubs; fragments of the partial overlaps; partners of a document that go to one cell.
-HUB_TURNS, FRAGMENTS, PARTNERS = 3, 8, 2000
+HUB_TURNS, FRAGMENTS, PARTNERS = 2, 8, 2000
 
 
 def gram_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarray]:
@@ -228,41 +228,61 @@ def _meet(found: pa.Table) -> pa.Table:
 # --- 3: candidates --------------------------------------------------------------------------------------------------
 
 
+def _lead(size: Column, num: int, den: int) -> Column:
+    """Number of leading n-grams of a set, as ``_leading`` takes them."""
+    return F.least(size, F.greatest(size - F.ceil(size * num / den) + 1, F.ceil(size * LEAD)))
+
+
 def open_rows(met: DataFrame, num: int, den: int) -> DataFrame:
-    """Of ``met(gram, doc, size, label)`` the rows of n-grams held under several labels and of documents that may be similar to one
-    under another label: the leading n-grams that a document shares with nobody else's label are lost to such a pair.
-    Dropping documents frees n-grams, so it is done twice."""
+    """Of ``met(gram, doc, size, label)`` the rows that may lead to a similar pair under different labels, with ``_own``, the
+    leading n-grams of the document that no such pair can share.
+
+    A gram counts for a document if it is held under another label and if its smallest holder is small enough: two
+    sets share ``num / (num + den)`` of their summed sizes at least, and no more than a set has besides its own."""
     size = F.col("size")
-    lead = F.least(size, F.greatest(size - F.ceil(size * num / den) + 1, F.ceil(size * LEAD)))
-    for _ in range(2):
-        several = met.groupBy("gram").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low < _high")
-        met = met.join(stored(several.select("gram"), "open"), "gram")
-        foreign = met.groupBy("doc", "size").agg(F.count("*").alias("_met"))
-        kept = foreign.where(den * (size - lead + F.col("_met")) >= num * size).select("doc", (lead - F.col("_met")).alias("_own"))
-        met = stored(met.drop("_own").join(stored(kept, "kept"), "doc"), "met")
-    return met
+    lead = _lead(size, num, den)
+    grams = met.groupBy("gram").agg(F.min("label").alias("_low"), F.max("label").alias("_high"), F.min("size").alias("_least"))
+    grams = stored(grams.where("_low < _high").select("gram", "_least"), "open")
+    own = F.col("_own") if "_own" in met.columns else F.lit(0)
+    least = F.greatest("_least", F.ceil(size * num / den))
+    met = met.join(grams, "gram").where((num + den) * (size - own) >= num * (size + least)).drop("_own", "_least")
+    foreign = met.groupBy("doc", "size").agg(F.count("*").alias("_met"))
+    kept = foreign.where(den * (size - lead + F.col("_met")) >= num * size).select("doc", (lead - F.col("_met")).alias("_own"))
+    return stored(met.join(kept, "doc"), "met")
 
 
 def _fits(num: int, den: int):
-    """Sizes alone rule out a pair when the larger set is too large."""
-    return den * F.least("size", "_size") >= num * F.greatest("size", "_size")
+    """What the sizes of two sets, less what either has of its own, allow to be similar."""
+    most = F.least(F.col("size") - F.col("_own"), F.col("_size") - F.col("_less"))
+    return (num + den) * most >= num * (F.col("size") + F.col("_size"))
 
 
 def hub_pairs(met: DataFrame, turn: int, num: int, den: int) -> DataFrame:
     """Pairs of each document with the hub of each of its n-grams, where their labels differ. First the hub is the document
     with the least of its own, the likely original of a group of near copies; in later turns it is drawn by hash."""
     rank = F.struct(F.col("_own") / F.col("size"), "doc") if turn == 0 else F.struct(F.xxhash64("doc", F.lit(turn)), "doc")
-    hubs = met.groupBy("gram").agg(F.min_by(F.struct("doc", "size", "label"), rank).alias("_hub"))
-    hubs = stored(hubs.select("gram", F.col("_hub.doc").alias("b"), F.col("_hub.size").alias("_size"), F.col("_hub.label").alias("_label")), "hubs")
+    hubs = met.groupBy("gram").agg(F.min_by(F.struct("doc", "size", "label", "_own"), rank).alias("_hub"))
+    names = {"doc": "b", "size": "_size", "label": "_label", "_own": "_less"}
+    hubs = stored(hubs.select("gram", *[F.col(f"_hub.{k}").alias(v) for k, v in names.items()]), "hubs")
     pairs = met.join(hubs, "gram").where((F.col("label") != F.col("_label")) & _fits(num, den))
     return pairs.select(F.col("doc").alias("a"), "b").distinct()
 
 
 def rest_pairs(met: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs under different labels that meet at an n-gram."""
-    other = met.select("gram", F.col("doc").alias("b"), F.col("label").alias("_label"), F.col("size").alias("_size"))
+    names = {"doc": "b", "size": "_size", "label": "_label", "_own": "_less"}
+    other = met.select("gram", *[F.col(k).alias(v) for k, v in names.items()])
     pairs = met.join(other, "gram").where((F.col("label") < F.col("_label")) & _fits(num, den))
-    return pairs.select(F.col("doc").alias("a"), "b").distinct()
+    return _likely(pairs, num, den)
+
+
+def _likely(met: DataFrame, num: int, den: int) -> DataFrame:
+    """``a, b`` of the pairs that may be similar by their overlap in the leading fragments. Of two sets the one whose leading
+    n-grams end first in the global order shares none of them with the other but those that were met."""
+    lead = lambda size: _lead(F.col(size), num, den)
+    shared = met.groupBy(F.col("doc").alias("a"), "b", "size", "_size").agg(F.count("*").alias("_c"))
+    most = F.col("_c") + F.greatest(F.col("size") - lead("size"), F.col("_size") - lead("_size"))
+    return shared.where((num + den) * most >= num * (F.col("size") + F.col("_size"))).select("a", "b")
 
 
 # --- 4: partial overlaps --------------------------------------------------------------------------------------------
@@ -355,9 +375,14 @@ def linked(pairs: DataFrame, sets: DataFrame, sizes: DataFrame, num: int, den: i
 def jaccard_components(docs: DataFrame, n: int = 5, num: int = 3, den: int = 4) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row of ``docs``: documents link when the Jaccard similarity of
     their n-gram sets is at least ``num / den``."""
+    with scratch(docs.sparkSession):
+        return _components(docs, n, num, den)
+
+
+def _components(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    described = stored(texts.mapInArrow(partial(_describe, n=n), "doc_id long, size long, digest binary, gram long"), "sets")
+    described = stored(texts.mapInArrow(partial(_describe, n=n), "doc_id long, size long, digest binary, gram long"), "sets", lasting=True)
     rows = described.where("gram IS NULL").select("doc_id", "size", "digest")
     known = rows.where("doc_id IS NOT NULL AND size > 0")
     classes = stored(known.groupBy("digest").agg(F.min("doc_id").alias("doc"), F.max("size").alias("size")), "classes")
@@ -375,10 +400,12 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 3, den: int = 4)
     met = sent.groupBy("fragment").applyInArrow(_meet, "gram long, doc long")
     met = met.withColumnRenamed("doc", "doc_id").join(heads, "doc_id").groupBy("gram", "doc").agg(F.max("size").alias("size"))
     met = open_rows(stored(met.withColumn("label", F.col("doc")), "met"), num, den)
+    for _ in range(2):  # documents that left may have freed n-grams
+        met = open_rows(met, num, den)
     candidates = met.select(F.col("doc").alias("doc_id")).distinct()
     sets = stored(texts.join(stored(candidates, "candidates"), "doc_id").mapInArrow(partial(_whole, n=n), "doc long, grams binary"), "grams")
 
-    links = tested = labels = None
+    tested = labels = None
     for turn in range(HUB_TURNS + 1):
         pairs = hub_pairs(met, turn, num, den) if turn < HUB_TURNS else rest_pairs(met, num, den)
         if tested is not None:
@@ -388,9 +415,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 3, den: int = 4)
         if pairs.isEmpty():
             continue
         found = stored(linked(pairs, sets, sizes, num, den), "links")
-        links = found if links is None else links.union(found)
         tested = pairs if tested is None else tested.union(pairs)
-        labels = components(links)
+        labels = components(found, labels)
         if turn < HUB_TURNS:
             label = labels.select(F.col("node").alias("doc"), F.col("component").alias("_label"))
             met = met.join(label, "doc", "left").withColumn("label", F.coalesce("_label", "doc")).drop("_label")
@@ -403,7 +429,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 3, den: int = 4)
     else:
         label = labels.select(F.col("node").alias("doc"), "component")
         named = classes.join(label, "doc", "left").select("digest", F.coalesce("component", "doc").alias("_component"))
-    named = stored(named.withColumnRenamed("digest", "_digest"), "named")
+    named = stored(named.withColumnRenamed("digest", "_digest"), "named", lasting=True)
     key = F.when(F.col("doc_id").isNotNull() & (F.col("size") > 0), F.col("digest"))
     out = rows.join(named, key == F.col("_digest"), "left")
     return out.select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("_component", "doc_id").alias("component_id"))

@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from threatlake.llm.common import U64, expand, mixed, part_count, prefix_hash, span_hash, stored, text_blocks, text_of
+from threatlake.llm.common import U64, expand, mixed, part_count, prefix_hash, scratch, span_hash, stored, text_blocks, text_of
 
 LENGTH = 400
 GRAM = 32
@@ -313,8 +313,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every row of ``docs``."""
-    spans = repeated_spans(docs, length).groupBy(*KEY).agg(F.collect_set(F.struct("a", "b")).alias("spans"))
-    spans = stored(spans, "spans")
+    with scratch(docs.sparkSession):
+        spans = repeated_spans(docs, length).groupBy(*KEY).agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+        spans = stored(spans, "spans", lasting=True)
     rows = docs.select(F.col("doc_id").alias("_given"), _id(), text_of().alias("text")).withColumn("text_hash", F.xxhash64("text"))
     rows = rows.join(spans, KEY, "left").select(F.col("_given").alias("doc_id"), "text", "spans")
     return rows.mapInArrow(
