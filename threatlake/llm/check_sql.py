@@ -38,7 +38,7 @@ held AS (SELECT DISTINCT doc_id, item_id FROM (SELECT doc_id, item_id, start, n,
     WHERE 4 * s >= 3 * (m + n - 8 - s)),
 items AS (SELECT doc_id, count(*) AS n_items, min(item_id) AS first_item, string_agg(item_id, ',' ORDER BY item_id) AS item_ids FROM held GROUP BY ALL)
 SELECT doc_id, n_items IS NOT NULL AS contaminated, coalesce(n_items, 0) AS n_items, first_item, coalesce(item_ids, '') AS item_ids
-FROM documents LEFT JOIN items USING (doc_id)
+FROM documents JOIN items USING (doc_id)
 """
 
 INNER_PRODUCTS = """
