@@ -200,7 +200,7 @@ def _send(batches: Iterator[pa.RecordBatch], n: int, frequent, fragments: int, n
                     docs.append(ids[first + i])
                     digests.append(hashlib.blake2b(s, digest_size=16).digest())
                     total += len(lead)
-            if total >= CHUNK_GRAMS:
+            if total >= CHUNK_GRAMS // 2:  # a chunk is sorted with its documents, twice the memory
                 yield from chunk()
                 grams, docs, digests, total = [], [], [], 0
     if grams:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from threatlake.llm.common import expand, prefix_hash, shared_path, span_hash, text_blocks, text_of
 
-CACHED_PIECES = 2_000_000
+CACHED_PIECES = 1_500_000
 LONG_PIECE = 256
 #: Stripe size and rows per index entry: small enough to prune by document, large enough to read in sequence.
 ORC_OPTIONS = {
@@ -59,10 +59,10 @@ class PieceEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.slots = np.zeros(4 * CACHED_PIECES, np.uint64)
-        self.place = np.zeros(4 * CACHED_PIECES, np.int32)
-        self.start = np.zeros(0, np.int64)
-        self.count = np.zeros(0, np.int64)
+        self.slots = np.zeros(2 * CACHED_PIECES + (1 << 20), np.uint64)
+        self.place = np.zeros(2 * CACHED_PIECES + (1 << 20), np.int32)
+        self.start = np.zeros(0, np.int32)
+        self.count = np.zeros(0, np.int32)
         self.ids = np.zeros(0, np.int32)
 
     def _find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -110,8 +110,8 @@ class PieceEncoder:
     def _add(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Append pieces; returns their numbers."""
         at = len(self.start)
-        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(counts) - counts])
-        self.count = np.concatenate([self.count, counts])
+        self.start = np.concatenate([self.start, (len(self.ids) + np.cumsum(counts) - counts).astype(np.int32)])
+        self.count = np.concatenate([self.count, counts.astype(np.int32)])
         self.ids = np.concatenate([self.ids, ids])
         return np.arange(at, at + len(counts))
 
@@ -142,7 +142,7 @@ class PieceEncoder:
         edges = np.searchsorted(starts, offsets)
         which = np.insert(which, edges[1:], len(start))
         start, count, ids = np.append(start, len(ids)), np.append(count, 1), np.append(ids, np.int32(self.end_id))
-        counts = count[which]
+        counts = count[which].astype(np.int64)
         edges = edges + np.arange(len(edges))
         return ids[expand(start[which], counts)], np.add.reduceat(counts, edges[:-1])
 
