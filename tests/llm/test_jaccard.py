@@ -56,6 +56,15 @@ def test_equals_brute_force(spark, monkeypatch, chunk):
     assert sorted(tuple(-1 if x is None else x for x in r) for r in got) == brute(rows)
 
 
+def test_a_text_and_the_same_with_a_third_more_words(spark):
+    rows = []
+    for i in range(300):
+        text, more = prose(5000 + i, 104), prose(9000 + i, 20 + i % 14)
+        rows += [(2 * i, text), (2 * i + 1, f"{text} {more}" if i % 2 else f"{more} {text}")]
+    got = jaccard_join.jaccard_components(documents(spark, rows)).collect()
+    assert sorted(map(tuple, got)) == brute(rows)
+
+
 def test_no_documents_and_nothing_alike(spark):
     assert jaccard_join.jaccard_components(empty(spark)).count() == 0
     got = jaccard_join.jaccard_components(documents(spark, [(1, "a b"), (2, None)])).collect()

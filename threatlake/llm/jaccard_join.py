@@ -7,9 +7,10 @@ sum of the overlaps of their segments, each counted in its fragment alone.
 1. *Sets.* One pass gives the size and a digest of every set, and, chunk by chunk, the frequent n-grams. Documents
    with equal sets form a class; its smallest id stands for it.
 2. *Leading fragments.* Two sets with the asked similarity share an n-gram among the first quarter of either. Each
-   document sends a little more than that to the fragments (``LEAD`` of it); what meets no other document there is known to be its own, and a
-   document with too many of its own can't be similar to anything and leaves. The chunk sends an n-gram once,
-   however many of its documents hold it, so a group of copies doesn't gather in a fragment.
+   document sends a little more than that to the fragments (``LEAD`` of it), and the place where its leading n-grams end. Of two
+   sets the one that ends first shares none of its leading n-grams but those it meets the other at; the one that ends later may
+   share more, with the rest of the other. So only a document that ends first is judged by what it meets there. The chunk sends
+   an n-gram once, however many of its documents hold it, so a group of copies doesn't gather in a fragment.
 3. *Candidates.* Documents that meet at an n-gram are compared with its hub, one of them; the components this gives
    are labels. N-grams held under one label and documents whose other n-grams can't make a similar pair under another
    label leave. After some turns with other hubs, the pairs under different labels that still meet follow. No pair
@@ -128,16 +129,18 @@ def frequent_grams(described: DataFrame) -> np.ndarray:
 # --- 2: leading fragments -----------------------------------------------------------------------------------------
 
 
-def _leading(s: np.ndarray, frequent: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The first n-grams of a set in the global order."""
+def _leading(s: np.ndarray, frequent: np.ndarray, num: int, den: int) -> tuple[np.ndarray, int]:
+    """The first n-grams of a set in the global order, and the place of the last of them there, less its two lowest bits."""
     least = -(-num * len(s) // den)
     take = min(len(s), max(len(s) - least + 1, int(np.ceil(LEAD * len(s)))))
+    rare = len(s)
     if len(frequent):
         spot = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
         common = frequent[spot] == s
         if common.any():
+            rare = len(s) - int(common.sum())
             s = np.concatenate([s[~common], s[common]])
-    return s[:take]
+    return s[:take], (int(s[take - 1]) >> 2) - (0 if take > rare else 1 << 62)
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -155,9 +158,10 @@ def _fragment_of(grams: np.ndarray, fragments: int) -> np.ndarray:
 
 def _send(batches: Iterator[pa.RecordBatch], n: int, frequent, fragments: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
     """Rows (fragment, meets, grams, docs): what a chunk sends to each fragment. ``meets`` 0: each n-gram once, to
-    find other chunks' documents; 2: the same, for n-grams whose holders here are known already; 1: those holders."""
+    find other chunks' documents; 2: the same, for n-grams whose holders here are known already; 1: those holders; 3: the
+    places where the leading n-grams of the documents end."""
     frequent = frequent.value
-    grams, docs, digests, total, turn = [], [], [], 0, 0
+    grams, docs, ends, digests, total, turn = [], [], [], [], 0, 0
 
     def chunk() -> Iterator[pa.RecordBatch]:
         nonlocal turn
@@ -170,9 +174,10 @@ def _send(batches: Iterator[pa.RecordBatch], n: int, frequent, fragments: int, n
         count = np.diff(np.append(np.flatnonzero(head), len(g)))
         several = np.repeat(count > 1, count)
         out = []
-        for meets, rows in ((0, head & ~several), (2, head & several), (1, several)):
-            gs, ds = g[rows], d[rows]
-            if meets == 1:
+        places = np.array([ends[i] for i in one], np.int64).view(np.uint64), np.array([docs[i] for i in one], np.int64)
+        some = [(meets, g[rows], d[rows]) for meets, rows in ((0, head & ~several), (2, head & several), (1, several))]
+        for meets, gs, ds in (*some, (3, *places)):
+            if meets in (1, 3):
                 for at in range(0, len(gs), 1 << 16):
                     turn += 1
                     out.append((turn * 7919 % fragments, meets, gs[at : at + (1 << 16)], ds[at : at + (1 << 16)]))
@@ -195,34 +200,38 @@ def _send(batches: Iterator[pa.RecordBatch], n: int, frequent, fragments: int, n
         for first, data, offsets in text_blocks(batch.column("text")):
             for i, s in enumerate(gram_sets(data, offsets, n)):
                 if len(s):
-                    lead = _leading(s, frequent, num, den)
+                    lead, end = _leading(s, frequent, num, den)
                     grams.append(np.sort(lead))
+                    ends.append(end)
                     docs.append(ids[first + i])
                     digests.append(hashlib.blake2b(s, digest_size=16).digest())
                     total += len(lead)
             if total >= CHUNK_GRAMS // 2:  # a chunk is sorted with its documents, twice the memory
                 yield from chunk()
-                grams, docs, digests, total = [], [], [], 0
+                grams, docs, ends, digests, total = [], [], [], [], 0
     if grams:
         yield from chunk()
 
 
 def _meet(found: pa.Table) -> pa.Table:
-    """(gram, doc) of the n-grams of a fragment that more than one document holds."""
+    """(gram, doc) of the n-grams of a fragment that more than one document holds; and, marked, the places of the documents' ends."""
     g, d, known = [], [], []
     for row in found.to_pylist():
         g.append(_unplanes(row["grams"], np.uint64))
         d.append(_unplanes(row["docs"], np.int64))
         known.append(np.full(len(d[-1]), row["meets"], np.int8))
     g, d, known = np.concatenate(g), np.concatenate(d), np.concatenate(known)
-    direct = known == 1
+    direct = known % 2 == 1
     sg, sd, sk = g[~direct], d[~direct], known[~direct]
     order = np.argsort(sg, kind="stable")
     sg, sd, sk = sg[order], sd[order], sk[order]
     edge = np.flatnonzero(np.concatenate([[True], sg[1:] != sg[:-1]])) if len(sg) else np.zeros(0, np.int64)
     count = np.diff(np.append(edge, len(sg)))
     met = np.repeat(count > 1, count) & (sk == 0)
-    return pa.table([_signed(np.concatenate([g[direct], sg[met]])), pa.array(np.concatenate([d[direct], sd[met]]))], ["gram", "doc"])
+    ends = np.concatenate([known[direct] == 3, np.zeros(int(met.sum()), bool)])
+    return pa.table(
+        [_signed(np.concatenate([g[direct], sg[met]])), pa.array(np.concatenate([d[direct], sd[met]])), pa.array(ends)], ["gram", "doc", "ends"]
+    )
 
 
 # --- 3: candidates --------------------------------------------------------------------------------------------------
@@ -234,35 +243,41 @@ def _lead(size: Column, num: int, den: int) -> Column:
 
 
 def open_rows(met: DataFrame, num: int, den: int) -> DataFrame:
-    """Of ``met(gram, doc, size, label)`` the rows that may lead to a similar pair under different labels, with ``_own``, the
-    leading n-grams of the document that no such pair can share.
-
-    A gram counts for a document if it is held under another label and if its smallest holder is small enough: two
-    sets share ``num / (num + den)`` of their summed sizes at least, and no more than a set has besides its own."""
-    size = F.col("size")
-    lead = _lead(size, num, den)
-    grams = met.groupBy("gram").agg(F.min("label").alias("_low"), F.max("label").alias("_high"), F.min("size").alias("_least"))
-    grams = stored(grams.where("_low < _high").select("gram", "_least"), "open")
-    own = F.col("_own") if "_own" in met.columns else F.lit(0)
+    """Of ``met(gram, doc, size, end, label)`` the rows that may lead to a similar pair under different labels, with ``_own``, the
+    leading n-grams of the document that no such pair can share if the document ends first in it.
+
+    Two sets share ``num / (num + den)`` of their summed sizes at least; the one that ends first no more than it has besides
+    its own, the other no more than its size. A row stays if its document can be the first to end and the smallest holder of the gram is small
+    enough, or if some holder that can be the first does not end behind it."""
+    size, end = F.col("size"), F.col("end")
+    if "_own" not in met.columns:
+        met = met.withColumn("_own", F.lit(0).cast("long"))
+    first = F.when(den * (size - F.col("_own")) >= num * size, end)
+    grams = met.groupBy("gram").agg(
+        F.min("label").alias("_low"), F.max("label").alias("_high"), F.min("size").alias("_least"), F.min(first).alias("_first")
+    )
+    grams = stored(grams.where("_low < _high AND _first IS NOT NULL").select("gram", "_least", "_first"), "open")
     least = F.greatest("_least", F.ceil(size * num / den))
-    met = met.join(grams, "gram").where((num + den) * (size - own) >= num * (size + least)).drop("_own", "_least")
-    foreign = met.groupBy("doc", "size").agg(F.count("*").alias("_met"))
-    kept = foreign.where(den * (size - lead + F.col("_met")) >= num * size).select("doc", (lead - F.col("_met")).alias("_own"))
-    return stored(met.join(kept, "doc"), "met")
+    enough = lambda most: (num + den) * most >= num * (size + least)
+    met = met.join(grams, "gram").where(enough(size - F.col("_own")) | (enough(size) & (F.col("_first") <= end)))
+    met = met.drop("_own", "_least", "_first")
+    own = met.groupBy("doc", "size").agg(F.count("*").alias("_met")).select("doc", (_lead(size, num, den) - F.col("_met")).alias("_own"))
+    return stored(met.join(own, "doc"), "met")
 
 
 def _fits(num: int, den: int):
-    """What the sizes of two sets, less what either has of its own, allow to be similar."""
-    most = F.least(F.col("size") - F.col("_own"), F.col("_size") - F.col("_less"))
-    return (num + den) * most >= num * (F.col("size") + F.col("_size"))
+    """What the sizes of two sets, less what the one that ends first has of its own, allow to be similar."""
+    ours, theirs = F.col("size") - F.col("_own"), F.col("_size") - F.col("_less")
+    first = F.when(F.col("end") < F.col("_end"), ours).when(F.col("end") > F.col("_end"), theirs).otherwise(F.greatest(ours, theirs))
+    return (num + den) * F.least(first, "size", "_size") >= num * (F.col("size") + F.col("_size"))
 
 
 def hub_pairs(met: DataFrame, turn: int, num: int, den: int) -> DataFrame:
     """Pairs of each document with the hub of each of its n-grams, where their labels differ. First the hub is the document
     with the least of its own, the likely original of a group of near copies; in later turns it is drawn by hash."""
     rank = F.struct(F.col("_own") / F.col("size"), "doc") if turn == 0 else F.struct(F.xxhash64("doc", F.lit(turn)), "doc")
-    hubs = met.groupBy("gram").agg(F.min_by(F.struct("doc", "size", "label", "_own"), rank).alias("_hub"))
-    names = {"doc": "b", "size": "_size", "label": "_label", "_own": "_less"}
+    hubs = met.groupBy("gram").agg(F.min_by(F.struct("doc", "size", "end", "label", "_own"), rank).alias("_hub"))
+    names = {"doc": "b", "size": "_size", "end": "_end", "label": "_label", "_own": "_less"}
     hubs = stored(hubs.select("gram", *[F.col(f"_hub.{k}").alias(v) for k, v in names.items()]), "hubs")
     pairs = met.join(hubs, "gram").where((F.col("label") != F.col("_label")) & _fits(num, den))
     return pairs.select(F.col("doc").alias("a"), "b").distinct()
@@ -270,7 +285,7 @@ def hub_pairs(met: DataFrame, turn: int, num: int, den: int) -> DataFrame:
 
 def rest_pairs(met: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs under different labels that meet at an n-gram."""
-    names = {"doc": "b", "size": "_size", "label": "_label", "_own": "_less"}
+    names = {"doc": "b", "size": "_size", "end": "_end", "label": "_label", "_own": "_less"}
     other = met.select("gram", *[F.col(k).alias(v) for k, v in names.items()])
     pairs = met.join(other, "gram").where((F.col("label") < F.col("_label")) & _fits(num, den))
     return _likely(pairs, num, den)
@@ -397,8 +412,9 @@ def _components(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
         partial(_send, n=n, frequent=frequent, fragments=fragments, num=num, den=den),
         "fragment int, meets int, grams binary, docs binary",
     )
-    met = sent.groupBy("fragment").applyInArrow(_meet, "gram long, doc long")
-    met = met.withColumnRenamed("doc", "doc_id").join(heads, "doc_id").groupBy("gram", "doc").agg(F.max("size").alias("size"))
+    found = stored(sent.groupBy("fragment").applyInArrow(_meet, "gram long, doc long, ends boolean"), "meet").withColumnRenamed("doc", "doc_id")
+    ends = found.where("ends").join(heads, "doc_id").groupBy("doc").agg(F.max("gram").alias("end"))
+    met = found.where("NOT ends").join(heads, "doc_id").groupBy("gram", "doc").agg(F.max("size").alias("size")).join(ends, "doc")
     met = open_rows(stored(met.withColumn("label", F.col("doc")), "met"), num, den)
     for _ in range(2):  # documents that left may have freed n-grams
         met = open_rows(met, num, den)
