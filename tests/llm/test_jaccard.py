@@ -65,6 +65,18 @@ def test_a_text_and_the_same_with_a_third_more_words(spark):
     assert sorted(map(tuple, got)) == brute(rows)
 
 
+def test_a_repeated_row_links_no_half_overlapping_neighbours(spark):
+    rows = []
+    for i in range(40):  # half of each neighbour is in the text whose row is repeated
+        w = prose(20000 + i, 120).split()
+        rows += [(1000 * i + 5, " ".join(w))] * 3
+        rows += [(1000 * i + k, " ".join(w[:70] + prose(30000 + 10 * i + k, 45 + k).split())) for k in (1, 2, 7, 9)]
+        rows += [(1000 * i + 10 + k, " ".join(w[:62] + prose(40000 + i, 60).split()[: 52 + k])) for k in range(4)]
+        rows += [(1000 * i + 3, prose(50000 + i, 60)), (1000 * i + 3, prose(60000 + i, 60)), (1000 * i + 4, prose(60000 + i, 60) + " end")]
+    got = jaccard_join.jaccard_components(documents(spark, rows)).collect()
+    assert sorted(map(tuple, got)) == brute(rows)
+
+
 def test_no_documents_and_nothing_alike(spark):
     assert jaccard_join.jaccard_components(empty(spark)).count() == 0
     got = jaccard_join.jaccard_components(documents(spark, [(1, "a b"), (2, None)])).collect()

@@ -4,8 +4,9 @@ N-grams have one global order: rare ones by a 64-bit value, then those that a la
 order is cut into fragments. A document's set falls into one segment for each fragment, and the overlap of two sets is the
 sum of the overlaps of their segments, each counted in its fragment alone.
 
-1. *Sets.* One pass gives the size and a digest of every set, and, chunk by chunk, the frequent n-grams. Documents
-   with equal sets form a class; its smallest id stands for it.
+1. *Sets.* One pass gives the size and a 64-bit digest of every set, and, chunk by chunk, the frequent n-grams. Documents
+   with equal sets form a class, named by the digest; all that follows compares classes ("documents" below), and only at the end
+   a component is named by its smallest id. Classes of rows that repeat an id are linked from the start.
 2. *Leading fragments.* Two sets with the asked similarity share an n-gram among the first quarter of either. Each
    document sends a little more than that to the fragments (``LEAD`` of it), and the place where its leading n-grams end. Of two
    sets the one that ends first shares none of its leading n-grams but those it meets the other at; the one that ends later may
@@ -80,13 +81,17 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
+def _class_of(s: np.ndarray) -> int:
+    return int.from_bytes(hashlib.blake2b(s, digest_size=8).digest(), "little", signed=True)
+
+
 # --- 1: sets ----------------------------------------------------------------------------------------------------
 
 
 def _describe(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """A row (doc_id, size, digest) for each document, and a row (gram, size = holders) for each n-gram that is
+    """A row (doc_id, size, doc = class) for each document, and a row (gram, size = holders) for each n-gram that is
     frequent in its chunk."""
-    names = ["doc_id", "size", "digest", "gram"]
+    names = ["doc_id", "size", "doc", "gram"]
     held, docs, total = [], 0, 0
 
     def frequent() -> pa.RecordBatch:
@@ -96,7 +101,7 @@ def _describe(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBa
         keep = count >= max(FREQUENT_LEAST, FREQUENT * docs)
         k = int(keep.sum())
         return pa.RecordBatch.from_arrays(
-            [pa.nulls(k, pa.int64()), pa.array(count[keep].astype(np.int64)), pa.nulls(k, pa.binary()), _signed(grams[edge][keep])], names
+            [pa.nulls(k, pa.int64()), pa.array(count[keep].astype(np.int64)), pa.nulls(k, pa.int64()), _signed(grams[edge][keep])], names
         )
 
     for batch in batches:
@@ -106,7 +111,7 @@ def _describe(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBa
                 [
                     batch.column("doc_id").slice(first, len(sets)),
                     pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([hashlib.blake2b(s, digest_size=16).digest() for s in sets], pa.binary()),
+                    pa.array([_class_of(s) for s in sets], pa.int64()),
                     pa.nulls(len(sets), pa.int64()),
                 ],
                 names,
@@ -161,11 +166,11 @@ def _send(batches: Iterator[pa.RecordBatch], n: int, frequent, fragments: int, n
     find other chunks' documents; 2: the same, for n-grams whose holders here are known already; 1: those holders; 3: the
     places where the leading n-grams of the documents end."""
     frequent = frequent.value
-    grams, docs, ends, digests, total, turn = [], [], [], [], 0, 0
+    grams, docs, ends, total, turn = [], [], [], 0, 0
 
     def chunk() -> Iterator[pa.RecordBatch]:
         nonlocal turn
-        _, one = np.unique(np.array(digests), return_index=True)  # of equal sets only the first
+        _, one = np.unique(np.array(docs), return_index=True)  # of equal sets only the first
         g = np.concatenate([grams[i] for i in one])
         d = np.repeat(np.array([docs[i] for i in one], np.int64), [len(grams[i]) for i in one])
         order = np.argsort(g, kind="stable")
@@ -196,19 +201,17 @@ def _send(batches: Iterator[pa.RecordBatch], n: int, frequent, fragments: int, n
             )
 
     for batch in batches:
-        ids = batch.column("doc_id").to_pylist()
-        for first, data, offsets in text_blocks(batch.column("text")):
-            for i, s in enumerate(gram_sets(data, offsets, n)):
+        for _, data, offsets in text_blocks(batch.column("text")):
+            for s in gram_sets(data, offsets, n):
                 if len(s):
                     lead, end = _leading(s, frequent, num, den)
                     grams.append(np.sort(lead))
                     ends.append(end)
-                    docs.append(ids[first + i])
-                    digests.append(hashlib.blake2b(s, digest_size=16).digest())
+                    docs.append(_class_of(s))
                     total += len(lead)
             if total >= CHUNK_GRAMS // 2:  # a chunk is sorted with its documents, twice the memory
                 yield from chunk()
-                grams, docs, ends, digests, total = [], [], [], [], 0
+                grams, docs, ends, total = [], [], [], 0
     if grams:
         yield from chunk()
 
@@ -304,11 +307,13 @@ def _likely(met: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _whole(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """(doc, grams): whole sets."""
+    """(doc, grams): whole sets of the rows whose class is among those that ``wanted`` names."""
     for batch in batches:
+        wanted = batch.column("wanted").to_pylist()
         for first, data, offsets in text_blocks(batch.column("text")):
-            sets = [s.tobytes() for s in gram_sets(data, offsets, n)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(sets)), pa.array(sets, pa.binary())], ["doc", "grams"])
+            sets = [(_class_of(s), s.tobytes()) for s in gram_sets(data, offsets, n)]
+            sets = [x for i, x in enumerate(sets) if x[0] in wanted[first + i]]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in sets], pa.int64()), pa.array([x[1] for x in sets], pa.binary())], ["doc", "grams"])
 
 
 def _segments(batches: Iterator[pa.RecordBatch], groups: int) -> Iterator[pa.RecordBatch]:
@@ -397,14 +402,15 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 3, den: int = 4)
 def _components(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    described = stored(texts.mapInArrow(partial(_describe, n=n), "doc_id long, size long, digest binary, gram long"), "sets", lasting=True)
-    rows = described.where("gram IS NULL").select("doc_id", "size", "digest")
+    described = stored(texts.mapInArrow(partial(_describe, n=n), "doc_id long, size long, doc long, gram long"), "sets", lasting=True)
+    rows = described.where("gram IS NULL").select("doc_id", "size", "doc")
     known = rows.where("doc_id IS NOT NULL AND size > 0")
-    classes = stored(known.groupBy("digest").agg(F.min("doc_id").alias("doc"), F.max("size").alias("size")), "classes")
+    classes = stored(known.groupBy("doc").agg(F.min("doc_id").alias("first"), F.max("size").alias("size")), "classes")
     sizes = classes.select("doc", "size")
-    heads = stored(
-        known.select("doc_id", "digest").distinct().join(classes, "digest").select("doc_id", "doc", "size"), "heads"
-    )
+    several = known.groupBy("doc_id").agg(F.count("*").alias("_rows"), F.min("doc").alias("a"), F.max("doc").alias("_last"))
+    several = stored(several.where("_rows > 1").drop("_rows"), "several")
+    same = known.join(several.where("a < _last"), "doc_id").where("a <> doc").select("a", F.col("doc").alias("b")).distinct()
+    same = stored(same, "same")
 
     frequent = spark.sparkContext.broadcast(frequent_grams(described))
     fragments = part_count(spark)
@@ -412,16 +418,26 @@ def _components(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
         partial(_send, n=n, frequent=frequent, fragments=fragments, num=num, den=den),
         "fragment int, meets int, grams binary, docs binary",
     )
-    found = stored(sent.groupBy("fragment").applyInArrow(_meet, "gram long, doc long, ends boolean"), "meet").withColumnRenamed("doc", "doc_id")
-    ends = found.where("ends").join(heads, "doc_id").groupBy("doc").agg(F.max("gram").alias("end"))
-    met = found.where("NOT ends").join(heads, "doc_id").groupBy("gram", "doc").agg(F.max("size").alias("size")).join(ends, "doc")
-    met = open_rows(stored(met.withColumn("label", F.col("doc")), "met"), num, den)
+    found = stored(sent.groupBy("fragment").applyInArrow(_meet, "gram long, doc long, ends boolean"), "meet")
+    ends = found.where("ends").groupBy("doc").agg(F.max("gram").alias("end")).join(sizes, "doc")
+    met = found.where("NOT ends").select("gram", "doc").distinct().join(ends, "doc").withColumn("label", F.col("doc"))
+    tested = labels = None
+    if not same.isEmpty():
+        labels = components(same)
+        met = _labelled(met, labels)
+    met = open_rows(stored(met, "met"), num, den)
     for _ in range(2):  # documents that left may have freed n-grams
         met = open_rows(met, num, den)
-    candidates = met.select(F.col("doc").alias("doc_id")).distinct()
-    sets = stored(texts.join(stored(candidates, "candidates"), "doc_id").mapInArrow(partial(_whole, n=n), "doc long, grams binary"), "grams")
+    wanted = met.select("doc").distinct().join(classes, "doc").groupBy(F.col("first").alias("doc_id")).agg(F.collect_list("doc").alias("wanted"))
+    wanted = stored(wanted, "wanted")
+    whole = lambda ids: texts.join(ids, "doc_id").mapInArrow(partial(_whole, n=n), "doc long, grams binary")
+    if several.isEmpty():
+        sets = whole(wanted)
+    else:  # one row of each class
+        again = several.select("doc_id")
+        sets = whole(wanted.join(again, "doc_id", "left_anti")).union(whole(wanted.join(again, "doc_id", "left_semi")).dropDuplicates(["doc"]))
+    sets = stored(sets, "grams")
 
-    tested = labels = None
     for turn in range(HUB_TURNS + 1):
         pairs = hub_pairs(met, turn, num, den) if turn < HUB_TURNS else rest_pairs(met, num, den)
         if tested is not None:
@@ -434,18 +450,23 @@ def _components(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
         tested = pairs if tested is None else tested.union(pairs)
         labels = components(found, labels)
         if turn < HUB_TURNS:
-            label = labels.select(F.col("node").alias("doc"), F.col("component").alias("_label"))
-            met = met.join(label, "doc", "left").withColumn("label", F.coalesce("_label", "doc")).drop("_label")
-            met = open_rows(met, num, den)
+            met = open_rows(_labelled(met, labels), num, den)
             if met.isEmpty():
                 break
 
     if labels is None:
-        named = classes.select("digest", F.col("doc").alias("_component"))
+        named = classes.select("doc", F.col("first").alias("_component"))
     else:
-        label = labels.select(F.col("node").alias("doc"), "component")
-        named = classes.join(label, "doc", "left").select("digest", F.coalesce("component", "doc").alias("_component"))
-    named = stored(named.withColumnRenamed("digest", "_digest"), "named", lasting=True)
-    key = F.when(F.col("doc_id").isNotNull() & (F.col("size") > 0), F.col("digest"))
-    out = rows.join(named, key == F.col("_digest"), "left")
+        joined = stored(labels.withColumnRenamed("node", "doc").join(classes.select("doc", "first"), "doc"), "joined")
+        names = stored(joined.groupBy("component").agg(F.min("first").alias("_name")), "names")
+        label = joined.join(names, "component").select("doc", "_name")
+        named = classes.join(label, "doc", "left").select("doc", F.coalesce("_name", "first").alias("_component"))
+    named = stored(named.withColumnRenamed("doc", "_class"), "named", lasting=True)
+    key = F.when(F.col("doc_id").isNotNull() & (F.col("size") > 0), F.col("doc"))
+    out = rows.join(named, key == F.col("_class"), "left")
     return out.select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("_component", "doc_id").alias("component_id"))
+
+
+def _labelled(met: DataFrame, labels: DataFrame) -> DataFrame:
+    label = labels.select(F.col("node").alias("doc"), F.col("component").alias("_label"))
+    return met.join(label, "doc", "left").withColumn("label", F.coalesce("_label", "doc")).drop("_label")
