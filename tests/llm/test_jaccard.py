@@ -77,6 +77,14 @@ def test_a_repeated_row_links_no_half_overlapping_neighbours(spark):
     assert sorted(map(tuple, got)) == brute(rows)
 
 
+def test_frequent_grams_are_bounded_over_all_chunks(spark):
+    docs = spark.range(6000).selectExpr("id AS doc_id", "10L AS size", "id AS doc", "CAST(NULL AS LONG) AS gram")
+    row = ["CAST(NULL AS LONG) AS doc_id", "10L AS size", "CAST(NULL AS LONG) AS doc"]
+    near = spark.range(5000).selectExpr(*row, "id AS gram")  # each in the copies of one chunk
+    wide = spark.range(6).selectExpr(*row, "-1L AS gram")
+    assert jaccard_join.frequent_grams(docs.union(near).union(wide)).tolist() == [2**64 - 1]
+
+
 def test_no_documents_and_nothing_alike(spark):
     assert jaccard_join.jaccard_components(empty(spark)).count() == 0
     got = jaccard_join.jaccard_components(documents(spark, [(1, "a b"), (2, None)])).collect()

@@ -41,7 +41,8 @@ from threatlake.llm.components import components
 
 #: Part of each set that goes to the leading fragments; more than 1 minus the similarity.
 LEAD = 0.35
-#: An n-gram held by this part of the documents of some chunk, and by at least FREQUENT_LEAST of them, is frequent.
+#: An n-gram is frequent if the chunks where this part of the sets, and at least FREQUENT_LEAST of them, hold it have so many holders
+#: that they are this part of all documents.
 FREQUENT, FREQUENT_LEAST = 0.002, 8
 CHUNK_GRAMS = 2_000_000
 #: Turns of comparing with hubs; fragments of the partial overlaps; partners of a document that go to one cell.
@@ -92,13 +93,14 @@ def _describe(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBa
     """A row (doc_id, size, doc = class) for each document, and a row (gram, size = holders) for each n-gram that is
     frequent in its chunk."""
     names = ["doc_id", "size", "doc", "gram"]
-    held, docs, total = [], 0, 0
+    held: dict[int, np.ndarray] = {}  # each distinct set once
+    total = 0
 
     def frequent() -> pa.RecordBatch:
-        grams = np.sort(np.concatenate(held))
+        grams = np.sort(np.concatenate(list(held.values())))
         edge = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
         count = np.diff(np.append(edge, len(grams)))
-        keep = count >= max(FREQUENT_LEAST, FREQUENT * docs)
+        keep = count >= max(FREQUENT_LEAST, FREQUENT * len(held))
         k = int(keep.sum())
         return pa.RecordBatch.from_arrays(
             [pa.nulls(k, pa.int64()), pa.array(count[keep].astype(np.int64)), pa.nulls(k, pa.int64()), _signed(grams[edge][keep])], names
@@ -107,27 +109,33 @@ def _describe(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBa
     for batch in batches:
         for first, data, offsets in text_blocks(batch.column("text")):
             sets = gram_sets(data, offsets, n)
+            classes = [_class_of(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").slice(first, len(sets)),
                     pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([_class_of(s) for s in sets], pa.int64()),
+                    pa.array(classes, pa.int64()),
                     pa.nulls(len(sets), pa.int64()),
                 ],
                 names,
             )
-            held += [s for s in sets if len(s)]
-            docs, total = docs + len(sets), total + sum(map(len, sets))
+            for c, s in zip(classes, sets):
+                if len(s) and c not in held:
+                    held[c] = s
+                    total += len(s)
             if total >= CHUNK_GRAMS:
                 yield frequent()
-                held, docs, total = [], 0, 0
+                held, total = {}, 0
     if held:
         yield frequent()
 
 
 def frequent_grams(described: DataFrame) -> np.ndarray:
-    """Values of the n-grams that are frequent somewhere. A chunk names at most 1 / FREQUENT times the mean size of its sets."""
+    """Values of the n-grams that are frequent in the corpus. A document counts for no more n-grams than its set has, so there
+    are at most 1 / FREQUENT times the mean size of the sets, whatever the number of chunks."""
+    docs = described.where("gram IS NULL AND size > 0").count()
     found = described.where("gram IS NOT NULL").groupBy("gram").agg(F.sum("size").alias("holders"))
+    found = found.where(F.col("holders") >= max(FREQUENT_LEAST, FREQUENT * docs))
     return np.sort(np.array([r[0] for r in found.select("gram").toLocalIterator()], np.int64).view(np.uint64))
 
 
