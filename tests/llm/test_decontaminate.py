@@ -58,6 +58,15 @@ def test_equals_brute_force(spark, monkeypatch, broadcast_rows):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(d) for d, held in want if not held)
 
 
+def test_missing_words_filled_up_with_one_word(spark):
+    items = [(i, prose(8000 + i, 59)) for i in range(60)]
+    fill = ["|", "-", "x", "end"]
+    rows = [(i, " ".join([prose(9000 + i, 20), *t.split()[:52], *[fill[i % 4]] * 12])) for i, t in items]
+    got = decontaminate.contaminated(documents(spark, rows), table(spark, items)).collect()
+    assert {(r.doc_id, r.item_ids) for r in got} == {(i, str(i)) for i, _ in items}
+    assert all(brute(t, items[i : i + 1]) == [i] for i, t in rows)
+
+
 def test_no_documents_and_no_items(spark):
     rows, items = cases()
     assert decontaminate.contaminated(empty(spark), table(spark, items)).count() == 0

@@ -6,10 +6,11 @@ Jaccard similarity with it over word shingles (``sum of minima / sum of maxima``
 1. *Windows.* Moving a window forward to the next shingle that it shares with the item loses nothing it shares, so windows that
    start at a shared shingle (or end with the document) are all that matter, and of those the ones that hold
    enough shared shingles for the similarity. Both follow from the positions of shared shingles alone.
-2. *Fingerprints.* Each such window and each item has a 64-bit SimHash: bit by bit the majority of its words' hashes.
+2. *Fingerprints.* Each such window and each item has a 64-bit SimHash: bit by bit the majority of the hashes of its pairs (shingle,
+   number of its occurrence). The similarity is that of the sets of these pairs, so a repeated word weighs no more here than there.
 3. *Multi-index.* Fingerprints are cut into RADIUS + 1 blocks. Two within RADIUS bits of each other agree in one block
    at least, so an equi-join on (size, block, value) finds every such pair, whatever the number of items; other pairs are then dropped by
-   their distance. A window that is similar enough differs from the item in a seventh of its words at most, which puts
+   their distance. A window that is similar enough shares six sevenths of its pairs with the item (a cosine of 6/7 at least), which puts
    its fingerprint more than four standard deviations inside the radius.
 4. *Exact similarity* of the remaining pairs, from the counts of their shingles.
 
@@ -48,9 +49,11 @@ def shingles_of(words: Column, length: int) -> Column:
     return F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), run)).otherwise(F.array().cast("array<bigint>"))
 
 
-def fingerprints(rows: DataFrame, by: list[str], words: str) -> DataFrame:
-    """One row for each ``by`` with ``print``, the SimHash of its words. Two counters share a long."""
-    hashed = rows.select(*by, F.explode(words).alias("_w")).select(*by, F.xxhash64("_w").alias("_h"))
+def fingerprints(counts: DataFrame, by: list[str]) -> DataFrame:
+    """One row for each ``by`` with ``print``, the SimHash of its shingles ``h``, each as often as its count ``c`` with the
+    number of the occurrence. Two counters share a long."""
+    numbers = F.explode(F.sequence(F.lit(1), F.col("c").cast("int")))
+    hashed = counts.select(*by, "h", numbers.alias("_i")).select(*by, F.xxhash64("h", "_i").alias("_h"))
     bit = lambda i: F.shiftrightunsigned("_h", i).bitwiseAND(1)
     sums = [F.sum(bit(i) + F.shiftleft(bit(i + 32), 32)).alias(f"_s{i}") for i in range(32)]
     counted = hashed.groupBy(*by).agg(F.count("*").alias("_n"), *sums)
@@ -133,15 +136,16 @@ def _held_items(docs: DataFrame, benchmark: DataFrame, num: int, den: int) -> Da
     cuts = stored(texts.select(*KEY, F.inline(F.transform("_windows", cut))), "cuts")
 
     window = [*KEY, "n", "m", "start", "length"]
-    ours = blocks(fingerprints(cuts, window, "window"))
-    theirs = blocks(fingerprints(items, ["item_id", "n", "length"], "words")).withColumnRenamed("print", "_print")
+    held = [cuts.where(F.col("length") == k).select(*window, shingles_of(F.col("window"), k).alias("_hs")) for k in lengths]
+    # dealt by window, so that neither counting nor fingerprints need another shuffle
+    held = reduce(DataFrame.unionByName, held).repartition(*window).select(*window, F.explode("_hs").alias("h"))
+    counts = held.groupBy(*window, "h").agg(F.count("*").alias("c"))
+    ours = blocks(fingerprints(counts, window))
+    theirs = blocks(fingerprints(shingles, ["item_id", "n", "length"])).withColumnRenamed("print", "_print")
     pairs = ours.join(theirs, ["n", "length", "block", "value"])
     pairs = pairs.where(F.bit_count(F.col("print").bitwiseXOR(F.col("_print"))) <= RADIUS).select(*window, "item_id").distinct()
 
-    counts = [
-        cuts.where(F.col("length") == k).select(*window, F.explode(shingles_of(F.col("window"), k)).alias("h")) for k in lengths
-    ]
-    counts = reduce(DataFrame.unionByName, counts).groupBy(*window, "h").agg(F.count("*").alias("_c"))
+    counts = counts.withColumnRenamed("c", "_c")
     both = counts.join(pairs, window).join(shingles.select("item_id", "h", "c"), ["item_id", "h"])
     shared = both.groupBy(*window, "item_id").agg(F.sum(F.least("c", "_c")).alias("_shared"))
     sizes = F.col("m") + F.col("n") - 2 * F.col("length") + 2
