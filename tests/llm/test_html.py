@@ -20,6 +20,21 @@ def test_article_is_found(page):
     assert main_text(page) == WANT
 
 
+TEXT = ARTICLE.replace("h1", "h2")
+
+
+@pytest.mark.parametrize("page", [
+    *[f"<body><nav><a href=1>Home</a></nav><div {name}>{TEXT}</div><div class='sidebar'>Other <a href=x>things</a></div></body>" for name in (
+        "class='content no-sidebar'", "class='has-sidebar'", "class='with-banner'", "class='post-share'", "class='entry related-layout'", "id='page-widget'",
+        "class='widget'",
+    )],
+    f"<body><div class='layout sidebar'><article>{TEXT}</article></div><div class='comments'><article class='comment'>{'A reader says this. ' * 20}</article></div></body>",
+])
+def test_class_words_alone_take_no_article_out(page):
+    assert WANT in main_text(page)
+    assert "Other" not in main_text(page)
+
+
 def test_sections_and_headings_outside_an_article_element():
     page = (
         "<body><div><a href=1>Home</a> <a href=2>News</a></div><div class=wrap><h1>Head</h1><div><div><p>One long paragraph that goes on.</p>"

@@ -8,7 +8,8 @@ with C characters and T tags below a node, LC and LT of them in links, and the s
 A node's density sum adds the densities of its children. The subtree with the largest sum holds the article. The least density
 on its path to the body is the threshold: wherever a node reaches it, the subtree with the largest sum below it
 belongs to the article too, as does an ``article`` or ``main`` element around the first. Elements that are never part of an article (navigation, forms, asides, notices,
-reader comments and such, by element, role, class or id) are taken out before.
+reader comments and such, by element, role, class or id) are taken out before. Class and id alone never take out an element
+that holds an ``article`` or ``main`` or most of the page's text outside links: there the density decides.
 
 Pages are independent: one narrow pass, no shuffle.
 
@@ -64,15 +65,20 @@ APART_WORDS = set(
     "newsletter notice notices notification pager pagination popup promo promos promotion recommended related replies respond share sharing sidebar "
     "signup social sponsor sponsored subscribe subscription toolbar widget widgets".split()
 )
+#: Words that may stand beside those in a name; with any other ('no-sidebar', 'post-share') it says something else.
+BESIDE = set(
+    "area bar block body bottom box btn button buttons container content first float group inner item items last left links list outer posts "
+    "primary right row second secondary section site slot small sticky top unit wrap wrapper".split()
+)
 KEPT = set("html body article main h1".split())
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "apart", "title", "chars", "tags", "link_chars", "link_tags", "density", "total", "chosen")
+    __slots__ = ("tag", "parent", "children", "apart", "named", "title", "chars", "tags", "link_chars", "link_tags", "density", "total", "chosen")
 
     def __init__(self, tag: str, parent: Node | None) -> None:
         self.tag, self.parent, self.children = tag, parent, []
-        self.apart = self.title = self.chosen = False
+        self.apart = self.named = self.title = self.chosen = False
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
@@ -90,8 +96,17 @@ def _is_apart(tag: str, attributes: str, inside_article: bool) -> bool:
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
-        if name in ("class", "id") and not APART_WORDS.isdisjoint(_PART.findall(value)):
-            return True
+    return False
+
+
+def _is_named_apart(attributes: str) -> bool:
+    """Whether a class or id marks such a part."""
+    for name, *values in _ATTRIBUTE.findall(attributes):
+        if name.lower() in ("class", "id"):
+            for token in "".join(values).lower().split():
+                parts = set(_PART.findall(token))
+                if not APART_WORDS.isdisjoint(parts) and parts <= APART_WORDS | BESIDE:
+                    return True
     return False
 
 
@@ -136,6 +151,7 @@ def parse(page: str) -> Node:
         attributes = found[3] or found[6] or ""
         child = Node(tag, node)
         child.apart = _is_apart(tag, attributes, article > 0)
+        child.named = not child.apart and bool(attributes) and _is_named_apart(attributes)
         node.children.append(child)
         if tag in RAW:
             close = re.compile(rf"</{tag}[\s/>]", re.I).search(page, at)
@@ -161,6 +177,20 @@ def _nodes(root: Node) -> list[Node]:
 
 def _prune(root: Node) -> None:
     nodes = _nodes(root)
+    linked: dict[int, bool] = {}  # in a link or an element that leaves anyway
+    for node in nodes:
+        linked[id(node)] = node.apart or node.tag == "a" or (node.parent is not None and linked[id(node.parent)])
+    plain: dict[int, int] = {}
+    body: dict[int, bool] = {}
+    for node in reversed(nodes):
+        inside = [c for c in node.children if isinstance(c, Node)]
+        own = 0 if linked[id(node)] else sum(len(" ".join(c.split())) for c in node.children if isinstance(c, str))
+        plain[id(node)] = own + sum(plain[id(c)] for c in inside)
+        # an element named as a comment or such is no article, whatever its tag
+        body[id(node)] = not node.apart and (node.tag in ("article", "main") and not node.named or any(body[id(c)] for c in inside))
+    for node in nodes:
+        if node.named and node.tag not in KEPT and not body[id(node)] and 2 * plain[id(node)] <= plain[id(root)]:
+            node.apart = True
     for node in reversed(nodes):
         if node.tag == "h1" and not node.apart or any(isinstance(c, Node) and c.title for c in node.children):
             node.title = node.tag not in APART
