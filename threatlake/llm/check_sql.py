@@ -49,3 +49,31 @@ s AS (SELECT q.vec_id AS query_id, x.vec_id, CAST(list_inner_product(CAST(q.f AS
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
 FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20
 """
+
+
+def _centroid_clusters(k: int = 40, rounds: int = 5) -> str:
+    """The rounds of the clustering, one after the other; a sum is divided downwards, whatever its sign."""
+    nearest = """SELECT vec_id, f, arg_min(num, (d, num)) AS num, min(d) AS d FROM (
+        SELECT vec_id, f, num, CAST(list_sum(list_transform(list_zip(f, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d
+        FROM v, c{0}) GROUP BY vec_id, f"""
+    steps = []
+    for i in range(rounds):
+        steps.append(f"a{i} AS MATERIALIZED ({nearest.format(i)})")
+        steps.append(f"""c{i + 1} AS MATERIALIZED (SELECT num, coalesce(g, c) AS c FROM c{i} LEFT JOIN (
+            SELECT num, list((s - ((s % n) + n) % n) // n ORDER BY j) AS g FROM (
+                SELECT num, j, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM (
+                    SELECT num, unnest(f) AS x, unnest(range(64)) AS j FROM a{i}) GROUP BY num, j) GROUP BY num) USING (num))""")
+    return f"""
+WITH v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS f FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS num, f AS c FROM (
+    SELECT f, sha256('2:' || vec_id) AS h FROM v ORDER BY h LIMIT {k})),
+{", ".join(steps)},
+a AS MATERIALIZED ({nearest.format(rounds)})
+SELECT vec_id, CAST(num AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY num) AS BIGINT) AS cluster_inertia,
+    CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a JOIN c{rounds} USING (num)
+"""
+
+
+CENTROID_CLUSTERS = _centroid_clusters()

@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from threatlake.catalog.registry import Catalog
 from threatlake.llm import (
-    check_sql, cube_mix, decontaminate, hilbert_shards, html_density, jaccard_join, pivot_search, repeats, subword_quality, token_counts, token_files,
+    centroid_clusters, check_sql, cube_mix, decontaminate, hilbert_shards, html_density, jaccard_join, pivot_search, repeats, subword_quality,
+    token_alignment, token_counts, token_files,
 )
 from threatlake.llm.common import shared_path, table, text_of
 
@@ -75,6 +76,17 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
     return html_density.extract_main_text(table(spark, sf, "pages"))
 
 
+@query("op11_centroid_clusters", check_sql.CENTROID_CLUSTERS)
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    return centroid_clusters.cluster(table(spark, sf, "embeddings"))
+
+
+@query("op13_token_alignment")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return token_alignment.align(table(spark, sf, "documents"), a, b)
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     import corpus_pipeline
