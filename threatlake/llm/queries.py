@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from threatlake.catalog.registry import Catalog
 from threatlake.llm import (
-    centroid_clusters, check_sql, cube_mix, decontaminate, hilbert_shards, html_density, jaccard_join, pivot_search, repeats, subword_quality,
-    token_alignment, token_counts, token_files,
+    centroid_clusters, check_sql, cube_mix, decontaminate, hilbert_shards, html_density, jaccard_join, personal_data, pivot_search, repeats,
+    subword_quality, token_alignment, token_counts, token_files,
 )
 from threatlake.llm.common import shared_path, table, text_of
 
@@ -81,6 +81,11 @@ def op11(spark: SparkSession, sf: str) -> DataFrame:
     return centroid_clusters.cluster(table(spark, sf, "embeddings"))
 
 
+@query("op12_personal_data")
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    return personal_data.personal_data(table(spark, sf, "documents"))
+
+
 @query("op13_token_alignment")
 def op13(spark: SparkSession, sf: str) -> DataFrame:
     a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
