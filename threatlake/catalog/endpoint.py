@@ -21,6 +21,14 @@ query = catalog.query
 GAP = 200_000
 
 
+def monitored(ev: DataFrame) -> DataFrame:
+    """Events with the columns that the monitors read off a row alone."""
+    ev = network.with_hosting(network.with_ip_class(ev))
+    return dns.dns_domain_features(ev).withColumns(
+        {"is_suspicious_client": network.is_suspicious_client(F.col("process_name")), "threat_flagged": F.col("remote_ip").isin(*V.BLOCKLIST_IPS)}
+    )
+
+
 def observed(spark: SparkSession, sf: str) -> DataFrame:
     """Telemetry with the columns the monitors add: address class, tracker counts, DNS features."""
     ev = telemetry(spark, sf)
@@ -28,15 +36,9 @@ def observed(spark: SparkSession, sf: str) -> DataFrame:
         F.col("seq").alias("_seq"), F.col("connection_count").alias("_cc"),
         F.col("is_repeated_burst").alias("_burst"), F.col("is_wide_fanout").alias("_fan"),
     )
-    ev = ev.join(stats, F.col("seq") == F.col("_seq"), "left")
-    ev = network.with_hosting(network.with_ip_class(ev))
-    ev = dns.dns_domain_features(ev)
+    ev = monitored(ev.join(stats, F.col("seq") == F.col("_seq"), "left"))
     return ev.withColumns(
-        {
-            "connection_count": F.col("_cc"), "is_repeated_burst": F.col("_burst"), "is_wide_fanout": F.col("_fan"),
-            "is_suspicious_client": network.is_suspicious_client(F.col("process_name")),
-            "threat_flagged": F.col("remote_ip").isin(*V.BLOCKLIST_IPS),
-        }
+        {"connection_count": F.col("_cc"), "is_repeated_burst": F.col("_burst"), "is_wide_fanout": F.col("_fan")}
     ).drop("_seq", "_cc", "_burst", "_fan")
 
 
@@ -448,9 +450,11 @@ def asof_download_process(spark, sf):
         "seq", F.col("download.seq").alias("download_seq"))
 
 
-@query("asof_process_network", _ASOF + """, m AS (SELECT host, pid, ts, seq, download_seq FROM x WHERE download_seq IS NOT NULL UNION ALL SELECT host, pid, ts, seq, NULL FROM tele WHERE event_type = 'process_terminated'),
-  n AS (SELECT t.seq, arg_max(struct_pack(d := m.download_seq), struct_pack(a := m.ts, b := m.seq)).d AS download_seq FROM tele t JOIN m ON t.host = m.host AND t.pid = m.pid AND (m.ts < t.ts OR (m.ts = t.ts AND m.seq < t.seq)) WHERE t.event_type = 'network_connection_observed' GROUP BY t.seq)
-  SELECT seq, download_seq FROM n WHERE download_seq IS NOT NULL""")
+_CALLS = """, m AS (SELECT host, pid, ts, seq, download_seq FROM x WHERE download_seq IS NOT NULL UNION ALL SELECT host, pid, ts, seq, NULL FROM tele WHERE event_type = 'process_terminated'),
+  n AS (SELECT t.seq, arg_max(struct_pack(d := m.download_seq), struct_pack(a := m.ts, b := m.seq)).d AS download_seq FROM tele t JOIN m ON t.host = m.host AND t.pid = m.pid AND (m.ts < t.ts OR (m.ts = t.ts AND m.seq < t.seq)) WHERE t.event_type = 'network_connection_observed' GROUP BY t.seq)"""
+
+
+@query("asof_process_network", _ASOF + _CALLS + " SELECT seq, download_seq FROM n WHERE download_seq IS NOT NULL")
 def asof_process_network(spark, sf):
     return correlate.asof_process_network(telemetry(spark, sf)).select("seq", F.col("download.seq").alias("download_seq"))
 
@@ -554,6 +558,23 @@ def first_last_seen(spark, sf):
 # --- store ------------------------------------------------------------------------------------------------------
 
 
+@query("store_upsert", _STORE + f" SELECT {_STORE_COLS} FROM store")
+def store_upsert(spark, sf):
+    """Three interleaved thirds of the events, added to the store one after the other; sessions are split over all of them."""
+    from uuid import uuid4
+
+    from threatlake.operators import upsert
+    from threatlake.session import ensure_checkpoint_dir
+
+    path = f"{ensure_checkpoint_dir(spark)}/upsert-{uuid4().hex}"
+    events = cut_lineage(judged(spark, sf))
+    for version in range(3):
+        part = cut_lineage(store.to_store(events.where(F.col("seq") % 3 == version), GAP))
+        upsert.upsert(part, path, version, GAP)
+    return _store_row(upsert.read_live(spark, path, part.schema))
+
+
+
 @query("sink_store", _STORE + " SELECT CAST(CAST(make_timestamp(first_us) AS DATE) AS VARCHAR) AS event_date, count(*) AS events, CAST(sum(repeat_count) AS BIGINT) AS observations FROM store GROUP BY ALL")
 def sink_store(spark, sf):
     """Write the store partitioned by date into the shared folder, read it back and count per day."""

@@ -442,64 +442,100 @@ def threat_timeline(spark, sf):
     return as_long(t.select("id", "host", "event_type", "severity", "score", "repeat_count"))
 
 
-# --- streams (each runs over the given events with an available-now trigger) ---------------------------------------
+# --- streams (each runs over the given events in several micro-batches, out of order) -------------------------------
 
+CHUNKS = 4
 
-def _stream(spark, sf):
-    """The event table as a stream of files in the telemetry shape."""
-    from threatlake.streaming.operators import use_rocksdb
 
-    use_rocksdb(spark)
-    schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    return X.shape_telemetry(spark.sql(X.TELEMETRY, events=raw))
-
-
-def _drain(df, spark):
-    """Run a stream to its end into a shared folder and read the result."""
+def _stream(spark, rows, ts="ts", last=None):
+    """``rows`` as a stream of CHUNKS micro-batches and a heartbeat, and the delay in seconds that covers their disorder: rows arrive up to half a
+    micro-batch late. The heartbeat is at ``last``, or a year after the newest row."""
+    from math import ceil
     from uuid import uuid4
 
     from threatlake.session import ensure_checkpoint_dir
+    from threatlake.streaming.ordered import HEARTBEAT
 
     base = f"{ensure_checkpoint_dir(spark)}/stream-{uuid4().hex}"
-    job = df.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/cp").trigger(availableNow=True).start()
-    job.awaitTermination()
+    rows.write.parquet(f"{base}/rows")
+    rows = spark.read.parquet(f"{base}/rows")
+    lo, hi = rows.agg(F.min(F.unix_micros(ts)), F.max(F.unix_micros(ts))).first()
+    width = ceil(((hi or 0) - (lo or 0) + 1) / CHUNKS)
+    late = F.pmod(F.xxhash64("seq"), F.lit(max(1, width // 2)))
+    arrival = F.least(F.floor((F.unix_micros(ts) + late - F.lit(lo)) / width), F.lit(CHUNKS - 1))
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    for i in range(CHUNKS):
+        rows.where(arrival == i).repartition(parts).write.mode("append").parquet(f"{base}/in")
+    delay = ceil(1.5 * width / 1_000_000) + 1
+    beat = spark.range(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema.fields])
+    at = last(hi, delay) if last else (hi or 0) + (365 * 86400 + delay) * 1_000_000
+    beat = beat.withColumns({ts: F.timestamp_micros(F.lit(at)), "event_type": F.lit(HEARTBEAT)})
+    beat.select(*rows.columns).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", parts).parquet(f"{base}/in"), delay, base
+
+
+def _finish(writer):
+    writer.trigger(availableNow=True).start().awaitTermination()
+
+
+def _ordered(spark, start, base, columns):
+    """Run an ordered stream to its end and read its output."""
+    _finish(start)
+    return spark.read.parquet(f"{base}/out").select(*columns)
+
+
+def _drain(df, spark, base):
+    """Run a stream to its end into the shared folder and read the result."""
+    _finish(df.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint"))
     return spark.read.schema(df.schema).parquet(f"{base}/out")
 
 
-@query("stream_findings")
+@query("stream_findings", E.O.ALL + " SELECT seq, event_type, array_to_string(ids, ',') AS rules, score FROM scored")
 def stream_findings(spark, sf):
     from threatlake.functions.findings import rule_ids
     from threatlake.sources.feeds import load_feeds
     from threatlake.streaming import operators as ST
 
-    out = ST.stream_findings(_stream(spark, sf), load_feeds(spark))
-    return as_long(_drain(out.select("seq", "event_type", rule_ids("findings").alias("rules"), "score"), spark))
+    events, delay, base = _stream(spark, X.telemetry(spark, sf))
+    out = _ordered(spark, ST.stream_findings(events, load_feeds(spark), f"{base}/run", delay, E.monitored), f"{base}/run", ["seq", "event_type", "findings", "score"])
+    return as_long(out.select("seq", "event_type", rule_ids("findings").alias("rules"), "score"))
+
+
+@query("stream_cooldown", E.O.ALL.replace("WITH ", "WITH RECURSIVE ", 1) + E._LONG + E._RECURSE + " SELECT seq, CAST(pos AS BIGINT) AS pos, emitted FROM r")
+def stream_cooldown(spark, sf):
+    from threatlake.streaming import operators as ST
+
+    ST.use_rocksdb(spark)
+    judged = E.judged(spark, sf).where(~F.col("event_type").rlike("^(startup_item|scheduled_task|service)_"))
+    events, delay, base = _stream(spark, judged)
+    return as_long(_drain(ST.stream_cooldown(events, E._DAY, f"{delay} seconds"), spark, base).select("seq", "pos", "emitted"))
 
 
 @query("stream_conn_stats", f"WITH {E.O.TELE}, {E.O.GEN}, {E.O.STATS} SELECT seq, connection_count, unique_destinations FROM net")
 def stream_conn_stats(spark, sf):
     from threatlake.streaming import operators as ST
 
-    return _drain(ST.stream_conn_stats(_stream(spark, sf)), spark)
+    events, delay, base = _stream(spark, X.telemetry(spark, sf))
+    return _ordered(spark, ST.stream_conn_stats(events, f"{base}/run", delay), f"{base}/run", ["seq", "connection_count", "unique_destinations"])
 
 
-@query("stream_download_corr", E._ASOF + " SELECT seq, 'CORR_DOWNLOAD_PROCESS_EXECUTION' AS rule_id, download_seq FROM x WHERE download_seq IS NOT NULL")
+@query("stream_download_corr", E._ASOF + E._CALLS + """ SELECT seq, 'CORR_DOWNLOAD_PROCESS_EXECUTION' AS rule_id, download_seq FROM x WHERE download_seq IS NOT NULL
+  UNION ALL SELECT seq, 'CORR_DOWNLOAD_OUTBOUND_CONN', download_seq FROM n WHERE download_seq IS NOT NULL""")
 def stream_download_corr(spark, sf):
     from threatlake.streaming import operators as ST
 
-    return _drain(ST.stream_download_corr(_stream(spark, sf)), spark).where(F.col("rule_id") == "CORR_DOWNLOAD_PROCESS_EXECUTION")
+    events, delay, base = _stream(spark, X.telemetry(spark, sf))
+    return _ordered(spark, ST.stream_download_corr(events, f"{base}/run", delay), f"{base}/run", ["seq", "rule_id", "download_seq"])
 
 
-@query("stream_compact")
+@query("stream_compact", E._STORE + f" SELECT {E._STORE_COLS} FROM store")
 def stream_compact(spark, sf):
     from threatlake.operators.store import stored_form
-    from threatlake.sources.feeds import load_feeds
     from threatlake.streaming import operators as ST
 
-    form = stored_form(ST.stream_findings(_stream(spark, sf), load_feeds(spark)))
-    out = _drain(ST.stream_compact(form, E.GAP), spark)
-    return as_long(out.select("host", "fingerprint", "repeat_count", "score", "severity"))
+    ST.use_rocksdb(spark)
+    events, delay, base = _stream(spark, stored_form(E.judged(spark, sf)))
+    return E._store_row(_drain(ST.stream_compact(events, E.GAP, f"{delay} seconds"), spark, base))
 
 
 @query("stream_allow_once", """WITH v AS (SELECT event_id AS seq, ts, user_id, CASE WHEN event_type IN ('click', 'signup') THEN 'approve' ELSE 'visit' END AS kind, event_id % 3 AS site FROM events),
@@ -507,44 +543,46 @@ def stream_compact(spark, sf):
 def stream_allow_once(spark, sf):
     from threatlake.streaming import operators as ST
 
-    ST.use_rocksdb(spark)
-    schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    v = raw.select(F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), "user_id",
-                   F.when(F.col("event_type").isin("click", "signup"), "approve").otherwise("visit").alias("kind"),
-                   F.concat(F.lit("https://site"), (F.col("event_id") % 3).cast("string"), F.lit(".example.com/#a")).alias("url"))
-    return _drain(ST.stream_allow_once(v), spark)
+    raw = X.tables(spark, sf, "events")["events"]
+    visits = raw.select(F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type",
+                        F.when(F.col("event_type").isin("click", "signup"), "approve").otherwise("visit").alias("kind"),
+                        F.concat(F.lit("https://site"), (F.col("event_id") % 3).cast("string"), F.lit(".example.com/#a")).alias("url"))
+    events, delay, base = _stream(spark, visits)
+    return _ordered(spark, ST.stream_allow_once(events, f"{base}/run", delay), f"{base}/run", ["seq", "allowed"])
 
 
-@query("stream_snapshot_diff")
-def stream_snapshot_diff(spark, sf):
-    """Process snapshots arriving as micro-batches; every process of the first snapshot starts."""
-    from uuid import uuid4
+_PERIOD = 4 * 86400
+_SNAPSHOTS = f"""SELECT host, pid, (epoch_us(ts) // {_PERIOD}000000) * {_PERIOD}000000 AS epoch, max(seq // 20) AS life FROM tele WHERE event_type = 'process_started' AND pid % 4 <> (epoch_us(ts) // {_PERIOD}000000) % 4 GROUP BY ALL"""
 
-    from threatlake.operators.snapshots import diff_processes
-    from threatlake.session import ensure_checkpoint_dir
+
+@query("stream_snapshot_diff", f"""WITH {E.O.TELE}, s AS ({_SNAPSHOTS}), top AS (SELECT max(epoch) AS last FROM s),
+  w AS (SELECT *, lag(epoch) OVER o AS before, lag(life) OVER o AS old, lead(epoch) OVER o AS after FROM s WINDOW o AS (PARTITION BY host, pid ORDER BY epoch))
+  SELECT host, pid, epoch, 'process_started' AS event_type, life FROM w WHERE before IS NULL OR before < epoch - {_PERIOD}000000 OR old <> life
+  UNION ALL SELECT host, pid, epoch, 'process_terminated', old FROM w WHERE before = epoch - {_PERIOD}000000 AND old <> life
+  UNION ALL SELECT host, pid, epoch + {_PERIOD}000000, 'process_terminated', life FROM w, top WHERE epoch < last AND (after IS NULL OR after > epoch + {_PERIOD}000000)""")
+def stream_snapshot_diff(spark, sf):
+    """Snapshots every four days of the processes started since the last one; some are missing from some, and a later start reuses the pid."""
     from threatlake.streaming import operators as ST
 
-    base = f"{ensure_checkpoint_dir(spark)}/snap-{uuid4().hex}"
-    rows = _stream(spark, sf).where(F.col("event_type") == "process_started").select("host", "pid", "process_name", F.col("seq").cast("double").alias("create_time"))
-    last = lambda p, c: diff_processes(*[d.groupBy("host", "pid").agg(F.max_by("process_name", "create_time").alias("process_name"), F.max("create_time").alias("create_time")) for d in (p, c)])
-    job = ST.stream_snapshot_diff(rows, f"{base}/state", f"{base}/out", last, f"{base}/cp").trigger(availableNow=True).start()
-    job.awaitTermination()
-    return spark.read.parquet(f"{base}/out").select("host", "pid", "event_type", "process_name")
+    ST.use_rocksdb(spark)
+    ev = X.telemetry(spark, sf).where(F.col("event_type") == "process_started")
+    number = F.floor(F.unix_micros("ts") / (_PERIOD * 1_000_000))
+    seen = ev.where(F.pmod("pid", F.lit(4)) != F.pmod(number, F.lit(4))).groupBy("host", "pid", number.alias("_n")).agg(F.max(F.floor(F.col("seq") / 20)).alias("create_time"))
+    snapshots = seen.select("host", "pid", F.timestamp_micros(F.col("_n") * _PERIOD * 1_000_000).alias("snapshot_ts"), "create_time",
+                            F.col("pid").alias("seq"), F.lit("process_observed").alias("event_type"))
+    events, delay, base = _stream(spark, snapshots, "snapshot_ts", last=lambda hi, delay: hi + delay * 1_000_000 + 2_000_000)
+    return _drain(ST.stream_snapshot_diff(events, _PERIOD, f"{delay} seconds"), spark, base)
 
 
-@query("stream_sink", E._STORE + " SELECT id, score, repeat_count FROM store")
+@query("stream_sink", E._STORE + " SELECT id, score, repeat_count, first_us, last_us FROM store")
 def stream_sink(spark, sf):
-    from uuid import uuid4
-
-    from threatlake.session import ensure_checkpoint_dir
+    from threatlake.operators import upsert
     from threatlake.sources.feeds import load_feeds
     from threatlake.streaming import operators as ST
 
-    base = f"{ensure_checkpoint_dir(spark)}/sink-{uuid4().hex}"
-    staged = f"{base}/observed"
-    E.observed(spark, sf).write.parquet(staged)
-    events = spark.readStream.schema(spark.read.parquet(staged).schema).option("maxFilesPerTrigger", 1_000_000).parquet(staged)
-    job = ST.stream_sink(events, load_feeds(spark), f"{base}/store", f"{base}/cp", E.GAP).trigger(availableNow=True).start()
-    job.awaitTermination()
-    return as_long(spark.read.parquet(f"{base}/store").select("id", "score", "repeat_count"))
+    events, _, base = _stream(spark, E.observed(spark, sf))
+    events = events.where("event_type <> 'heartbeat'")
+    _finish(ST.stream_sink(events, load_feeds(spark), f"{base}/store", f"{base}/checkpoint", E.GAP))
+    schema = spark.read.parquet(f"{base}/store/arrived/0").schema
+    live = upsert.read_live(spark, f"{base}/store", schema)
+    return as_long(live.select("id", "score", "repeat_count", F.unix_micros("first_seen").alias("first_us"), F.unix_micros("last_seen").alias("last_us")))

@@ -29,7 +29,7 @@ def _download_info() -> Column:
     )
 
 
-def _narrow(events: DataFrame, types: list[str]) -> DataFrame:
+def narrow_events(events: DataFrame, types: list[str]) -> DataFrame:
     """Only the columns a correlation reads, for the event types it reads."""
     return (
         conform_events(events)
@@ -42,21 +42,21 @@ def _narrow(events: DataFrame, types: list[str]) -> DataFrame:
     )
 
 
+def download_keys() -> dict[str, Column]:
+    """Path and hash under which a download is found by a process start."""
+    is_dl = F.col("event_type") == DOWNLOAD_TYPE
+    own = F.coalesce(first_truthy("sha256"), first_truthy("file_metadata.sha256"))
+    return {
+        "_path": F.when(is_dl, _low("file_path", "executable")).otherwise(_low("executable")),
+        "_hash": F.lower(F.when(is_dl, own).otherwise(first_truthy("file_metadata.sha256"))),
+    }
+
+
 def asof_downloads(events: DataFrame, bucket_seconds: int = BUCKET_SECONDS) -> DataFrame:
     """Process starts with ``download``: the latest earlier download of the same path, else hash."""
-    rows = _narrow(events, [DOWNLOAD_TYPE, "process_started"])
+    rows = narrow_events(events, [DOWNLOAD_TYPE, "process_started"])
     is_dl = F.col("event_type") == DOWNLOAD_TYPE
-    rows = rows.withColumns(
-        {
-            "_path": F.when(is_dl, _low("file_path", "executable")).otherwise(_low("executable")),
-            "_hash": F.lower(
-                F.when(is_dl, F.coalesce(first_truthy("sha256"), first_truthy("file_metadata.sha256"))).otherwise(
-                    first_truthy("file_metadata.sha256")
-                )
-            ),
-            "_info": F.when(is_dl, _download_info()),
-        }
-    )
+    rows = rows.withColumns({**download_keys(), "_info": F.when(is_dl, _download_info())})
     by_path = prefix_scan(
         rows, ["host", "_path"], ["ts", "seq"], bucket_seconds=bucket_seconds,
         lasts={"_by_path": F.when(F.col("_path").isNotNull(), F.col("_info"))},
@@ -85,13 +85,18 @@ def corr_download_exec(events: DataFrame, bucket_seconds: int = BUCKET_SECONDS)
     return hits.select("host", "seq", findings_of(found).alias("findings"))
 
 
-def asof_process_network(events: DataFrame, bucket_seconds: int = BUCKET_SECONDS) -> DataFrame:
-    """Network events with ``download``: origin of the last downloaded execution of the pid, if still alive."""
-    starts = (
-        asof_downloads(events, bucket_seconds)
-        .where(F.col("download").isNotNull() & (F.coalesce(F.col("pid"), F.lit(0)) != 0))
-    )
-    others = _narrow(events, [NETWORK_TYPE, "process_terminated"]).withColumn(
+def downloaded_starts(events: DataFrame, bucket_seconds: int = BUCKET_SECONDS) -> DataFrame:
+    """Process starts with a pid whose ``download`` is known."""
+    return asof_downloads(events, bucket_seconds).where(F.col("download").isNotNull() & (F.coalesce(F.col("pid"), F.lit(0)) != 0))
+
+
+def asof_process_network(events: DataFrame, bucket_seconds: int = BUCKET_SECONDS, starts: DataFrame | None = None) -> DataFrame:
+    """Network events with ``download``: origin of the last downloaded execution of the pid, if still alive.
+
+    ``starts`` are the downloaded starts, where they are known already."""
+    if starts is None:
+        starts = downloaded_starts(events, bucket_seconds)
+    others = narrow_events(events, [NETWORK_TYPE, "process_terminated"]).withColumn(
         "download", F.lit(None).cast(starts.schema["download"].dataType)
     )
     rows = starts.unionByName(others)
@@ -152,7 +157,7 @@ def contain_download_persist(events: DataFrame) -> DataFrame:
     The first registered download (by path) wins, and it must precede the event. Downloads are
     reduced to one row per host and needle, commands to one row per host and text, before they meet.
     """
-    rows = _narrow(events, [DOWNLOAD_TYPE, *PERSISTENCE_TYPES])
+    rows = narrow_events(events, [DOWNLOAD_TYPE, *PERSISTENCE_TYPES])
     place = F.struct("ts", "seq")
     downloads = rows.where(F.col("event_type") == DOWNLOAD_TYPE).select(
         "host", "ts", "seq", _low("file_path", "executable").alias("path"), F.lower(blank("filename")).alias("name")

@@ -94,13 +94,15 @@ def process_identity(pid: Column, create_time: Column) -> Column:
     return F.concat_ws("_", pid.cast("string"), F.coalesce(create_time, F.lit(0)).cast("bigint").cast("string"))
 
 
-def with_burst(net: DataFrame, threshold: int = V.BURST_THRESHOLD, bucket_seconds: int = BUCKET_SECONDS) -> DataFrame:
-    """Running observations per process life and destination; every observation counts."""
+def with_burst(
+    net: DataFrame, threshold: int = V.BURST_THRESHOLD, bucket_seconds: int = BUCKET_SECONDS, weight: Column | None = None
+) -> DataFrame:
+    """Running observations per process life and destination; every observation counts, or its ``weight``."""
     out = prefix_scan(
         net,
         ["host", "pid", "generation", "remote_ip"],
         ["ts", "seq"],
-        sums={"connection_count": F.lit(1)},
+        sums={"connection_count": F.lit(1) if weight is None else weight},
         bucket_seconds=bucket_seconds,
     )
     return out.withColumn("is_repeated_burst", F.col("connection_count") >= threshold)

@@ -56,21 +56,16 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("mergeSchema", "true").parquet(path)
 
 
-def merge_into_store(spark: SparkSession, batch: DataFrame, path: str, gap: int = V.STORE_GAP_SECONDS) -> DataFrame:
-    """Merge new store rows with the latest stored row of the same fingerprint, if near enough.
-
-    Only fingerprints present in the batch, and no date partitions after the batch, are read.
-    Returns the rows that replace the touched ones.
-    """
-    old = read_store(spark, path)
-    lo, hi = batch.agg(F.min("first_seen"), F.max("last_seen")).first()
-    reach = old.where(
-        (F.col("last_seen") >= F.lit(lo) - F.expr(f"INTERVAL {gap} SECONDS"))
-        & (F.col("first_seen") <= F.lit(hi) + F.expr(f"INTERVAL {gap} SECONDS"))
-        & (F.col("event_date") <= F.to_date(F.lit(hi) + F.expr(f"INTERVAL {gap} SECONDS")))
-    ).drop("event_date")
-    touched = reach.join(batch.select("host", "fingerprint").distinct(), ["host", "fingerprint"], "left_semi")
-    return merge_sessions(touched.unionByName(batch), gap)
+def merge_into_store(old: DataFrame, batch: DataFrame, gap: int = V.STORE_GAP_SECONDS) -> tuple[DataFrame, DataFrame]:
+    """(rows of ``old`` that may change, the rows that replace them) when the compacted rows of ``batch`` are added.
+
+    An old row is touched if its sightings lie within ``gap`` of those of its fingerprint in the batch. The later row of a merge adds
+    its repeats and last sighting, and its score, severity and summary where the score is higher; the outbox state stays that of the first."""
+    width = F.expr(f"INTERVAL {gap} SECONDS")
+    span = batch.groupBy("host", "fingerprint").agg((F.min("first_seen") - width).alias("_lo"), (F.max("last_seen") + width).alias("_hi"))
+    near = old.join(span, ["host", "fingerprint"]).where((F.col("last_seen") >= F.col("_lo")) & (F.col("first_seen") <= F.col("_hi")))
+    touched = near.select(*STORE_COLUMNS)
+    return touched, merge_sessions(touched.unionByName(batch.select(*STORE_COLUMNS)), gap)
 
 
 def merge_sessions(rows: DataFrame, gap: int = V.STORE_GAP_SECONDS) -> DataFrame:

@@ -1,237 +1,148 @@
-"""Streaming forms: stateless rules, keyed suppression and trackers, gap merge, snapshot diffs.
+"""Streaming forms of the ordered rules and of the store.
 
-Keyed operators use ``transformWithStateInPandas``: state is per key, rows of a key arrive in Arrow
-batches and are never gathered whole. It needs the RocksDB state store
-(``spark.sql.streaming.stateStore.providerClass``).
+Trackers, as-of lookups and approvals run as ordered steps with their state in tables (``ordered``); suppression, sessions and snapshot differences
+keep state per key (``keyed``); the sink changes the store in place (``operators.upsert``).
 """
 
 from __future__ import annotations
 
-import pandas as pd
+from functools import partial
+
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from threatlake import fixed_values_endpoint as V
-from threatlake.operators.dedup import finding_fingerprint
+from threatlake.operators import correlate, network
+from threatlake.operators.decisions import consume_allow_once, page_key
 from threatlake.operators.evaluate import evaluate
+from threatlake.operators.store import to_store
+from threatlake.operators.upsert import upsert
+from threatlake.schemas import DOWNLOAD_TYPE, NETWORK_TYPE, conform_events
 from threatlake.sources.feeds import Feeds
+from threatlake.streaming.keyed import stream_compact, stream_cooldown, stream_snapshot_diff, use_rocksdb
+from threatlake.streaming.ordered import run_ordered
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
-def use_rocksdb(spark) -> None:
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-
-
-def stream_findings(events: DataFrame, feeds: Feeds) -> DataFrame:
-    """Rules are row-wise, so the batch evaluation runs on a stream as it is."""
-    return evaluate(events, feeds)
-
-
-def _in_order(frames) -> pd.DataFrame:
-    """Rows of one key and micro-batch by time; the trigger limits bound their number."""
-    whole = pd.concat(list(frames), ignore_index=True)
-    return whole.sort_values(["t", "seq"], kind="stable")
-
+__all__ = [
+    "run_ordered", "stream_allow_once", "stream_compact", "stream_conn_stats", "stream_cooldown", "stream_download_corr", "stream_findings", "stream_sink",
+    "stream_snapshot_diff", "use_rocksdb",
+]
 
-class _Keyed(StatefulProcessor):
-    """One value state ``s`` per key, kept for ``ttl_ms``."""
+State = dict[str, DataFrame]
+ENDED = "process_terminated"
 
-    schema = ""
-    ttl_ms = None
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("s", self.schema, self.ttl_ms)
+def _recent(df: DataFrame, rows: DataFrame, keep_seconds: int | None) -> DataFrame:
+    """State that was touched in the last ``keep_seconds`` before the newest of ``rows``."""
+    if keep_seconds is None:
+        return df
+    newest = rows.agg(F.max("ts")).first()[0]
+    return df if newest is None else df.where(F.col("ts") >= F.lit(newest) - F.expr(f"INTERVAL {keep_seconds} SECONDS"))
 
-    def close(self) -> None:
-        pass
 
+# --- trackers ---------------------------------------------------------------------------------------------------------
 
-class Cooldown(_Keyed):
-    schema = "last bigint"
 
-    def __init__(self, seconds: int) -> None:
-        self.width = seconds * 1_000_000
-        self.ttl_ms = seconds * 10_000
-
-    def handleInputRows(self, key, rows, timerValues):
-        last = self.state.get()[0] if self.state.exists() else None
-        start = last
-        for frame in rows:
-            frame = frame.sort_values(["t", "seq", "pos"], kind="stable")
-            keep = []
-            for t in frame["t"]:
-                passed = last is None or t - last >= self.width
-                last = t if passed else last
-                keep.append(passed)
-            yield frame.assign(emitted=keep)[["fingerprint", "seq", "pos", "t", "emitted"]]
-        if last is not None and last != start:
-            self.state.update((int(last),))
-
-
-def stream_cooldown(events: DataFrame, seconds: int = V.COOLDOWN_SECONDS) -> DataFrame:
-    """``fingerprint, seq, pos, t, emitted`` of evaluated streaming events, in arrival order."""
-    long = events.select("*", F.posexplode("findings").alias("pos", "_f")).select(
-        finding_fingerprint(F.col("_f.rule_id")).alias("fingerprint"), "seq", "pos", F.unix_micros("ts").alias("t")
-    )
-    return long.groupBy("fingerprint").transformWithStateInPandas(
-        statefulProcessor=Cooldown(seconds), outputMode="Append", timeMode="ProcessingTime",
-        outputStructType="fingerprint string, seq bigint, pos int, t bigint, emitted boolean",
-    )
-
-
-class ConnStats(_Keyed):
-    """Per process: counts by destination and the set of endpoints, cleared when the process ends."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.counts = handle.getMapState("counts", "ip string", "n bigint")
-        self.ends = handle.getMapState("ends", "endpoint string", "one int")
-        self.size = handle.getValueState("size", "n bigint")
-
-    def handleInputRows(self, key, rows, timerValues):
-        out = []
-        distinct = self.size.get()[0] if self.size.exists() else 0
-        for row in _in_order(rows).itertuples():
-            if row.event_type == "process_terminated":
-                self.counts.clear()
-                self.ends.clear()
-                distinct = 0
-                continue
-            ip, endpoint = (row.remote_ip,), (f"{row.remote_ip}|{row.remote_port}",)
-            n = (self.counts.getValue(ip)[0] if self.counts.containsKey(ip) else 0) + 1
-            self.counts.updateValue(ip, (n,))
-            if not self.ends.containsKey(endpoint):
-                self.ends.updateValue(endpoint, (1,))
-                distinct += 1
-            out.append((row.seq, n, distinct))
-        self.size.update((distinct,))
-        yield pd.DataFrame(out, columns=["seq", "connection_count", "unique_destinations"])
-
-
-def stream_conn_stats(events: DataFrame) -> DataFrame:
-    rows = events.where(F.col("event_type").isin("network_connection_observed", "process_terminated")).select(
-        "host", "pid", "seq", F.unix_micros("ts").alias("t"), "event_type", "remote_ip", "remote_port"
-    )
-    return rows.groupBy("host", "pid").transformWithStateInPandas(
-        statefulProcessor=ConnStats(), outputMode="Append", timeMode="None",
-        outputStructType="seq bigint, connection_count bigint, unique_destinations bigint",
-    )
-
-
-class DownloadChain(_Keyed):
-    """Per host: downloads by path and hash, and the live pids started from a download."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.paths = handle.getMapState("paths", "path string", "seq bigint")
-        self.hashes = handle.getMapState("hashes", "sha string", "seq bigint")
-        self.pids = handle.getMapState("pids", "pid bigint", "seq bigint")
-
-    def handleInputRows(self, key, rows, timerValues):
-        out = []
-        look = lambda state, k: state.getValue((k,))[0] if k and state.containsKey((k,)) else None
-        for row in _in_order(rows).itertuples():
-            kind, pid = row.event_type, int(row.pid or 0)
-            if kind == "file_download_observed":
-                if row.path:
-                    self.paths.updateValue((row.path,), (row.seq,))
-                if row.sha:
-                    self.hashes.updateValue((row.sha,), (row.seq,))
-            elif kind == "process_started":
-                origin = look(self.paths, row.path)
-                origin = look(self.hashes, row.sha) if origin is None else origin
-                if origin is not None:
-                    out.append((row.seq, "CORR_DOWNLOAD_PROCESS_EXECUTION", origin))
-                    if pid:
-                        self.pids.updateValue((pid,), (origin,))
-            elif kind == "process_terminated":
-                if self.pids.containsKey((pid,)):
-                    self.pids.removeKey((pid,))
-            else:
-                origin = look(self.pids, pid)
-                if origin is not None:
-                    out.append((row.seq, "CORR_DOWNLOAD_OUTBOUND_CONN", origin))
-        yield pd.DataFrame(out, columns=["seq", "rule_id", "download_seq"])
-
-
-def stream_download_corr(events: DataFrame) -> DataFrame:
-    is_dl = F.col("event_type") == "file_download_observed"
-    kinds = ["file_download_observed", "process_started", "process_terminated", "network_connection_observed"]
-    path = F.when(is_dl, F.coalesce("file_path", "executable")).otherwise(F.col("executable"))
-    sha = F.when(is_dl, F.col("sha256")).otherwise(F.col("file_metadata.sha256"))
-    rows = events.where(F.col("event_type").isin(*kinds)).select(
-        "host", "seq", F.unix_micros("ts").alias("t"), "event_type", F.coalesce("pid", F.lit(0)).alias("pid"),
-        F.coalesce(F.lower(path), F.lit("")).alias("path"), F.coalesce(F.lower(sha), F.lit("")).alias("sha"),
-    )
-    return rows.groupBy("host").transformWithStateInPandas(
-        statefulProcessor=DownloadChain(), outputMode="Append", timeMode="None",
-        outputStructType="seq bigint, rule_id string, download_seq bigint",
-    )
-
-
-class AllowOnce(_Keyed):
-    schema = "open boolean"
-
-    def handleInputRows(self, key, rows, timerValues):
-        approved = self.state.get()[0] if self.state.exists() else False
-        out = []
-        for row in _in_order(rows).itertuples():
-            if row.kind == "approve":
-                approved = True
-            else:
-                out.append((row.seq, approved))
-                approved = False
-        self.state.update((approved,))
-        yield pd.DataFrame(out, columns=["seq", "allowed"])
-
-
-def stream_allow_once(events: DataFrame) -> DataFrame:
-    page = F.regexp_replace("url", "#.*$", "")
-    rows = events.where(F.col("url").rlike("(?i)^https?://")).select(
-        "user_id", page.alias("page"), "seq", F.unix_micros("ts").alias("t"), "kind"
-    )
-    return rows.groupBy("user_id", "page").transformWithStateInPandas(
-        statefulProcessor=AllowOnce(), outputMode="Append", timeMode="None",
-        outputStructType="seq bigint, allowed boolean",
-    )
-
-
-def stream_compact(scored: DataFrame, gap: int = V.STORE_GAP_SECONDS, late: str = "1 hour") -> DataFrame:
-    """Gap merge as a session window; sessions are emitted once the watermark passes them."""
-    rank = F.struct(F.col("score"), -F.unix_micros("ts"), -F.col("seq"))
-    return (
-        scored.withWatermark("ts", late)
-        .groupBy("host", "fingerprint", F.session_window("ts", f"{gap} seconds"))
-        .agg(
-            F.count(F.lit(1)).alias("repeat_count"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"),
-            F.max_by(F.struct("score", "severity", "summary"), rank).alias("best"),
+def conn_step(rows: DataFrame, state: State, keep_seconds: int | None = None) -> tuple[DataFrame, State]:
+    """Tracker columns of the network rows. State: the endpoints of each live process with their counts."""
+    columns = ["host", "pid", "seq", "ts", "event_type", "remote_ip", "remote_port"]
+    both = rows.where(F.col("event_type").isin(NETWORK_TYPE, ENDED)).select(*columns, F.lit(1).cast("bigint").alias("weight"))
+    if state:
+        known = state["endpoints"].select(
+            "host", "pid", F.lit(-1).cast("bigint").alias("seq"), "ts", F.lit(NETWORK_TYPE).alias("event_type"), "remote_ip", "remote_port", "weight"
         )
-        .select("host", "fingerprint", "repeat_count", "first_seen", "last_seen", "best.*")
+        both = both.unionByName(known)
+    net = network.with_generation(both).where(F.col("event_type") == NETWORK_TYPE)
+    out = network.with_fanout(network.with_burst(net, weight=F.col("weight"))).where(F.col("seq") >= 0)
+    ended = both.where(F.col("event_type") == ENDED).groupBy(F.col("host").alias("_h"), F.col("pid").alias("_p")).agg(F.count(F.lit(1)).alias("_lives"))
+    live = net.join(ended, F.col("host").eqNullSafe(F.col("_h")) & F.col("pid").eqNullSafe(F.col("_p")), "left")
+    live = live.where(F.col("generation") == F.coalesce("_lives", F.lit(0)))
+    live = live.groupBy("host", "pid", "remote_ip", "remote_port").agg(F.sum("weight").alias("weight"), F.max("ts").alias("ts"))
+    names = ["host", "pid", "seq", "connection_count", "unique_destinations", "is_repeated_burst", "is_wide_fanout"]
+    return out.select(*names), {"endpoints": _recent(live, rows, keep_seconds)}
+
+
+def stream_conn_stats(events: DataFrame, base: str, delay_seconds: int, keep_seconds: int | None = None):
+    """Running connection counts and distinct endpoints of each process life. Endpoints not seen for ``keep_seconds`` are forgotten, if given."""
+    return run_ordered(conform_events(events), base, partial(conn_step, keep_seconds=keep_seconds), delay_seconds)
+
+
+def findings_step(rows: DataFrame, state: State, feeds: Feeds, monitors, keep_seconds: int | None = None) -> tuple[DataFrame, State]:
+    stats, state = conn_step(rows, state, keep_seconds)
+    stats = stats.select(F.col("seq").alias("_seq"), "connection_count", "is_repeated_burst", "is_wide_fanout")
+    watched = rows.drop("connection_count", "is_repeated_burst", "is_wide_fanout").join(stats, F.col("seq") == F.col("_seq"), "left").drop("_seq")
+    return evaluate(monitors(watched), feeds), state
+
+
+def stream_findings(events: DataFrame, feeds: Feeds, base: str, delay_seconds: int, monitors=lambda df: df, keep_seconds: int | None = None):
+    """Evaluated events with the tracker columns; ``monitors`` adds the columns that depend on a row alone."""
+    step = partial(findings_step, feeds=feeds, monitors=monitors, keep_seconds=keep_seconds)
+    return run_ordered(conform_events(events), base, step, delay_seconds)
+
+
+# --- downloads --------------------------------------------------------------------------------------------------------
+
+
+def download_step(rows: DataFrame, state: State, keep_seconds: int | None = None) -> tuple[DataFrame, State]:
+    """Executions of downloads and their connections. State: the last download of each path and of each hash, and the live processes started
+    from one."""
+    kinds = [DOWNLOAD_TYPE, "process_started", ENDED, NETWORK_TYPE]
+    both = correlate.narrow_events(rows, kinds)
+    if state:
+        both = both.unionByName(state["downloads"])
+    started = correlate.asof_downloads(both).where(F.col("download").isNotNull())
+    starts = started.where(F.coalesce(F.col("pid"), F.lit(0)) != 0)
+    if state:
+        starts = starts.unionByName(state["alive"])
+    hits = started.select("seq", F.lit("CORR_DOWNLOAD_PROCESS_EXECUTION").alias("rule_id"), F.col("download.seq").alias("download_seq"))
+    calls = correlate.asof_process_network(both, starts=starts)
+    calls = calls.select("seq", F.lit("CORR_DOWNLOAD_OUTBOUND_CONN").alias("rule_id"), F.col("download.seq").alias("download_seq"))
+
+    place, kept = F.struct("ts", "seq"), F.struct(*[F.col(c) for c in both.columns])
+    downloads = both.where(F.col("event_type") == DOWNLOAD_TYPE).withColumns(correlate.download_keys())
+    latest = [
+        downloads.where(F.col(k).isNotNull()).groupBy("host", k).agg(F.max_by(kept, place).alias("d")).select("d.*") for k in ("_path", "_hash")
+    ]
+    last = _recent(latest[0].unionByName(latest[1]).dropDuplicates(["host", "seq"]), rows, keep_seconds)
+    ends = both.where(F.col("event_type") == ENDED).withColumn("download", F.lit(None).cast(starts.schema["download"].dataType))
+    lives = starts.unionByName(ends).groupBy("host", "pid").agg(F.max_by(F.struct(*starts.columns), place).alias("p")).select("p.*")
+    alive = _recent(lives.where(F.col("event_type") == "process_started"), rows, keep_seconds)
+    return hits.unionByName(calls), {"downloads": last, "alive": alive}
+
+
+def stream_download_corr(events: DataFrame, base: str, delay_seconds: int, keep_seconds: int | None = None):
+    """``seq, rule_id, download_seq``: started downloads, and connections of processes started from one."""
+    return run_ordered(conform_events(events), base, partial(download_step, keep_seconds=keep_seconds), delay_seconds)
+
+
+# --- approvals --------------------------------------------------------------------------------------------------------
+
+
+def allow_step(rows: DataFrame, state: State, keep_seconds: int | None = None) -> tuple[DataFrame, State]:
+    """Visits with ``allowed``. State: the approvals that no visit has used yet."""
+    columns = ["user_id", "url", "ts", "seq", "kind"]
+    both = rows.select(*columns)
+    if state:
+        both = both.unionByName(state["approved"])
+    last = both.where(F.col("url").rlike("(?i)^https?://")).groupBy("user_id", page_key(F.col("url")).alias("_page")).agg(
+        F.max_by(F.struct(*columns), F.struct("ts", "seq")).alias("v")
     )
+    approved = _recent(last.select("v.*").where(F.col("kind") == "approve"), rows, keep_seconds)
+    return consume_allow_once(both).select("seq", "allowed"), {"approved": approved}
 
 
-def stream_snapshot_diff(snapshots: DataFrame, state_path: str, out_path: str, diff, checkpoint: str):
-    """Diff each micro-batch (one snapshot) against the last one, kept as a Parquet table.
-
-    The batch id names the folders, so a repeated batch writes the same result.
-    """
+def stream_allow_once(events: DataFrame, base: str, delay_seconds: int, keep_seconds: int | None = None):
+    """Visits (``user_id, url, ts, seq, kind, event_type``) with whether an approval was open."""
+    return run_ordered(events, base, partial(allow_step, keep_seconds=keep_seconds), delay_seconds)
 
-    def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        current = f"{state_path}/{batch_id}"
-        batch.write.mode("overwrite").parquet(current)
-        cur = spark.read.parquet(current)
-        prev = spark.read.parquet(f"{state_path}/{batch_id - 1}") if batch_id else cur.limit(0)
-        diff(prev, cur).write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
 
-    return snapshots.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+# --- store ------------------------------------------------------------------------------------------------------------
 
 
-def stream_sink(events: DataFrame, feeds: Feeds, path: str, checkpoint: str, gap: int = V.STORE_GAP_SECONDS):
-    """Evaluate, compact and write each micro-batch; batch ids make retries overwrite themselves."""
-    from threatlake.operators.store import to_store
+def stream_sink(events: DataFrame, feeds: Feeds, path: str, checkpoint: str, gap: int = V.STORE_GAP_SECONDS, buckets: int = 16):
+    """Evaluate and compact each micro-batch and merge it into the store at ``path``; the micro-batch's number is the version, so a retry replaces itself."""
 
-    def step(batch: DataFrame, batch_id: int) -> None:
-        rows = to_store(evaluate(batch, feeds), gap)
-        rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+    def step(batch: DataFrame, number: int) -> None:
+        spark, place = batch.sparkSession, f"{path}/arrived/{number}"
+        to_store(evaluate(batch, feeds), gap).write.mode("overwrite").parquet(place)
+        upsert(spark.read.parquet(place), path, number, gap, buckets)
 
     return events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
