@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from threatlake.functions.findings import rule_ids
-from threatlake.operators.correlate import contain_download_persist
+from threatlake.functions.scan import order_bounds, prefix_scan, segment_of
+from threatlake.operators.correlate import contain_download_persist, containment_candidates
 from threatlake.operators.dns import dns_domain_features
 from threatlake.operators.evaluate import evaluate
 from threatlake.operators.network import with_ip_class
@@ -85,3 +86,33 @@ def test_store_reads_only_dates_in_reach(spark, tmp_path):
     assert {r.id % 20 for r in recent.collect()} == {15, 16, 17, 18, 19}
     assert {r.id % 20 for r in between.collect()} == {2, 3}
     assert {r.id for r in store.expire(stored, "2024-01-21", days=5).collect()} == {i for i in range(60) if i % 20 >= 15 or i % 3 == 0}
+
+
+def test_many_names_with_one_prefix_have_few_candidates(spark):
+    names = [f"c:\\downloads\\quarterly-report-{i:05d}.exe" for i in range(10_000)]
+    needles = spark.createDataFrame([("h", n) for n in names], "host string, needle string")
+    texts = [f'"{names[i]}" /background' for i in range(0, 10_000, 25)] + ["c:\\windows\\explorer.exe"] * 1
+    commands = spark.createDataFrame([("h", t) for t in texts], "host string, text string")
+    found = containment_candidates(needles, commands)
+    right = found.where(F.col("text").contains(F.col("needle"))).count()
+    assert right == 400 and found.count() < 40 * 400  # of four million pairs
+
+
+def test_segments_hold_a_share_of_a_crowded_instant(spark):
+    """One host, one hour, and half of the rows in one instant."""
+    rows = spark.range(4000).select(
+        F.col("id").alias("seq"), F.lit("h").alias("host"), F.when(F.col("id") % 10 == 0, F.lit(None)).otherwise(F.col("id") % 3).alias("pid"),
+        F.timestamp_micros(F.when(F.col("id") < 2000, F.lit(0)).otherwise(F.col("id") * 500_000)).alias("ts"))
+    bounds = order_bounds(rows, ["ts", "seq"])
+    assert len(bounds) >= 2
+    sizes = [r["count"] for r in rows.groupBy(segment_of(["ts", "seq"], bounds).alias("s")).count().collect()]
+    assert max(sizes) < 2000 and sum(sizes) == 4000
+    assert bounds == order_bounds(rows.orderBy(F.desc("seq")), ["ts", "seq"])
+    mark = F.when(F.col("seq") % 7 == 0, F.col("seq"))
+    got = prefix_scan(rows, ["host", "pid"], ["ts", "seq"], sums={"n": F.lit(1)}, lasts={"m": mark}, inclusive=False).collect()
+    count, last = {}, {}
+    for r in sorted(got, key=lambda r: r.seq):
+        assert (r.n, r.m) == (count.get(r.pid, 0), last.get(r.pid))
+        count[r.pid] = count.get(r.pid, 0) + 1
+        if r.seq % 7 == 0:
+            last[r.pid] = r.seq

@@ -2,23 +2,53 @@
 
 A plain ``OVER (PARTITION BY key ORDER BY ts)`` sends every row of a key to a single task. When
 one host or process produces a third of all events, that task never ends. Sums and "last non-null"
-are associative, so they are computed as a two-level prefix scan instead:
+are associative, so they are computed as a two-level prefix scan instead. The time line, not the keys, is cut into as many
+segments as there are shuffle partitions, at places drawn from a sample of (time, sequence number): each holds about the same number of rows,
+also where most of them fall into one hour or one instant.
 
-1. inside ``(key, time bucket)`` with an ordinary window (many small partitions);
-2. over one summary row per ``(key, time bucket)``, a table bounded by time span / bucket width;
-3. the carry of the earlier buckets is joined back by equality on ``(key, time bucket)``.
+1. inside ``(key, segment)`` with an ordinary window, which no key can overload;
+2. over one summary row per ``(key, segment)``;
+3. the carry of the earlier segments is joined back by equality on ``(key, segment)``.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-BUCKET_SECONDS = 3600
+Bounds = list[tuple[int, int]]
+#: Sampled rows per segment.
+PER_SEGMENT = 64
 _BUCKET = "__bucket"
 
 
-def time_bucket(ts: Column, seconds: int) -> Column:
-    return F.floor(F.unix_micros(ts.cast("timestamp")) / F.lit(seconds * 1_000_000)).cast("bigint")
+def order_bounds(df: DataFrame, order: list[str]) -> Bounds:
+    """Where the segments of ``order`` (a time and a number) begin. One narrow pass that returns PER_SEGMENT rows for each of them; the sample is taken by
+    hash, so the same rows give the same segments."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.select(F.unix_micros(F.col(order[0]).cast("timestamp")).alias("t"), F.coalesce(F.col(order[1]).cast("long"), F.lit(-1)).alias("s"))
+    sample = sorted(tuple(r) for r in rows.where("t IS NOT NULL").orderBy(F.xxhash64("s", "t")).limit(parts * PER_SEGMENT).collect())
+    return sorted(set(sample[PER_SEGMENT::PER_SEGMENT]))
+
+
+def segment_of(order: list[str], bounds: Bounds) -> Column:
+    """Number of bounds at or before a row, by halving."""
+    if not bounds:
+        return F.lit(0)
+    times, numbers = (F.lit([b[i] for b in bounds]) for i in (0, 1))
+    place = F.struct(
+        F.unix_micros(F.col(order[0]).cast("timestamp")).alias("t"), F.coalesce(F.col(order[1]).cast("long"), F.lit(-1)).alias("s"),
+        times.alias("times"), numbers.alias("numbers"),
+    )
+
+    def search(p: Column) -> Column:
+        def further(low: Column, step: Column) -> Column:
+            t, s = F.get(p.getField("times"), low + step - 1), F.get(p.getField("numbers"), low + step - 1)
+            return low + F.when((t < p.getField("t")) | ((t == p.getField("t")) & (s <= p.getField("s"))), step).otherwise(0)
+
+        steps = [1 << i for i in reversed(range(len(bounds).bit_length()))]
+        return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), further)
+
+    return F.element_at(F.transform(F.array(place), search), 1)
 
 
 def prefix_scan(
@@ -28,17 +58,18 @@ def prefix_scan(
     *,
     sums: dict[str, Column] | None = None,
     lasts: dict[str, Column] | None = None,
-    ts: str = "ts",
-    bucket_seconds: int = BUCKET_SECONDS,
+    bounds: Bounds | None = None,
     inclusive: bool = True,
 ) -> DataFrame:
-    """Add running ``sums`` and last-known ``lasts`` per ``keys`` in ``order`` (which starts with ``ts``).
+    """Add running ``sums`` and last-known ``lasts`` per ``keys`` in ``order``, a time and a number.
 
+    ``bounds`` are those of ``order_bounds``, drawn from the rows themselves if not given; scans over the same events can share them.
     ``inclusive`` decides whether a row sees its own value. Null keys form one group of their own.
     """
+    bounds = order_bounds(df, order) if bounds is None else bounds
     sums, lasts = sums or {}, lasts or {}
     value = {n: f"__v_{n}" for n in [*sums, *lasts]}
-    df = df.withColumns({_BUCKET: time_bucket(F.col(ts), bucket_seconds)})
+    df = df.withColumns({_BUCKET: segment_of(order, bounds)})
     df = df.withColumns({value[n]: c for n, c in {**sums, **lasts}.items()})
     end = Window.currentRow if inclusive else -1
     local = (

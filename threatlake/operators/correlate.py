@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from threatlake.functions.findings import finding, findings_of, sentence
-from threatlake.functions.scan import BUCKET_SECONDS, prefix_scan
+from threatlake.functions.scan import Bounds, order_bounds, prefix_scan
 from threatlake.functions.text import base_name, blank, first_truthy, is_true
 from threatlake.schemas import DOWNLOAD_TYPE, NETWORK_TYPE, PERSISTENCE_TYPES, conform_events
 
@@ -52,17 +52,18 @@ def download_keys() -> dict[str, Column]:
     }
 
 
-def asof_downloads(events: DataFrame, bucket_seconds: int = BUCKET_SECONDS) -> DataFrame:
+def asof_downloads(events: DataFrame, bounds: Bounds | None = None) -> DataFrame:
     """Process starts with ``download``: the latest earlier download of the same path, else hash."""
     rows = narrow_events(events, [DOWNLOAD_TYPE, "process_started"])
     is_dl = F.col("event_type") == DOWNLOAD_TYPE
+    bounds = order_bounds(rows, ["ts", "seq"]) if bounds is None else bounds
     rows = rows.withColumns({**download_keys(), "_info": F.when(is_dl, _download_info())})
     by_path = prefix_scan(
-        rows, ["host", "_path"], ["ts", "seq"], bucket_seconds=bucket_seconds,
+        rows, ["host", "_path"], ["ts", "seq"], bounds=bounds,
         lasts={"_by_path": F.when(F.col("_path").isNotNull(), F.col("_info"))},
     )
     by_hash = prefix_scan(
-        by_path, ["host", "_hash"], ["ts", "seq"], bucket_seconds=bucket_seconds,
+        by_path, ["host", "_hash"], ["ts", "seq"], bounds=bounds,
         lasts={"_by_hash": F.when(F.col("_hash").isNotNull(), F.col("_info"))},
     )
     return (
@@ -72,9 +73,9 @@ def asof_downloads(events: DataFrame, bucket_seconds: int = BUCKET_SECONDS) -> D
     )
 
 
-def corr_download_exec(events: DataFrame, bucket_seconds: int = BUCKET_SECONDS) -> DataFrame:
+def corr_download_exec(events: DataFrame, bounds: Bounds | None = None) -> DataFrame:
     """``host, seq, findings`` for executions of downloaded files."""
-    hits = asof_downloads(events, bucket_seconds).where(F.col("download").isNotNull())
+    hits = asof_downloads(events, bounds).where(F.col("download").isNotNull())
     d = F.col("download")
     found = finding(
         "CORR_DOWNLOAD_PROCESS_EXECUTION", "Downloaded file was executed", "medium", "high",
@@ -85,17 +86,19 @@ def corr_download_exec(events: DataFrame, bucket_seconds: int = BUCKET_SECONDS)
     return hits.select("host", "seq", findings_of(found).alias("findings"))
 
 
-def downloaded_starts(events: DataFrame, bucket_seconds: int = BUCKET_SECONDS) -> DataFrame:
+def downloaded_starts(events: DataFrame, bounds: Bounds | None = None) -> DataFrame:
     """Process starts with a pid whose ``download`` is known."""
-    return asof_downloads(events, bucket_seconds).where(F.col("download").isNotNull() & (F.coalesce(F.col("pid"), F.lit(0)) != 0))
+    return asof_downloads(events, bounds).where(F.col("download").isNotNull() & (F.coalesce(F.col("pid"), F.lit(0)) != 0))
 
 
-def asof_process_network(events: DataFrame, bucket_seconds: int = BUCKET_SECONDS, starts: DataFrame | None = None) -> DataFrame:
+def asof_process_network(events: DataFrame, bounds: Bounds | None = None, starts: DataFrame | None = None) -> DataFrame:
     """Network events with ``download``: origin of the last downloaded execution of the pid, if still alive.
 
     ``starts`` are the downloaded starts, where they are known already."""
+    if bounds is None:
+        bounds = order_bounds(events.where(F.col("event_type").isin(DOWNLOAD_TYPE, "process_started", "process_terminated", NETWORK_TYPE)), ["ts", "seq"])
     if starts is None:
-        starts = downloaded_starts(events, bucket_seconds)
+        starts = downloaded_starts(events, bounds)
     others = narrow_events(events, [NETWORK_TYPE, "process_terminated"]).withColumn(
         "download", F.lit(None).cast(starts.schema["download"].dataType)
     )
@@ -106,7 +109,7 @@ def asof_process_network(events: DataFrame, bucket_seconds: int = BUCKET_SECONDS
     )
     scanned = prefix_scan(
         rows.withColumnRenamed("download", "_own").withColumn("download", F.col("_own")).drop("_own"),
-        ["host", "pid"], ["ts", "seq"], lasts={"_state": marker}, bucket_seconds=bucket_seconds,
+        ["host", "pid"], ["ts", "seq"], lasts={"_state": marker}, bounds=bounds,
     )
     return (
         scanned.where((F.col("event_type") == NETWORK_TYPE) & F.col("_state.alive"))
@@ -115,8 +118,8 @@ def asof_process_network(events: DataFrame, bucket_seconds: int = BUCKET_SECONDS
     )
 
 
-def corr_download_net(events: DataFrame, bucket_seconds: int = BUCKET_SECONDS) -> DataFrame:
-    hits = asof_process_network(events, bucket_seconds)
+def corr_download_net(events: DataFrame, bounds: Bounds | None = None) -> DataFrame:
+    hits = asof_process_network(events, bounds)
     d = F.col("download")
     found = finding(
         "CORR_DOWNLOAD_OUTBOUND_CONN", "Downloaded program opened a connection",
@@ -129,26 +132,37 @@ def corr_download_net(events: DataFrame, bucket_seconds: int = BUCKET_SECONDS) -
     return hits.select("host", "seq", findings_of(found).alias("findings"))
 
 
-# Substring joins are blocked on fixed-length pieces of the file name. A text that contains the
-# name contains its first piece, so no match is lost, and every candidate is verified afterwards.
-_PIECES = (12, 6, 3, 1)
+# Substring joins meet in an inverted index of q-grams. A text that contains a needle contains all its grams, so any one of
+# them finds every match; the one that the fewest texts of the host hold finds the fewest others. Every candidate is verified.
+GRAM = 4
 
 
-def _piece_of(name: Column) -> Column:
-    expr = None
-    for size in _PIECES:
-        test = F.length(name) >= size
-        piece = F.substring(name, 1, size)
-        expr = F.when(test, piece) if expr is None else expr.when(test, piece)
-    return expr
+def _grams(text: Column, size: Column | int) -> Column:
+    """Distinct pieces of ``size`` characters."""
+    size = F.lit(size) if isinstance(size, int) else size
+    places = F.sequence(F.lit(1), F.greatest(F.length(text) - size + 1, F.lit(1)))
+    return F.array_distinct(F.transform(places, lambda i: F.substr(text, i, size)))
 
 
-def _pieces_in(text: Column) -> Column:
-    def windows(size: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.length(text) - size + 1, F.lit(1)))
-        return F.transform(starts, lambda i: F.substr(text, i, F.lit(size)))
+def containment_candidates(needles: DataFrame, texts: DataFrame) -> DataFrame:
+    """``host, needle, text`` pairs that share the needle's rarest gram, out of ``needles(host, needle)`` and ``texts(host, text)``, both distinct.
 
-    return F.array_distinct(F.concat(*[windows(size) for size in _PIECES]))
+    Needles shorter than GRAM are their own gram. A needle with a gram that no text of its host holds meets none."""
+    size = F.least(F.length("needle"), F.lit(GRAM))
+    of_needle = needles.select("host", "needle", F.explode(_grams(F.col("needle"), size)).alias("gram"))
+    keyed = texts.select("host", "text", F.xxhash64("text").alias("_id"))
+    windows = F.array_distinct(F.flatten(F.array(*[_grams(F.col("text"), n) for n in range(1, GRAM + 1)])))
+    of_text = keyed.select("host", "_id", F.explode(windows).alias("gram"))
+    held = of_text.join(of_needle.select("host", "gram").distinct(), ["host", "gram"]).distinct()
+    counts = held.groupBy("host", "gram").agg(F.count(F.lit(1)).alias("_n"))
+    rarest = (
+        of_needle.join(counts, ["host", "gram"], "left")
+        .groupBy("host", "needle")
+        .agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "gram")).alias("_r"))
+        .where(F.col("_r.n") > 0)
+        .select("host", "needle", F.col("_r.gram").alias("gram"))
+    )
+    return rarest.join(held, ["host", "gram"]).join(keyed, ["host", "_id"]).select("host", "needle", "text")
 
 
 def contain_download_persist(events: DataFrame) -> DataFrame:
@@ -164,25 +178,18 @@ def contain_download_persist(events: DataFrame) -> DataFrame:
     ).where(F.col("path").isNotNull())
     registered = downloads.groupBy("host", "path", "name").agg(F.min(place).alias("first"))
     needles = (
-        registered.select(
-            "host", "path", "first",
-            F.explode(F.array_distinct(F.array("path", "name"))).alias("needle"),
-        )
+        registered.select("host", "path", "first", F.explode(F.array_distinct(F.array("path", "name"))).alias("needle"))
         .where(F.col("needle") != "")
         .groupBy("host", "needle")
         .agg(F.min("first").alias("first"), F.min_by("path", "first").alias("path"))
-        .withColumn("_base", F.when(base_name(F.col("needle")) != "", base_name(F.col("needle"))).otherwise(F.col("needle")))
-        .withColumn("_piece", _piece_of(F.col("_base")))
-        .drop("_base")
     )
     commands = rows.where(F.col("event_type").isin(*PERSISTENCE_TYPES)).select(
         "host", "ts", "seq", F.lower(blank(first_truthy("command", "task_to_run", "binpath"))).alias("text")
     ).where(F.col("text") != "")
-    pieces = commands.select("host", "text").distinct().withColumn("_piece", F.explode(_pieces_in(F.col("text"))))
+    found = containment_candidates(needles.select("host", "needle"), commands.select("host", "text").distinct())
     pairs = (
-        pieces.join(needles, ["host", "_piece"])
-        .where(F.col("text").contains(F.col("needle")))
-        .select("host", "text", "first", "path")
+        found.where(F.col("text").contains(F.col("needle")))
+        .join(needles, ["host", "needle"])
         .groupBy("host", "text")
         .agg(F.min("first").alias("first"), F.min_by("path", "first").alias("download_path"))
     )
@@ -203,11 +210,12 @@ def corr_download_persist(events: DataFrame) -> DataFrame:
     return hits.select("host", "seq", findings_of(found).alias("findings"))
 
 
-def with_correlations(evaluated: DataFrame, events: DataFrame, bucket_seconds: int = BUCKET_SECONDS) -> DataFrame:
+def with_correlations(evaluated: DataFrame, events: DataFrame, bounds: Bounds | None = None) -> DataFrame:
     """Append the cross-event findings to each event's own findings."""
+    bounds = order_bounds(events, ["ts", "seq"]) if bounds is None else bounds
     extra = (
-        corr_download_exec(events, bucket_seconds)
-        .unionByName(corr_download_net(events, bucket_seconds))
+        corr_download_exec(events, bounds)
+        .unionByName(corr_download_net(events, bounds))
         .unionByName(corr_download_persist(events))
         .withColumnRenamed("findings", "_extra")
     )
@@ -217,7 +225,7 @@ def with_correlations(evaluated: DataFrame, events: DataFrame, bucket_seconds: i
     ).drop("_extra")
 
 
-def with_owner(net: DataFrame, processes: DataFrame, bucket_seconds: int = BUCKET_SECONDS) -> DataFrame:
+def with_owner(net: DataFrame, processes: DataFrame, bounds: Bounds | None = None) -> DataFrame:
     """Attach the owning process (latest start of the pid) to each socket; ownerless sockets are dropped."""
     fields = ["process_name", "executable", "command_line", "username", "parent_name", "parent_pid"]
     sockets = net.drop(*fields).withColumn("_owner", F.lit(None).cast(
@@ -225,7 +233,7 @@ def with_owner(net: DataFrame, processes: DataFrame, bucket_seconds: int = BUCKE
     owners = processes.select("host", "pid", "ts", "seq", F.struct(*fields).alias("_owner"))
     rows = sockets.withColumn("_net", F.lit(True)).unionByName(owners, allowMissingColumns=True)
     out = prefix_scan(
-        rows, ["host", "pid"], ["ts", "seq"], lasts={"_last": F.col("_owner")}, bucket_seconds=bucket_seconds
+        rows, ["host", "pid"], ["ts", "seq"], lasts={"_last": F.col("_owner")}, bounds=bounds
     )
     out = out.where(F.col("_net")).select("*", "_last.*").drop("_owner", "_last", "_net")
     unknown = F.coalesce(F.col("process_name"), F.lit("unknown")) == "unknown"

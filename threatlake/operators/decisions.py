@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from threatlake import fixed_values_endpoint as V
 from threatlake import fixed_values_phishing as P
 from threatlake.functions.findings import rule_ids
+from threatlake.functions.scan import Bounds, prefix_scan
 from threatlake.functions.text import blank, first_truthy, in_list, windows_parts
 
 
@@ -109,19 +110,17 @@ def page_key(url):
     return F.regexp_replace(url, r"#.*$", "")
 
 
-def consume_allow_once(events: DataFrame, bucket_seconds: int = 3600) -> DataFrame:
+def consume_allow_once(events: DataFrame, bounds: Bounds | None = None) -> DataFrame:
     """Visits with ``allowed``: the previous event of the same user and page was an approval.
 
     Approvals are a set, so repeated approvals before one visit count once, and a visit uses it up.
     Columns: ``user_id, url, kind ('approve' or 'visit'), ts, seq``.
     """
-    from threatlake.functions.scan import prefix_scan
-
     usable = F.col("url").rlike("(?i)^https?://")
     keyed = events.withColumn("_page", F.when(usable, page_key(F.col("url"))))
     scanned = prefix_scan(
         keyed, ["user_id", "_page"], ["ts", "seq"], lasts={"_before": F.col("kind")}, inclusive=False,
-        bucket_seconds=bucket_seconds,
+        bounds=bounds,
     )
     ok = F.coalesce((F.col("_before") == "approve") & F.col("_page").isNotNull(), F.lit(False))
     return scanned.where(F.col("kind") == "visit").withColumn("allowed", ok).drop("_page", "_before")

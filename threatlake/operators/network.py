@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from threatlake import fixed_values_endpoint as V
 from threatlake.functions.patterns import from_python
-from threatlake.functions.scan import BUCKET_SECONDS, prefix_scan
+from threatlake.functions.scan import Bounds, order_bounds, prefix_scan
 from threatlake.functions.text import blank, first_match, in_list
 
 
@@ -78,7 +78,7 @@ def is_suspicious_client(process_name: Column) -> Column:
     return in_list(F.lower(process_name), V.SUSPICIOUS_CLIENTS)
 
 
-def with_generation(df: DataFrame, bucket_seconds: int = BUCKET_SECONDS) -> DataFrame:
+def with_generation(df: DataFrame, bounds: Bounds | None = None) -> DataFrame:
     """Number the lives of a pid: the count of earlier terminations of ``(host, pid)``."""
     return prefix_scan(
         df,
@@ -86,7 +86,7 @@ def with_generation(df: DataFrame, bucket_seconds: int = BUCKET_SECONDS) -> Data
         ["ts", "seq"],
         sums={"generation": F.when(F.col("event_type") == "process_terminated", 1).otherwise(0)},
         inclusive=False,
-        bucket_seconds=bucket_seconds,
+        bounds=bounds,
     )
 
 
@@ -95,7 +95,7 @@ def process_identity(pid: Column, create_time: Column) -> Column:
 
 
 def with_burst(
-    net: DataFrame, threshold: int = V.BURST_THRESHOLD, bucket_seconds: int = BUCKET_SECONDS, weight: Column | None = None
+    net: DataFrame, threshold: int = V.BURST_THRESHOLD, bounds: Bounds | None = None, weight: Column | None = None
 ) -> DataFrame:
     """Running observations per process life and destination; every observation counts, or its ``weight``."""
     out = prefix_scan(
@@ -103,12 +103,12 @@ def with_burst(
         ["host", "pid", "generation", "remote_ip"],
         ["ts", "seq"],
         sums={"connection_count": F.lit(1) if weight is None else weight},
-        bucket_seconds=bucket_seconds,
+        bounds=bounds,
     )
     return out.withColumn("is_repeated_burst", F.col("connection_count") >= threshold)
 
 
-def with_fanout(net: DataFrame, threshold: int = V.FANOUT_THRESHOLD, bucket_seconds: int = BUCKET_SECONDS) -> DataFrame:
+def with_fanout(net: DataFrame, threshold: int = V.FANOUT_THRESHOLD, bounds: Bounds | None = None) -> DataFrame:
     """Running distinct (address, port) pairs per process life.
 
     The first sighting of each pair comes from a map-side combined minimum rather than a window
@@ -128,20 +128,21 @@ def with_fanout(net: DataFrame, threshold: int = V.FANOUT_THRESHOLD, bucket_seco
         life,
         ["ts", "seq"],
         sums={"unique_destinations": F.when(F.col("__f_seq").isNotNull(), 1).otherwise(0)},
-        bucket_seconds=bucket_seconds,
+        bounds=bounds,
     )
     return out.drop("__f_seq", *[f"__f_{c}" for c in pair]).withColumn(
         "is_wide_fanout", F.col("unique_destinations") >= threshold
     )
 
 
-def with_connection_stats(events: DataFrame, bucket_seconds: int = BUCKET_SECONDS) -> DataFrame:
+def with_connection_stats(events: DataFrame, bounds: Bounds | None = None) -> DataFrame:
     """Burst and fanout flags on network events of a mixed event table."""
     kept = events.where(F.col("event_type").isin("network_connection_observed", "process_terminated"))
-    lives = with_generation(kept, bucket_seconds)
+    bounds = order_bounds(kept, ["ts", "seq"]) if bounds is None else bounds
+    lives = with_generation(kept, bounds)
     lives = lives.drop("connection_count", "is_repeated_burst", "is_wide_fanout")
     net = lives.where(F.col("event_type") == "network_connection_observed")
-    return with_fanout(with_burst(net, bucket_seconds=bucket_seconds), bucket_seconds=bucket_seconds)
+    return with_fanout(with_burst(net, bounds=bounds), bounds=bounds)
 
 
 def active_processes(events: DataFrame, as_of: Column | None = None) -> DataFrame:
