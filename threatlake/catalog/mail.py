@@ -367,32 +367,53 @@ def explain_trigger(spark, sf):
     return U.scan_urls(X.urls(spark, sf)).select("page_id", I.explain_trigger(F.col("score"), intent).alias("trigger"))
 
 
+_HELD_OUT = "doc_id % 5 = 0"
+
+
 def _labelled(spark, sf):
     t = X.tables(spark, sf, "documents", "labels")
     return t["documents"].join(t["labels"], "doc_id").select("doc_id", "text", F.col("toxic").cast("int").alias("label"))
 
 
-@query("train_text_model")
-def train_text_model(spark, sf):
-    """Train on four fifths of the labelled documents; mean probability per class of the others."""
-    data = _labelled(spark, sf)
-    held_out = F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0
-    model = ml.fit_text_model(data.where(~held_out))
-    return model.probability(data.where(held_out)).groupBy("label").agg(F.round(F.avg("probability"), 3).alias("mean_probability"), F.count(F.lit(1)).alias("rows"))
+_REPORT = "support, precision >= 0.9 AS precise, recall >= 0.9 AS recalled"
 
 
-@query("score_text_model")
-def score_text_model(spark, sf):
-    model = ml.fit_text_model(_labelled(spark, sf))
-    return ml.score_text(X.messages(spark, sf), model).select("doc_id", "probability", "prediction", "risk")
+@query("train_text_model", f"SELECT CAST(toxic AS DOUBLE) AS class, count(*) AS support, true AS ranked FROM documents JOIN labels USING (doc_id) WHERE {_HELD_OUT} AND toxic IS NOT NULL GROUP BY ALL")
+def train_text_model(spark, sf):
+    """Train on four fifths of the labelled documents; report of the others, which must be ranked well above chance."""
+    data = cut_lineage(_labelled(spark, sf).where("label IS NOT NULL"))
+    model = ml.fit_text_model(data.where(f"NOT ({_HELD_OUT})"))
+    held = data.where(_HELD_OUT)
+    return ml.text_report(model, held).select("class", "support", F.lit(ml.ranking(model, held) >= 0.75).alias("ranked"))
 
 
-@query("train_url_model")
+@query("score_text_model", f"SELECT doc_id, true AS same_by_terms, true AS in_band FROM documents WHERE {_HELD_OUT}")
+def score_text_model(spark, sf):
+    """Held-out documents, scored by the pipeline and as a sparse product of term weights: both must give one probability and its band."""
+    model = ml.fit_text_model(cut_lineage(_labelled(spark, sf).where(f"label IS NOT NULL AND NOT ({_HELD_OUT})")))
+    docs = X.tables(spark, sf, "documents")["documents"].where(_HELD_OUT).select("doc_id", "text")
+    scored = ml.score_text(docs, model).select("doc_id", "probability", "prediction", "risk")
+    terms = model.probability_by_terms(docs, "doc_id").withColumnRenamed("probability", "_p")
+    low, high = P.MODEL_BANDS
+    band = F.when(F.col("_p") < low, "LOW").when(F.col("_p") < high, "SUSPICIOUS").otherwise("HIGH")
+    near = (F.abs(F.col("_p") - low) < 1e-4) | (F.abs(F.col("_p") - high) < 1e-4)  # rounding may move these over an edge
+    empty = F.col("risk") == "UNKNOWN"
+    return scored.join(terms, "doc_id").select(
+        "doc_id", (empty | (F.abs(F.col("probability") - F.col("_p")) < 1e-4)).alias("same_by_terms"), (empty | near | (F.col("risk") == band)).alias("in_band"))
+
+
+@query("train_url_model", f"WITH {O.VERDICT} SELECT CASE WHEN score >= 30 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS class, count(*) AS support, true AS precise, true AS recalled, true AS same_by_nodes FROM verdict WHERE page_id % 5 = 0 AND host <> '' GROUP BY ALL")
 def train_url_model(spark, sf):
-    """Boosted trees that learn the rule verdict from the sixteen features; held-out class report."""
+    """200 boosted trees that learn the rule verdict from the sixteen features; held-out class report from the node table, which must predict as
+    the fitted model does."""
     v = with_verdict(U.url_signals(X.urls(spark, sf), keep=True)).where("url_valid")
-    data = cut_lineage(v.select(*P.FEATURE_ORDER, (F.col("score") >= 30).cast("int").alias("label")))
-    return ml.fit_url_model(data, trees=20)[1]
+    data = cut_lineage(v.select("page_id", *P.FEATURE_ORDER, (F.col("score") >= 30).cast("int").alias("label")))
+    held = F.col("page_id") % 5 == 0
+    model, report = ml.fit_url_model(data, held_out=held)
+    rows = ml.feature_vector(data.where(held)).select("features", *P.FEATURE_ORDER)
+    other = ml.score_url(model, rows).withColumnRenamed("prediction", "_nodes").withColumnRenamed("probability", "_p")
+    wrong = model.transform(other).where("prediction <> _nodes").agg((F.count(F.lit(1)) == 0).alias("same_by_nodes"))
+    return report.selectExpr("class", *_REPORT.split(", ")).join(F.broadcast(wrong))  # one row
 
 
 def _registry() -> R.DetectorRegistry:

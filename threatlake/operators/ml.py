@@ -4,25 +4,47 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression
-from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.ml.feature import CountVectorizer, IDF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from threatlake import fixed_values_phishing as P
+from threatlake.operators.trees import margin, node_table, probability
 from threatlake.operators.urls import feature_vector
 
 
+WORD = r"\W+"
+
+
 class TextModel:
-    """Word TF-IDF, linear SVM, and a logistic calibration of its margin."""
+    """Word TF-IDF of unit length, linear SVM, and a logistic calibration of its margin."""
 
     def __init__(self, features: PipelineModel, svm, platt) -> None:
         self.features, self.svm, self.platt = features, svm, platt
 
+    def term_weights(self, spark: SparkSession) -> DataFrame:
+        """``term, idf, weight`` of the vocabulary: how much an occurrence counts, and what a unit of it adds to the margin. At most ``dims`` rows."""
+        words, idf = self.features.stages[1].vocabulary, self.features.stages[2].idf.toArray()
+        return spark.createDataFrame(list(zip(words, idf.tolist(), self.svm.coefficients.toArray().tolist())), "term string, idf double, weight double")
+
+    def probability_by_terms(self, df: DataFrame, key: str, text: str = "text") -> DataFrame:
+        """``key, probability`` as a sparse product: words joined with their weights, summed per row. The table of weights is bounded by the
+        vocabulary, so it is broadcast. Keys must be distinct."""
+        weights = self.term_weights(df.sparkSession)
+        words = df.select(key, F.explode(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), WORD)).alias("term")).where("term <> ''")
+        counts = words.groupBy(key, "term").agg(F.count(F.lit(1)).alias("_n")).join(F.broadcast(weights), "term")
+        value = F.col("_n") * F.col("idf")
+        sums = counts.groupBy(key).agg((F.sum(value * F.col("weight")) / F.sqrt(F.sum(value * value))).alias("_m"))
+        total = F.coalesce("_m", F.lit(0.0)) + self.svm.intercept
+        scaled = float(self.platt.coefficients[0]) * total + self.platt.intercept
+        return df.select(key).join(sums, key, "left").select(key, (1 / (1 + F.exp(-scaled))).alias("probability"))
+
     def probability(self, df: DataFrame, text: str = "text", out: str = "probability") -> DataFrame:
         margins = _margin(self.svm.transform(self.features.transform(df.withColumn("_text", F.coalesce(F.col(text), F.lit(""))))))
         scored = self.platt.transform(margins)
         return scored.withColumn(out, vector_to_array("_p")[1]).drop(
-            "_text", "_words", "_tf", "_x", "_raw", "_pred", "_m", "_mraw", "_p", "_mpred"
+            "_text", "_words", "_tf", "_idf", "_x", "_raw", "_pred", "_m", "_mraw", "_p", "_mpred"
         )
 
 
@@ -39,13 +61,14 @@ def fit_text_model(df: DataFrame, text: str = "text", label: str = "label", dims
     fold = F.pmod(F.xxhash64("_text", F.lit(seed)), F.lit(5))
     features = Pipeline(
         stages=[
-            RegexTokenizer(inputCol="_text", outputCol="_words", pattern=r"\W+"),
-            HashingTF(inputCol="_words", outputCol="_tf", numFeatures=dims),
-            IDF(inputCol="_tf", outputCol="_x"),
+            RegexTokenizer(inputCol="_text", outputCol="_words", pattern=WORD),
+            CountVectorizer(inputCol="_words", outputCol="_tf", vocabSize=dims, minDF=3),
+            IDF(inputCol="_tf", outputCol="_idf"),
+            Normalizer(inputCol="_idf", outputCol="_x"),
         ]
     ).fit(data)
     ready = features.transform(data.withColumn("_fold", fold)).select("_x", "label", "_fold")
-    svm = LinearSVC(featuresCol="_x", rawPredictionCol="_raw", predictionCol="_pred", regParam=0.01, maxIter=30).fit(ready.where("_fold <> 0"))
+    svm = LinearSVC(featuresCol="_x", rawPredictionCol="_raw", predictionCol="_pred", regParam=0.001, maxIter=30).fit(ready.where("_fold <> 0"))
     held = _margin(svm.transform(ready.where("_fold = 0")))
     platt = LogisticRegression(featuresCol="_m", rawPredictionCol="_mraw", probabilityCol="_p", predictionCol="_mpred").fit(held)
     return TextModel(features, svm, platt)
@@ -66,16 +89,35 @@ def score_text(df: DataFrame, model: TextModel, text: str = "text") -> DataFrame
     )
 
 
-def fit_url_model(df: DataFrame, label: str = "label", trees: int = 200, depth: int = 3, seed: int = 42):
+def text_report(model: TextModel, held_out: DataFrame, label: str = "label", threshold: float = P.MODEL_BANDS[0]) -> DataFrame:
+    """Per class of held-out rows: support, and precision, recall and F1 of calling phishing what reaches ``threshold``."""
+    scored = model.probability(held_out).withColumn("prediction", F.when(F.col("probability") >= threshold, 1.0).otherwise(0.0))
+    return class_report(scored.select(F.col(label).cast("double").alias("label"), "prediction"))
+
+
+def ranking(model: TextModel, held_out: DataFrame, label: str = "label") -> float:
+    """Area under the ROC curve of held-out rows."""
+    scored = model.probability(held_out).select(F.col(label).cast("double").alias("label"), F.col("probability").alias("p"))
+    return BinaryClassificationEvaluator(rawPredictionCol="p").evaluate(scored)
+
+
+def fit_url_model(df: DataFrame, label: str = "label", trees: int = 200, depth: int = 3, seed: int = 42, held_out: Column | None = None):
     """Boosted trees on the sixteen URL features; returns the model and the held-out report.
 
-    The split is stratified 80/20 by a hash of the features, so it does not depend on partitioning.
+    By default a fifth of the rows is held out by a hash of the features, so the split does not depend on partitioning.
     """
-    data = feature_vector(df.withColumn("label", F.col(label).cast("double")))
-    part = F.pmod(F.xxhash64(*P.FEATURE_ORDER, F.lit(seed)), F.lit(5))
-    data = data.select("features", "label", part.alias("_part"))
-    model = GBTClassifier(maxIter=trees, maxDepth=depth, seed=seed).fit(data.where("_part <> 0"))
-    return model, class_report(model.transform(data.where("_part = 0")))
+    part = F.pmod(F.xxhash64(*P.FEATURE_ORDER, F.lit(seed)), F.lit(5)) == 0 if held_out is None else held_out
+    data = feature_vector(df.withColumns({"label": F.col(label).cast("double"), "_held": part}))
+    data = data.select("features", "label", "_held", *P.FEATURE_ORDER)
+    model = GBTClassifier(maxIter=trees, maxDepth=depth, seed=seed).fit(data.where(~F.col("_held")).select("features", "label"))
+    return model, class_report(score_url(model, data.where("_held")))
+
+
+def score_url(model, df: DataFrame) -> DataFrame:
+    """Add ``probability`` and ``prediction`` by following the ensemble's nodes, from the sixteen feature columns."""
+    nodes = node_table(model, df.sparkSession).collect()  # trees times at most 2 ** (depth + 1) rows
+    p = probability(margin(nodes, lambda i: F.col(P.FEATURE_ORDER[i]).cast("double")))
+    return df.withColumn("probability", p).withColumn("prediction", F.when(F.col("probability") > 0.5, 1.0).otherwise(0.0))
 
 
 def class_report(scored: DataFrame) -> DataFrame:
