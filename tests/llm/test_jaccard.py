@@ -97,3 +97,12 @@ def test_components_join_earlier_ones(spark):
     labels = components(edges(path[:15] + [(90, 91)]))
     labels = components(edges(path[15:] + [(95, 91), (3, 3)]), labels)
     assert {r.node: r.component for r in labels.collect()} == {i: 0 for i in range(41)} | {90: 90, 91: 90, 95: 90}
+
+
+def test_long_words_that_a_polynomial_confuses(spark):
+    """Words in Thue-Morse order and their complements have one polynomial sum modulo 2**64, whatever the base."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, f"{word} p q r s"), (2, f"{other} p q r s"), (3, f"{word} p q r s")]
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(documents(spark, rows)).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -30,6 +31,11 @@ def shared_path(spark: SparkSession, name: str) -> str:
 _OPEN: ContextVar[list[str] | None] = ContextVar("open", default=None)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Tables stored inside are deleted at the end, but for the lasting ones, which a lazy result still reads."""
@@ -40,8 +46,21 @@ def scratch(spark: SparkSession) -> Iterator[None]:
     finally:
         _OPEN.reset(before)
         for path in paths:
-            place = spark._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+            _delete(spark, path)
+
+
+#: Spark then deletes a query's shuffle files as soon as its result is written, and not when the driver collects garbage.
+CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def short_shuffles(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(CLEAN_SHUFFLES, None)
+    spark.conf.set(CLEAN_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEAN_SHUFFLES) if before is None else spark.conf.set(CLEAN_SHUFFLES, before)
 
 
 def stored(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
@@ -51,8 +70,17 @@ def stored(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
     paths = _OPEN.get()
     if paths is not None and not lasting:
         paths.append(path)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    with short_shuffles(df.sparkSession):
+        df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more."""
+    for table_ in tables:
+        _delete(table_.sparkSession, table_.stored_path)
 
 
 def text_of(column: str = "text") -> Column:
@@ -130,10 +158,20 @@ def prefix_hash(data: np.ndarray) -> np.ndarray:
         return np.concatenate([[U64(0)], np.cumsum(BYTE_VALUE[data] * up[: len(data)])])
 
 
-def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+#: A sum modulo a power of two can't tell some long strings apart, whatever its base; spans from this length on get a digest.
+LONG_SPAN = 256
+
+
+def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray, data: np.ndarray | None = None) -> np.ndarray:
+    """Hashes of spans; with ``data``, those of long spans are digests of their bytes."""
     _, down = _powers(1 << max(12, int(len(prefix) - 1).bit_length()))
     with np.errstate(over="ignore"):
-        return mixed((prefix[ends] - prefix[starts]) * down[starts])
+        out = mixed((prefix[ends] - prefix[starts]) * down[starts])
+    if data is not None:
+        for i in np.flatnonzero(ends - starts >= LONG_SPAN).tolist():
+            digest = hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, key=b"span").digest()
+            out[i] = U64(int.from_bytes(digest, "little"))
+    return out
 
 
 def expand(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from threatlake.llm.common import (
-    LOWER, PLACE, U64, expand, mixed, part_count, prefix_hash, scratch, span_hash, stored, text_blocks, text_of, word_spans,
+    LOWER, PLACE, U64, discard, expand, mixed, part_count, prefix_hash, scratch, span_hash, stored, text_blocks, text_of, word_spans,
 )
 from threatlake.llm.components import components
 
@@ -47,13 +47,15 @@ FREQUENT, FREQUENT_LEAST = 0.002, 8
 CHUNK_GRAMS = 2_000_000
 #: Turns of comparing with hubs; fragments of the partial overlaps; partners of a document that go to one cell.
 HUB_TURNS, FRAGMENTS, PARTNERS = 2, 8, 2000
+#: Leading n-grams that a leading fragment, and pairs that a group of partial overlaps, has on average at most; their numbers follow.
+FRAGMENT_GRAMS, GROUP_PAIRS = 4_000_000, 100_000
 
 
 def gram_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarray]:
     """Sorted distinct 64-bit n-gram values of each text."""
     data = LOWER[data]
     starts, ends, firsts = word_spans(data, offsets)
-    words = span_hash(prefix_hash(data), starts, ends)
+    words = span_hash(prefix_hash(data), starts, ends, data)
     counts = np.diff(firsts)
     with np.errstate(over="ignore"):
         full = np.maximum(counts - n + 1, 0)
@@ -273,7 +275,9 @@ def open_rows(met: DataFrame, num: int, den: int) -> DataFrame:
     met = met.join(grams, "gram").where(enough(size - F.col("_own")) | (enough(size) & (F.col("_first") <= end)))
     met = met.drop("_own", "_least", "_first")
     own = met.groupBy("doc", "size").agg(F.count("*").alias("_met")).select("doc", (_lead(size, num, den) - F.col("_met")).alias("_own"))
-    return stored(met.join(own, "doc"), "met")
+    out = stored(met.join(own, "doc"), "met")
+    discard(grams)
+    return out
 
 
 def _fits(num: int, den: int):
@@ -380,7 +384,7 @@ def linked(pairs: DataFrame, sets: DataFrame, sizes: DataFrame, num: int, den: i
 
     Pairs are grouped by ``b``, a ``b`` with many partners into several groups; a cell is a group in one of the
     fragments. Each document goes to the cells of its pairs, and the overlaps of a pair's cells are summed."""
-    groups = part_count(pairs.sparkSession)
+    groups = max(part_count(pairs.sparkSession), -(-pairs.count() // GROUP_PAIRS))
     load = stored(pairs.groupBy("b").agg(F.ceil(F.count("*") / PARTNERS).alias("_split")), "load")
     pairs = pairs.join(load, "b")
     pairs = pairs.withColumn("pairs", F.pmod(F.xxhash64("b", F.pmod(F.xxhash64("a"), "_split")), F.lit(groups)).cast("int"))
@@ -421,7 +425,8 @@ def _components(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     same = stored(same, "same")
 
     frequent = spark.sparkContext.broadcast(frequent_grams(described))
-    fragments = part_count(spark)
+    total = classes.agg(F.sum("size")).first()[0] or 0
+    fragments = max(part_count(spark), int(LEAD * total) // FRAGMENT_GRAMS + 1)
     sent = texts.where("doc_id IS NOT NULL").mapInArrow(
         partial(_send, n=n, frequent=frequent, fragments=fragments, num=num, den=den),
         "fragment int, meets int, grams binary, docs binary",
@@ -433,9 +438,10 @@ def _components(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     if not same.isEmpty():
         labels = components(same)
         met = _labelled(met, labels)
-    met = open_rows(stored(met, "met"), num, den)
-    for _ in range(2):  # documents that left may have freed n-grams
-        met = open_rows(met, num, den)
+    met = stored(met, "met")
+    discard(found)
+    for _ in range(3):  # documents that left may have freed n-grams
+        met = _opened(met, met, num, den)
     wanted = met.select("doc").distinct().join(classes, "doc").groupBy(F.col("first").alias("doc_id")).agg(F.collect_list("doc").alias("wanted"))
     wanted = stored(wanted, "wanted")
     whole = lambda ids: texts.join(ids, "doc_id").mapInArrow(partial(_whole, n=n), "doc long, grams binary")
@@ -458,7 +464,7 @@ def _components(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
         tested = pairs if tested is None else tested.union(pairs)
         labels = components(found, labels)
         if turn < HUB_TURNS:
-            met = open_rows(_labelled(met, labels), num, den)
+            met = _opened(met, _labelled(met, labels), num, den)
             if met.isEmpty():
                 break
 
@@ -475,6 +481,13 @@ def _components(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     return out.select("doc_id", F.col("size").alias("n_shingles"), F.coalesce("_component", "doc_id").alias("component_id"))
 
 
+def _opened(old: DataFrame, met: DataFrame, num: int, den: int) -> DataFrame:
+    """The open rows of ``met``, which reads the stored table ``old``; that is deleted."""
+    out = open_rows(met, num, den)
+    discard(old)
+    return out
+
+
 def _labelled(met: DataFrame, labels: DataFrame) -> DataFrame:
     label = labels.select(F.col("node").alias("doc"), F.col("component").alias("_label"))
     return met.join(label, "doc", "left").withColumn("label", F.coalesce("_label", "doc")).drop("_label")
