@@ -8,11 +8,14 @@ with C characters and T tags below a node, LC and LT of them in links, and the s
 A node's density sum adds the densities of its children. The subtree with the largest sum holds the article. The least density
 on its path to the body is the threshold: wherever a node reaches it, the subtree with the largest sum below it
 belongs to the article too, as does an ``article`` or ``main`` element around the first. Elements that are never part of an article (navigation, forms, asides, notices,
-reader comments and such, by element, role, class or id) are taken out before. Class and id alone never take out an element
-that holds an ``article`` or ``main`` or most of the page's text outside links: there the density decides.
+reader comments and such, by element, role, class or id) are taken out before. Class and id alone, ``form`` and ``noscript`` never take out an element
+that holds an ``article`` or ``main`` or most of the page's text outside links, as where a whole page stands in one form: there the density
+decides, and only controls and their labels go. The words that mark such parts are English.
 
 Pages are independent: one narrow pass, no shuffle.
 
+Of subtrees with equal sums the first on the page is taken.
+
 Defined cases: a null, empty or mark-up-only page has the empty text; unclosed and crossed elements are closed where their
 parents end; an unclosed comment, script or tag runs to the end; rows that repeat a page are all returned; other columns are
 ignored; no pages give no rows.
@@ -54,10 +57,12 @@ BLOCKS = set(
 )
 #: Elements that are no part of an article.
 APART = set(
-    "head nav footer aside form script style noscript template iframe object embed svg canvas button select textarea input "
+    "head nav footer aside script style template iframe object embed svg canvas button select textarea input label legend "
     "menu dialog title xmp noembed noframes audio video math".split()
 )
-APART_ROLES = set("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
+#: Elements that are none either, unless they hold it.
+PERHAPS_APART = {"form", "noscript"}
+APART_ROLES = set("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar".split())
 #: Words of a class or id that mark such parts.
 APART_WORDS = set(
     "ad ads adv advert adverts advertisement advertisements advertising banner banners breadcrumb breadcrumbs comment comments commentlist "
@@ -114,12 +119,20 @@ def parse(page: str) -> Node:
     """The tree of a page below a root; leaves of ``children`` are strings."""
     root = Node("body", None)
     node, at, end = root, 0, len(page)
-    article = 0  # open articles
+    opened: dict[str, int] = {}  # open elements by tag
 
     def say(text: str) -> None:
         if text:
             node.children.append(html.unescape(text) if "&" in text else text)
 
+    def leave(last: Node) -> None:
+        """Close ``last`` and all that is open in it."""
+        nonlocal node
+        up = last.parent
+        while node is not up:
+            opened[node.tag] -= 1
+            node = node.parent
+
     while at < end:
         found = _MARKUP.search(page, at)
         if not found:
@@ -131,37 +144,37 @@ def parse(page: str) -> Node:
         if not tag:
             continue
         if found[1] or found[4]:
-            up = node
-            while up is not root and up.tag != tag:
-                up = up.parent
-            if up is not root:
-                while node is not up.parent:
-                    article -= node.tag in ("article", "main")
-                    node = node.parent
+            if opened.get(tag):  # an end tag without its start costs nothing, however deep it stands
+                up = node
+                while up.tag != tag:
+                    up = up.parent
+                leave(up)
             continue
         if tag in ("html", "body"):
             continue
         scope = SELF_CLOSING.get("p" if tag in BLOCKS else tag)
-        if scope:
-            kind, up = "p" if tag in BLOCKS else tag, node
+        kind = "p" if tag in BLOCKS else tag
+        if scope and opened.get(kind):
+            up = node
             while up is not root and up.tag != kind and up.tag not in scope:
                 up = up.parent
             if up.tag == kind and up is not root:
-                node = up.parent
+                leave(up)
         attributes = found[3] or found[6] or ""
         child = Node(tag, node)
-        child.apart = _is_apart(tag, attributes, article > 0)
-        child.named = not child.apart and bool(attributes) and _is_named_apart(attributes)
+        child.apart = _is_apart(tag, attributes, bool(opened.get("article") or opened.get("main")))
+        child.named = not child.apart and (tag in PERHAPS_APART or bool(attributes) and _is_named_apart(attributes))
         node.children.append(child)
         if tag in RAW:
             close = re.compile(rf"</{tag}[\s/>]", re.I).search(page, at)
             at = close.start() if close else end
             node = child
+            opened[tag] = opened.get(tag, 0) + 1
             if not close:
                 break
         elif tag not in VOID and not attributes.endswith("/"):
             node = child
-            article += tag in ("article", "main")
+            opened[tag] = opened.get(tag, 0) + 1
     return root
 
 
