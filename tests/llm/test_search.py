@@ -55,8 +55,18 @@ def test_annuli_leave_out_far_blocks(spark, monkeypatch):
     monkeypatch.setattr(pivot_search, "BLOCK", 32)
     r = random.Random(6)
     rows = [(i, [8.0 * (j == i % 8) + r.gauss(0, 0.05) for j in range(8)]) for i in range(800)]
-    blocks, model = pivot_search.build_index(table(spark, rows), F.col("vec_id") % 20 == 0)
+    blocks, model, _ = pivot_search.build_index(table(spark, rows), F.col("vec_id") % 20 == 0, 21)
     begun = list(pivot_search._begin(iter(blocks.toArrow().to_batches()), model, 20))
     low, high = begun[0].column("low")[0].as_py(), begun[0].column("high")[0].as_py()
     reached = [b for b in blocks.collect() if b.low <= high[b.pivot] and b.high >= low[b.pivot]]
     assert len(reached) < blocks.count() / 2
+
+
+def test_copies_cost_no_more_than_their_class(spark):
+    r = random.Random(8)
+    rows = [(i, [0.5] * 6 if i % 3 else [r.gauss(0, 1) for _ in range(6)]) for i in range(900)]
+    blocks, _, queries = pivot_search.build_index(table(spark, rows), F.col("vec_id") % 20 == 0, 6)
+    entries = sum(len(np.frombuffer(b.ids, np.int64)) for b in blocks.collect())
+    assert entries <= 300 + 6 + 1 and queries.count() == 45
+    got = {tuple(x) for x in pivot_search.search(table(spark, rows), F.col("vec_id") % 20 == 0, 5).collect()}
+    assert got == brute(rows, 5)

@@ -4,9 +4,11 @@ Components are integers, ``floor(64 * x)``, and so are scores. One more coordina
 squared length, puts all vectors on a sphere: there a larger inner product with a query is a smaller distance to it, and the
 triangle inequality bounds it from distances to a pivot.
 
-* *Index.* Pivots come from a bounded sample. Each vector is keyed by its nearest pivot and its distance to it; sorted by
-  that key the vectors are cut into blocks of BLOCK, each a part of an annulus around a pivot. A frequent vector fills
-  several blocks, as ids break ties.
+* *Classes.* Equal vectors have equal scores, and of them only the k + 1 with the smallest ids can be among the best k of any query: these
+  are the candidates. Equal queries are asked once, for k + 1, and each of them gets the result without itself. So a vector with a third of all
+  ids costs as much as any other.
+* *Index.* Pivots come from a bounded sample. Each candidate is keyed by its nearest pivot and its distance to it; sorted by
+  that key they are cut into blocks of BLOCK, each a part of an annulus around a pivot.
 * *Search.* A query's own block gives a first k-th best score. That score is a distance within which all better vectors
   lie, hence, for every pivot, a range of distances: the annuli it has to be expanded to. Query and blocks meet in an equi-join on the pivot
   with that range; blocks outside can't hold a better vector. Each block scores its queries at once, and
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from threatlake.llm.common import stored
+from threatlake.llm.common import part_count, stored
 
 SCALE = 64
 BLOCK, QUERIES = 1024, 4096
@@ -152,10 +154,8 @@ def _begin(batches: Iterator[pa.RecordBatch], model, k: int) -> Iterator[pa.Reco
             x = np.frombuffer(row["vectors"], np.int64).reshape(-1, d)
             q = x[queries]
             least = np.full(len(q), -np.inf)
-            if len(x) > k:  # one of them is the query
-                scores = _scores(q, x).astype(np.float64)
-                scores[ids[queries][:, None] == ids] = -np.inf
-                least = np.partition(scores, -k, axis=1)[:, -k]
+            if len(x) >= k:
+                least = np.partition(_scores(q, x).astype(np.float64), -k, axis=1)[:, -k]
             flat = np.column_stack([q.astype(np.float64), np.zeros(len(q))])
             room = np.maximum(0, (flat * flat).sum(1) + top[d] - 2 * least)
             radius = np.sqrt(room) * (1 + SLACK) + SLACK * np.sqrt(top[d]) + 1e-6
@@ -183,7 +183,7 @@ def _best(k: int):
             for at in range(0, len(q), 512):
                 scores = _scores(q[at : at + 512], x)
                 for i, line in enumerate(scores):
-                    good = np.flatnonzero((line >= least[at + i]) & (ids != asked[at + i]))
+                    good = np.flatnonzero(line >= least[at + i])
                     good = good[np.lexsort((ids[good], -line[good]))[:k]]
                     out[0].append(np.full(len(good), asked[at + i]))
                     out[1].append(ids[good])
@@ -194,31 +194,50 @@ def _best(k: int):
     return merge
 
 
-def build_index(vectors: DataFrame, query: Column) -> tuple[DataFrame, object]:
-    """(blocks, broadcast model) over ``vectors(vec_id, embedding)``; ``query`` marks the rows to be searched for."""
+def _smallest(rows: DataFrame, k: int) -> DataFrame:
+    """Of each vector the ``k`` rows with the smallest ids, first among a part of its rows, then among what those leave."""
+    part = F.pmod(F.xxhash64("vec_id"), F.lit(part_count(rows.sparkSession)))
+    first = F.row_number().over(W.partitionBy("dim", "vector", part).orderBy("vec_id"))
+    rest = rows.withColumn("_n", first).where(F.col("_n") <= k)
+    last = F.row_number().over(W.partitionBy("dim", "vector").orderBy("vec_id"))
+    return rest.withColumn("_n", last).where(F.col("_n") <= k).drop("_n")
+
+
+def _sample(rows: DataFrame, dim: int) -> np.ndarray:
+    """At most SAMPLE vectors of this length, by a hash of their ids; only the ids are sorted."""
+    ids = rows.where(F.col("dim") == dim).select("vec_id").orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE)
+    some = rows.join(F.broadcast(ids), "vec_id", "left_semi").orderBy("vec_id").select("vector").collect()
+    return _matrix([bytes(r.vector) for r in some])
+
+
+def build_index(vectors: DataFrame, query: Column, k: int) -> tuple[DataFrame, object, DataFrame]:
+    """(blocks, broadcast model, ``query_id, asked``) over ``vectors(vec_id, embedding)``; ``query`` marks the rows to be searched for,
+    and ``asked`` is the query that stands for them in the blocks."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where("vec_id IS NOT NULL AND embedding IS NOT NULL")
     rows = rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding")).withColumn("query", F.coalesce(query, F.lit(False)))
     rows = stored(rows.mapInArrow(_valid, "vec_id long, dim int, norm double, vector binary, query boolean"), "vectors")
+    asked = rows.where("query").groupBy("dim", "vector").agg(F.min("vec_id").alias("asked"))
+    queries = rows.where("query").select("dim", "vector", F.col("vec_id").alias("query_id")).join(asked, ["dim", "vector"])
+    queries = stored(queries.select("query_id", "asked"), "asked", lasting=True)
+    ones = stored(queries.select(F.col("asked").alias("_one")).distinct(), "ones")
+    candidates = _smallest(rows, k).withColumn("_kept", F.lit(True))
+    either = candidates.drop("query").unionByName(rows.drop("query").join(ones, F.col("vec_id") == F.col("_one"), "left_semi").withColumn("_kept", F.lit(False)))
+    either = either.groupBy("vec_id", "dim", "norm", "vector").agg((~F.min("_kept")).alias("query"))
+    rows = stored(either.select("vec_id", "dim", "norm", "vector", "query"), "candidates")
     tops = {r.dim: r.top for r in rows.groupBy("dim").agg(F.max("norm").alias("top")).collect()}
-    order = W.partitionBy("dim").orderBy(F.xxhash64("vec_id"), "vec_id")
-    sample = rows.select("dim", "vector", F.row_number().over(order).alias("_n"), "vec_id").where(F.col("_n") <= SAMPLE)
-    by_dim: dict[int, list[bytes]] = {}
-    for r in sample.orderBy("dim", "_n").select("dim", "vector").toLocalIterator():
-        by_dim.setdefault(r.dim, []).append(bytes(r.vector))
-    model = spark.sparkContext.broadcast(({d: choose_pivots(_matrix(v), tops[d]) for d, v in by_dim.items()}, tops))
+    model = spark.sparkContext.broadcast(({d: choose_pivots(_sample(rows, d), tops[d]) for d in sorted(tops)}, tops))
     keyed = rows.drop("norm").mapInArrow(partial(_key, model=model), "vec_id long, dim int, vector binary, query boolean, pivot int, distance double")
     order_by = ["dim", "pivot", "distance", "vec_id"]
     blocks = keyed.repartitionByRange(*order_by).sortWithinPartitions(*order_by).mapInArrow(_pack, BLOCKS)
-    return stored(blocks, "annuli"), model
+    return stored(blocks, "annuli", lasting=True), model, queries
 
 
 def search(vectors: DataFrame, query: Column, k: int = 20) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` largest inner products of every row marked by ``query`` with all others."""
-    spark = vectors.sparkSession
-    blocks, model = build_index(vectors, query)
+    blocks, model, queries = build_index(vectors, query, k + 1)
     begun = blocks.mapInArrow(
-        partial(_begin, model=model, k=k), "query_id long, dim int, vector binary, least double, low array<double>, high array<double>"
+        partial(_begin, model=model, k=k + 1), "query_id long, dim int, vector binary, least double, low array<double>, high array<double>"
     )
     begun = stored(begun, "queries")
     groups = max(1, -(-begun.count() // QUERIES))
@@ -230,7 +249,9 @@ def search(vectors: DataFrame, query: Column, k: int = 20) -> DataFrame:
     asked = reach.join(begun.select("query_id", "vector", "least"), "query_id").select("cell", group, "query_id", "vector", "least")
     there = blocks.select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("part"), "ids", "vectors")
     found = asked.groupBy("cell", "part").cogroup(there.groupBy("block", "part")).applyInArrow(
-        _best(k), "query_id long, vec_id long, score long"
+        _best(k + 1), "query_id long, vec_id long, score long"
     )
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k + 1).drop("rank").withColumnRenamed("query_id", "asked")
+    each = queries.join(found, "asked").where(F.col("vec_id") != F.col("query_id"))
+    return each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
