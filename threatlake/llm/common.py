@@ -83,6 +83,29 @@ def discard(*tables: DataFrame) -> None:
         _delete(table_.sparkSession, table_.stored_path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a number that names one row, and the name of its column: the ``doc_id`` where no other row has it, and
+    for rows without an id or with a repeated one a number above all ids."""
+    key = free_name(docs, "_row")
+    ids = docs.groupBy(F.col("doc_id").alias("_odd")).agg(F.count("*").alias("_n")).where("_odd IS NULL OR _n > 1")
+    odd = stored(ids.select("_odd"), "odd", lasting=True)
+    if odd.isEmpty():
+        return docs.withColumn(key, F.col("doc_id").cast("long")), key
+    top = docs.agg(F.max("doc_id")).first()[0] or 0
+    same = docs["doc_id"].eqNullSafe(odd["_odd"])
+    rest = docs.join(odd, same, "left_semi").withColumn(key, F.lit(top + 1).cast("long") + F.monotonically_increasing_id())
+    rest = stored(rest, "repeated", lasting=True)
+    return docs.join(odd, same, "left_anti").withColumn(key, F.col("doc_id").cast("long")).unionByName(rest), key
+
+
 def text_of(column: str = "text") -> Column:
     """Null counts as the empty text."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
