@@ -3,6 +3,10 @@
 Each stage is a function of (spark, docs, sf_dir) that works on all rows its predecessor kept; the result is written as
 Parquet in the shared folder and read again as the next one's input, so a lost executor costs tasks of one stage and not
 of those before it. All stages but the last return the columns of ``docs``.
+
+Defined cases: rows without text count as empty; quality and decontamination judge every row by itself; in near duplicates and mixing, rows that repeat an id and
+rows without one have keys of their own, so none is dropped or repeated for the other; columns of any other name are carried along; no
+documents give no rows.
 """
 
 from __future__ import annotations
@@ -11,7 +15,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from threatlake.llm import cube_mix, decontaminate, jaccard_join, subword_quality, token_files
-from threatlake.llm.common import shared_path, stored, table
+from threatlake.llm.common import free_name, keyed, shared_path, short_shuffles, stored, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,11 +24,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of linked documents. Rows without an id stay."""
-    groups = jaccard_join.jaccard_components(docs)
-    kept = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    one = docs.join(stored(kept, "kept"), "doc_id").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return one.union(docs.where("doc_id IS NULL"))
+    """Keeps the document with the smallest id of each group of linked documents. Rows are told apart by a key of their own, so different texts under one
+    id are judged each, and so are texts without an id."""
+    rows, key = keyed(docs)
+    groups = jaccard_join.jaccard_components(rows.select(F.col(key).alias("doc_id"), "text"))
+    kept = stored(groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("kept")), "kept")
+    return rows.join(kept, rows[key] == kept["kept"], "left_semi").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,11 +38,14 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats or drops documents so that the sources meet their shares of the words."""
-    copies = cube_mix.mix(docs).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("_copies"))
-    copies = stored(copies.withColumnRenamed("doc_id", "_doc"), "copies")
-    rows = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_doc")))
-    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_copy")).drop("_copy")
+    """Repeats or drops documents so that the sources meet their shares of the words. Each row has its own number of copies."""
+    rows, key = keyed(docs)
+    copies = cube_mix.mix(rows.select(F.col(key).alias("doc_id"), "source", "text")).where("copies > 0")
+    copies = stored(copies.select(F.col("doc_id").alias(free_name(docs, "_unit")), F.col("copies").cast("int").alias(free_name(docs, "_copies"))), "copies")
+    unit, number = copies.columns
+    copy = free_name(docs, "_copy")
+    joined = rows.join(copies, rows[key] == copies[unit])
+    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), number)).alias(copy)).drop(copy)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,6 +66,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = shared_path(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with short_shuffles(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
