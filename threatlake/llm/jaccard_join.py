@@ -273,10 +273,11 @@ def open_rows(met: DataFrame, num: int, den: int) -> DataFrame:
     least = F.greatest("_least", F.ceil(size * num / den))
     enough = lambda most: (num + den) * most >= num * (size + least)
     met = met.join(grams, "gram").where(enough(size - F.col("_own")) | (enough(size) & (F.col("_first") <= end)))
-    met = met.drop("_own", "_least", "_first")
+    met = stored(met.drop("_own", "_least", "_first"), "met")  # one table and one shuffle of it at a time
+    discard(grams)
     own = met.groupBy("doc", "size").agg(F.count("*").alias("_met")).select("doc", (_lead(size, num, den) - F.col("_met")).alias("_own"))
     out = stored(met.join(own, "doc"), "met")
-    discard(grams)
+    discard(met)
     return out
 
 
