@@ -190,3 +190,29 @@ def test_whole_messages_are_read(spark):
     df = spark.createDataFrame([(1, late), (2, links)], "id long, text string")
     found = {r.id: r for r in scan_text(df, "id").select("id", signal_ids("signals").alias("ids"), "level").collect()}
     assert "exclamation-spam" in found[1].ids and "risky-link" in found[2].ids
+
+
+def test_charsets_and_deeply_nested_parts(spark):
+    import base64
+
+    from threatlake.sources.mail import attachment_inventory, mime_parts
+
+    def part(charset, data):
+        return f"Content-Type: text/plain; charset={charset}\r\nContent-Transfer-Encoding: base64\r\n\r\n{base64.b64encode(data).decode()}"
+
+    said = {"koi8-r": "привет", "windows-1252": "“quoted” – €", "iso-8859-1": "“quoted”", "shift_jis": "日本語", "utf-8": "naïve ☃", "gb2312": "中文"}
+    code = {"iso-8859-1": "cp1252"}
+    rows = [(c, part(c, t.encode(code.get(c, c)))) for c, t in said.items()]
+    rows.append(("unheard-of", part("x-unheard-of", b"plain")))
+    deep = part("koi8-r", "глубоко".encode("koi8-r"))
+    for i in range(25):
+        deep = f'Content-Type: multipart/mixed; boundary="b{i}"\r\n\r\n--b{i}\r\n{deep}\r\n--b{i}\r\nContent-Type: application/pdf; name="f{i}.pdf"\r\nContent-Transfer-Encoding: base64\r\n\r\nUERG\r\n--b{i}--\r\n'
+    rows.append(("deep", deep))
+    df = spark.createDataFrame(rows, "msg_id string, raw string")
+    parsed = mime_parts(df)
+    got = {r.msg_id: r for r in parsed.collect()}
+    assert {c: got[c].plain_text for c in said} == said and all(got[c].mime_error is None for c in said)
+    assert (got["unheard-of"].plain_text, got["unheard-of"].mime_error) == ("plain", "unknown charset")
+    assert got["deep"].plain_text == "глубоко" and len(got["deep"].attachments) == 25 and got["deep"].mime_error is None
+    one = attachment_inventory(parsed).first()
+    assert (one.copies, one.messages) == (25, 1)

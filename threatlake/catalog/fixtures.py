@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from threatlake.schemas import conform_events
+from threatlake.session import spread
 
 NAMES = "chrome.exe,powershell.exe,svchost.exe,winword.exe,invoice.pdf.exe,cmd.exe,updater.exe,certutil.exe"
 FOLDERS = "C:/Windows/System32,C:/Users/a/Downloads,C:/Program Files/App,C:/Users/a/AppData/Local/Temp"
@@ -75,9 +76,14 @@ def tables(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame
     return {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names}
 
 
+def dealt(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame]:
+    """Tables whose rows are costly to work on."""
+    return {n: spread(df) for n, df in tables(spark, sf_dir, *names).items()}
+
+
 def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of the telemetry projection in the shared event schema."""
-    return shape_telemetry(spark.sql(TELEMETRY, **tables(spark, sf_dir, "events")))
+    return shape_telemetry(spark.sql(TELEMETRY, **dealt(spark, sf_dir, "events")))
 
 
 def shape_telemetry(raw: DataFrame) -> DataFrame:
@@ -156,11 +162,11 @@ MESSAGES = f"SELECT doc_id, concat({_PHRASE}, text) AS text FROM {{documents}}"
 
 
 def urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(URLS, **tables(spark, sf_dir, "pages"))
+    return spark.sql(URLS, **dealt(spark, sf_dir, "pages"))
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(MESSAGES, **tables(spark, sf_dir, "documents"))
+    return spark.sql(MESSAGES, **dealt(spark, sf_dir, "documents"))
 
 
 # --- addresses, mail and intelligence ---------------------------------------------------------------------
@@ -204,7 +210,7 @@ def view(sql: str, table: str):
     """A reader of one projection."""
 
     def read(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return spark.sql(sql, **tables(spark, sf_dir, table))
+        return spark.sql(sql, **dealt(spark, sf_dir, table))
 
     return read
 

@@ -68,7 +68,7 @@ _PLAIN = "regexp_extract_all(text, '[^\\s<>()\\[\\]{}\"'',;]+@[^\\s<>()\\[\\]{}\
   c AS (SELECT doc_id, pos, regexp_replace(regexp_replace(raw, '[.,:;!?]+$', ''), '^[.,:;]+', '') AS address FROM a)
   SELECT doc_id, arg_min(address, pos) AS address, count(*) AS occurrences FROM c GROUP BY doc_id, lower(address)""")
 def email_extract(spark, sf):
-    out = M.extract_emails(X.email_text(spark, sf), "doc_id").where(F.col("source") == "text")
+    out = M.extract_emails(X.email_text(spark, sf), "doc_id")
     return as_long(out.select("doc_id", "address", "occurrences"))
 
 
@@ -156,19 +156,26 @@ def dmarc_status(spark, sf):
     return _summary(spark, sf).select("msg_id", "dmarc_status")
 
 
-_IDENT = f"""ident AS (SELECT doc_id AS msg_id, list_filter([CASE WHEN {X.REPLY} = 'acme@gmail.com' THEN 45 WHEN {O.reg(f"split_part({X.REPLY}, '@', 2)")} <> {O.reg(X.SENDER)} THEN 30 END, CASE WHEN {O.reg(X.CLAIMED)} <> {O.reg(X.SENDER)} THEN 15 END], {O.NOT_NULL}) AS ws {_DOC})"""
+_IDENT = f"""ident AS (SELECT doc_id AS msg_id, list_filter([CASE WHEN {X.REPLY} = 'acme@gmail.com' THEN 45 WHEN {O.reg(f"split_part({X.REPLY}, '@', 2)")} <> {O.reg(X.SENDER)} THEN 30 END, CASE WHEN {O.reg(X.CLAIMED)} <> {O.reg(X.SENDER)} THEN 15 END,
+  CASE WHEN doc_id % 3 = 1 AND {O.reg(X.SENDER)} <> 'bit.ly' THEN 15 END, CASE WHEN doc_id % 3 = 1 AND 'bit.ly' IN {names(P.URL_SHORTENERS)} THEN 15 END], {O.NOT_NULL}) AS ws {_DOC})"""
+
+
+def _linked(spark, sf):
+    """Mail with the links of its text and of its HTML."""
+    m = S.parse_messages(X.mail(spark, sf))
+    links = F.array_distinct(F.concat(H.body_links(F.col("plain_text")), F.transform("anchors", lambda a: a["href"])))
+    return cut_lineage(m.withColumn("link_urls", links).drop("plain_text", "html", "attachments", "anchors", "images", "forms", "hidden_text", "raw"))
 
 
 @query("sender_identity", f"WITH {_IDENT} SELECT msg_id, {O.noisy('ws', 99)} AS risk, CAST(len(ws) AS BIGINT) AS signals FROM ident")
 def sender_identity(spark, sf):
-    m = _mail(spark, sf).withColumn("link_urls", F.array().cast("array<string>"))
-    return as_long(H.sender_identity(m).select("msg_id", F.col("risk_score").alias("risk"), F.size("signals").alias("signals")))
+    return as_long(H.sender_identity(_linked(spark, sf)).select("msg_id", F.col("risk_score").alias("risk"), F.size("signals").alias("signals")))
 
 
 @query("auth_failure_score", f"""WITH {_CLAIMS}, {_IDENT}, f AS (SELECT msg_id, method, max({_WEIGHT}) AS w FROM claims GROUP BY ALL), g AS (SELECT msg_id, list(w) FILTER (w IS NOT NULL) AS fs FROM f GROUP BY msg_id)
   SELECT ident.msg_id, {O.noisy('list_concat(ws, coalesce(fs, []))', 99)} AS risk FROM ident JOIN g USING (msg_id)""")
 def auth_failure_score(spark, sf):
-    return as_long(H.header_risk(_mail(spark, sf)).select("msg_id", F.col("risk_score").alias("risk")))
+    return as_long(H.header_risk(_linked(spark, sf)).select("msg_id", F.col("risk_score").alias("risk")))
 
 
 @query("received_route", f"SELECT doc_id AS msg_id, 0::BIGINT AS hop, '10.1.2.3,8.8.8.8' AS ips {_DOC} UNION ALL SELECT doc_id, 1, '2001:db8::1' {_DOC}")
@@ -195,12 +202,13 @@ def mail_links(spark, sf):
     return H.mail_links(S.parse_messages(X.mail(spark, sf))).select("msg_id", "url", "source", F.coalesce("mismatch", F.lit(False)).alias("mismatch"))
 
 
-@query("attachment_inventory", f"SELECT '1ad9615552126eb88b27e3f5c20c9932a9efafe7a58a790bf8d0d92d0fdc5661' AS sha256, count(*) AS copies, 7::BIGINT AS size, 'f0.pdf' AS filename, 'unknown' AS status {_DOC} WHERE doc_id % 3 = 0 AND doc_id % 9 <> 0")
+@query("attachment_inventory", f"""WITH a AS (SELECT doc_id, sha256(from_base64('UERGREFUQQ==')) AS sha256, octet_length(from_base64('UERGREFUQQ==')) AS size, concat('f', CAST(doc_id % 7 AS VARCHAR), '.pdf') AS filename {_DOC} WHERE doc_id % 3 = 0 AND doc_id % 9 <> 0)
+  SELECT sha256, count(*) AS copies, count(DISTINCT doc_id) AS messages, max(size) AS size, min(filename) AS filename, 'unknown' AS status FROM a GROUP BY sha256""")
 def attachment_inventory(spark, sf):
     from threatlake.sources.feeds import load_feeds
 
     inv = S.attachment_inventory(S.parse_messages(X.mail(spark, sf)), load_feeds(spark).hashes)
-    return as_long(inv.select("sha256", "copies", "size", "filename", F.col("hash_status").alias("status")))
+    return as_long(inv.select("sha256", "copies", "messages", "size", "filename", F.col("hash_status").alias("status")))
 
 
 _NOTE = "'Note ', CAST(doc_id AS VARCHAR), chr(10)"

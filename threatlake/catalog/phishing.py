@@ -9,6 +9,7 @@ from threatlake.catalog import phishing_oracle as O
 from threatlake.catalog.endpoint_oracle import q
 from threatlake.catalog.fixtures import messages, tables, urls
 from threatlake.catalog.registry import Catalog, as_long
+from threatlake.session import cut_lineage
 from threatlake.functions.signals import signal_ids
 from threatlake.functions.text import blank
 from threatlake.operators import decisions, domains, links, lookalike, rulesets, text as T, urls as U
@@ -181,7 +182,7 @@ def extract_links(spark, sf):
 @query("risky_link")
 def risky_link(spark, sf):
     m = T.text_links(messages(spark, sf)).where(F.size("links") > 0)
-    w = T.worst_links(m, "doc_id")
+    w = T.worst_links(cut_lineage(m.select("doc_id", "links")), "doc_id")
     return as_long(w.select("doc_id", F.col("worst.url").alias("url"), F.col("worst.host").alias("host"), F.col("worst.score").alias("score")))
 
 
@@ -196,8 +197,9 @@ _NAMED = "CASE " + " ".join(
   SELECT doc_id, {_NAMED} AS brand FROM b WHERE {_NAMED} IS NOT NULL""")
 def brand_link_mismatch(spark, sf):
     m = T.text_links(messages(spark, sf)).where(F.size("links") > 0)
+    m = cut_lineage(m.select("doc_id", "links", T.named_brands(F.col("text")).alias("named")))
     w = T.worst_links(m, "doc_id").select("doc_id", "link_domains")
-    j = m.join(w, "doc_id").withColumn("brand", T.brand_link_mismatch(F.col("text"), F.col("link_domains")))
+    j = m.join(w, "doc_id").withColumn("brand", T.unlinked_brand(F.col("named"), F.col("link_domains")))
     return j.where(F.col("brand").isNotNull()).select("doc_id", "brand")
 
 

@@ -157,8 +157,9 @@ def _failure_weight() -> Column:
 
 
 def header_risk(mail: DataFrame, key: str = "msg_id") -> DataFrame:
-    """``key, risk_score, signals, dmarc_status`` and alignments of mail with parsed headers."""
-    identity = sender_identity(mail.withColumn("link_urls", F.array().cast("array<string>")), key)
+    """``key, risk_score, signals, dmarc_status`` and alignments of mail with parsed headers, and its ``link_urls`` where they are known."""
+    linked = mail if "link_urls" in mail.columns else mail.withColumn("link_urls", F.array().cast("array<string>"))
+    identity = sender_identity(linked, key)
     summary = auth_summary(auth_claims(mail, key), mail, key)
     failures = signals_of(
         *[

@@ -239,10 +239,9 @@ def worst_links(df: DataFrame, key: str, links: str = "links", rules: DetectionR
     """``key, worst, first_link, link_domains`` of the rows that have links.
 
     Links are scored once per distinct URL and joined back; the highest score wins, the earliest
-    position on ties.
+    position on ties. The rows are read several times: pass a table or a frame whose lineage was cut, if their links are costly.
     """
-    # The links feed three joins; without a cut the message text would be cleaned again for each.
-    flat = cut_lineage(df.select(F.col(key), F.posexplode(links).alias("pos", "url")))
+    flat = df.select(F.col(key), F.posexplode(links).alias("pos", "url"))
     judged = with_verdict(url_signals(flat.select("url").distinct(), rules, keep=True)).select(
         "url", F.col("score").alias("link_score"), "host", "registrable", "url_valid"
     )
@@ -255,20 +254,37 @@ def worst_links(df: DataFrame, key: str, links: str = "links", rules: DetectionR
     )
 
 
-def brand_link_mismatch(text: Column, domains: Column, brands=P.BRANDS) -> Column:
-    """First brand the text names although no link goes to it; null without one."""
+def named_brands(text: Column, brands=P.BRANDS) -> Column:
+    """The brands that a text names, in order."""
     low = F.lower(text)
     solid = F.regexp_replace(low, from_ecmascript(r"\s+", False), "")
+
+    def named(low: Column, solid: Column) -> Column:
+        found = []
+        for name, _ in brands:
+            test = low.contains(name) & low.rlike(from_ecmascript(rf"\b{name}\b", False))
+            if len(name) >= 7:
+                test = test | solid.contains(name)
+            found.append(F.when(test, F.lit(name)))
+        return F.array_compact(F.array(*found))
+
+    return let(F.struct(low.alias("low"), solid.alias("solid")), lambda t: named(t["low"], t["solid"]))
+
+
+def unlinked_brand(named: Column, domains: Column, brands=P.BRANDS) -> Column:
+    """First of the named brands that no link goes to; null without one, or without links."""
     expr = F.lit(None).cast("string")
     for name, official in reversed(brands):
-        named = low.contains(name) & low.rlike(from_ecmascript(rf"\b{name}\b", False))
-        if len(name) >= 7:
-            named = named | solid.contains(name)
         own = F.arrays_overlap(domains, F.array(*[F.lit(d) for d in official]))
-        expr = F.when(named & ~own, F.lit(name)).otherwise(expr)
+        expr = F.when(F.array_contains(named, name) & ~own, F.lit(name)).otherwise(expr)
     return F.when(F.size(domains) > 0, expr)
 
 
+def brand_link_mismatch(text: Column, domains: Column, brands=P.BRANDS) -> Column:
+    """First brand the text names although no link goes to it; null without one."""
+    return unlinked_brand(named_brands(text, brands), domains, brands)
+
+
 def callback_number(text: Column) -> Column:
     """First phone number with a call verb in the forty characters before it."""
     phone, verb = from_ecmascript(P.PHONE_PATTERN, False), from_ecmascript(P.CALL_VERB)
@@ -303,26 +319,27 @@ def fuse_tactics(tactics: Column) -> Column:
     )
 
 
-def text_signals(
-    df: DataFrame, key: str, text: str = "text", out: str = "signals", rules: DetectionRules = DEFAULT_RULES
-) -> DataFrame:
-    """All signals of a message, whatever its length. ``key`` identifies the row."""
-    df = scam_signals(deobfuscate(df, text), "clean_text")
+def text_findings(df: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """``key`` and what a message says by itself: signals, tactics, links, the brands it names, a number to call. The text is read here and nowhere else."""
+    df = scam_signals(deobfuscate(df.select(key, F.col(text).alias("__text")), "__text"), "clean_text")
     df = text_links(df, "clean_text", "links")
-    linked = df.where(F.size("links") > 0)
-    worst = worst_links(linked.select(key, "links"), key, "links", rules).withColumnRenamed(key, "__key")
-    df = df.join(worst, F.col(key) == F.col("__key"), "left").drop("__key")
-    pressure = has_pressure(F.col("tactics"))
-    strong = F.size(strong_tactics(F.col("tactics"))) > 0
-    df = df.withColumns(
-        {
-            "__brand": F.when(
-                strong & F.col("first_link").isNotNull(), brand_link_mismatch(F.col("clean_text"), F.col("link_domains"))
-            ),
-            "__call": F.when(pressure, callback_number(F.col("clean_text"))),
-        }
+    clean, strong = F.col("clean_text"), F.size(strong_tactics(F.col("tactics"))) > 0
+    return df.select(
+        key, "obfuscation", "scam", "tactics", "links", style_signals(blank("__text")).alias("style"),
+        F.when(strong & (F.size("links") > 0), named_brands(clean)).otherwise(F.array().cast(_NO_TEXT)).alias("brands"),
+        F.when(has_pressure(F.col("tactics")), callback_number(clean)).alias("call"),
     )
-    worst_score = F.col("worst.score")
+
+
+def text_signals(df: DataFrame, key: str, text: str = "text", out: str = "signals", rules: DetectionRules = DEFAULT_RULES) -> DataFrame:
+    """``key`` and all signals of a message, whatever its length. ``key`` identifies the row.
+
+    The findings are narrow; they are kept for the two passes that links need, so that no text is cleaned twice."""
+    found = cut_lineage(text_findings(df, key, text))
+    worst = worst_links(found.where(F.size("links") > 0), key, "links", rules).withColumnRenamed(key, "__key")
+    both = found.join(worst, F.col(key) == F.col("__key"), "left").drop("__key")
+    both = both.withColumn("__brand", F.when(F.col("first_link").isNotNull(), unlinked_brand(F.col("brands"), F.col("link_domains"))))
+    pressure, worst_score = has_pressure(F.col("tactics")), F.col("worst.score")
     tail = signals_of(
         signal_if(worst_score >= 30, "risky-link", F.least(F.lit(60), worst_score),
                   F.concat(F.lit("Risky link to "), F.col("worst.host")), clip(F.col("worst.url"), 80)),
@@ -330,24 +347,22 @@ def text_signals(
                   F.concat(F.lit("Names "), F.col("__brand"), F.lit(" but links to "), F.col("first_link.host")),
                   clip(F.col("first_link.url"), 80)),
         signal_if(pressure & (F.size("links") > 0), "pressure-plus-link", 20, "Pressure and a link to click"),
-        signal_if(F.col("__call").isNotNull(), "pressure-plus-callback", 20, "Pressure and a number to call", F.col("__call")),
-    )
-    df = df.withColumn(
-        out, union_signals(F.col("obfuscation"), F.col("scam"), tail, style_signals(blank(text)), fuse_tactics(F.col("tactics")))
+        signal_if(F.col("call").isNotNull(), "pressure-plus-callback", 20, "Pressure and a number to call", F.col("call")),
     )
-    return df.drop("obfuscation", "scam", "worst", "first_link", "link_domains", "__brand", "__call")
+    return both.select(key, union_signals(F.col("obfuscation"), F.col("scam"), tail, F.col("style"), fuse_tactics(F.col("tactics"))).alias(out))
 
 
 def scan_text(df: DataFrame, key: str, text: str = "text", rules: DetectionRules = DEFAULT_RULES) -> DataFrame:
-    return with_verdict(text_signals(df, key, text, "signals", rules)).drop("clean_text", "links", "tactics")
+    """``df`` with the signals and the verdict of its messages."""
+    judged = with_verdict(text_signals(df, key, text, "signals", rules)).withColumnRenamed(key, "__key")
+    return df.join(judged, F.col(key) == F.col("__key")).drop("__key")
 
 
 def scan_page(df: DataFrame, key: str, url: str = "url", text: str = "text", rules: DetectionRules = DEFAULT_RULES) -> DataFrame:
     """Address and visible text together: URL signals, then text signals, one verdict."""
-    with_text = text_signals(df, key, text, "__text", rules).drop("clean_text", "links", "tactics")
-    with_url = url_signals(with_text, rules, url)
-    joined = with_url.withColumn("signals", union_signals(F.col("signals"), F.col("__text"))).drop("__text")
-    return with_verdict(joined)
+    of_text = text_signals(df, key, text, "__text", rules).withColumnRenamed(key, "__key")
+    both = url_signals(df, rules, url).join(of_text, F.col(key) == F.col("__key")).drop("__key")
+    return with_verdict(both.withColumn("signals", union_signals(F.col("signals"), F.col("__text"))).drop("__text"))
 
 
 __all__ = [
