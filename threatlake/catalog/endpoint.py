@@ -126,7 +126,11 @@ def src_dns_dump(spark, sf):
 @query("src_task_csv", """SELECT concat('T', CAST(event_id AS VARCHAR)) AS task_name, CASE WHEN event_id % 2 = 0 THEN 'Ready' ELSE 'Disabled' END AS status,
   concat('run ', event_type) AS task_to_run, concat('u', CAST(user_id AS VARCHAR)) AS run_as_user FROM events""")
 def src_task_csv(spark, sf):
-    from threatlake.sources.tasks import normalize_task_rows
+    """Exports with both spellings of the headers, written as CSV and read back."""
+    from uuid import uuid4
+
+    from threatlake.session import ensure_checkpoint_dir
+    from threatlake.sources.tasks import read_task_exports
 
     raw = tables(spark, sf, "events")["events"].select(
         F.when(F.col("event_id") % 3 == 0, F.concat(F.lit(" T"), F.col("event_id").cast("string"))).alias("TaskName"),
@@ -136,7 +140,9 @@ def src_task_csv(spark, sf):
         F.when(F.col("event_id") % 2 == 1, F.lit("Disabled")).alias("Scheduled Task State"),
         F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("Run As User"),
     )
-    return normalize_task_rows(raw).select("task_name", "status", "task_to_run", "run_as_user")
+    path = f"{ensure_checkpoint_dir(spark)}/tasks-{uuid4().hex}"
+    raw.write.option("header", True).csv(path)
+    return read_task_exports(spark, path).select("task_name", "status", "task_to_run", "run_as_user")
 
 
 _ZONE = """SELECT event_id AS file_id, concat('[ZoneTransfer]', chr(13), chr(10), CASE event_id % 4 WHEN 0 THEN 'ZoneId=3' WHEN 1 THEN '  ZoneId=x' WHEN 2 THEN 'Zone=3' ELSE 'ZoneId=0' END, chr(13), chr(10),

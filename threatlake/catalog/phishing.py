@@ -52,7 +52,15 @@ def external_redirect(spark, sf):
     return U.external_redirects(U.url_features(urls(spark, sf))).where("url_valid").select("page_id", "external_redirect")
 
 
-@query("mixed_script")
+_FOREIGN = O.PARTS.replace(O.URL_VIEW, f"raw AS ({O.URLS.format(pages='pages')}), src AS (SELECT * REPLACE (CASE WHEN page_id % 3 = 0 THEN translate(url, 'a', 'а') ELSE url END AS url) FROM raw)")
+_LABELS = "list_filter(string_split(host, '.'), lambda l: CAST(regexp_matches(l, '\\p{Latin}') AS INT) + CAST(regexp_matches(l, '\\p{Cyrillic}') AS INT) + CAST(regexp_matches(l, '\\p{Greek}') AS INT) > 1)"
+
+
+# An encoded label has at least five characters more, and two for each letter beyond ASCII; more than 63 are no host name.
+_TOO_LONG = "list_filter(string_split(host, '.'), lambda l: regexp_matches(l, '[^\\x00-\\x7F]') AND len(l) + 5 + 2 * len(regexp_replace(l, '[\\x00-\\x7F]', '', 'g')) > 63)"
+
+
+@query("mixed_script", f"WITH {_FOREIGN} SELECT page_id, host AS raw_host FROM p3 WHERE url_valid AND len({_LABELS}) > 0 AND len({_TOO_LONG}) = 0")
 def mixed_script(spark, sf):
     """Hosts with their 'a' written in Cyrillic on every third page; rows with a mixed label."""
     raw = urls(spark, sf).select("page_id", F.when(F.col("page_id") % 3 == 0, F.translate("url", "a", "а")).otherwise(F.col("url")).alias("url"))
@@ -179,7 +187,13 @@ def extract_links(spark, sf):
     return T.text_links(m).where(F.size("links") > 0).select("doc_id", F.array_join("links", " ").alias("links"))
 
 
-@query("risky_link")
+_WORST = f"""lk AS (SELECT doc_id, unnest({_FULL}) AS url, generate_subscripts({_FULL}, 1) AS pos FROM msg WHERE len({_LINK}) > 0),
+  src AS (SELECT url, min(doc_id) AS page_id, 0 AS user_id, '' AS html FROM lk GROUP BY url)"""
+_LINK_VERDICT = O.VERDICT.replace(O.URL_VIEW, f"{O.MSG_VIEW}, {_WORST}")
+
+
+@query("risky_link", f"""WITH {_LINK_VERDICT}, best AS (SELECT doc_id, arg_max(struct_pack(url := lk.url, host := host, score := score), struct_pack(a := score, b := -pos)) AS w FROM lk JOIN verdict USING (url) GROUP BY doc_id)
+  SELECT doc_id, w.url AS url, w.host AS host, w.score AS score FROM best""")
 def risky_link(spark, sf):
     m = T.text_links(messages(spark, sf)).where(F.size("links") > 0)
     w = T.worst_links(cut_lineage(m.select("doc_id", "links")), "doc_id")

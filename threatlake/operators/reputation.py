@@ -7,7 +7,7 @@ to millions of indicators still joins.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from threatlake.schemas import DOWNLOAD_TYPE
 from threatlake.sources.feeds import Feeds, feed_lookup
@@ -34,7 +34,8 @@ _NORMAL = {"hash": normal_hash, "ip": normal_ip, "domain": normal_domain}
 def with_reputation(df: DataFrame, feed: DataFrame, key: Column | str, kind: str, prefix: str | None = None) -> DataFrame:
     """Add ``{prefix}_status`` (malicious / trusted / unknown), flags and the threat name.
 
-    Rows without a key skip the join's match but stay in the result.
+    Rows without a key match nothing and stay in the result; where the feed is shuffled they are dealt to all partitions by a hash of the row instead of
+    meeting in one.
     """
     prefix = prefix or kind
     key = F.col(key) if isinstance(key, str) else key
@@ -44,7 +45,9 @@ def with_reputation(df: DataFrame, feed: DataFrame, key: Column | str, kind: str
         F.col("is_listed_allow").alias("__a"),
         F.col("threat_name").alias(f"{prefix}_threat"),
     )
-    keyed = df.withColumn("__key", F.nullif(_NORMAL[kind](key), F.lit("")))
+    plain = [f.name for f in df.schema.fields if isinstance(f.dataType, T.AtomicType)]
+    nowhere = F.concat(F.lit("\u0000"), F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in plain]), F.lit(1 << 16)).cast("string"))
+    keyed = df.withColumn("__key", F.coalesce(F.nullif(_NORMAL[kind](key), F.lit("")), nowhere))
     joined = keyed.join(lookup, F.col("__key") == F.col("__ind"), "left")
     blocked = F.coalesce(F.col("__b"), F.lit(False))
     listed = F.coalesce(F.col("__a"), F.lit(False))

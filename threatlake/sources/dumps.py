@@ -5,52 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 
+_NAME_LINE = r"(?:\A|[\r\n])\x20*(?=Record Name[^\r\n:]*:)"
+
+
 def parse_dns_dumps(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """``keys, domain, ips, ttls`` per dump and record name.
 
-    A dump is one host's text, so its lines are walked inside the row; nothing is exploded into a
-    shared group. Names keep first-seen order, repeated addresses count once, TTLs that are no
-    integers are left out, and the "Record Type" line is not a record.
+    A dump is cut where a name line begins, and each block is read by itself: the work grows with the lines. A name that comes again is put together
+    over its own blocks only. Repeated addresses count once, TTLs that are no integers are left out, and the "Record Type" line is not a record.
     """
+    tagged = df.withColumn("_dump", F.monotonically_increasing_id())
+    tagged = tagged.select(*keys, "_dump", F.posexplode(F.split(F.col(text), _NAME_LINE, -1)).alias("_pos", "_block"))
     lines = F.filter(
-        F.transform(F.split(F.col(text), r"\r\n|\r|\n"), lambda s: F.trim(s)),
+        F.transform(F.split("_block", r"\r\n|\r|\n"), lambda s: F.trim(s)),
         lambda s: (s != "") & ~s.startswith("---") & ~s.startswith("Windows IP Configuration") & s.contains(":"),
     )
-    pairs = F.transform(
-        lines,
-        lambda s: F.struct(
-            F.trim(F.substring_index(s, ":", 1)).alias("k"),
-            F.trim(F.substr(s, F.instr(s, ":") + 1)).alias("v"),
-        ),
-    )
-
-    def step(acc, p):
-        k, v = p["k"], p["v"]
-        is_name = k.startswith("Record Name")
-        name = F.when(is_name, F.lower(F.rtrim(v, F.lit(".")))).otherwise(acc["name"])
-        ttl = k.startswith("Time To Live") & ~is_name
-        record = k.contains("Record") & ~k.startswith("Record Type") & ~is_name & ~ttl & (v != "")
-        fact = F.struct(
-            name.alias("domain"),
-            F.when(record, v).alias("ip"),
-            F.when(ttl & v.rlike(r"^[+-]?\d+$"), v.try_cast("int")).alias("ttl"),
-        )
-        keep = (F.coalesce(name, F.lit("")) != "") & (is_name | record | ttl)
-        return F.struct(name.alias("name"), F.when(keep, F.concat(acc["facts"], F.array(fact))).otherwise(acc["facts"]).alias("facts"))
-
-    start = F.struct(
-        F.lit(None).cast("string").alias("name"),
-        F.array().cast("array<struct<domain:string,ip:string,ttl:int>>").alias("facts"),
-    )
-    facts = F.aggregate(pairs, start, step, lambda acc: acc["facts"])
-    with_facts = df.select(*keys, facts.alias("_facts"))
-    named = with_facts.select(
-        *keys, "_facts", F.explode(F.array_distinct(F.transform("_facts", lambda f: f["domain"]))).alias("domain")
-    )
-    own = F.filter("_facts", lambda f: f["domain"] == F.col("domain"))
-    return named.select(
-        *keys,
-        "domain",
-        F.array_distinct(F.array_compact(F.transform(own, lambda f: f["ip"]))).alias("ips"),
-        F.array_compact(F.transform(own, lambda f: f["ttl"])).alias("ttls"),
+    key, value = lambda s: F.trim(F.substring_index(s, ":", 1)), lambda s: F.trim(F.substr(s, F.instr(s, ":") + 1))
+    is_ttl = lambda s: key(s).startswith("Time To Live")
+    is_record = lambda s: key(s).contains("Record") & ~key(s).startswith("Record Type") & ~is_ttl(s) & (value(s) != "")
+    blocks = tagged.withColumn("_lines", lines).where(F.get("_lines", F.lit(0)).startswith("Record Name"))
+    rest = F.slice("_lines", F.lit(2), F.size("_lines"))
+    facts = blocks.select(
+        *keys, "_dump", "_pos", F.lower(F.rtrim(value(F.get("_lines", F.lit(0))), F.lit("."))).alias("domain"),
+        F.transform(F.filter(rest, is_record), value).alias("ips"),
+        F.array_compact(F.transform(F.filter(rest, lambda s: is_ttl(s) & value(s).rlike(r"^[+-]?\d+$")), lambda s: value(s).try_cast("int"))).alias("ttls"),
+    ).where("domain <> ''")
+    whole = facts.groupBy(*keys, "_dump", "domain").agg(F.array_sort(F.collect_list(F.struct("_pos", "ips", "ttls"))).alias("_b"))
+    return whole.select(
+        *keys, "domain", F.array_distinct(F.flatten(F.transform("_b", lambda b: b["ips"]))).alias("ips"),
+        F.flatten(F.transform("_b", lambda b: b["ttls"])).alias("ttls"),
     )
