@@ -53,7 +53,8 @@ def op4(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("op5_bwt_repeats")
 def op5(spark: SparkSession, sf: str) -> DataFrame:
-    return repeats.remove_repeats(table(spark, sf, "documents"))
+    """``repeats`` says whether a document lost anything."""
+    return repeats.remove_repeats(table(spark, sf, "documents")).withColumn("repeats", F.col("n_removed") > 0)
 
 
 @query("op6_hilbert_shards")
