@@ -170,7 +170,22 @@ def protective_context(spark, sf):
     return both.select("doc_id", signal_ids("every").alias("every_match"), signal_ids("live").alias("live_match"))
 
 
-@query("text_deobfuscate")
+# The text outside links, hidden characters removed. The given texts are in composed form, so composition changes none.
+_BARE = f"regexp_replace(regexp_replace({_BODY}, '[{P.ZERO_WIDTH}]', '', 'g'), '(?i)https?://\\S+|www\\.\\S+', chr(10), 'g')"
+_WORDS = "[" + ", ".join(q(w) for w in T._VOCABULARY) + "]"
+_SPREAD = "regexp_extract_all(bare, '(^|[^A-Za-z0-9_])((?:[A-Za-z][ \\t.\\-_*]){2,}[A-Za-z])($|[^A-Za-z0-9_])', 2)"
+_SHUT = "regexp_replace(m, '[ \\t.\\-_*]', '', 'g')"
+_PUT = f"translate(lower(w), {q(P.LEET[0])}, {q(P.LEET[1])})"
+
+
+@query("text_deobfuscate", f"""WITH {O.MSG_VIEW}, a AS (SELECT doc_id, text, {_BARE} AS bare, len(text) - len(regexp_replace(text, '[{P.ZERO_WIDTH}]', '', 'g')) AS hidden FROM msg),
+  b AS (SELECT *, list_filter({_SPREAD}, lambda m: len({_SHUT}) >= 5 OR list_contains({_WORDS}, lower({_SHUT}))) AS spread,
+    list_filter(regexp_extract_all(bare, '\\S+'), lambda t: regexp_matches(t, '[A-Za-z]') AND regexp_matches(t, '[\\x{{370}}-\\x{{3FF}}\\x{{400}}-\\x{{4FF}}]')) AS mixed,
+    list_filter(regexp_extract_all(bare, '[A-Za-z0-9@$]{{3,}}'), lambda w: regexp_matches(w, '[013457@$]') AND NOT regexp_matches(w, '[0-9]{{3}}') AND regexp_matches(w, '[A-Za-z]')
+      AND (list_contains({_WORDS}, replace({_PUT}, '1', 'i')) OR list_contains({_WORDS}, replace({_PUT}, '1', 'l')))) AS leet FROM a)
+  SELECT doc_id, array_to_string(list_filter([CASE WHEN hidden >= 2 THEN 'obfuscation-hidden-chars' END, CASE WHEN len(mixed) > 0 THEN 'obfuscation-mixed-script' END,
+    CASE WHEN len(spread) > 0 THEN 'obfuscation-spaced-letters' END, CASE WHEN len(leet) > 0 THEN 'obfuscation-leet' END], {O.NOT_NULL}), ',') AS signals,
+    len(text) - hidden - CAST(coalesce(list_sum(list_transform(spread, lambda m: len(m) - len({_SHUT}))), 0) AS BIGINT) AS clean_length FROM b""")
 def text_deobfuscate(spark, sf):
     out = T.deobfuscate(messages(spark, sf))
     return as_long(out.select("doc_id", signal_ids("obfuscation").alias("signals"), F.length("clean_text").alias("clean_length")))
