@@ -73,3 +73,23 @@ def test_no_documents_and_no_items(spark):
     none = table(spark, [(1, None)])
     assert decontaminate.contaminated(documents(spark, rows), none).where("contaminated").count() == 0
     assert decontaminate.clean(documents(spark, rows), none).count() == len(rows)
+
+
+def test_a_template_of_all_items_brings_nothing_together(spark, monkeypatch):
+    """Forty items begin with one prompt, as do two hundred documents; only those that hold the rest of an item meet it."""
+    prompt = prose(7000, 30)
+    items = [(i, f"{prompt} {prose(7100 + i, 25)}") for i in range(40)]
+    rows = [(i, f"{prompt} {prose(7500 + i, 60)}") for i in range(200)] + [(1000 + i, f"{prose(i, 20)} {t} {prose(i, 9)}") for i, t in items[:5]]
+    seen = []
+    keep = decontaminate.stored
+
+    def counted(df, name, *more, **named):
+        out = keep(df, name, *more, **named)
+        if name == "hits":
+            seen.append(out.select("k1", "item_id").distinct().count())
+        return out
+
+    monkeypatch.setattr(decontaminate, "stored", counted)
+    got = decontaminate.contaminated(documents(spark, rows), table(spark, items)).where("contaminated").collect()
+    assert {(r.doc_id, r.item_ids) for r in got} == {(1000 + i, str(i)) for i, _ in items[:5]}
+    assert sum(seen) <= 10  # of 8,200 pairs

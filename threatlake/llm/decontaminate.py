@@ -3,6 +3,9 @@
 A document holds an item if one of its windows, as many words long as the item, has at least the asked weighted
 Jaccard similarity with it over word shingles (``sum of minima / sum of maxima`` of the counts).
 
+0. *Candidates.* A window that is similar enough shares the part ``num / den`` of the item's shingles, hence one of any that make up a little more than
+   the rest. Those that the fewest items have are taken; only documents with one of them are looked at for the item, so a template that
+   all items share brings none together.
 1. *Windows.* Moving a window forward to the next shingle that it shares with the item loses nothing it shares, so windows that
    start at a shared shingle (or end with the document) are all that matter, and of those the ones that hold
    enough shared shingles for the similarity. Both follow from the positions of shared shingles alone.
@@ -28,7 +31,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from threatlake.llm.common import scratch, stored, text_of
+from threatlake.llm.common import discard, scratch, stored, text_of
 
 SHINGLE = 5
 RADIUS = 23
@@ -84,16 +87,31 @@ def _at_least(a: Column, b: Column, num: int, den: int) -> Column:
     return F.ceil(num * (a + b) / (num + den)).cast("int")
 
 
+def leading_shingles(shingles: DataFrame, num: int, den: int) -> DataFrame:
+    """``h, item_id`` of shingles of which every similar window has one: by the number of items that have them, then by hash."""
+    common = shingles.groupBy("h").agg(F.count("*").alias("_items"))
+    size = F.col("n") - F.col("length") + 1
+    order = W.partitionBy("item_id").orderBy("_items", "h").rowsBetween(W.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("c").over(order), F.lit(0))
+    ranked = shingles.join(common, "h").withColumn("_before", before)
+    return ranked.where(F.col("_before") <= size - F.ceil(num * size / den)).select("h", "item_id")
+
+
 def shared_windows(docs: DataFrame, shingles: DataFrame, length: int, num: int, den: int) -> DataFrame:
     """``k1, k2, item_id, n, m, start``: windows that share enough shingles of this length with an item. ``n``: words of
     the item; ``m``: words of the window, fewer only in a shorter document."""
     words = _keyed(docs).select(*KEY, words_of(F.col("text")).alias("words"))
     found = words.select(*KEY, F.size("words").alias("total"), F.posexplode(shingles_of(F.col("words"), length)).alias("pos", "h"))
-    items = shingles.where(F.col("length") == length).select("h", "item_id", "n")
+    items = shingles.where(F.col("length") == length)
     keys = items.select("h").distinct()
     if keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         found = found.join(F.broadcast(keys), "h", "left_semi")
-    hits = stored(found.join(items, "h").drop("h"), "hits")
+    else:
+        found = found.join(keys, "h", "left_semi")
+    found = stored(found, "found")
+    met = found.select(*KEY, "h").distinct().join(leading_shingles(items, num, den), "h").select(*KEY, "item_id").distinct()
+    hits = stored(met.join(items.select("item_id", "n", "h"), "item_id").join(found, [*KEY, "h"]).drop("h"), "hits")
+    discard(found)
     m = F.least("n", "total")
     hits = hits.withColumns({"m": m, "rank": F.row_number().over(W.partitionBy(*KEY, "item_id").orderBy("pos"))})
     hits = hits.withColumn("start", F.least(F.col("pos"), F.col("total") - F.col("m")))

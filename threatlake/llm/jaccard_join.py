@@ -167,6 +167,15 @@ def _unplanes(raw: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(kind).ravel()
 
 
+def _packed(s: np.ndarray) -> bytes:
+    """A sorted set by its differences: their highest bytes are mostly zero."""
+    return _planes(np.diff(s, prepend=U64(0)))
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    return np.cumsum(_unplanes(raw, np.uint64), dtype=np.uint64)
+
+
 def _fragment_of(grams: np.ndarray, fragments: int) -> np.ndarray:
     return ((grams >> U64(32)) * U64(fragments) >> U64(32)).astype(np.int64)
 
@@ -296,7 +305,9 @@ def hub_pairs(met: DataFrame, turn: int, num: int, den: int) -> DataFrame:
     names = {"doc": "b", "size": "_size", "end": "_end", "label": "_label", "_own": "_less"}
     hubs = stored(hubs.select("gram", *[F.col(f"_hub.{k}").alias(v) for k, v in names.items()]), "hubs")
     pairs = met.join(hubs, "gram").where((F.col("label") != F.col("_label")) & _fits(num, den))
-    return pairs.select(F.col("doc").alias("a"), "b").distinct()
+    out = stored(pairs.select(F.col("doc").alias("a"), "b").distinct(), "hub-pairs")
+    discard(hubs)
+    return out
 
 
 def rest_pairs(met: DataFrame, num: int, den: int) -> DataFrame:
@@ -324,8 +335,8 @@ def _whole(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch
     for batch in batches:
         wanted = batch.column("wanted").to_pylist()
         for first, data, offsets in text_blocks(batch.column("text")):
-            sets = [(_class_of(s), s.tobytes()) for s in gram_sets(data, offsets, n)]
-            sets = [x for i, x in enumerate(sets) if x[0] in wanted[first + i]]
+            sets = [(_class_of(s), s) for s in gram_sets(data, offsets, n)]
+            sets = [(c, _packed(s)) for i, (c, s) in enumerate(sets) if c in wanted[first + i]]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in sets], pa.int64()), pa.array([x[1] for x in sets], pa.binary())], ["doc", "grams"])
 
 
@@ -335,7 +346,7 @@ def _segments(batches: Iterator[pa.RecordBatch], groups: int) -> Iterator[pa.Rec
     for batch in batches:
         cols: tuple[list, list, list, list] = ([], [], [], [])
         for row in batch.to_pylist():
-            s = np.frombuffer(row["grams"], np.uint64)
+            s = _unpacked(row["grams"])
             cuts = np.searchsorted(_fragment_of(s, FRAGMENTS), np.arange(FRAGMENTS + 1))
             for part in row["parts"]:
                 others = np.array(part["others"], np.int64).tobytes()
@@ -343,7 +354,7 @@ def _segments(batches: Iterator[pa.RecordBatch], groups: int) -> Iterator[pa.Rec
                     cols[0].append(f * groups + part["pairs"])
                     cols[1].append(row["doc"])
                     cols[2].append(others)
-                    cols[3].append(s[cuts[f] : cuts[f + 1]].tobytes())
+                    cols[3].append(_packed(s[cuts[f] : cuts[f + 1]]))
             if len(cols[0]) > 5000:
                 yield _cells(cols)
                 cols = ([], [], [], [])
@@ -359,7 +370,7 @@ def _cells(cols) -> pa.RecordBatch:
 def _overlaps(found: pa.Table) -> pa.Table:
     """(a, b, shared) of the pairs of a cell."""
     docs = found.column("doc").to_numpy()
-    segments = [np.frombuffer(x, np.uint64) for x in found.column("grams").to_pylist()]
+    segments = [_unpacked(x) for x in found.column("grams").to_pylist()]
     others = [np.frombuffer(x, np.int64) for x in found.column("others").to_pylist()]
     size = np.array([len(s) for s in segments], np.int64)
     start = np.cumsum(size) - size
