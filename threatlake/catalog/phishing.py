@@ -163,7 +163,33 @@ def scam_rules(spark, sf):
     return T.scam_signals(m, "text", context=False).select("doc_id", signal_ids("scam").alias("rules"))
 
 
-@query("protective_context")
+_CONTEXT = [r for r in _PLAIN if r[3]]
+
+
+def _found(name: str, pattern: str) -> str:
+    """Matches of a pattern and the text between them, from which their places follow."""
+    p = q(pattern.replace(chr(92) + "/", "/"))
+    return f"regexp_extract_all({_BODY}, {p}, 0, 'i') AS h_{name}, regexp_split_to_array({_BODY}, {p}, 'i') AS g_{name}"
+
+
+def _places(name: str) -> str:
+    size = lambda x: f"coalesce(list_sum(list_transform({x}, lambda s: len(s))), 0)"
+    return f"list_transform(range(1, len(h_{name}) + 1), lambda i: CAST({size(f'g_{name}[1:i]')} + {size(f'h_{name}[1:i - 1]')} AS BIGINT)) AS p_{name}"
+
+
+_NAMES = {r[0]: f"r{i}" for i, r in enumerate(_CONTEXT)}
+_BEFORE = f"substring({_BODY}, greatest(p - {P.NEGATION_LOOKBACK}, 0) + 1, p - greatest(p - {P.NEGATION_LOOKBACK}, 0))"
+_LIVE = f"NOT regexp_matches({_BEFORE}, {q(P.NEGATION_BEFORE)}, 'i') AND len(list_filter(p_prot, lambda x: p >= x AND p - x <= {P.PROTECTIVE_WINDOW})) = 0"
+_LIVE_IDS = ", ".join(
+    f"CASE WHEN len(list_filter(p_{_NAMES[r[0]]}, lambda p: {_LIVE})) > 0 THEN {q(r[0])} END" if r[3]
+    else f"CASE WHEN regexp_matches({_BODY}, {q(r[5].replace(chr(92) + '/', '/'))}, 'i') THEN {q(r[0])} END"
+    for r in _PLAIN
+)
+
+
+@query("protective_context", f"""WITH {O.MSG_VIEW}, a AS (SELECT doc_id, text, {_found("prot", P.PROTECTIVE)}, {", ".join(_found(n, next(r[5] for r in _CONTEXT if r[0] == i)) for i, n in _NAMES.items())} FROM msg),
+  b AS (SELECT *, {_places("prot")}, {", ".join(map(_places, _NAMES.values()))} FROM a)
+  SELECT doc_id, array_to_string(list_filter([{_RULE_IDS}], {O.NOT_NULL}), ',') AS every_match, array_to_string(list_filter([{_LIVE_IDS}], {O.NOT_NULL}), ',') AS live_match FROM b""")
 def protective_context(spark, sf):
     m = messages(spark, sf)
     both = T.scam_signals(T.scam_signals(m, "text", "every", context=False).drop("tactics"), "text", "live")

@@ -17,9 +17,6 @@ from threatlake.functions.findings import with_assessment
 from threatlake.functions.text import blank, first_truthy
 from threatlake.session import cut_lineage
 
-# Islands up to this many distinct instants are folded in one group; longer ones use pointer jumping.
-FOLD_INSTANTS = 2_000
-
 
 def finding_fingerprint(rule_id: Column) -> Column:
     """Seven fields joined by '|', case kept."""
@@ -69,47 +66,31 @@ def cooldown_emitted(df: DataFrame, keys: list[str], seconds: int, ts: str = "ts
     instants = df.select(*keys, F.unix_micros(F.col(ts)).alias("_t")).distinct()
     instants = instants.withColumn("_b", F.floor(F.col("_t") / width).cast("bigint"))
     buckets = _bucketed(instants, keys, width)
-    islands = buckets.groupBy(*keys, "_island").agg(F.sum("_n").alias("_size"), F.count(F.lit(1)).alias("_span"))
-    sized = buckets.join(islands, [*keys, "_island"])
-    longest = islands.where(F.col("_size") > FOLD_INSTANTS).agg(F.max("_span")).first()[0]
-
-    placed = instants.join(sized.select(*keys, "_b", "_island", "_size"), [*keys, "_b"])
-    small = placed.where(F.col("_size") <= FOLD_INSTANTS)
-    folded = small.groupBy(*keys, "_island").agg(F.sort_array(F.collect_list("_t")).alias("_ts"))
-    picked = F.aggregate(
-        F.col("_ts"),
-        F.array().cast("array<bigint>"),
-        lambda acc, t: F.when(
-            F.coalesce(t - F.try_element_at(acc, F.lit(-1)) >= width, F.lit(True)), F.concat(acc, F.array(t))
-        ).otherwise(acc),
-    )
-    emitted = folded.select(*keys, F.explode(picked).alias("_t"))
-    if longest is None:
-        return emitted
-    return emitted.unionByName(_jump_emitted(placed, sized, keys, width, longest))
+    longest = buckets.groupBy(*keys, "_island").agg(F.count(F.lit(1)).alias("_span")).agg(F.max("_span")).first()[0]
+    placed = instants.join(buckets.select(*keys, "_b", "_island"), [*keys, "_b"])
+    return _jump_emitted(placed, buckets, keys, width, longest or 0)
 
 
-def _jump_emitted(placed: DataFrame, sized: DataFrame, keys: list[str], width: int, longest: int) -> DataFrame:
-    """Long islands by pointer jumping: about log2(buckets) joins on unique (key, instant) pairs.
+def _jump_emitted(placed: DataFrame, buckets: DataFrame, keys: list[str], width: int, longest: int) -> DataFrame:
+    """Islands by pointer jumping: about log2(buckets of the longest) joins on unique (key, instant) pairs.
 
     The successor of an instant is the first instant at least ``width`` later. It lies in the next
-    bucket, or is the first instant of the first non-empty bucket after that.
+    bucket, or is the first instant of the first non-empty bucket after that, inside the island: the next one starts anew.
     """
-    big = placed.where(F.col("_size") > FOLD_INSTANTS)
     order = Window.partitionBy(*keys, "_island").orderBy("_b")
-    ahead = sized.where(F.col("_size") > FOLD_INSTANTS).select(
+    ahead = buckets.select(
         *keys, "_b", "_lo",
         F.lead("_b").over(order).alias("_b1"), F.lead("_lo").over(order).alias("_lo1"),
         F.lead("_lo", 2).over(order).alias("_lo2"), "_start",
     )
     later = F.when(F.col("_b1") == F.col("_b") + 1, F.col("_lo2")).otherwise(F.col("_lo1"))
-    data = big.select(*keys, "_b", F.col("_t").alias("_at"), F.col("_t").alias("_have"), F.lit(None).cast("bigint").alias("_from"))
-    probe = big.select(
-        *keys, (F.col("_b") + 1).alias("_b"), (F.col("_t") + width).alias("_at"),
+    data = placed.select(*keys, "_island", "_b", F.col("_t").alias("_at"), F.col("_t").alias("_have"), F.lit(None).cast("bigint").alias("_from"))
+    probe = placed.select(
+        *keys, "_island", (F.col("_b") + 1).alias("_b"), (F.col("_t") + width).alias("_at"),
         F.lit(None).cast("bigint").alias("_have"), F.col("_t").alias("_from"),
     )
     down = (
-        Window.partitionBy(*keys, "_b")
+        Window.partitionBy(*keys, "_island", "_b")
         .orderBy(F.col("_at").desc(), F.col("_have").desc_nulls_last())
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
