@@ -204,11 +204,14 @@ _SHUT = "regexp_replace(m, '[ \\t.\\-_*]', '', 'g')"
 _PUT = f"translate(lower(w), {q(P.LEET[0])}, {q(P.LEET[1])})"
 
 
-@query("text_deobfuscate", f"""WITH {O.MSG_VIEW}, a AS (SELECT doc_id, text, {_BARE} AS bare, len(text) - len(regexp_replace(text, '[{P.ZERO_WIDTH}]', '', 'g')) AS hidden FROM msg),
-  b AS (SELECT *, list_filter({_SPREAD}, lambda m: len({_SHUT}) >= 5 OR list_contains({_WORDS}, lower({_SHUT}))) AS spread,
+_SPREAD_SQL = f"""list_filter({_SPREAD}, lambda m: len({_SHUT}) >= 5 OR list_contains({_WORDS}, lower({_SHUT}))) AS spread,
     list_filter(regexp_extract_all(bare, '\\S+'), lambda t: regexp_matches(t, '[A-Za-z]') AND regexp_matches(t, '[\\x{{370}}-\\x{{3FF}}\\x{{400}}-\\x{{4FF}}]')) AS mixed,
     list_filter(regexp_extract_all(bare, '[A-Za-z0-9@$]{{3,}}'), lambda w: regexp_matches(w, '[013457@$]') AND NOT regexp_matches(w, '[0-9]{{3}}') AND regexp_matches(w, '[A-Za-z]')
-      AND (list_contains({_WORDS}, replace({_PUT}, '1', 'i')) OR list_contains({_WORDS}, replace({_PUT}, '1', 'l')))) AS leet FROM a)
+      AND (list_contains({_WORDS}, replace({_PUT}, '1', 'i')) OR list_contains({_WORDS}, replace({_PUT}, '1', 'l')))) AS leet"""
+
+
+@query("text_deobfuscate", f"""WITH {O.MSG_VIEW}, a AS (SELECT doc_id, text, {_BARE} AS bare, len(text) - len(regexp_replace(text, '[{P.ZERO_WIDTH}]', '', 'g')) AS hidden FROM msg),
+  b AS (SELECT *, {_SPREAD_SQL} FROM a)
   SELECT doc_id, array_to_string(list_filter([CASE WHEN hidden >= 2 THEN 'obfuscation-hidden-chars' END, CASE WHEN len(mixed) > 0 THEN 'obfuscation-mixed-script' END,
     CASE WHEN len(spread) > 0 THEN 'obfuscation-spaced-letters' END, CASE WHEN len(leet) > 0 THEN 'obfuscation-leet' END], {O.NOT_NULL}), ',') AS signals,
     len(text) - hidden - CAST(coalesce(list_sum(list_transform(spread, lambda m: len(m) - len({_SHUT}))), 0) AS BIGINT) AS clean_length FROM b""")
@@ -288,9 +291,42 @@ def tactic_fusion(spark, sf):
     return as_long(s.select("doc_id", F.size(T.strong_tactics(F.col("tactics"))).alias("tactics"), F.coalesce(fused, F.lit(0)).alias("weight")))
 
 
-@query("scan_text")
+# The whole message scan: cleaned text, rules in context, links and their verdicts, brands, call-back numbers, style and tactics.
+_W = P.OBFUSCATION_WEIGHTS
+_CLEARED = f"list_reduce(list_concat([regexp_replace(text, '[{P.ZERO_WIDTH}]', '', 'g')], spread), lambda t, m: replace(t, m, {_SHUT}))"
+_DECODED = f"list_reduce(list_concat([{_CLEARED}], leet), lambda t, w: replace(t, w, CASE WHEN list_contains({_WORDS}, replace({_PUT}, '1', 'i')) THEN replace({_PUT}, '1', 'i') ELSE replace({_PUT}, '1', 'l') END))"
+_RULE = [(r[0], r[1], r[2], f"len(list_filter(p_{_NAMES[r[0]]}, lambda p: {_LIVE})) > 0" if r[3] else f"regexp_matches({_BODY}, {q(r[5].replace(chr(92) + '/', '/'))}, 'i')") for r in _PLAIN]
+_OF_RULES = lambda i: ", ".join(f"CASE WHEN {r[3]} THEN {q(r[i]) if isinstance(r[i], str) else r[i]} END" for r in _RULE)
+_CALLS = f"regexp_matches({_BODY}, {q(P.CALL_VERB + '.{0,36}?' + _PHONE)}, 'is')"
+_RAW_LET, _RAW_UP = _LET.replace(_BODY, "raw"), _UP.replace(_BODY, "raw")
+_PARTS = [
+    ("hidden >= 2", "obfuscation-hidden-chars", _W["hidden-chars"]), ("len(mixed) > 0", "obfuscation-mixed-script", _W["mixed-script"]),
+    ("len(spread) > 0", "obfuscation-spaced-letters", _W["spaced-letters"]), ("len(leet) > 0", "obfuscation-leet", _W["leet"]),
+    ("w.score >= 30", "risky-link", "CAST(least(60, w.score) AS INTEGER)"), (f"len(strong) > 0 AND len(links) > 0 AND {_NAMED} IS NOT NULL", "brand-link-mismatch", 35),
+    ("pressure AND len(links) > 0", "pressure-plus-link", 20), ("pressure AND calls", "pressure-plus-callback", 20),
+    (f"{_RAW_LET} >= 30 AND {_RAW_UP}::DOUBLE / {_RAW_LET} > 0.6", "shouting", 8), ("len(regexp_replace(raw, '[^!]', '', 'g')) >= 3", "exclamation-spam", 6),
+    ("len(strong) >= 2", "multi-tactic", "CASE WHEN len(strong) >= 4 THEN 35 WHEN len(strong) = 3 THEN 25 ELSE 12 END"),
+]
+_SCAN_LINKS = f"""lk AS (SELECT doc_id, unnest(links) AS url, generate_subscripts(links, 1) AS pos FROM t5 WHERE len(links) > 0),
+  src AS (SELECT url, min(doc_id) AS page_id, 0 AS user_id, '' AS html FROM lk GROUP BY url)"""
+_SCAN = f"""{O.MSG_VIEW}, t0 AS (SELECT doc_id, text, {_BARE} AS bare, len(text) - len(regexp_replace(text, '[{P.ZERO_WIDTH}]', '', 'g')) AS hidden FROM msg),
+  t1 AS (SELECT *, {_SPREAD_SQL} FROM t0), t2 AS (SELECT doc_id, text AS raw, hidden, spread, mixed, leet, {_DECODED} AS text FROM t1),
+  t3 AS (SELECT *, {_found("prot", P.PROTECTIVE)}, {", ".join(_found(n, next(r[5] for r in _CONTEXT if r[0] == i)) for i, n in _NAMES.items())} FROM t2),
+  t4 AS (SELECT *, {_places("prot")}, {", ".join(map(_places, _NAMES.values()))} FROM t3),
+  t5 AS (SELECT doc_id, raw, hidden, spread, mixed, leet, {_FULL} AS links, list_filter([{_OF_RULES(0)}], {O.NOT_NULL}) AS ids0, list_filter([{_OF_RULES(2)}], {O.NOT_NULL}) AS ws0,
+    list_distinct(list_filter([{_OF_RULES(1)}], {O.NOT_NULL})) AS tactics, {_CALLS} AS calls, lower({_BODY}) AS low, regexp_replace(lower({_BODY}), '\\s+', '', 'g') AS solid FROM t4)"""
+_SCANNED = O.VERDICT.replace(O.URL_VIEW, f"{_SCAN}, {_SCAN_LINKS}") + f""", best AS (SELECT doc_id, arg_max(struct_pack(score := score), struct_pack(a := score, b := -pos)) AS w FROM lk JOIN verdict USING (url) GROUP BY doc_id),
+  t6 AS (SELECT t5.*, best.w, list_transform(links, lambda u: {O.reg("lower(regexp_extract(u, '^https?://([^/?#:]*)', 1, 'i'))")}) AS regs, list_filter(tactics, lambda t: t <> 'lure') AS strong,
+    list_has_any(tactics, [{", ".join(q(t) for t in P.PRESSURE_TACTICS)}]) AS pressure FROM t5 LEFT JOIN best USING (doc_id)),
+  t7 AS (SELECT doc_id, list_concat(ids0, list_filter([{", ".join(f"CASE WHEN {c} THEN {q(i)} END" for c, i, _ in _PARTS)}], {O.NOT_NULL})) AS ids,
+    list_concat(ws0, list_filter([{", ".join(f"CASE WHEN {c} THEN {w} END" for c, _, w in _PARTS)}], {O.NOT_NULL})) AS ws FROM t6),
+  scanned AS (SELECT doc_id, ids, {O.noisy("ws")} AS score FROM t7)"""
+
+
+@query("scan_text", f"WITH {_SCANNED} SELECT doc_id, array_to_string(list_sort(ids), ',') AS signals, score, {O.level('score')} AS level FROM scanned")
 def scan_text(spark, sf):
-    return as_long(T.scan_text(messages(spark, sf), "doc_id").select("doc_id", signal_ids("signals").alias("signals"), "score", "level"))
+    out = T.scan_text(messages(spark, sf), "doc_id")
+    return as_long(out.select("doc_id", F.array_join(F.array_sort(F.transform("signals", lambda s: s["id"])), ",").alias("signals"), "score", "level"))
 
 
 @query("scan_page")
