@@ -329,35 +329,19 @@ def scan_text(spark, sf):
     return as_long(out.select("doc_id", F.array_join(F.array_sort(F.transform("signals", lambda s: s["id"])), ",").alias("signals"), "score", "level"))
 
 
-@query("scan_page")
+_PAGE_VIEW = f"pg AS ({O.URLS.format(pages='pages')}), msg AS (SELECT page_id AS doc_id, regexp_replace(html, '<[^>]*>', ' ', 'g') AS text FROM pg)"
+_PAGE_LINKS = _SCAN_LINKS.replace("FROM lk GROUP BY url)", "FROM (SELECT url, doc_id FROM lk UNION ALL SELECT url, page_id FROM pg) GROUP BY url)")
+_PAGE_SCANNED = _SCANNED.replace(_SCAN_LINKS, _PAGE_LINKS).replace(O.MSG_VIEW, _PAGE_VIEW) + f""",
+  page AS (SELECT pg.page_id, list_concat(sig.ids, t7.ids) AS ids, list_concat(sig.ws, t7.ws) AS ws FROM pg JOIN t7 ON pg.page_id = t7.doc_id JOIN sig ON pg.url = sig.url),
+  pages_scanned AS (SELECT page_id, ids, {O.noisy("ws")} AS score FROM page)"""
+
+
+@query("scan_page", f"WITH {_PAGE_SCANNED} SELECT page_id, array_to_string(list_sort(ids), ',') AS signals, score, {O.level('score')} AS level FROM pages_scanned")
 def scan_page(spark, sf):
     """Pages with their visible text (tags removed) scanned together with the address."""
     p = urls(spark, sf).withColumn("text", F.regexp_replace("html", "<[^>]*>", " ")).drop("html")
-    return as_long(T.scan_page(p, "page_id").select("page_id", signal_ids("signals").alias("signals"), "score", "level"))
-
-
-@query("merge_signals", f"WITH {O.VERDICT}, l AS (SELECT host, unnest(ids) AS id, unnest(ws) AS w FROM verdict) SELECT host, id, CAST(max(w) AS BIGINT) AS weight FROM l GROUP BY host, id")
-def merge_signals(spark, sf):
-    """Strongest signal per host and id over all of a host's pages: one partial aggregation."""
-    s = U.url_signals(urls(spark, sf), keep=True).select(blank("host").alias("host"), F.explode("signals").alias("s"))
-    return as_long(s.groupBy("host", F.col("s.id").alias("id")).agg(F.max("s.weight").alias("weight")))
-
-
-@query("union_signals", f"WITH {O.SIGNALS} SELECT page_id, CAST(len(ids) AS BIGINT) + (CASE WHEN page_id % 2 = 0 THEN 1 ELSE 0 END) AS n FROM sig")
-def union_signals(spark, sf):
-    from threatlake.functions.signals import signal_if, signals_of, union_signals as union
-
-    s = U.url_signals(urls(spark, sf))
-    extra = signals_of(signal_if(F.col("page_id") % 2 == 0, "page-flag", 1, "even page"))
-    return as_long(s.select("page_id", F.size(union(F.col("signals"), extra)).alias("n")))
-
-
-@query("score_weights", f"WITH {O.SIGNALS} SELECT page_id, {O.noisy('ws', 99)} AS score FROM sig")
-def score_weights(spark, sf):
-    from threatlake.functions.signals import by_weight, score_weights as score
-
-    s = U.url_signals(urls(spark, sf)).withColumn("signals", by_weight(F.col("signals")))
-    return as_long(s.select("page_id", score(F.col("signals")).alias("score")))
+    out = T.scan_page(p, "page_id")
+    return as_long(out.select("page_id", F.array_join(F.array_sort(F.transform("signals", lambda s: s["id"])), ",").alias("signals"), "score", "level"))
 
 
 # --- navigation -------------------------------------------------------------------------------------------
