@@ -73,7 +73,7 @@ def test_trackers_of_one_busy_process(spark, tmp_path):
     got = spark.read.parquet(f"{base}/out").collect()
     assert {x.seq: (x.connection_count, x.unique_destinations) for x in got} == want and len(got) == len(want)
     assert spark.read.parquet(f"{base}/out").where("connection_count > 0").select("batch").distinct().count() >= 2
-    state = spark.read.parquet(f"{base}/state/4/carry-endpoints")
+    state = spark.read.parquet(f"{base}/carry/4/endpoints")
     assert state.count() == len(ends) and state.agg(F.sum("weight")).first()[0] == sum(counts.values())
 
 

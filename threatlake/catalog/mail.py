@@ -473,7 +473,7 @@ def threat_timeline(spark, sf):
 
 # --- streams (each runs over the given events in several micro-batches, out of order) -------------------------------
 
-CHUNKS = 4
+CHUNKS = 3
 
 
 def _stream(spark, rows, ts="ts", last=None):

@@ -141,6 +141,8 @@ def stream_sink(events: DataFrame, feeds: Feeds, path: str, checkpoint: str, gap
     """Evaluate and compact each micro-batch and merge it into the store at ``path``; the micro-batch's number is the version, so a retry replaces itself."""
 
     def step(batch: DataFrame, number: int) -> None:
+        if batch.isEmpty():
+            return
         spark, place = batch.sparkSession, f"{path}/arrived/{number}"
         to_store(evaluate(batch, feeds), gap).write.mode("overwrite").parquet(place)
         upsert(spark.read.parquet(place), path, number, gap, buckets)

@@ -5,8 +5,9 @@ brings some of it, out of order. ``run_ordered`` holds rows back until the water
 a step: an ordinary batch computation over the rows and the state tables that the step before it left. The same skew-safe operators work as in
 batch, so no key is gathered in a task, and the state is as large as what is open: live endpoints, latest downloads, pending approvals.
 
-All tables carry the number of their micro-batch, and a step reads only those of the number before it. A micro-batch that is tried
-again overwrites its own tables and nothing else; older state is deleted once its successor is complete.
+All tables carry the number of their micro-batch, and a step reads only those of earlier numbers that the last clock names. A micro-batch that is tried
+again overwrites its own tables and nothing else; older state is deleted once its successor is complete. A micro-batch that releases
+nothing runs no step and leaves the state where it is.
 
 Rows behind the watermark are set aside in ``late``, as their place in the order is gone. Heartbeat rows (``event_type = 'heartbeat'``) only
 move the watermark: a source that falls silent sends them, so that what it sent last is released.
@@ -47,11 +48,12 @@ def run_ordered(events: DataFrame, base: str, step: Step, delay_seconds: int, ts
         here, before = f"{base}/state/{number}", f"{base}/state/{number - 1}"
         arrived = _written(batch, f"{here}/arrived")
         state: dict[str, DataFrame] = {}
-        top = horizon = None
+        top = horizon = kept = older = None
+        names: list[str] = []
         if number:
             clock = spark.read.parquet(f"{before}/clock").first()
-            top, horizon = clock.top, clock.horizon
-            state = {name: spark.read.parquet(f"{before}/carry-{name}") for name in clock.names}
+            top, horizon, kept, older, names = clock.top, clock.horizon, clock.kept, clock.older, clock.names
+            state = {name: spark.read.parquet(f"{base}/carry/{kept}/{name}") for name in names}
         newest = arrived.agg(F.max(micros)).first()[0]
         top = max(x for x in (top, newest) if x is not None) if (top, newest) != (None, None) else None
         passed = top - delay_seconds * 1_000_000 if top is not None else None
@@ -65,12 +67,17 @@ def run_ordered(events: DataFrame, base: str, step: Step, delay_seconds: int, ts
             rows = rows.unionByName(spark.read.schema(schema).parquet(f"{before}/pending"))
         released = micros < passed if passed is not None else F.lit(False)
         _written(rows.where(~released), f"{here}/pending")
-        out, carry = step(_written(rows.where(released), f"{here}/ready"), state)
-        for name, df in carry.items():
-            _written(df, f"{here}/carry-{name}")
-        out.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
-        clock = spark.createDataFrame([(top, passed, list(carry))], "top long, horizon long, names array<string>")
+        ready, gone = _written(rows.where(released), f"{here}/ready"), None
+        if not ready.isEmpty():
+            out, carry = step(ready, state)
+            for name, df in carry.items():
+                _written(df, f"{base}/carry/{number}/{name}")
+            out.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
+            gone, older, kept, names = older, kept, number, list(carry)  # a retry still reads what was kept before
+        clock = spark.createDataFrame([(top, passed, kept, older, names)], "top long, horizon long, kept long, older long, names array<string>")
         clock.coalesce(1).write.mode("overwrite").parquet(f"{here}/clock")
         _delete(spark, f"{base}/state/{number - 2}")
+        if gone is not None:
+            _delete(spark, f"{base}/carry/{gone}")
 
     return events.writeStream.foreachBatch(handle).option("checkpointLocation", f"{base}/checkpoint")
