@@ -14,6 +14,8 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+from threatlake.session import small_table
+
 RULE, WILDCARD, EXCEPTION = 1, 2, 4
 
 
@@ -68,10 +70,10 @@ def _deeper() -> list[tuple[str, list[str]]]:
 @functools.lru_cache(maxsize=4)
 def suffix_table(spark: SparkSession) -> DataFrame:
     """``suffix, code``: bit 1 a rule, bit 2 parent of a wildcard rule, bit 4 an exception."""
-    return spark.createDataFrame(sorted(_codes().items()), "suffix string, code int")
+    return small_table(spark, sorted(_codes().items()), "suffix string, code int")
 
 
 @functools.lru_cache(maxsize=4)
 def deeper_table(spark: SparkSession) -> DataFrame:
     """``name, below``: suffix rules that lie under a name which looks registrable."""
-    return spark.createDataFrame(_deeper(), "name string, below array<string>")
+    return small_table(spark, _deeper(), "name string, below array<string>")

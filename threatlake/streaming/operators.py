@@ -11,12 +11,14 @@ from functools import partial
 from pyspark.sql import DataFrame, functions as F
 
 from threatlake import fixed_values_endpoint as V
+from threatlake.functions.scan import order_bounds
 from threatlake.operators import correlate, network
 from threatlake.operators.decisions import consume_allow_once, page_key
 from threatlake.operators.evaluate import evaluate
 from threatlake.operators.store import to_store
 from threatlake.operators.upsert import upsert
 from threatlake.schemas import DOWNLOAD_TYPE, NETWORK_TYPE, conform_events
+from threatlake.session import cut_lineage
 from threatlake.sources.feeds import Feeds
 from threatlake.streaming.keyed import stream_compact, stream_cooldown, stream_snapshot_diff, use_rocksdb
 from threatlake.streaming.ordered import run_ordered
@@ -50,8 +52,9 @@ def conn_step(rows: DataFrame, state: State, keep_seconds: int | None = None) ->
             "host", "pid", F.lit(-1).cast("bigint").alias("seq"), "ts", F.lit(NETWORK_TYPE).alias("event_type"), "remote_ip", "remote_port", "weight"
         )
         both = both.unionByName(known)
-    net = network.with_generation(both).where(F.col("event_type") == NETWORK_TYPE)
-    out = network.with_fanout(network.with_burst(net, weight=F.col("weight"))).where(F.col("seq") >= 0)
+    bounds = order_bounds(both, ["ts", "seq"])
+    net = cut_lineage(network.with_generation(both, bounds).where(F.col("event_type") == NETWORK_TYPE))
+    out = network.with_trackers(net, bounds, F.col("weight")).where(F.col("seq") >= 0)
     ended = both.where(F.col("event_type") == ENDED).groupBy(F.col("host").alias("_h"), F.col("pid").alias("_p")).agg(F.count(F.lit(1)).alias("_lives"))
     live = net.join(ended, F.col("host").eqNullSafe(F.col("_h")) & F.col("pid").eqNullSafe(F.col("_p")), "left")
     live = live.where(F.col("generation") == F.coalesce("_lives", F.lit(0)))
