@@ -6,6 +6,7 @@ from threatlake.operators.dedup import compact_events
 from threatlake.operators.network import with_connection_stats
 from threatlake.operators.reputation import with_feed_flags
 from threatlake.schemas import conform_events
+from threatlake.session import put_down
 from threatlake.sources.feeds import load_feeds
 
 
@@ -48,3 +49,11 @@ def test_trackers_read_their_rows_a_fixed_number_of_times(spark):
         pairs.add((i % 3, i % 4))
         want[i] = (hits[i % 3], len(pairs))
     assert last == want
+
+
+def test_wide_rows_are_put_down_by_column(spark):
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    kept = put_down(spark.range(100).selectExpr("id", "repeat('x', 1000) AS wide"))
+    assert spark.conf.get(name, None) == before
+    assert kept.count() == 100 and "ReadSchema: struct<id:bigint>" in physical(kept.select("id"))
