@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from threatlake import fixed_values_endpoint as V
 from threatlake import fixed_values_phishing as P
-from threatlake.functions.findings import rule_ids
+from threatlake.functions.findings import rule_ids, rules_column
 from threatlake.functions.scan import Bounds, prefix_scan
 from threatlake.functions.text import blank, first_truthy, in_list, windows_parts
 
@@ -18,7 +18,7 @@ def plan_prevention(
     mode = mode.lower()
     floor = max(0, min(100, int(min_score)))
     alarming = F.exists(
-        "findings", lambda f: (f["severity"] == "critical") | f["rule_id"].contains("BLOCKLIST")
+        rules_column(assessed), lambda f: (f["severity"] == "critical") | f["rule_id"].contains("BLOCKLIST")
     )
     justified = (F.lit(enabled) & ((F.col("score") >= floor) | alarming)) if enabled else F.lit(False)
     act = justified if mode != "alert_only" else F.lit(False)
@@ -67,8 +67,8 @@ def decide_downloads(assessed: DataFrame) -> DataFrame:
             "action": F.when(~high, "ALLOW_NORMAL_ACTIVITY")
             .when(acted, "ALERT_AND_PREVENTION_APPLIED")
             .otherwise("GENERATE_ALERT"),
-            "evidence_count": F.size("findings"),
-            "rules": rule_ids("findings"),
+            "evidence_count": F.size(rules_column(assessed)),
+            "rules": rule_ids(rules_column(assessed)),
         }
     )
 
