@@ -152,3 +152,28 @@ def test_running_totals(spark):
         total += x
         want.append(total)
     assert sorted((list(x[0]) for x in got), key=len) == [[], want]
+
+
+def test_thresholds_count_every_candidate(spark):
+    r = random.Random(12)
+    scored = [(r.randint(0, 2), r.choice([0.4, 0.5, 0.7, 0.7001, 0.70011, 0.9, 0.95]), float(r.random() < 0.995), float(r.randint(1, 9))) for _ in range(3000)]
+    scored += [(3, 0.9, 0.0, 5.0), (3, 0.8, 1.0, 4.0)]
+    want = {}
+    for kind in range(4):
+        for p in {x[1] for x in scored if x[0] == kind and x[1] >= 0.5}:
+            over = [x for x in scored if x[0] == kind and x[1] >= p]
+            if sum(x[2] * x[3] for x in over) / sum(x[3] for x in over) >= P.PRECISION:
+                want[kind] = min(p, want.get(kind, 2.0))
+    got = P.thresholds(spark.createDataFrame(scored, "kind int, p double, label double, n double")).collect()
+    assert {x.kind: x.least for x in got} == want and 3 not in want
+
+
+def test_all_texts_are_learnt_from(spark):
+    """One text in 3,000 tells what a rewritten address looks like; a sample of texts may miss it. Copies count once."""
+    rows = [(i, f"{prose(i, 3)} {i % 7} 12 34 56 {i}") for i in range(6000)]
+    texts = documents(spark, rows + [(6000, "write to a.b@c.de now"), (6001, "or x.y@z.org today")])
+    learnt = P._rows(texts.select("text")).groupBy("label").agg(F.sum("n").alias("n")).collect()
+    n = {x.label: x.n for x in learnt}
+    again = P._rows(texts.union(texts).select("text")).groupBy("label").agg(F.sum("n").alias("n")).collect()
+    assert {x.label: x.n for x in again} == n
+    assert n[1.0] == 12 and n[0.0] >= 6000

@@ -10,12 +10,13 @@ other groupings, phone numbers without a plus):
 3. *Thresholds.* Per kind, the lowest score from 0.5 on at which the part PRECISION of the candidates in a fold kept from the fit is right. Of
    overlapping candidates above it the best one stays; none replaces or overlaps a base span.
 
-The trees learn from the corpus itself. From about SAMPLE distinct texts, chosen by hash, come: base spans rewritten in the ways people
+The trees learn from the whole corpus. From all texts come: base spans rewritten in the ways people
 write around filters (positive, where the generator of the kind finds them), rewritten spans that break the rule of their kind, candidates of other
-kinds at the same place, and all candidates that no rule confirms (negative). At most ROWS candidates are kept. Without positives or negatives
+kinds at the same place, and all candidates that no rule confirms (negative). A candidate counts once for each text around it, so copies of
+a document don't count again; equal features are one row with a weight, and their bins are exact. Without positives or negatives
 there is no model, and the base spans are all there is.
 
-Every text is read whole, by functions of its own row: nothing is shuffled but the sample. Patterns run in linear time: possessive
+Every text is read whole, by functions of its own row: nothing is shuffled but features and base spans. Patterns run in linear time: possessive
 runs that can only begin where a run begins, or where the last match ended. Places are code points.
 
 Defined cases: a null or empty text has no spans; equal scores are resolved by kind, then by start; rows that repeat a ``doc_id`` and
@@ -26,18 +27,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from math import isqrt
 
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from threatlake.llm.common import stored, text_of
+from threatlake.llm.common import scratch, stored, text_of
 from threatlake.operators.trees import margin, node_table, probability
 
 KINDS = ["email", "ip", "card", "phone"]
-SAMPLE, ROWS = 4000, 40_000
 TREES, DEPTH = 20, 4
 PRECISION = 0.99
+#: Least number of bins of a feature; slots that scores are counted in first.
+BINS, SLOTS = 1024, 4096
 
 #: Base rules. Each matches what its plain form does (``[0-9]+`` and so on), leftmost and without overlaps.
 BASE = {
@@ -264,19 +267,26 @@ def _rewritten(kind: str, value: Column) -> list[tuple[Column, int]]:
 
 
 def _rows(texts: DataFrame) -> DataFrame:
-    """``f, label, kind`` of the candidates to learn from, and a hash of what they stand in."""
-    text = F.col("text")
+    """``f, label, kind, fold, n``: the candidates to learn from, and how many there are in different surroundings."""
+    text, names = F.col("text"), ("value", "before", "after")
 
     def both(numbers: Column) -> Column:
         named = lambda k: F.transform(base_spans(text, numbers, k), lambda m: m.withField("kind", F.lit(k)))
         return F.struct(F.concat(*map(named, KINDS)).alias("base"), candidates(text, numbers).alias("found"))
 
-    key = F.xxhash64("c.value", "c.before", "c.after")
-    read = stored(texts.select(let(runs(text), both).alias("both")).select("both.*"), "learnt")
-    free = F.filter("found", lambda c: ~F.exists("base", lambda b: _overlap(b, c)))
-    natural = read.select(F.explode(free).alias("c")).select(F.col("c.f").alias("f"), F.lit(0.0).alias("label"), F.col("c.kind").alias("kind"), key.alias("_h"))
-    spans = read.select(F.explode("base").alias("b")).select("b.*")
-    out, snippet = natural, F.concat("before", "w.v", "after")
+    def narrow(x: Column) -> Column:
+        base = x.getField("base")
+        free = F.filter(x.getField("found"), lambda c: ~F.exists(base, lambda b: _overlap(b, c)))
+        surrounded = lambda c: F.xxhash64(*(c.getField(n) for n in names)).alias("h")
+        return F.struct(
+            F.transform(base, lambda b: F.struct(*(b.getField(n).alias(n) for n in ("kind", *names)))).alias("base"),
+            F.transform(free, lambda c: F.struct(c.getField("f").alias("f"), c.getField("kind").alias("kind"), surrounded(c))).alias("free"),
+        )
+
+    read = stored(texts.select(let(let(runs(text), both), narrow).alias("both")).select("both.*"), "learnt")
+    out = read.select(F.explode("free").alias("c")).select("c.f", F.lit(0.0).alias("label"), "c.kind", F.col("c.h").alias("_h"))
+    spans = stored(read.select(F.explode("base").alias("b")).select("b.*").distinct(), "base-spans")
+    snippet = F.concat("before", "w.v", "after")
     for i, kind in enumerate(KINDS):
         ways = F.array(*[F.struct(v.alias("v"), F.lit(y).alias("y")) for v, y in _rewritten(kind, F.col("value"))])
         planted = spans.where(F.col("kind") == kind).select("before", "after", F.explode(ways).alias("w"))
@@ -284,43 +294,43 @@ def _rows(texts: DataFrame) -> DataFrame:
         planted = stored(planted.select(place, "w", let(snippet, lambda x: candidates(x, runs(x))).alias("found")), "planted")
         one = planted.select("at", "w", F.explode("found").alias("c")).where(_overlap(F.col("at"), F.col("c")))
         right = (F.col("c.kind") == i) & (F.col("w.y") == 1) & (F.col("c.start") == F.col("at.start")) & (F.col("c.end") == F.col("at.end"))
-        out = out.union(one.select("c.f", right.cast("double"), "c.kind", key))
-    return out
+        out = out.union(one.select("c.f", right.cast("double"), "c.kind", F.xxhash64(*(f"c.{n}" for n in names))))
+    fold = F.pmod("_h", F.lit(4)).alias("fold")
+    return out.groupBy("kind", "label", "f", fold).agg(F.count_distinct("_h").cast("double").alias("n"))
 
 
-def sample(docs: DataFrame) -> DataFrame:
-    """About SAMPLE distinct texts, chosen by a hash of the text: the same ones for any order and partitioning."""
-    total = max(1, docs.count())
-    texts = docs.select(text_of().alias("text")).where("text <> ''")
-    chosen = texts.withColumn("_h", F.xxhash64("text")).where(F.pmod("_h", F.lit(1 << 30)) < min(1.0, SAMPLE / total) * (1 << 30))
-    return stored(chosen.groupBy("_h").agg(F.first("text").alias("text")).select("text"), "sample")
+def fit(docs: DataFrame) -> SpanModel:
+    """The trees and thresholds, learnt from all texts of ``docs``."""
+    with scratch(docs.sparkSession):
+        return _fitted(docs.select(text_of().alias("text")).where("text <> ''"))
 
 
-def fit(docs: DataFrame) -> SpanModel:
-    """The trees and thresholds, learnt from a bounded sample of ``docs``."""
-    rows = _rows(sample(docs))
-    rows = stored(rows.orderBy("_h", "kind", "label").limit(ROWS).withColumn("fold", F.pmod("_h", F.lit(4))), "rows")
-    if rows.where("fold <> 0").select("label").distinct().count() < 2:
+def _fitted(texts: DataFrame) -> SpanModel:
+    rows = stored(_rows(texts).orderBy("kind", "label", "fold", "f"), "rows")
+    learnt = rows.where("fold <> 0")
+    if learnt.select("label").distinct().count() < 2:
         return SpanModel()
-    data = rows.select(array_to_vector("f").alias("features"), "label", "fold")
-    trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.2, seed=12).fit(data.where("fold <> 0"))
-    model = SpanModel(node_table(trees, docs.sparkSession).collect())
-    held = rows.where("fold = 0").select("kind", model.score(F.col("f")).alias("p"), "label").collect()  # at most ROWS numbers
-    model.thresholds = {k: _threshold([(r.p, r.label) for r in held if r.kind == i]) for i, k in enumerate(KINDS)}
+    data = learnt.select(array_to_vector("f").alias("features"), "label", "n")
+    bins = max(BINS, isqrt(learnt.count()) + 1)  # with fewer, bins are drawn from a part of the rows
+    trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=bins, stepSize=0.2, seed=12, weightCol="n").fit(data)
+    model = SpanModel(node_table(trees, texts.sparkSession).collect())
+    found = {r.kind: r.least for r in thresholds(rows.where("fold = 0").select("kind", model.score(F.col("f")).alias("p"), "label", "n")).collect()}
+    model.thresholds = {k: found.get(i, 2.0) for i, k in enumerate(KINDS)}  # above 1 where there is none
     return model
 
 
-def _threshold(scored: list[tuple[float, float]]) -> float:
-    """The lowest score from 0.5 on at which PRECISION of the candidates are right; above 1 where there is none."""
-    best, right, seen = 2.0, 0.0, 0
-    scored = sorted(scored, reverse=True)
-    for i, (p, label) in enumerate(scored):
-        right, seen = right + label, seen + 1
-        if p < 0.5:
-            break
-        if right / seen >= PRECISION and (i + 1 == len(scored) or scored[i + 1][0] < p):
-            best = p
-    return best
+def thresholds(scored: DataFrame) -> DataFrame:
+    """``kind, least``: the lowest score from 0.5 on at which PRECISION of the candidates ``(kind, p, label, n)`` are right. Running counts are
+    those of a slot of scores, added to those of the slots above it."""
+    points = scored.where("p >= 0.5").groupBy("kind", "p").agg(F.sum(F.col("label") * F.col("n")).alias("right"), F.sum("n").alias("seen"))
+    points = stored(points.withColumn("slot", F.floor(F.col("p") * SLOTS)), "points")
+    above = Window.partitionBy("kind").orderBy(F.desc("slot")).rowsBetween(Window.unboundedPreceding, -1)
+    slots = points.groupBy("kind", "slot").agg(F.sum("right").alias("right"), F.sum("seen").alias("seen"))
+    slots = slots.select("kind", "slot", *(F.coalesce(F.sum(c).over(above), F.lit(0.0)).alias(f"_{c}") for c in ("right", "seen")))
+    inside = Window.partitionBy("kind", "slot").orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    points = points.select("kind", "slot", "p", *(F.sum(c).over(inside).alias(c) for c in ("right", "seen"))).join(slots, ["kind", "slot"])
+    good = (F.col("right") + F.col("_right")) / (F.col("seen") + F.col("_seen")) >= PRECISION
+    return points.where(good).groupBy("kind").agg(F.min("p").alias("least"))
 
 
 # --- spans --------------------------------------------------------------------------------------------------------------
