@@ -19,6 +19,11 @@ from threatlake.operators.urls import query_pairs, with_url_parts
 from threatlake.session import cut_lineage
 
 _HIDDEN = "[\\u200B-\\u200D\\u2060\\uFEFF]"
+_ATOM = r"\s<>()\[\]{}\"',;"
+#: What P.EMAIL_PLAIN matches, in linear time: its matches are the whole runs of these characters that hold a sign inside, so only the begin of a run is tried.
+_PLAIN = rf"(?<![^{_ATOM}])[^{_ATOM}][^{_ATOM}@]*+@[^{_ATOM}]++"
+#: Words that hold a sign. The classes are small, so most of a text is passed over quickly; every run lies inside a word.
+_WORD = r"(?<![^ \n])[^ \n@]*+@[^ \n]*+"
 _DOTS = r"(?i)\s*(?:\[dot\]|\(dot\)|\{dot\})\s*"
 
 
@@ -41,7 +46,7 @@ def _entities(text: Column) -> Column:
 
 def normalize_source(text: Column) -> Column:
     whole = _entities(nfkc(blank(text)))
-    return F.regexp_replace(whole, _HIDDEN, "")
+    return F.when(whole.rlike(r"[^\x00-\x7F]"), F.regexp_replace(whole, _HIDDEN, "")).otherwise(whole)
 
 
 def clean_candidate(c: Column) -> Column:
@@ -54,6 +59,7 @@ def extract_emails(df: DataFrame, key: str, text: str = "text", order: str | Non
     A page may have several source rows; ``order`` is their position. All patterns run inside the row, then
     sightings are counted per address with map-side combining. ``position`` numbers the addresses of a page.
     """
+    no_names = F.array().cast("array<string>")
     base = df.select(F.col(key), (F.col(order) if order else F.lit(0)).alias("_row"), normalize_source(F.col(text)).alias("_t"))
     base = base.where(F.col("_t").rlike(r"(?i)@|mailto:|[\[({]at[\])}]|\sat\s"))
     target_list = lambda c: F.filter(F.transform(F.split(c, "[,;]"), lambda v: F.trim(v)), lambda v: v != "")
@@ -72,9 +78,9 @@ def extract_emails(df: DataFrame, key: str, text: str = "text", order: str | Non
             ),
         )
     )
-    base = base.withColumns(
-        {"_mail": mail, "_r": F.regexp_replace("_t", from_ecmascript(P.EMAIL_MAILTO), " ")}
-    ).drop("_t")
+    linked = F.col("_t").rlike("(?i)mailto:")
+    bare = F.when(linked, F.regexp_replace("_t", from_ecmascript(P.EMAIL_MAILTO), " ")).otherwise(F.col("_t"))
+    base = base.withColumns({"_mail": F.when(linked, mail).otherwise(no_names), "_r": bare}).drop("_t")
     rest = F.col("_r")
     names = F.transform(
         _groups(rest, P.EMAIL_DISPLAY, 1, 2, 3, ignore_case=False),
@@ -96,7 +102,7 @@ def extract_emails(df: DataFrame, key: str, text: str = "text", order: str | Non
     spoken = F.transform(
         _groups(rest, P.EMAIL_SPOKEN, 1, 2), lambda m: F.concat(m["g1"], F.lit("@"), F.regexp_replace(m["g2"], r"(?i)\s+dot\s+", "."))
     )
-    plain = matches_of(rest, from_ecmascript(P.EMAIL_PLAIN, False))
+    plain = F.flatten(F.transform(matches_of(rest, _WORD), lambda word: matches_of(word, from_ecmascript(_PLAIN, False))))
     no_name = F.lit(None).cast("string")
     tag = lambda arr, s: F.transform(
         arr, lambda a: F.struct(a.alias("a"), F.lit(s).alias("s"), no_name.alias("n"))
