@@ -182,8 +182,9 @@ def live_match(text: Column, pattern: str, protected: Column, hindi: bool) -> Co
 def _possible(pattern: str) -> Column:
     """Plain substring test on the lower-cased text that every match of the pattern passes."""
     test = F.lit(True)
-    for literals in required_literals(pattern):
-        test = test & contains_any(F.col("__low"), sorted(literals))
+    groups = [sorted(x for x in g if not any(y != x and y in x for y in g)) for g in required_literals(pattern)]
+    for literals in sorted(groups, key=len):
+        test = test & contains_any(F.col("__low"), literals)
     return test
 
 
@@ -293,11 +294,14 @@ def callback_number(text: Column) -> Column:
 
 
 def style_signals(text: Column) -> Column:
-    count = lambda p: F.regexp_count(text, F.lit(p))
-    shouting = (count("[A-Za-z]") >= 30) & F.coalesce(F.try_divide(count("[A-Z]"), count("[A-Za-z]")) > 0.6, F.lit(False))
+    # a count of matches would build a string for each letter
+    count = lambda others: F.length(F.regexp_replace(text, others, ""))
+    letters = count("[^A-Za-z]+")
+    shouting = (letters >= 30) & F.coalesce(F.try_divide(count("[^A-Z]+"), letters) > 0.6, F.lit(False))
+    marks = F.length(text) - F.length(F.replace(text, F.lit("!")))
     return signals_of(
         signal_if(shouting, "shouting", 8, "Mostly capital letters"),
-        signal_if(count("!") >= 3, "exclamation-spam", 6, "Many exclamation marks"),
+        signal_if(marks >= 3, "exclamation-spam", 6, "Many exclamation marks"),
     )
 
 
