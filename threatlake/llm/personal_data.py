@@ -13,7 +13,7 @@ other groupings, phone numbers without a plus):
 The trees learn from the whole corpus. From all texts come: base spans rewritten in the ways people
 write around filters (positive, where the generator of the kind finds them), rewritten spans that break the rule of their kind, candidates of other
 kinds at the same place, and all candidates that no rule confirms (negative). A candidate counts once for each text around it, so copies of
-a document don't count again; equal features are one row with a weight, and their bins are exact. Without positives or negatives
+a document don't count again; equal features are one row with a weight, and bins are cut from all rows. Without positives or negatives
 there is no model, and the base spans are all there is.
 
 Every text is read whole, by functions of its own row: nothing is shuffled but features and base spans. Patterns run in linear time: possessive
