@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.helpers import documents, empty, prose
 from threatlake.llm import jaccard_join
@@ -106,3 +107,34 @@ def test_long_words_that_a_polynomial_confuses(spark):
     rows = [(1, f"{word} p q r s"), (2, f"{other} p q r s"), (3, f"{word} p q r s")]
     got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(documents(spark, rows)).collect()}
     assert got == {1: 1, 2: 2, 3: 1}
+
+
+def test_grams_of_the_same_holders_are_one_with_a_weight(spark):
+    """A passage of 200 n-grams in 30 texts is 30 rows, not 6000; another document at one of them keeps that apart."""
+    met = spark.range(200).crossJoin(spark.range(30).withColumnRenamed("id", "doc")).withColumnRenamed("id", "gram")
+    more = spark.createDataFrame([(7, 90), (500, 91)], "gram long, doc long")
+    once = jaccard_join.merged(met.union(more))
+    got = sorted((r.gram, r.weight, r.n) for r in once.groupBy("gram", "weight").agg(F.count("*").alias("n")).collect())
+    assert got == [(0, 199, 30), (7, 1, 31)]
+    assert once.count() == 61 and jaccard_join.merged(once).agg(F.sum("weight")).first()[0] == 199 * 30 + 31
+
+
+def test_documents_skip_the_grams_with_most_holders(spark):
+    """A set of 100 n-grams has 35 leading ones and shares 10 of them at least: 9 that all hold are no place to look for others."""
+    rows = [(g, d) for d in range(50) for g in range(9)] + [(100 + d // 2, d) for d in range(50)]
+    met = spark.createDataFrame(rows, "gram long, doc long").selectExpr("*", "1L weight", "100L size", "1L end", "doc label")
+    got = {(r.gram, r.doc): (r._probe, r._skip) for r in jaccard_join.probes(met, 3, 4).collect()}
+    assert got == {(g, d): (g >= 100, 9) for g, d in rows}
+
+
+def test_families_that_share_a_frequent_passage_without_being_similar(spark):
+    r, rows = random.Random(5), []
+    passage, other = prose(70000, 120).split(), prose(70001, 90).split()
+    for i in range(90):  # about as much of their own as the bound allows, in sets of all lengths
+        base = (passage, other, passage + other)[i % 3]
+        w = base + prose(71000 + i // 2, 80).split()[: r.randint(0, len(base) // 3)]
+        for _ in range(r.randint(0, 3)):
+            w[r.randrange(len(w))] = f"e{r.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    got = jaccard_join.jaccard_components(documents(spark, rows)).collect()
+    assert sorted(map(tuple, got)) == brute(rows)

@@ -15,7 +15,8 @@ sum of the overlaps of their segments, each counted in its fragment alone.
 3. *Candidates.* Documents that meet at an n-gram are compared with its hub, one of them; the components this gives
    are labels. N-grams held under one label and documents whose other n-grams can't make a similar pair under another
    label leave. After some turns with other hubs, the pairs under different labels that still meet follow. No pair
-   inside a component is needed, so a group of near copies costs its size and not its square.
+   inside a component is needed, so a group of near copies costs its size and not its square. N-grams that the same documents
+   hold, as those of a shared passage, are one with a weight: documents meet once at a passage, however long it is.
 4. *Partial overlaps.* Whole sets of the candidates are cut into segments; each fragment counts the overlap of every
    pair there, and the counts are summed per pair and compared, in integers, with the bound.
 
@@ -32,7 +33,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from threatlake.llm.common import (
     LOWER, PLACE, U64, discard, expand, mixed, part_count, prefix_hash, scratch, span_hash, stored, text_blocks, text_of, word_spans,
@@ -49,6 +50,8 @@ CHUNK_GRAMS = 2_000_000
 HUB_TURNS, FRAGMENTS, PARTNERS = 2, 8, 2000
 #: Leading n-grams that a leading fragment, and pairs that a group of partial overlaps, has on average at most; their numbers follow.
 FRAGMENT_GRAMS, GROUP_PAIRS = 4_000_000, 100_000
+#: N-grams that are looked up at a time; some arrays of their length are in memory.
+OVERLAP_GRAMS = 500_000
 
 
 def gram_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarray]:
@@ -144,8 +147,9 @@ def frequent_grams(described: DataFrame) -> np.ndarray:
 # --- 2: leading fragments -----------------------------------------------------------------------------------------
 
 
-def _leading(s: np.ndarray, frequent: np.ndarray, num: int, den: int) -> tuple[np.ndarray, int]:
-    """The first n-grams of a set in the global order, and the place of the last of them there, less its two lowest bits."""
+def _leading(s: np.ndarray, frequent: np.ndarray, num: int, den: int) -> tuple[np.ndarray, int, int]:
+    """The first n-grams of a set in the global order, the place of the last of them there, less its two lowest bits, and how many of
+    them are frequent."""
     least = -(-num * len(s) // den)
     take = min(len(s), max(len(s) - least + 1, int(np.ceil(LEAD * len(s)))))
     rare = len(s)
@@ -155,7 +159,7 @@ def _leading(s: np.ndarray, frequent: np.ndarray, num: int, den: int) -> tuple[n
         if common.any():
             rare = len(s) - int(common.sum())
             s = np.concatenate([s[~common], s[common]])
-    return s[:take], (int(s[take - 1]) >> 2) - (0 if take > rare else 1 << 62)
+    return s[:take], (int(s[take - 1]) >> 2) - (0 if take > rare else 1 << 62), max(0, take - rare)
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -183,9 +187,9 @@ def _fragment_of(grams: np.ndarray, fragments: int) -> np.ndarray:
 def _send(batches: Iterator[pa.RecordBatch], n: int, frequent, fragments: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
     """Rows (fragment, meets, grams, docs): what a chunk sends to each fragment. ``meets`` 0: each n-gram once, to
     find other chunks' documents; 2: the same, for n-grams whose holders here are known already; 1: those holders; 3: the
-    places where the leading n-grams of the documents end."""
+    places where the leading n-grams of the documents end; 5: the numbers of frequent ones among them, where there are any."""
     frequent = frequent.value
-    grams, docs, ends, total, turn = [], [], [], 0, 0
+    grams, docs, ends, tails, total, turn = [], [], [], [], 0, 0
 
     def chunk() -> Iterator[pa.RecordBatch]:
         nonlocal turn
@@ -199,9 +203,10 @@ def _send(batches: Iterator[pa.RecordBatch], n: int, frequent, fragments: int, n
         several = np.repeat(count > 1, count)
         out = []
         places = np.array([ends[i] for i in one], np.int64).view(np.uint64), np.array([docs[i] for i in one], np.int64)
+        tail = np.array([tails[i] for i in one], np.uint64)
         some = [(meets, g[rows], d[rows]) for meets, rows in ((0, head & ~several), (2, head & several), (1, several))]
-        for meets, gs, ds in (*some, (3, *places)):
-            if meets in (1, 3):
+        for meets, gs, ds in (*some, (3, *places), (5, tail[tail > 0], places[1][tail > 0])):
+            if meets % 2:
                 for at in range(0, len(gs), 1 << 16):
                     turn += 1
                     out.append((turn * 7919 % fragments, meets, gs[at : at + (1 << 16)], ds[at : at + (1 << 16)]))
@@ -223,20 +228,22 @@ def _send(batches: Iterator[pa.RecordBatch], n: int, frequent, fragments: int, n
         for _, data, offsets in text_blocks(batch.column("text")):
             for s in gram_sets(data, offsets, n):
                 if len(s):
-                    lead, end = _leading(s, frequent, num, den)
+                    lead, end, tail = _leading(s, frequent, num, den)
                     grams.append(np.sort(lead))
                     ends.append(end)
+                    tails.append(tail)
                     docs.append(_class_of(s))
                     total += len(lead)
             if total >= CHUNK_GRAMS // 2:  # a chunk is sorted with its documents, twice the memory
                 yield from chunk()
-                grams, docs, ends, total = [], [], [], 0
+                grams, docs, ends, tails, total = [], [], [], [], 0
     if grams:
         yield from chunk()
 
 
 def _meet(found: pa.Table) -> pa.Table:
-    """(gram, doc) of the n-grams of a fragment that more than one document holds; and, marked, the places of the documents' ends."""
+    """(gram, doc) of the n-grams of a fragment that more than one document holds; and, marked, the places of the documents' ends (1) and
+    their numbers of frequent leading n-grams (2)."""
     g, d, known = [], [], []
     for row in found.to_pylist():
         g.append(_unplanes(row["grams"], np.uint64))
@@ -250,7 +257,7 @@ def _meet(found: pa.Table) -> pa.Table:
     edge = np.flatnonzero(np.concatenate([[True], sg[1:] != sg[:-1]])) if len(sg) else np.zeros(0, np.int64)
     count = np.diff(np.append(edge, len(sg)))
     met = np.repeat(count > 1, count) & (sk == 0)
-    ends = np.concatenate([known[direct] == 3, np.zeros(int(met.sum()), bool)])
+    ends = np.concatenate([known[direct] // 2, np.zeros(int(met.sum()), np.int8)])
     return pa.table(
         [_signed(np.concatenate([g[direct], sg[met]])), pa.array(np.concatenate([d[direct], sd[met]])), pa.array(ends)], ["gram", "doc", "ends"]
     )
@@ -264,8 +271,20 @@ def _lead(size: Column, num: int, den: int) -> Column:
     return F.least(size, F.greatest(size - F.ceil(size * num / den) + 1, F.ceil(size * LEAD)))
 
 
+def merged(met: DataFrame) -> DataFrame:
+    """``met(gram, doc, ...)`` with ``weight``: of the n-grams that the same documents hold only the smallest stays, and counts for all of them. Those
+    of a single document leave. Sets of holders are told apart by their number and 128 bits."""
+    one = F.first("weight") if "weight" in met.columns else F.lit(1)
+    holders = met.groupBy("gram").agg(
+        F.count("*").alias("_n"), F.bit_xor(F.xxhash64("doc")).alias("_x"), F.bit_xor(F.xxhash64("doc", F.lit("holder"))).alias("_y"),
+        one.cast("long").alias("_w"),
+    )
+    kept = holders.where("_n > 1").groupBy("_n", "_x", "_y").agg(F.min("gram").alias("gram"), F.sum("_w").alias("weight"))
+    return met.drop("weight").join(kept.select("gram", "weight"), "gram")
+
+
 def open_rows(met: DataFrame, num: int, den: int) -> DataFrame:
-    """Of ``met(gram, doc, size, end, label)`` the rows that may lead to a similar pair under different labels, with ``_own``, the
+    """Of ``met(gram, doc, weight, size, end, label)`` the rows that may lead to a similar pair under different labels, with ``_own``, the
     leading n-grams of the document that no such pair can share if the document ends first in it.
 
     Two sets share ``num / (num + den)`` of their summed sizes at least; the one that ends first no more than it has besides
@@ -284,7 +303,7 @@ def open_rows(met: DataFrame, num: int, den: int) -> DataFrame:
     met = met.join(grams, "gram").where(enough(size - F.col("_own")) | (enough(size) & (F.col("_first") <= end)))
     met = stored(met.drop("_own", "_least", "_first"), "met")  # one table and one shuffle of it at a time
     discard(grams)
-    own = met.groupBy("doc", "size").agg(F.count("*").alias("_met")).select("doc", (_lead(size, num, den) - F.col("_met")).alias("_own"))
+    own = met.groupBy("doc", "size").agg(F.sum("weight").alias("_met")).select("doc", (_lead(size, num, den) - F.col("_met")).alias("_own"))
     out = stored(met.join(own, "doc"), "met")
     discard(met)
     return out
@@ -310,21 +329,34 @@ def hub_pairs(met: DataFrame, turn: int, num: int, den: int) -> DataFrame:
     return out
 
 
-def rest_pairs(met: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs under different labels that meet at an n-gram."""
-    names = {"doc": "b", "size": "_size", "end": "_end", "label": "_label", "_own": "_less"}
-    other = met.select("gram", *[F.col(k).alias(v) for k, v in names.items()])
-    pairs = met.join(other, "gram").where((F.col("label") < F.col("_label")) & _fits(num, den))
-    return _likely(pairs, num, den)
+def probes(met: DataFrame, num: int, den: int) -> DataFrame:
+    """``met`` with ``_probe``, whether a document looks for others at the n-gram, and ``_skip``, the leading n-grams where it does not.
+
+    A set that ends first shares at least ``need`` of its leading n-grams with a similar one. So it meets that at one of any but
+    ``need - 1`` of them, and those with the most holders are left out."""
+    need = _lead(F.col("size"), num, den) - F.col("size") + F.ceil(F.col("size") * num / den)
+    met = met.join(met.groupBy("gram").agg(F.count("*").alias("_n")), "gram")
+    heavy = Window.partitionBy("doc").orderBy(F.desc(F.col("_n") / F.col("weight")), "gram").rowsBetween(Window.unboundedPreceding, 0)
+    met = met.withColumn("_sum", F.sum("weight").over(heavy)).withColumn("_probe", F.col("_sum") >= need)
+    skipped = F.coalesce(F.max(F.when(~F.col("_probe"), F.col("_sum"))).over(Window.partitionBy("doc")), F.lit(0))
+    return met.withColumn("_skip", skipped).drop("_n", "_sum")
 
 
-def _likely(met: DataFrame, num: int, den: int) -> DataFrame:
-    """``a, b`` of the pairs that may be similar by their overlap in the leading fragments. Of two sets the one whose leading
-    n-grams end first in the global order shares none of them with the other but those that were met."""
-    lead = lambda size: _lead(F.col(size), num, den)
-    shared = met.groupBy(F.col("doc").alias("a"), "b", "size", "_size").agg(F.count("*").alias("_c"))
-    most = F.col("_c") + F.greatest(F.col("size") - lead("size"), F.col("_size") - lead("_size"))
-    return shared.where((num + den) * most >= num * (F.col("size") + F.col("_size"))).select("a", "b")
+def rest_pairs(met: DataFrame, num: int, den: int) -> DataFrame:
+    """``a, b`` of the pairs under different labels that may be similar by their overlap in the leading fragments. The one whose
+    leading n-grams end first in the global order shares none of them with the other but those where they meet and those it skips. If it
+    ends among the frequent n-grams, all rare ones of the other are before, so that shares none of its own either."""
+    size, other = F.col("size"), F.col("_size")
+    met = stored(probes(met, num, den), "probes")
+    theirs = other - F.when(F.col("end") >= 0, F.greatest(F.col("_less") - F.col("_tail"), F.lit(0))).otherwise(0)
+    names = {"doc": "b", "size": "_size", "end": "_end", "label": "_label", "_own": "_less", "tail": "_tail"}
+    found = met.where("_probe").join(met.select("gram", *[F.col(k).alias(v) for k, v in names.items()]), "gram")
+    least = lambda most: (num + den) * F.least(most, "size", theirs) >= num * (size + other)
+    found = found.where((F.col("label") != F.col("_label")) & (F.col("end") <= F.col("_end")) & least(size - F.col("_own")))
+    shared = found.groupBy("doc", "b", "size", "_size", "_skip").agg(F.sum("weight").alias("_c"))
+    most = F.col("_c") + F.col("_skip") + size - _lead(size, num, den)
+    likely = shared.where((num + den) * most >= num * (size + other))
+    return likely.select(F.least("doc", "b").alias("a"), F.greatest("doc", "b").alias("b")).distinct()
 
 
 # --- 4: partial overlaps --------------------------------------------------------------------------------------------
@@ -380,7 +412,7 @@ def _overlaps(found: pa.Table) -> pa.Table:
         pairs = np.array([len(o) for o in others], np.int64)
         left, b = np.repeat(np.arange(len(docs)), pairs), np.concatenate(others)
         shared = np.zeros(len(b), np.int64)
-        step = max(1, int(4_000_000 // max(1, size.max())))
+        step = max(1, int(OVERLAP_GRAMS // max(1, size.max())))
         for at in range(0, len(b), step):  # a bounded number of n-grams at a time
             of, to = left[at : at + step], b[at : at + step]
             which = np.repeat(np.arange(len(of)), size[of])
@@ -443,15 +475,17 @@ def _components(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
         partial(_send, n=n, frequent=frequent, fragments=fragments, num=num, den=den),
         "fragment int, meets int, grams binary, docs binary",
     )
-    found = stored(sent.groupBy("fragment").applyInArrow(_meet, "gram long, doc long, ends boolean"), "meet")
-    ends = found.where("ends").groupBy("doc").agg(F.max("gram").alias("end")).join(sizes, "doc")
-    met = found.where("NOT ends").select("gram", "doc").distinct().join(ends, "doc").withColumn("label", F.col("doc"))
+    found = stored(sent.groupBy("fragment").applyInArrow(_meet, "gram long, doc long, ends byte"), "meet")
+    marked = lambda k: F.max(F.when(F.col("ends") == k, F.col("gram")))
+    ends = found.where("ends > 0").groupBy("doc").agg(marked(1).alias("end"), F.coalesce(marked(2), F.lit(0)).alias("tail")).join(sizes, "doc")
+    held = stored(found.where("ends = 0").select("gram", "doc").distinct(), "held")
+    met = merged(held).join(ends, "doc").withColumn("label", F.col("doc"))
     tested = labels = None
     if not same.isEmpty():
         labels = components(same)
         met = _labelled(met, labels)
     met = stored(met, "met")
-    discard(found)
+    discard(found, held)
     for _ in range(3):  # documents that left may have freed n-grams
         met = _opened(met, met, num, den)
     wanted = met.select("doc").distinct().join(classes, "doc").groupBy(F.col("first").alias("doc_id")).agg(F.collect_list("doc").alias("wanted"))
